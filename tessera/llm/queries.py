@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, oracles, sharding
+from tessera.llm import ann, exact_dedup, langid, mixing, near_dedup, oracles, quality, sentencepiece_bpe, sharding
 from tessera.llm.common import documents
 
 
@@ -14,6 +15,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), sharding.Topology.grid(2, 2, 2))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,7 +28,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_exact_dedup)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_bpe.Model.load(sentencepiece_bpe.vocabulary_path())
+    return sentencepiece_bpe.encode_decode(documents(spark, sf_dir), model)
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_exact_dedup, op6_quality, op8_cross_polytope, op9_sentencepiece, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": oracles.SHARDING,
