@@ -29,8 +29,8 @@ class Index:
     """Parameters that fix the rotations; the same everywhere."""
 
     dimension: int
-    tables: int = 8
-    probes: int = 8
+    tables: int = 10
+    probes: int = 16
     seed: int = 17
 
     @property
@@ -104,7 +104,7 @@ def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: i
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (qid[:0], xid[:0], np.zeros(0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, probes: int = 8, seed: int = 17) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 10, probes: int = 16, seed: int = 17) -> DataFrame:
     """One row per query and neighbour: query_id, rank from 1, vec_id, score.
 
     Candidates are all rows but those with the query's own vec_id.  Vectors that are null, empty, zero

@@ -111,7 +111,7 @@ def sketch(text: np.ndarray, code: np.ndarray, count: np.ndarray, n: int, regist
     k = 0
     while len(live):
         k += 1
-        draw = mix(code[live] + np.uint64(k) * _MULT)
+        draw = mix(code[live] + np.uint64(k * int(_MULT) & 0xFFFFFFFFFFFFFFFF))
         time[live] += -np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52) / count[live]
         slot = text[live] * registers + (mix(draw) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, slot, time[live])
