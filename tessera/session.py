@@ -24,3 +24,24 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "t
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once per application.
+
+    Workers on other machines, or started in another folder, then can import it.
+    """
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        made = tempfile.mkdtemp(prefix="tessera-")
+        shutil.copytree(here, f"{made}/src/{here.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{made}/{here.name}", "zip", f"{made}/src"))
