@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship_package
+
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 #: A word in Java's and DuckDB's regular expressions.
@@ -44,4 +46,6 @@ def text_or_empty(col: str | Column = "text") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """One table; the package is sent to the Python workers on the way."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
