@@ -60,11 +60,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of all words in order.  A word's hash is that of its polynomial over 2^64, mixed."""
+    """(hash, text) of all white-space words in order."""
+    return words_between(data, offsets, _SPACE)[:2]
+
+
+def words_between(data: np.ndarray, offsets: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, start, end) of all words in order, A-Z in lower case; blanks: by byte, whether it parts words.
+
+    A word's hash is that of its polynomial over 2^64, mixed.  start and end are places in data.
+    """
     own = data[offsets[0] : offsets[-1]]
+    none = np.zeros(0, np.int64)
     if not len(own):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    blank = _SPACE[own]
+        return np.zeros(0, np.uint64), none, none, none
+    blank = blanks[own]
     start = ~blank
     start[1:] &= blank[:-1]
     bounds = offsets[:-1] - offsets[0]
@@ -72,14 +81,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start[inner] = ~blank[inner]
     at = np.flatnonzero(start)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     # Position of each byte in its word, so that reduceat adds byte * power[position].
     word = np.cumsum(start) - 1
     place = np.arange(len(own)) - at[np.maximum(word, 0)]
     power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(int(place.max()), 0), _MULT)]))
     value = np.where(blank, np.uint64(0), mix(_LOWER[own].astype(np.uint64) + np.uint64(1)) * power[np.maximum(place, 0)])
     text = np.searchsorted(bounds, at, "right") - 1
-    return mix(np.add.reduceat(value, at)), text
+    size = np.add.reduceat((~blank).astype(np.int64), at)
+    return mix(np.add.reduceat(value, at)), text, offsets[0] + at, offsets[0] + at + size
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,5 +305,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with the smallest doc_id of their classes, with all their columns; null ids stay."""
-    gone = classes(docs, threshold).filter("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    gone = classes(docs, threshold).filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, exact_dedup, langid, lm, mixing, near_dedup, oracles, quality, sentencepiece_bpe, sharding
+from tessera.llm import ann, exact_dedup, langid, licenses, lm, mixing, near_dedup, oracles, quality, sentencepiece_bpe, sharding
 from tessera.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -51,7 +55,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_exact_dedup, op5_language_model, op6_quality, op8_cross_polytope, op9_sentencepiece, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_exact_dedup, op5_language_model, op6_quality, op7_licenses, op8_cross_polytope, op9_sentencepiece, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": oracles.SHARDING,
