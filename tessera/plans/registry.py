@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tessera.plans import risk_queries  # noqa: E402,F401
+from tessera.plans import label_queries, risk_queries  # noqa: E402,F401
