@@ -39,7 +39,7 @@ def containment_join(left: DataFrame, right: DataFrame, list_col: str, key: str,
     The list is exploded and joined by equality, which shuffles by key where a containment test would
     compare all rows with all rows.
     """
-    parts = F.array_distinct(F.transform(F.split(F.col(list_col), F.lit("\\" + sep)), F.trim))
+    parts = F.array_distinct(F.transform(F.split(F.col(list_col), F.lit("\\" + sep)), lambda x: F.trim(x)))
     exploded = left.withColumn("_part", F.explode(parts))
     return exploded.join(right, exploded["_part"] == right[key]).drop("_part")
 
