@@ -68,10 +68,10 @@ view("view_document_navigation", ("Document", "Section", "Product"), """SELECT D
  (SELECT count(*) FROM Document x WHERE x.SetGUID = d.SetGUID) TotalVersions, CASE WHEN VersionNumber = (SELECT max(VersionNumber) FROM Document x WHERE x.SetGUID = d.SetGUID) THEN 1 ELSE 0 END IsLatestVersion FROM Document d""", V.document_navigation)
 view("view_version_history", ("Document", "RelatedDocument"), """SELECT SetGUID, DocumentGUID, VersionNumber, EffectiveTime, ReferencedDocumentGUID PredecessorDocGUID, LabelerName
 FROM Document d LEFT JOIN RelatedDocument r ON r.SourceDocumentID = d.DocumentID AND RelationshipTypeCode = 'RPLC' LEFT JOIN lab ON lab.DocumentID = d.DocumentID""", V.version_history, _LAB)
-view("view_section_navigation", ("Section", "SectionHierarchy", "SectionTextContent"), """SELECT s.SectionID, s.SectionGUID, s.SectionCode, s.Title, s.DocumentID, h.ParentSectionID, p.SectionCode ParentSectionCode, p.Title ParentTitle,
+view("view_section_navigation", ("Section", "SectionHierarchy", "SectionTextContent"), """SELECT s.SectionID, s.SectionGUID, s.SectionCode, s.Title, s.DocumentID, CAST(h.ParentSectionID AS VARCHAR) ParentSectionID, p.SectionCode ParentSectionCode, p.Title ParentTitle,
  (SELECT count(*) FROM SectionTextContent c WHERE c.SectionID = s.SectionID) ContentBlockCount
 FROM Section s LEFT JOIN SectionHierarchy h ON h.ChildSectionID = s.SectionID LEFT JOIN Section p ON p.SectionID = h.ParentSectionID""",
-     V.section_navigation)
+     lambda t: V.section_navigation(t).withColumn("ParentSectionID", F.col("ParentSectionID").cast("string")))
 view("view_section_type_summary", ("Section", "Document"), """SELECT SectionCode, SectionDisplayName, count(*) SectionCount, count(DISTINCT s.DocumentID) DocumentCount, count(DISTINCT SetGUID) LabelSetCount
 FROM Section s JOIN Document d ON d.DocumentID = s.DocumentID WHERE SectionCode IS NOT NULL GROUP BY 1, 2""", V.section_type_summary)
 view("view_drug_interaction_lookup", ("Ingredient", "IngredientSubstance", "ProductIdentifier", "ActiveMoiety", "PharmacologicClassLink", "PharmacologicClass"), """SELECT sp.ProductID, ProductName, n.IdentifierValue NDC, UNII, SubstanceName, MoietyName, c.ClassCode PharmClassCode, DocumentGUID
