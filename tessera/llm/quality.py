@@ -5,8 +5,8 @@ pi, the risk is pi R+(P) + max(0, R-(U) - pi R-(P)): where the second part goes
 gradient is turned round, so a flexible model can't fit the unlabelled set as all negative.  The prior
 is estimated as the share of good ones among labelled documents of the training folds.
 
-Features come from all bytes of a text: shares of bytes and of hashed byte pairs (square roots), and
-a few ratios.  The model is a small network with one hidden layer, trained in numpy.  About
+Features come from all bytes of a text: shares of bytes and of hashed byte pairs (square roots), a few
+ratios, and how often words repeat.  The model is a small network with one hidden layer, trained in numpy.  About
 ``positives`` and ``unlabelled`` documents are drawn by a hash of their ids, and their features come
 to the driver: the only bound of this operator.
 """
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import runs, text_bytes
 from tessera.llm.common import held_out, unit_hash
+from tessera.llm.near_dedup import word_hashes
 
 PAIRS = 512
-FEATURES = 256 + PAIRS + 5
+FEATURES = 256 + PAIRS + 9
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -45,7 +46,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         blank = one[:, [9, 10, 11, 12, 13, 32]].sum(1)
         upper, lower, digit, high = one[:, 65:91].sum(1), one[:, 97:123].sum(1), one[:, 48:58].sum(1), one[:, 128:].sum(1)
         sign = n - blank - upper - lower - digit - high
-        out[i:j, 256 + PAIRS :] = np.stack([np.log1p(n) / 10, sign / size[:, 0], sign / np.maximum(blank, 1), upper / np.maximum(upper + lower, 1), (n - blank) / np.maximum(blank + 1, 1) / 10], 1)
+        h, owner = word_hashes(data, offsets[i : j + 1])
+        words = np.maximum(np.bincount(owner, minlength=j - i), 1)
+        again = [np.bincount(owner[k:][(h[k:] == h[:-k]) & (owner[k:] == owner[:-k])], minlength=j - i) / words for k in (1, 2)]
+        share = out[i:j, 256 : 256 + PAIRS].astype(np.float64) ** 2
+        out[i:j, 256 + PAIRS :] = np.stack([*again, (share**2).sum(1) * 10, (share > 0).sum(1) / np.maximum(np.minimum(n, PAIRS), 1), np.log1p(n) / 10, sign / size[:, 0], sign / np.maximum(blank, 1), upper / np.maximum(upper + lower, 1), (n - blank) / np.maximum(blank + 1, 1) / 10], 1)
     return out
 
 
