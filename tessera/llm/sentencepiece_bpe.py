@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.arrow_text import runs
+from tessera.llm.arrow_text import runs, text_bytes
 
 SPACE = "▁"
-#: Characters of text that a task treats at a time, and words that it keeps.
-_RUN = 4 << 20
-_STORE = 500_000
+#: Bytes of text that a task treats at a time, and words in each of the two generations that it keeps.
+_RUN = 1 << 20
+_STORE = 125_000
 
 
 @dataclass
@@ -99,7 +99,10 @@ class Encoder:
             if 0 <= i < n:
                 self.bytes_of[i] = bytes([b])
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.store: dict[str, tuple[str, int, bytes]] = {}
+        self.bytes_of_text = dict(zip(self.id_text, self.bytes_of, strict=True))
+        # Words to their ids as text.  When the newer generation is full, the older one goes.
+        self.store: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def _edges(self, ids: dict, joins: dict) -> None:
         """The merge tree of each piece: its last merge's parts, if merging its characters ends in it."""
@@ -163,7 +166,7 @@ class Encoder:
         if not seen.all():
             new = keys[~seen]
             ok[~seen] = self.compatible(new >> 32, new & 0xFFFFFFFF)
-            if len(self.pair_keys) > 4_000_000:
+            if len(self.pair_keys) > 2_000_000:
                 self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
             where = np.searchsorted(self.pair_keys, new)
             self.pair_keys, self.pair_ok = np.insert(self.pair_keys, where, new), np.insert(self.pair_ok, where, ok[~seen])
@@ -239,13 +242,16 @@ class Encoder:
         return flat
 
     def learn(self, words: set[str]) -> None:
-        """Put words into the store."""
-        new = [w for w in words if w not in self.store]
-        if len(self.store) + len(new) > _STORE:
-            self.store.clear()
-            new = list(words)
+        """Put words into the store; those of one call stay for its use."""
+        if len(self.store) > _STORE:
+            self.store, self.older = {}, self.store
+        missing = [w for w in words if w not in self.store]
+        for w in missing:
+            if (known := self.older.get(w)) is not None:
+                self.store[w] = known
+        new = [w for w in missing if w not in self.store]
         for w, ids in zip(new, self.ids_of(new), strict=True):
-            self.store[w] = (" ".join([self.id_text[i] for i in ids]), len(ids), b"".join([self.bytes_of[i] for i in ids]))
+            self.store[w] = " ".join([self.id_text[i] for i in ids])
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -279,21 +285,20 @@ def encode_decode(docs: DataFrame, model: Model, keep_text: bool = False) -> Dat
         coder = _encoder(held.value)
         for batch in batches:
             column = batch.column(1)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in column.cast(pa.large_binary()).fill_null(b"").to_pylist()])])
-            for i, j in runs(offsets, _RUN):
+            for i, j in runs(text_bytes(column)[1], _RUN):
                 texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
                 split = [coder.split(t) for t in texts]
                 coder.learn(set().union(*split))
                 n, ids_hash, text_hash, all_ids, all_text = [], [], [], [], []
                 for words in split:
-                    found = [coder.store[w] for w in words]
-                    ids = " ".join([*[f[0] for f in found], end])
-                    text = coder.decoded(b"".join([f[2] for f in found]))
-                    n.append(sum(f[1] for f in found) + 1)
+                    ids = " ".join([*[coder.store[w] for w in words], end])
+                    each = ids.split(" ")
+                    text = coder.decoded(b"".join([coder.bytes_of_text[i] for i in each[:-1]]))
+                    n.append(len(each))
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(text.encode()).hexdigest())
                     if keep_text:
-                        all_ids.append([int(x) for x in ids.split()])
+                        all_ids.append([int(x) for x in each])
                         all_text.append(text)
                 out = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -317,4 +322,4 @@ def with_end(model: Model, text: str) -> list[int]:
     coder = Encoder(model)
     words = coder.split(text)
     coder.learn(set(words))
-    return [int(x) for w in words for x in coder.store[w][0].split()] + [model.end_id]
+    return [int(x) for w in words for x in coder.store[w].split()] + [model.end_id]
