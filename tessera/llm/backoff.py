@@ -1,93 +1,20 @@
-"""A weighted backoff automaton over integer symbols, in numpy.
-
-States are the histories that have continuations; arcs carry log10 probabilities; a failure arc leads
-from a history to its longest proper suffix and carries the log10 of its backoff weight.  Reading a
-symbol follows failure arcs until an arc for it is found, or the root is reached, whose probabilities
-the caller gives.  Weights come from counts by interpolated absolute discounting with a prior: an arc
-has (c - D) / (C + PRIOR) plus the history's free mass times the probability after the failure arc, and
-the free mass is the backoff weight, so a history's probabilities sum to one whatever n-grams were left
-out.  The prior keeps histories that were seen a few times, often in copies of one text, close to the
-shorter history.
+"""Weights of a backoff automaton, in numpy.
+
+States are the histories that have continuations; arcs carry probabilities; a failure arc leads from a
+history to its longest proper suffix and carries the history's free mass.  Weights come from counts by
+interpolated absolute discounting with a prior: an arc has (c - D) / (C + PRIOR) plus the history's free
+mass times the probability after the failure arc, so a history's probabilities sum to one.  The prior
+keeps histories that were seen a few times, often in copies of one text, close to the shorter history.
+An n-gram that was seen no more than D times has no mass of its own, so reading it is following the
+failure arc.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
 DISCOUNT = 1.0
 PRIOR = 100.0
-#: Symbols that are read in one go; longer sequences are read in segments.
-SEGMENT = 2048
-
-
-@dataclass
-class Automaton:
-    """State 0 is the root, 1 + x the history of symbol x alone.  arc_key: state << bits | symbol, sorted."""
-
-    bits: int
-    order: int
-    arc_key: np.ndarray
-    arc_logp: np.ndarray
-    arc_to: np.ndarray
-    fail: np.ndarray
-    backoff: np.ndarray
-    root_logp: np.ndarray
-    root_to: np.ndarray
-
-    def read(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, next state) of one symbol for many states; at the root, symbols below 0 or unknown have 0 and stay."""
-        logp, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        live, state = np.arange(len(state)), state.copy()
-        while len(live):
-            s, x = state[live], symbol[live]
-            atroot = s == 0
-            if atroot.any():
-                r, y = live[atroot], x[atroot]
-                known = (y >= 0) & (y < len(self.root_logp))
-                logp[r[known]] += self.root_logp[y[known]]
-                to[r[known]] = self.root_to[y[known]]
-            live, s, x = live[~atroot], s[~atroot], x[~atroot]
-            if not len(live):
-                break
-            key = s << self.bits | np.maximum(x, 0)
-            at = np.minimum(np.searchsorted(self.arc_key, key), max(len(self.arc_key) - 1, 0))
-            hit = (self.arc_key[at] == key) & (x >= 0) if len(self.arc_key) else np.zeros(len(live), bool)
-            logp[live[hit]] += self.arc_logp[at[hit]]
-            to[live[hit]] = self.arc_to[at[hit]]
-            live, s = live[~hit], s[~hit]
-            logp[live] += self.backoff[s]
-            state[live] = self.fail[s]
-        return logp, to
-
-    def sums(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, first: int) -> np.ndarray:
-        """The sums of whole sequences that start in the state ``first``.
-
-        A long one is read in segments side by side; a segment starts in the state that the symbols
-        before it lead to, as many as a history can have.
-        """
-        n = np.maximum(1, -(-size // SEGMENT))
-        owner = np.repeat(np.arange(len(size)), n)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        at, state = begin[owner] + nth * SEGMENT, np.full(len(owner), first, np.int64)
-        inner = np.flatnonzero(nth)
-        state[inner] = 0
-        for back in range(self.order - 1, 0, -1):
-            state[inner] = self.read(state[inner], symbols[at[inner] - back])[1]
-        return np.bincount(owner, self.traverse(symbols, at, np.minimum(SEGMENT, size[owner] - nth * SEGMENT), state), len(size))
-
-    def traverse(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """The sums of many sequences read from left to right side by side; sequence i begins at start[i]."""
-        order = np.argsort(-size, kind="stable")
-        total, state, start, size = np.zeros(len(size)), state[order].copy(), start[order], size[order]
-        left = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
-        for k, n in enumerate(left):
-            logp, state[:n] = self.read(state[:n], symbols[start[:n] + k])
-            total[:n] += logp
-        out = np.empty_like(total)
-        out[order] = total
-        return out
 
 
 def find(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -98,58 +25,11 @@ def find(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == key, at, -1)
 
 
-def build(root_logp: np.ndarray, history_count: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Automaton:
-    """The automaton of counted n-grams.
-
-    root_logp: by symbol, log10 probabilities of the empty history; their sum may be below 1.
-    history_count: by symbol, how often it is a history; symbols behind those of root_logp are
-    histories only.  grams: for orders 2, 3, ..., (sorted keys, counts); a key has so many
-    bits for each symbol, oldest first.  An n-gram whose history or whose ending was left out is left out too.
-    """
-    n, mask = len(history_count), (1 << bits) - 1
-    # State numbers: 0 root, 1 + symbol for single symbols, then longer histories order by order.
-    context_keys, context_first, context_count = [np.arange(n, dtype=np.int64)], [1], [history_count.astype(np.float64)]
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    total = 1 + n
-    for order, (keys, counts) in enumerate(grams, 2):
-        ok = find(context_keys[-1], keys >> bits) >= 0
-        if order > 2:  # its ending is an n-gram of the order below
-            ok &= find(kept[-1][0], keys & ((1 << bits * (order - 1)) - 1)) >= 0
-        keys, counts = keys[ok], counts[ok].astype(np.float64)
-        kept.append((keys, counts))
-        if order - 1 < len(grams):
-            context_keys.append(keys)
-            context_count.append(counts)
-            context_first.append(total)
-            total += len(keys)
+def arc(count: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """An n-gram's own mass, from its count and its history's."""
+    return np.maximum(count - DISCOUNT, 0) / (np.maximum(history, count) + PRIOR)
 
-    def state_of(key: np.ndarray, order: int) -> np.ndarray:
-        """The state of the longest ending of n-grams of an order that is a history."""
-        out = np.zeros(len(key), np.int64)
-        for k in range(1, min(order, len(context_keys)) + 1):
-            at = find(context_keys[k - 1], key & ((1 << bits * k) - 1))
-            out = np.where(at >= 0, context_first[k - 1] + at, out)
-        return out
 
-    fail, backoff = np.zeros(total, np.int64), np.zeros(total)
-    for k in range(2, len(context_keys) + 1):
-        at = context_first[k - 1] + np.arange(len(context_keys[k - 1]))
-        fail[at] = state_of(context_keys[k - 1] & ((1 << bits * (k - 1)) - 1), k - 1)
-    auto = Automaton(bits, 1 + len(grams), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), fail, backoff, root_logp, 1 + np.arange(len(root_logp)))
-    for order, (keys, counts) in enumerate(kept, 2):
-        if not len(keys):
-            continue
-        at = find(context_keys[order - 2], keys >> bits)
-        state, symbol = context_first[order - 2] + at, keys & mask
-        own = np.maximum(counts - DISCOUNT, 0) / (np.maximum(context_count[order - 2][at], counts) + PRIOR)
-        size = len(context_keys[order - 2])
-        weight = np.maximum(1 - np.bincount(at, own, size), 1e-9)
-        p = own + weight[at] * 10 ** auto.read(fail[state], symbol)[0]
-        has = np.bincount(at, minlength=size) > 0
-        backoff[context_first[order - 2] + np.flatnonzero(has)] = np.log10(weight[has])
-        both = np.concatenate([auto.arc_key, state << bits | symbol])
-        by = np.argsort(both, kind="stable")
-        auto.arc_logp = np.concatenate([auto.arc_logp, np.log10(p)])[by]
-        auto.arc_to = np.concatenate([auto.arc_to, state_of(keys, order)])[by]
-        auto.arc_key = both[by]
-    return auto
+def free(taken: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """What a history leaves to the failure arc; taken: the sum of its arcs' discounted counts."""
+    return np.maximum(1 - taken / (history + PRIOR), 1e-9)

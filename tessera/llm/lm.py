@@ -1,106 +1,218 @@
-"""Language-model scores by a weighted backoff automaton.
-
-Counts come from all training documents.  Words with a share of at least ``WORD_SHARE`` of the tokens
-form the lexicon, which so has at most 1 / WORD_SHARE words; n-grams of lexicon words (orders 2 and 3)
-with at least ``GRAM_SHARE`` of the tokens become states and arcs of the automaton.  At its root stands
-the smoothed unigram model: a word seen c times has (c - d) / N, and the mass d V / N that this leaves
-is that of the one event "a word not seen".  d is estimated from the words seen once and twice.
-
-The lexicon's and the n-grams' sizes are bounded by those shares, so they go to every task.  The counts
-of the other words grow with the corpus and are never gathered: each task lists the distinct words of a
-run of documents, the list is joined with the table of counts, and the counts meet the run's documents
-again by the run's number.
+"""Language-model scores by a weighted backoff automaton over distributed tables of all n-grams.
+
+Counts come from all training documents, and no word or n-gram is left out, whatever the corpus's size.
+At the automaton's root stands the smoothed unigram model: a word seen c times has (c - d) / N, and the
+mass d V / N that this leaves is that of the one event "a word not seen".  d is estimated from the words
+seen once and twice.  Its other states are the histories of one and two words (see ``backoff``); arcs of
+n-grams seen once have no mass of their own under the discount of 1, so they need not be kept apart.
+
+Nothing that grows with the corpus is gathered or sent to every task.  Documents are read in runs.  A run
+lists its distinct n-grams of an order with their training counts, dealt into parts by hash; a part adds
+the counts up and answers each run with the totals.  Orders go from the longest down: what the arcs of a
+history take together is found where they are, and is added to the history's own row in the next order.
+At the end a run's texts meet its answers.
+
+Words are told apart by a 64-bit hash, histories of two words by a 64-bit hash of the two.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import backoff
-from tessera.llm.arrow_text import runs
-from tessera.llm.backoff import Automaton
+from tessera.llm.arrow_text import runs, text_bytes
 from tessera.llm.common import checkpoint, held_out, text_or_empty
+from tessera.llm.near_dedup import mix, word_hashes
 
-WORD_SHARE = 1e-5
-GRAM_SHARE = 2e-6
-#: Bytes of text in a run.
-RUN = 12 << 20
-#: Bits of a symbol in keys; a lexicon has at most 1 / WORD_SHARE words.
-WORD_BITS = 17
+#: Least shares of the tokens for words and n-grams: none.
+WORD_SHARE = GRAM_SHARE = 0.0
+#: Bytes of text in a run, and in a piece that is cut into words in one go.
+RUN = 6 << 20
+PIECE = 1 << 19
+#: Bytes of text for a part of the n-grams.
+PART = 3 << 20
+#: Hashes of a text's start and end.
+START, END = np.uint64(0x5D1A7F3C9B2E4861), np.uint64(0xA3C95E0D71F8B264)
+ORDERS = (1, 2, 3)
+#: With it, an order's shuffled n-grams leave the disk as soon as its answers are written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ROWS = "run long, part int, a binary, b binary, n binary"
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        for i, j in runs(offsets, RUN):
-            yield batch.slice(i, j - i), texts[i:j]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return mix(mix(a ^ np.uint64(0x9E3779B97F4A7C15)) + b)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as hold them all."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(t).max)).tobytes()
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words; bytes.lower and bytes.split treat A-Z and the six white-space bytes alone."""
-    return text.lower().split()
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(data) // max(1, n) or 1]).astype(np.int64)
+
+
+@dataclass
+class Run:
+    """Consecutive texts: the hashes of their symbols (0 the start, 1 the end), and the texts' symbols with start and end."""
+
+    hashes: np.ndarray
+    x: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, word: np.ndarray, text: np.ndarray, texts: int) -> Run:
+        """word, text: by word of all texts in order, its place in hashes and the number of its text."""
+        size = np.bincount(text, minlength=texts) + 2
+        first = np.cumsum(size) - size
+        x = np.zeros(size.sum(), np.int64)
+        x[first + size - 1] = 1
+        x[np.arange(len(word)) + 2 * text + 1] = word
+        return Run(hashes, x, np.repeat(np.arange(texts), size))
+
+    def grams(self, longest: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order up to the longest: the distinct n-grams' two hashes (history, last word; a lone word has 0 as the second), for each
+        place in x that ends one (all but starts; of order 1 starts too) its number, and these places."""
+        out = {1: (self.hashes, np.zeros_like(self.hashes), self.x, np.arange(len(self.x)))}
+        if longest == 1:
+            return out
+        at = np.flatnonzero(self.x)
+        pair_of, pair = pd.factorize(self.x[at - 1] << 32 | self.x[at])
+        u, v = self.hashes[pair >> 32], self.hashes[pair & 0xFFFFFFFF]
+        out[2] = (u, v, pair_of, at)
+        if longest == 2:
+            return out
+        far = np.flatnonzero(self.x[at - 1])
+        triple_of, triple = pd.factorize(pair_of[far - 1] << 32 | self.x[at[far]])
+        out[3] = (joined(u, v)[triple >> 32], self.hashes[triple & 0xFFFFFFFF], triple_of, at[far])
+        return out
+
+
+def part_of(order: int, a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    """Histories of order n + 1 are the n-grams' ids: those of words are their hashes, those of pairs hashes of both."""
+    return ((a if order == 1 else joined(a, b)) % np.uint64(parts)).astype(np.int64)
+
+
+def _cut(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, word hashes, text of each) of runs."""
+    data, offsets = text_bytes(column)
+    for i, j in runs(offsets, RUN):
+        got = [(h, text + k) for k, m in runs(offsets[i : j + 1], PIECE) for h, text in [word_hashes(data, offsets[i + k : i + m + 1])]]
+        yield i, j, np.concatenate([h for h, _ in got]), np.concatenate([t for _, t in got])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, rows, hashes of start, end and words, place of each word in them, its text)."""
+    k = 0
+    for batch in batches:
+        for i, j, h, text in _cut(batch.column(column)):
+            place, hashes = pd.factorize(h)
+            yield TaskContext.get().partitionId() * 1_000_000 + k, batch.slice(i, j - i), np.concatenate([[START, END], hashes]).astype(np.uint64), place + 2, text
+            k += 1
+
 
+def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(part, columns' values there), in order of place."""
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    columns = [c[order] for c in columns]
+    for p, i, j in zip(parts.tolist(), first, [*first[1:], len(part)], strict=True):
+        yield p, *[c[i:j].tobytes() if c.dtype == np.uint64 else packed(c[i:j]) for c in columns]
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    counts: Counter = Counter()
-    for _, texts in _texts(batches, 0):
-        for t in texts:
-            counts.update(tokens(t))
-        if len(counts) > 400_000:
-            yield out(counts)
-            counts = Counter()
-    yield out(counts)
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["run", "part", "a", "b", "n"])
 
 
-def _grams(lexicon: dict[bytes, int]):
-    """Counts of n-grams of lexicon symbols; symbol 0 is the end, the symbol behind the lexicon the start."""
-    start = len(lexicon) + 1
+def _asks(order: int, parts: int, ask: bool) -> Callable:
+    """Rows (run or -2 for who needs no answer, part, a, b, n) of a run's n-grams; columns learn, text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches, 0):
-            seq = []
-            for t in texts:
-                seq += [-1, start, *[lexicon.get(w, -1) for w in tokens(t)], 0]
-            x = np.array(seq, np.int64)
-            for order in (2, 3):
-                parts = [x[i : len(x) - order + 1 + i] for i in range(order)]
-                good = np.all([p >= 0 for p in parts], axis=0) & np.all([p != 0 for p in parts[:-1]], axis=0) & np.all([p != start for p in parts[1:]], axis=0)
-                key = np.zeros(good.sum(), np.int64)
-                for p in parts:
-                    key = key << WORD_BITS | p[good]
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), pa.array(key), pa.array(n)], ["size", "key", "n"])
+        for number, batch, hashes, word, text in _runs(batches, 1):
+            run = Run.of(hashes, word, text, batch.num_rows)
+            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            a, b, gram, at = run.grams(order)[order]
+            n = np.bincount(gram, learn[run.text[at]], len(a)).astype(np.int32)
+            if not ask:
+                a, b, n = a[n > 0], b[n > 0], n[n > 0]
+            run = hashes = word = text = gram = at = None
+            yield _record([(number if ask else -2, *r) for r in _split(part_of(order, a, b, parts), a, b, n)])
 
     return work
 
 
-def _counted(counts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    got = counts.filter(F.col("size") == order).select("key", "n").toPandas().sort_values("key")
-    return got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+def _add_up(order: int, parts: int) -> Callable:
+    """Of one part: its answers (run, part, totals, arcs' mass, empty), what arcs take of histories (-1, part, histories, counts, empty), for words figures (-3, ...)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = list(zip(*[c.to_pylist() for c in table.columns], strict=True))
+        asks, taken = [r for r in rows if r[0] != -1], [r for r in rows if r[0] == -1]
+        part = rows[0][1]
+        rows = table = None
+        a, b = (np.frombuffer(b"".join(r[k] for r in asks), np.uint64) for k in (2, 3))
+        n = np.concatenate([unpacked(r[4], len(r[2]) // 8) for r in asks]) if asks else np.zeros(0)
+        out: list[tuple] = []
+        if len(a):
+            which, _ = pd.factorize(pd.factorize(a)[0] << 32 | pd.factorize(b)[0])
+            total = np.bincount(which, n).astype(np.int64)
+            first = np.empty(len(total), np.int64)
+            first[which] = np.arange(len(a))
+            a, b = a[first], b[first]
+            mass = np.zeros(len(total), np.int64)
+            if taken:
+                ids, place = np.unique(np.frombuffer(b"".join(r[2] for r in taken), np.uint64), return_inverse=True)
+                lost = np.bincount(place, np.concatenate([unpacked(r[4], len(r[2]) // 8) for r in taken])).astype(np.int64)
+                found = backoff.find(ids, a if order == 1 else joined(a, b))
+                mass = np.where(found >= 0, lost[found], 0)
+            i = 0
+            for r in asks:
+                j = i + len(r[2]) // 8
+                if r[0] != -2:
+                    out.append((r[0], part, packed(total[which[i:j]]), packed(mass[which[i:j]]) if order < 3 else b"", b""))
+                i = j
+            if order > 1:
+                own = np.maximum(total - backoff.DISCOUNT, 0).astype(np.int64)
+                some = own > 0
+                if some.any():
+                    history, place = np.unique(a[some], return_inverse=True)
+                    sums = np.bincount(place, own[some]).astype(np.int64)
+                    out += [(-1, p, h, b"", s) for p, h, s in _split((history % np.uint64(parts)).astype(np.int64), history, sums)]
+            else:
+                c = total[(a != START) & (a != END)]
+                ends = total[a == END].sum()
+                out.append((-3, part, np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum(), ends], np.int64).tobytes(), b"", b""))
+        return pa.Table.from_batches([_record(out)])
+
+    return work
 
 
 @dataclass
 class Model:
-    """counts: the table (word, c) of all training words."""
+    """The documents to learn from, or all documents with the fold that is held out."""
+
+    docs: DataFrame
+    folds: int
+    fold: int
+
+
+@dataclass
+class Root:
+    """The model without a history."""
 
-    counts: DataFrame
     tokens: int
     distinct: int
-    lexicon: dict[bytes, int]
-    lexicon_counts: np.ndarray
-    words: Automaton | None
     discount: float
 
     def root(self, c: np.ndarray) -> np.ndarray:
@@ -114,21 +226,31 @@ class Model:
 
 
 def train(docs: DataFrame, folds: int = 10, fold: int = 0) -> Model:
-    """The model of the documents outside the held-out fold; a null text counts as empty."""
-    learn = docs.filter(~held_out(F.col("doc_id"), folds, fold)).select(text_or_empty().cast("binary").alias("text"))
-    counts = checkpoint(learn.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    ends = learn.count()
-    seen = lambda k: F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0))
-    total, words, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), seen(1), seen(2)).first()
-    n, v = total + ends, words + (ends > 0)
+    """The model of the documents outside the held-out fold; a null text counts as empty.
+
+    Its n-grams are counted when documents are scored, in the same pass if these are the same table.
+    """
+    return Model(docs, folds, fold)
+
+
+def _answers(asked: list[tuple[DataFrame, bool]], parts: int) -> tuple[dict[int, DataFrame], Root]:
+    """By order, the rows (run, part, a: totals, b: arcs' mass) of all runs; and the root."""
+    out: dict[int, DataFrame] = {}
+    conf = asked[0][0].sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        for order in reversed(ORDERS):
+            rows = reduce(DataFrame.union, [f.mapInArrow(_asks(order, parts, ask), _ROWS) for f, ask in asked])
+            if order < 3:
+                rows = rows.union(out[order + 1].filter("run = -1"))
+            out[order] = checkpoint(rows.groupBy("part").applyInArrow(_add_up(order, parts), _ROWS))
+    finally:
+        conf.set(CLEAN, before)
+    figures = [np.frombuffer(bytes(r["a"]), np.int64) for r in out[1].filter("run = -3").select("a").collect()]
+    words, distinct, once, twice, ends = np.sum([*figures, np.zeros(5, np.int64)], axis=0).tolist()
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    common = sorted(((-r["c"], bytes(r["word"])) for r in counts.filter(F.col("c") >= max(2.0, WORD_SHARE * n)).collect()))
-    lexicon = {w: i for i, (_, w) in enumerate(common, 1)}
-    c = np.array([ends, *[-m for m, _ in common]], np.float64)
-    grams = checkpoint(learn.mapInArrow(_grams(lexicon), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, GRAM_SHARE * n)))
-    model = Model(counts, n, v, lexicon, c, None, discount)
-    model.words = backoff.build(np.log10(model.root(c)), np.append(c, float(max(ends, 1))), [_counted(grams, order) for order in (2, 3)], WORD_BITS)
-    return model
+    return {k: f.filter("run >= 0") for k, f in out.items()}, Root(words + ends, distinct + (ends > 0), discount)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 10, fold: int = 0) -> DataFrame:
@@ -139,65 +261,65 @@ def score(docs: DataFrame, model: Model, folds: int = 10, fold: int = 0) -> Data
     over all tokens.  Repeated rows get equal results; an empty table gives an empty result; other
     columns are ignored.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.lexicon, model.words))
-    log_base = np.log10(model.base(model.lexicon_counts))
-    start = len(model.lexicon) + 1
-    rows = docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), text_or_empty().cast("binary").alias("text"))
-
-    def run_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[list[int]], dict[bytes, int]]]:
-        """Per run: its number, its rows, each text's symbols (lexicon numbers, or -1 - i for rare word i), the rare words."""
-        lexicon = sent.value[0]
-        for k, (batch, texts) in enumerate(_texts(batches, 2)):
-            rare: dict[bytes, int] = {}
-            out = []
-            for t in texts:
-                out.append([s if (s := lexicon.get(w)) is not None else -1 - rare.setdefault(w, len(rare)) for w in tokens(t)])
-            yield TaskContext.get().partitionId() * 1_000_000 + k, batch, out, rare
+    learnt = ~held_out(F.col("doc_id"), model.folds, model.fold)
+    same = docs is model.docs
+    asked = [(docs.select((learnt if same else F.lit(False)).alias("learn"), text_or_empty().alias("text")), True)]
+    if not same:
+        asked.append((model.docs.filter(learnt).select(F.lit(True).alias("learn"), text_or_empty().alias("text")), False))
+    size = sum(f.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for f, _ in asked)
+    parts = max(1, -(-size // PART))
+    answers, root = _answers(asked, parts)
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), text_or_empty().alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value[1]
-        for run, batch, texts, _ in run_words(batches):
-            size = np.array([len(t) + 1 for t in texts])
-            x = np.array([s for t in texts for s in (*t, 0)], np.int64)
-            begin = np.cumsum(size) - size
-            logp = words.sums(x, begin, size, 1 + start)
-            text = np.repeat(np.arange(len(texts)), size)
-            known = x >= 0
-            base = np.bincount(text[known], log_base[x[known]], len(texts))
-            n_known = np.bincount(text[known], model_known[x[known]], len(texts))
-            lost = (-1 - x[~known]).astype(np.int32)
-            cuts = np.searchsorted(text[~known], np.arange(len(texts) + 1))
-            ids = [lost[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(texts))]
+        """Per run its texts' words, and the words' hashes in the first row."""
+        for number, batch, hashes, word, text in _runs(batches, 2):
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            words = word.astype(np.int32)
+            ids = [words[cuts[i] : cuts[i + 1]].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(texts), run, np.int64)), batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(logp), pa.array(ids, pa.binary())],
-                ["run", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                [pa.array(np.full(len(ids), number, np.int64)), batch.column(0), batch.column(1), pa.array(np.arange(len(ids))), pa.array(ids, pa.large_binary()).cast(pa.binary()), pa.array([hashes.tobytes(), *[None] * (len(ids) - 1)], pa.binary())],
+                ["run", "doc_id", "held_out", "nth", "words", "hashes"],
             )
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run, _, _, rare in run_words(batches):
-            words = list(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), run, np.int64)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary())], ["run", "i", "word"])
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("nth")
+        ids = [np.frombuffer(b, np.int32) for b in left.column("words").to_pylist()]
+        text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        hashes = np.frombuffer(next((h for h in left.column("hashes").to_pylist() if h is not None), b""), np.uint64)
+        if not len(ids):
+            return pa.table([left.column("doc_id"), left.column("held_out"), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        run = Run.of(hashes, np.concatenate(ids).astype(np.int64), text, len(ids))
+        got: dict[int, list] = {k: [] for k in ORDERS}
+        for r in zip(*[right.column(c).to_pylist() for c in ("size", "part", "a", "b")], strict=True):
+            got[r[0]].append(r[1:])
+        right = ids = None
+        grams, count, mass = run.grams(3), {}, {}
+        for k in ORDERS:
+            a, b = grams[k][:2]
+            part = part_of(k, a, b, parts)
+            order, size = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+            answer = sorted(got.pop(k))
+            for to, column in ((count, 1), (mass, 2)) if k < 3 else ((count, 1),):
+                to[k] = np.empty(len(a))
+                to[k][order] = np.concatenate([unpacked(r[column], size[r[0]]) for r in answer])
+        word = run.x
+        c = count[1][word]
+        p = root.root(c)
+        for k in (2, 3):
+            _, _, gram, at = grams[k]
+            history, before = (run.x[at - 1], count[1]) if k == 2 else (pair_at[at - 1], count[2])
+            total = before[history]
+            p[at] = backoff.arc(count[k][gram], total) + backoff.free(mass[k - 1][history], total) * p[at]
+            if k == 2:
+                pair_at = np.zeros(len(word), np.int64)
+                pair_at[at] = gram
+        at = grams[2][3]
+        sums = [np.bincount(run.text[at], v[at], len(left)) for v in (np.ones(len(c)), (c > 0).astype(np.float64), np.log10(root.base(c)), np.log10(p))]
+        return pa.table([left.column("doc_id"), left.column("held_out"), *[pa.array(s.astype(np.int64)) for s in sums[:2]], *[pa.array(s) for s in sums[2:]]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    model_known = (model.lexicon_counts > 0).astype(np.float64)
-    figures = Model(None, model.tokens, model.distinct, {}, np.zeros(0), None, model.discount)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = rows.mapInArrow(read, f"run long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare binary")
-    asked = rows.mapInArrow(ask, "run long, i int, word binary")
-    answers = asked.join(model.counts, "word", "left").select("run", "i", F.coalesce("c", F.lit(0)).alias("c"))
-
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("i").to_numpy())
-        c = right.column("c").to_numpy()[order].astype(np.float64)
-        base, logp = np.log10(figures.base(c)), np.log10(figures.root(c))
-        ids = [np.frombuffer(b, np.int32) for b in left.column("rare").to_pylist()]
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        more = [np.bincount(text, v[flat] if len(flat) else None, len(ids)) for v in ((c > 0).astype(np.float64), base, logp)]
-        return pa.table(
-            [left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(left.column("n_known").to_numpy() + more[0].astype(np.int64)), pa.array(left.column("base_score").to_numpy() + more[1]), pa.array(left.column("score").to_numpy() + more[2])],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
-
-    met = texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return met.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    texts = rows.mapInArrow(read, f"run long, doc_id {kind}, held_out boolean, nth long, words binary, hashes binary")
+    told = reduce(DataFrame.union, [f.select("run", F.lit(k).alias("size"), "part", "a", "b") for k, f in answers.items()])
+    met = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return met.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")

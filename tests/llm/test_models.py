@@ -156,6 +156,26 @@ def test_language_model_matches_brute_force(spark):
     assert lm.score(frame.limit(0), lm.train(frame.limit(0))).count() == 0
 
 
+def test_language_model_keeps_ngrams_whose_share_is_small(spark):
+    """Two occurrences in 260,000 tokens: the order of the words still counts, as it does in a small table."""
+    learn = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
+    texts = ["the and"] * 40
+    texts[learn[0]] = "the and " * 130_000
+    for i in learn[1:3]:
+        texts[i] = "alpha beta gamma"
+    frame = docs_of(spark, texts).select("doc_id", "text")
+    model = lm.train(frame)
+    rows = {r.doc_id: r for r in lm.score(frame, model).collect()}
+    forward, base = rows[learn[1]], rows[learn[1]].base_score
+    asked = docs_of(spark, ["alpha beta gamma", "gamma beta alpha"]).select("doc_id", "text")
+    got = {r.doc_id: r for r in lm.score(asked, model).collect()}  # documents that aren't trained on
+    assert got[0].score == pytest.approx(forward.score, rel=1e-12) and got[0].base_score == pytest.approx(base, rel=1e-12) == pytest.approx(got[1].base_score)
+    assert got[0].score > got[1].score + 0.5 and got[0].train_tokens == forward.train_tokens
+    brute = brute_lm(texts)
+    for i in (learn[1], learn[5]):
+        assert rows[i].score == pytest.approx(brute[i][4], rel=1e-9)
+
+
 def test_licenses(spark):
     notice, mit = licenses.TEMPLATES["gpl-3.0-notice"], licenses.TEMPLATES["mit"]
     changed = mit.replace("free of charge", "free").replace("publish, distribute", "publish and distribute")
