@@ -3,7 +3,9 @@
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns a unit vector; its
 bucket in a table is the signed axis nearest to it.  Each table has a rotation of its own.  A query
 looks into the buckets of its nearest ``probes`` axes in each table; the vectors found are ranked by
-their exact inner product in double precision.
+their exact inner product in double precision.  A query that so meets fewer than k vectors, though there
+are more, is compared with all of them, block by block.  Where lengths differ, candidates get one more
+component that makes them equally long, so that the nearest direction is the largest inner product.
 
 Vectors and queries meet by (table, bucket).  A bucket's vectors and its queries are dealt into chunks of
 bounded size, so a bucket with a third of all rows is many tasks' work, and nothing is dropped.  What the
@@ -20,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import checkpoint
+
 #: Vectors or queries in a chunk, about.
 CHUNK = 4096
+#: Lengths that differ by no more than this share count as equal for hashing.
+EVEN = 1e-3
 
 
 @dataclass(frozen=True)
@@ -80,6 +86,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(1)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            n = _lengths(_matrix(batch.column(0), len(batch.column(0)[0])).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([n.min()]), pa.array([n.max()])], ["least", "most"])
+
+
+def _lifted(x: np.ndarray, most: float | None) -> np.ndarray:
+    """Unit vectors of one more component: a candidate's is what it lacks to the greatest length; a query's (most is None) is 0."""
+    unit = _unit(x)
+    if most is None:
+        return np.column_stack([unit, np.zeros(len(x), np.float32)])
+    share = np.minimum(_lengths(x.astype(np.float64)) / most, 1)
+    return np.column_stack([unit * share[:, None], np.sqrt(1 - share**2)]).astype(np.float32)
+
+
 def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products row by row in double precision, added up in one order whatever stands beside."""
     return (q.astype(np.float64) * x.astype(np.float64)).sum(1)
@@ -119,9 +146,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 10,
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], out_schema)
-    index = Index(sizes[0][1], tables, probes, seed)
-    d = index.dimension
+    d = sizes[0][1]
     rows = rows.filter(F.size("v") == d)
+    least, most = rows.select("v").mapInArrow(_spans, "least double, most double").agg(F.min("least"), F.max("most")).first()
+    uneven = most > least * (1 + EVEN)
+    index = Index(d + uneven, tables, probes, seed)
     candidates, queries = rows.select("vec_id", "v"), rows.filter("q").select("vec_id", "v")
 
     def hashed(of: int, chunks: dict | None):
@@ -132,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 10,
                 if not batch.num_rows:
                     continue
                 ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
-                unit = _unit(x)
+                unit = _lifted(x, most if of == 1 else None) if uneven else _unit(x)
                 for t in range(index.tables):
                     b = index.buckets(unit, t, of)
                     if chunks is None:
@@ -181,4 +210,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 10,
     # Rows of one id may differ; the best counts.
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda f: f.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = checkpoint(ranked(once))
+    full = min(k, candidates.select("vec_id").distinct().count() - 1)
+    met = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= full).select("query_id")
+    short = checkpoint(queries.join(met, queries["vec_id"] == met["query_id"], "left_anti"))
+    missing = short.count() if full > 0 else 0
+    if not missing:
+        return near
+    blocks, groups = -(-candidates.count() // CHUNK), -(-missing // CHUNK)
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = candidates.distinct().select(block(blocks).alias("c"), every(groups).alias("e"), "vec_id", "v")
+    right = short.select(every(blocks).alias("c"), block(groups).alias("e"), "vec_id", "v")
+    exact = left.groupBy("c", "e").cogroup(right.groupBy("c", "e")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    rest = ranked(exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    return near.join(met, "query_id", "left_semi").select(*near.columns).union(rest)

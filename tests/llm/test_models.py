@@ -216,6 +216,24 @@ def test_nearest_neighbours(spark):
     assert len(few) == 2
 
 
+def test_nearest_neighbours_of_small_and_uneven_tables(spark):
+    rng = np.random.default_rng(9)
+    few = rng.normal(size=(30, 64))
+    few[15:] = -few[:15]  # opposite vectors share no bucket
+    long = rng.normal(size=(400, 24)) * rng.lognormal(0, 1, 400)[:, None]
+    for x, least in ((few, 1.0), (long, 0.9)):
+        frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in ann.search(frame, F.col("vec_id") % 5 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        hit = 0
+        for q in range(0, len(x), 5):
+            want = [i for i in np.lexsort((np.arange(len(x)), -(x @ x[q]))) if i != q][:20]
+            assert len(got[q]) == 20
+            hit += len(set(want) & set(got[q]))
+        assert hit >= least * 20 * len(got), (len(x), hit / (20 * len(got)))
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 24)).astype(np.float32)
     assert np.allclose(np.linalg.norm(ann.Index(24).rotated(x, 3), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
