@@ -119,7 +119,7 @@ def term(name: Column) -> tuple[Column, Column]:
     """(canonical name or null for what is no term, body system or null)."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"<[^>]*>|[*†‡§]", ""), r"\s+", " "))
     bad = (t == "") | F.lower(t).isin(*NO_TERMS) | t.rlike(r"^[\d.,%<>≥≤ ]+$")
-    clean = F.when(~bad, F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 10_000))))
+    clean = F.when(~bad, F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2)))))
     system = F.lit(None).cast("string")
     for label, words in reversed(SYSTEMS):
         system = F.when(F.lower(clean).rlike(words), label).otherwise(system)
@@ -162,15 +162,16 @@ def vote_units(df: DataFrame) -> DataFrame:
 def subject_counts(cells: DataFrame) -> DataFrame:
     """The one N that all cells of a column agree on.
 
-    cells: TextTableID, Col, n, pct.  A cell of n and p percent allows each N with
-    |round(100 n / N, 1) - p| <= 1.5 near n / p; three cells at least, and exactly one N left.
+    cells: TextTableID, Col, n, pct.  A cell above 0 of n and p percent allows each N of at least n with
+    round(100 n / N, 1) = p, half up: the whole numbers N with 100 n / (p + 0.05) < N <= 100 n / (p - 0.05).
+    Three cells at least, and exactly one N left.
     """
-    low, high = F.floor(100 * F.col("n") / (F.col("pct") + 1.55)), F.ceil(100 * F.col("n") / F.greatest(F.col("pct") - 1.55, F.lit(0.05)))
-    allowed = F.filter(F.sequence(F.greatest(low, F.lit(1)).cast("int"), F.least(high, low + 20_000).cast("int")), lambda k: F.abs(F.round(100 * F.col("n") / k, 1) - F.col("pct")) <= 1.5)
-    rows = cells.filter((F.col("n") > 0) & (F.col("pct") > 1.6)).withColumn("k", F.explode(allowed))
-    total = cells.filter((F.col("n") > 0) & (F.col("pct") > 1.6)).groupBy("TextTableID", "Col").agg(F.count(F.lit(1)).alias("cells"))
-    votes = rows.groupBy("TextTableID", "Col", "k").agg(F.count(F.lit(1)).alias("v")).join(total, ["TextTableID", "Col"]).filter("v = cells and cells >= 3")
-    return votes.groupBy("TextTableID", "Col").agg(F.min("k").alias("N"), F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
+    t = F.round(F.col("pct").cast("decimal(38,10)") * 10, 0).cast("long")
+    fits = F.col("pct").cast("decimal(38,10)") * 10 == t
+    rows = cells.filter((F.col("n") > 0) & (F.col("pct") > 0)).select("TextTableID", "Col", F.col("n").cast("long").alias("n"), F.when(fits, t).alias("t"))
+    spans = rows.withColumns({"low": F.expr("greatest(n, n * 2000 div (2 * t + 1) + 1)"), "high": F.expr("n * 2000 div (2 * t - 1)")})
+    found = spans.groupBy("TextTableID", "Col").agg(F.count(F.lit(1)).alias("cells"), F.count("t").alias("whole"), F.max("low").alias("N"), F.min("high").alias("high"))
+    return found.filter("cells >= 3 and whole = cells and N = high").select("TextTableID", "Col", "N")
 
 
 def units(df: DataFrame, col: str = "Unit") -> DataFrame:

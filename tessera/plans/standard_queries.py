@@ -51,3 +51,10 @@ def ml_quality_check(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_type") == "ECONOMY", "cheap")).alias("text"), F.col("p_type").alias("category"))
     model = mlqc.fit(p.filter("p_partkey % 2 = 0"), "text", "category")
     return mlqc.check(model, p.filter("p_partkey % 2 = 1"), "text", "category").select("p_partkey", "category", "predicted", F.round("confidence", 4).alias("confidence"), "suggested")
+
+
+@query("subject_counts", """WITH c AS (SELECT l_suppkey a, l_linenumber b, CAST(l_quantity AS BIGINT) n, 100 + l_suppkey % 300 m FROM lineitem), t AS (SELECT *, (2000 * n + m) // (2 * m) t FROM c WHERE n > 0)
+SELECT a "TextTableID", b "Col", max(greatest(n, 2000 * n // (2 * t + 1) + 1)) "N" FROM t WHERE t > 0 GROUP BY 1, 2 HAVING count(*) >= 3 AND max(greatest(n, 2000 * n // (2 * t + 1) + 1)) = min(2000 * n // (2 * t - 1))""")
+def subject_counts(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey TextTableID", "l_linenumber Col", "cast(l_quantity as bigint) n", "100 + l_suppkey % 300 m")
+    return standardize.subject_counts(cells.selectExpr("TextTableID", "Col", "n", "cast((2000 * n + m) div (2 * m) as decimal(18,1)) / 10 pct"))

@@ -22,6 +22,22 @@ def test_subject_counts(spark):
     assert all(r.N == 137 or r.TextTableID != 1 or r.Col != 0 for r in got) and not [r for r in got if (r.TextTableID, r.Col) in ((1, 1), (2, 0))]
 
 
+def test_subject_counts_take_exact_rounding_and_large_n(spark):
+    cells = [(1, 0, 33, 16.5), (1, 0, 20, 10.0), (1, 0, 50, 25.0), (2, 0, 25037, 50.1), (2, 0, 1000, 2.0), (2, 0, 50, 0.1), (2, 0, 49999, 100.0), (3, 0, 33, 16.55), (3, 0, 33, 16.5), (3, 0, 20, 10.0), (3, 0, 50, 25.0)]
+    got = {r.TextTableID: r.N for r in standardize.subject_counts(spark.createDataFrame(cells, "TextTableID int, Col int, n int, pct double")).collect()}
+    want = {}
+    for table in (1, 2, 3):
+        mine = [(n, round(10 * p, 6)) for t, _, n, p in cells if t == table]
+        left = [k for k in range(1, 60_000) if all(k >= n and (2000 * n + k) // (2 * k) == t for n, t in mine)]
+        want |= {table: left[0]} if len(left) == 1 else {}
+    assert got == want and got[1] == 200 and 3 not in got
+
+
+def test_long_terms_stay_whole(spark):
+    clean, _ = standardize.term(F.col("x"))
+    assert spark.createDataFrame([("A" * 10_500,)], "x string").select(F.length(clean)).first()[0] == 10_500
+
+
 def test_placebo_doses(spark):
     rows = [(1, "Drug", "mg", 5, "PK"), (1, "Placebo", None, None, "PK"), (2, "Drug", "%", 5, "AdverseEvent"), (2, "Placebo", None, None, "AdverseEvent")]
     df = spark.createDataFrame(rows, "TextTableID int, TreatmentArm string, DoseUnit string, Dose int, TableCategory string").withColumn("Dose", F.col("Dose").cast("decimal(18,6)"))
