@@ -22,18 +22,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.arrow_text import runs, text_bytes
 
 SPACE = "▁"
-#: Bytes of text that a task treats at a time, and words in each of the two generations that it keeps.
+#: Bytes of text that a task treats at a time; bytes of words, about, in each of the two generations that it keeps; longest word kept; pairs kept.
 _RUN = 1 << 20
-_STORE = 125_000
+_STORE = 40 << 20
+_LONG = 64
+_PAIRS = 200_000
 
 
 @dataclass
@@ -57,7 +57,7 @@ class Model:
 
 
 class Encoder:
-    """Tables of a model; encode_words() fills the store of words."""
+    """Tables of a model, and the stores of words and pairs that a task has met."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -68,7 +68,7 @@ class Encoder:
         chars = sorted({c for p in ids for c in p} - set(ids))
         self.symbol = ids | {c: n + i for i, c in enumerate(chars)}
         self.known = {c for p in ids for c in p}
-        self.score = np.array([*model.scores, *[0.0] * len(chars)])
+        self.score = [*model.scores, *[0.0] * len(chars)]
         joins = {}
         for p, i in ids.items():
             for k in range(1, len(p)):
@@ -76,12 +76,10 @@ class Encoder:
                 if a is not None and b is not None:
                     joins[a, b] = i
         self._edges(ids, joins)
-        keys = np.array(sorted(a << 32 | b for a, b in joins), np.int64)
-        self.join_keys, self.join_to = keys, np.array([joins[int(k) >> 32, int(k) & 0xFFFFFFFF] for k in keys], np.int64)
         crossing = any(SPACE in p.lstrip(SPACE) for p in ids)
         alone = "".join(c for c in map(chr, range(32)) if c not in self.known)
         lone = re.escape(alone)
-        self.words = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+|[{lone}]+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
+        self.words = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]+" if alone else ""), re.S)
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -93,22 +91,26 @@ class Encoder:
                 self.automaton.add_word(c, i)
         self.automaton.make_automaton()
         lengths = {i: len(p) for p, i in self.symbol.items()}
-        self.length = np.array([lengths.get(i, 0) for i in range(n + len(chars))], np.int64)
+        self.length = [lengths.get(i, 0) for i in range(n + len(chars))]
         self.bytes_of = [p.replace(SPACE, " ").encode() for p in model.pieces]
         for b, i in enumerate(model.byte_ids):
             if 0 <= i < n:
                 self.bytes_of[i] = bytes([b])
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.bytes_of_text = dict(zip(self.id_text, self.bytes_of, strict=True))
-        # Words to their ids as text.  When the newer generation is full, the older one goes.
-        self.store: dict[str, str] = {}
-        self.older: dict[str, str] = {}
+        self.extra = {i: [model.byte_ids[x] for x in c.encode()] for c, i in self.symbol.items() if i >= n}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the stores: words to (their ids as text, their decoded bytes), and pairs to whether they are compatible."""
+        self.store: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.held = 0
 
     def _edges(self, ids: dict, joins: dict) -> None:
         """The merge tree of each piece: its last merge's parts, if merging its characters ends in it."""
         score, size = self.score, len(self.score)
-        self.whole = np.zeros(size, bool)
-        left, right = np.full(size, -1), np.full(size, -1)
+        self.whole = [False] * size
+        left, right = [-1] * size, [-1] * size
         for p, i in ids.items():
             s = [self.symbol[c] for c in p]
             while len(s) > 1:
@@ -120,138 +122,108 @@ class Encoder:
                     left[i], right[i] = s
                 s[k : k + 2] = [best[2]]
             self.whole[i] = len(s) == 1
-        for i in np.flatnonzero(self.whole & (left >= 0)):
-            for part in (left[i], right[i]):
-                if left[part] >= 0 and score[part] < score[i]:
+        for i in ids.values():
+            for part in (left[i], right[i]) if self.whole[i] else ():
+                if part >= 0 and left[part] >= 0 and score[part] < score[i]:
                     raise ValueError(f"{self.model.pieces[i]!r} has a part that is merged after it")
-        depth = 1 + max((len(p) for p in ids), default=1)
-        # Row t: the symbols on the edge from the border character up to t, then -1.
-        self.right_edge, self.left_edge = (np.full((size, depth), -1, np.int32) for _ in range(2))
-        for t in range(size):
-            for edge, child in ((self.right_edge, right), (self.left_edge, left)):
+        self.size, none = size, float("-inf")
+        self.across = {a * size + b: score[i] for (a, b), i in joins.items()}
+        # By symbol: the symbols on its edge from the border character up to itself, and the scores of the merges between them, then -inf.
+        self.right_edge, self.left_edge = [], []
+        for edges, child in ((self.right_edge, right), (self.left_edge, left)):
+            for t in range(size):
                 chain = [t]
                 while child[chain[-1]] >= 0:
                     chain.append(child[chain[-1]])
-                edge[t, : len(chain)] = chain[::-1]
-
-    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether encoding the texts of a and b together gives a and b, for arrays of tokens."""
-        i, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        ok, live = np.ones(len(a), bool), np.arange(len(a))
-        none = -np.inf
-        while len(live):
-            x, y = self.right_edge[a[live], i[live]], self.left_edge[b[live], j[live]]
-            up, down = self.right_edge[a[live], i[live] + 1], self.left_edge[b[live], j[live] + 1]
-            key = x.astype(np.int64) << 32 | y
-            at = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
-            across = np.where(self.join_keys[at] == key, self.score[self.join_to[at]], none)
-            s_up, s_down = np.where(up >= 0, self.score[up], none), np.where(down >= 0, self.score[down], none)
-            parted = (across > none) & (across > s_up) & (across >= s_down)
-            ok[live[parted]] = False
-            done = parted | ((up < 0) & (down < 0))
-            first = s_up >= s_down
-            i[live] += first & ~done
-            j[live] += ~first & ~done
-            live = live[~done]
-        return ok
-
-    def _check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """compatible(), with the pairs met before kept."""
-        keys, back = np.unique(a << 32 | b, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
-        seen = self.pair_keys[at] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
-        ok = np.zeros(len(keys), bool)
-        if seen.any():
-            ok[seen] = self.pair_ok[at[seen]]
-        if not seen.all():
-            new = keys[~seen]
-            ok[~seen] = self.compatible(new >> 32, new & 0xFFFFFFFF)
-            if len(self.pair_keys) > 2_000_000:
-                self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-            where = np.searchsorted(self.pair_keys, new)
-            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, where, new), np.insert(self.pair_ok, where, ok[~seen])
-        return ok[back.ravel()]
-
-    def tokens(self, words: list[str]) -> list[list[int]]:
-        """The ids of words made of known characters."""
-        size = np.array([len(w) for w in words], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        flat = "\0".join(words)
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(flat)), np.int64).reshape(-1, 2)
-        end, token = found[:, 0] + 1, found[:, 1]
-        start = end - self.length[token]
-        word = np.searchsorted(begin, start, "right") - 1
-        depth = end - begin[word]
-        last = np.full(len(flat) + 1, -1, np.int64)
-        order = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[order], np.arange(1, (size.max() if len(size) else 0) + 2))
-        for k in range(len(cuts) - 1):
-            m = order[cuts[k] : cuts[k + 1]]
-            s, t = start[m], token[m]
-            first = s == begin[word[m]]
-            good = first.copy()
-            rest = np.flatnonzero(~first)
-            rest = rest[last[s[rest]] >= 0]
-            if len(rest):
-                good[rest] = self._check(last[s[rest]], t[rest])
-            last[end[m[good]]] = t[good]
-        out: list[list[int]] = [[] for _ in words]
-        here, live = begin + size, np.flatnonzero(size > 0)
-        while len(live):
-            t = last[here[live]]
-            for w, x in zip(live.tolist(), t.tolist(), strict=True):
-                out[w].append(x)
-            here[live] -= self.length[t]
-            live = live[here[live] > begin[live]]
-        for ids in out:
-            ids.reverse()
+                chain.reverse()
+                edges.append((chain, [*[score[x] for x in chain[1:]], none]))
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether encoding the texts of tokens a and b together gives a and b."""
+        (up, up_score), (down, down_score) = self.right_edge[a], self.left_edge[b]
+        i = j = 0
+        while True:
+            across, s_up, s_down = self.across.get(up[i] * self.size + down[j]), up_score[i], down_score[j]
+            if across is not None and across > s_up and across >= s_down:
+                return False
+            if i + 1 == len(up) and j + 1 == len(down):
+                return True
+            if s_up >= s_down:
+                i += 1
+            else:
+                j += 1
+
+    def tokens(self, word: str) -> list[int]:
+        """The ids of a word made of known characters, in one pass over its matches."""
+        length, pairs, size, compatible = self.length, self.pairs, self.size, self.compatible
+        last = [-1] * (len(word) + 1)
+        for at, t in self.automaton.iter(word):
+            at += 1
+            if last[at] >= 0:
+                continue
+            start = at - length[t]
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                key = before * size + t
+                ok = pairs.get(key)
+                if ok is None:
+                    ok = pairs[key] = compatible(before, t)
+                if not ok:
+                    continue
+            last[at] = t
+        if len(pairs) > _PAIRS:
+            pairs.clear()
+        out, at = [], len(word)
+        while at:
+            t = last[at]
+            out.append(t)
+            at -= length[t]
+        out.reverse()
         return out
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        """The ids of words; characters that no piece has become bytes."""
-        parts, owner = [], []
-        out: list[list] = []
-        for w in words:
-            if self.known.issuperset(w):
-                owner.append((len(out), 0))
-                parts.append(w)
-                out.append([w])
-                continue
-            pieces, run = [], []
-            for c in w:
-                if c in self.known:
+    def ids_of(self, word: str) -> list[int]:
+        """The ids of a word; characters that no piece has become bytes."""
+        if self.known.issuperset(word):
+            ids = self.tokens(word)
+        else:
+            ids, run = [], []
+            for c in [*word, ""]:
+                if c and c in self.known:
                     run.append(c)
                     continue
                 if run:
-                    pieces.append("".join(run))
+                    ids += self.tokens("".join(run))
                     run = []
-                pieces.append([self.model.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
-            if run:
-                pieces.append("".join(run))
-            for k, p in enumerate(pieces):
-                if isinstance(p, str):
-                    parts.append(p)
-                    owner.append((len(out), k))
-            out.append(pieces)
-        for (i, k), ids in zip(owner, self.tokens(parts), strict=True):
-            out[i][k] = ids
-        extra = {i: c for c, i in self.symbol.items() if i >= self.n}
-        flat = [[t for p in pieces for t in p] for pieces in out]
-        if extra:
-            flat = [[b for t in ids for b in ([t] if t < self.n else [self.model.byte_ids[x] for x in extra[t].encode()])] for ids in flat]
-        return flat
-
-    def learn(self, words: set[str]) -> None:
-        """Put words into the store; those of one call stay for its use."""
-        if len(self.store) > _STORE:
-            self.store, self.older = {}, self.store
-        missing = [w for w in words if w not in self.store]
-        for w in missing:
-            if (known := self.older.get(w)) is not None:
-                self.store[w] = known
-        new = [w for w in missing if w not in self.store]
-        for w, ids in zip(new, self.ids_of(new), strict=True):
-            self.store[w] = " ".join([self.id_text[i] for i in ids])
+                ids += [self.model.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+        return [x for t in ids for x in self.extra.get(t, (t,))] if self.extra else ids
+
+    def word(self, word: str) -> tuple[str, bytes]:
+        """A word's ids as text and its decoded bytes; short words are kept, and when the newer generation is full, the older one goes."""
+        got = self.older.get(word)
+        if got is None:
+            ids = self.ids_of(word)
+            got = " ".join(map(self.id_text.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        if len(word) <= _LONG:
+            if self.held > _STORE:
+                self.store, self.older, self.held = {}, self.store, 0
+            self.store[word] = got
+            self.held += 300 + 2 * len(word) + len(got[0]) + len(got[1])
+        return got
+
+    def encoded(self, text: str) -> tuple[str, int, bytes]:
+        """(ids as text, their number, decoded bytes), without an end."""
+        find, word = self.store.get, self.word
+        both = []
+        for w in self.split(text):
+            got = find(w)
+            if got is None:
+                got = word(w)
+                find = self.store.get
+            both.append(got)
+        ids = " ".join([x for x, _ in both])
+        return ids, ids.count(" ") + 1 if both else 0, b"".join([y for _, y in both])
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -265,7 +237,7 @@ _KEPT: list[Encoder] = []
 
 
 def _encoder(model: Model) -> Encoder:
-    """The encoder of a model; the last one stays in the Python worker for its next tasks."""
+    """The encoder of a model; the last one stays in the Python worker for its next tasks, without what it has stored."""
     if not _KEPT or _KEPT[0].model != model:
         _KEPT[:] = [Encoder(model)]
     return _KEPT[0]
@@ -286,25 +258,22 @@ def encode_decode(docs: DataFrame, model: Model, keep_text: bool = False) -> Dat
         for batch in batches:
             column = batch.column(1)
             for i, j in runs(text_bytes(column)[1], _RUN):
-                texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
-                split = [coder.split(t) for t in texts]
-                coder.learn(set().union(*split))
                 n, ids_hash, text_hash, all_ids, all_text = [], [], [], [], []
-                for words in split:
-                    ids = " ".join([*[coder.store[w] for w in words], end])
-                    each = ids.split(" ")
-                    text = coder.decoded(b"".join([coder.bytes_of_text[i] for i in each[:-1]]))
-                    n.append(len(each))
+                for text in column.slice(i, j - i).to_pylist():
+                    ids, count, decoded = coder.encoded(text or "")
+                    ids, text = f"{ids} {end}" if count else end, coder.decoded(decoded)
+                    n.append(count + 1)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(text.encode()).hexdigest())
                     if keep_text:
-                        all_ids.append([int(x) for x in each])
+                        all_ids.append([int(x) for x in ids.split(" ")])
                         all_text.append(text)
                 out = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_text:
                     out, names = [*out, pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        coder.forget()
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(work, schema + ", ids array<int>, decoded string" * keep_text)
@@ -319,7 +288,4 @@ def vocabulary_path() -> str:
 
 def with_end(model: Model, text: str) -> list[int]:
     """Ids of one text, for tests."""
-    coder = Encoder(model)
-    words = coder.split(text)
-    coder.learn(set(words))
-    return [int(x) for w in words for x in coder.store[w].split()] + [model.end_id]
+    return [int(x) for x in Encoder(model).encoded(text)[0].split()] + [model.end_id]

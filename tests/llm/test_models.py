@@ -247,12 +247,32 @@ def test_sentencepiece_matches_the_library(spark):
     rng = random.Random(5)
     parts = ["the", "ation", " ", "  ", "\n", "\t", "é", "漢", "😀", "▁", "<s>", "<0x0A>", "x", "Ing", ".", "́", "0", " " * 17]
     texts = [*ODD, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400))]
+    texts += ["abcde漢" * 40_000, "x" * 100_000, texts[20], texts[20]]  # words without a blank, rows that repeat
     got = {r.doc_id: r for r in sentencepiece_bpe.encode_decode(docs_of(spark, texts), model, keep_text=True).collect()}
     for i, t in enumerate(texts):
         ids = [*sp.encode(t or ""), 2]
         assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].decoded == sp.decode(ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
     assert sentencepiece_bpe.encode_decode(docs_of(spark, []), model).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in sentencepiece_bpe.encode_decode(nulls, model).collect()) == [1, len(sp.encode("a b")) + 1, len(sp.encode("a b")) + 1]
+
+
+def test_sentencepiece_stores_stay_bounded(monkeypatch):
+    import sentencepiece
+
+    path = sentencepiece_bpe.vocabulary_path()
+    sp, coder = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.Encoder(sentencepiece_bpe.Model.load(path))
+    monkeypatch.setattr(sentencepiece_bpe, "_STORE", 4000)
+    monkeypatch.setattr(sentencepiece_bpe, "_PAIRS", 50)
+    rng = random.Random(6)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdetions") for _ in range(rng.randint(1, 9))) for _ in range(20))
+        ids, n, _ = coder.encoded(text)
+        assert ids == " ".join(map(str, sp.encode(text))) and n == len(sp.encode(text))
+    assert len(coder.store) + len(coder.older) < 60 and len(coder.pairs) < 400
+    coder.forget()
+    assert not coder.store and not coder.older and not coder.pairs
 
 
 def brute_j(x, y):
