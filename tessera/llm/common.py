@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +18,90 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of df read back from the shared checkpoint folder, with its lineage cut.
+#: With it, a query's shuffle files leave the disk when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or the one that the context has been given.
 
-    The folder is spark.checkpoint.dir.  Only where that is unset, as in tests, a temporary folder
-    takes its place.
+    Where neither is set, a local master gets a temporary folder, as in tests; on a cluster, whose
+    machines don't share such a folder, this is an error.
     """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Inside, queries remove their shuffle files when they have ended."""
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The rows of df read back from the shared checkpoint folder, with its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    with cleaning(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written as a table in the shared checkpoint folder and read from there: its lineage is cut."""
+    return _written(df)[0]
+
+
+class Shelf:
+    """Tables that only some steps need: written like stored() ones, and removed as soon as they are dropped or the steps end.
+
+    What is to outlive the steps must be stored, not kept.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for _, path in self.held:
+            self._remove(path)
+        self.held = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.held.append(_written(df))
+        return self.held[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            self._remove(next(path for t, path in self.held if t is table))
+        self.held = [(t, path) for t, path in self.held if not any(t is table for table in tables)]
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def unit_hash(*parts: Column | str | int) -> Column:
     """A long in [0, 2^52) that depends on the parts alone: the first 13 hex digits of an MD5.
 
@@ -45,7 +120,14 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the Python workers, and bound what goes to them at a time, by rows and by bytes."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """One table; the package is sent to the Python workers on the way."""
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,13 +14,17 @@ which for weights of 1 is the common Jaccard measure.
 2. Equal sets (a 128-bit hash) become one node, so copies are not compared.
 3. Banding.  Nodes meet where all registers of a band agree; each is compared to the bucket's hub, the
    node that meets most others.  Verification computes J from the texts.
-4. Nodes of a bucket that are still in different classes are compared in tiles of bounded size: first by
-   registers, to find the nodes that have any likely partner; then those nodes' texts meet, and likely
-   pairs are verified inside the tile, each in the first band that it shares.  Pairs are never rows.
-5. Classes are the connected components of the links.
-
-With 25 bands of 5 registers, a pair at 0.8 fails to meet with a probability below 1e-4; estimates within
-0.15 of the threshold are verified, more than 4 standard deviations.
+4. Where a bucket's nodes are still in different classes, those outside its largest class are compared
+   with members of that class drawn at random, a few rounds long: a large family so becomes one class
+   at a cost that grows with its size, not with the square of it.
+5. What is left is compared in full, in tiles of bounded size: first by registers, to find the nodes
+   that have any likely partner; then those nodes' texts meet, and likely pairs are verified inside the
+   tile, each in the first band that it shares.  Pairs are never rows here.
+6. Classes are the connected components of the links.
+
+With 25 bands of 5 registers, a pair at 0.8 fails to meet with a probability below 1e-4.  Pairs whose
+estimate is more than ``slack`` below the threshold are not verified; at 0.25, a pair at 0.8 is lost by
+that with a probability below 1e-9, and a slack of 1 verifies all pairs that meet.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import runs, text_bytes
-from tessera.llm.common import checkpoint
+from tessera.llm.common import Shelf, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,9 +45,12 @@ BANDS = 25
 ROWS = 5
 REGISTERS = BANDS * ROWS
 #: How far an estimate may be below the threshold for a pair to be verified.
-SLACK = 0.15
-#: Nodes in a block of a tile.
+SLACK = 0.25
+#: Rounds in which those outside a bucket's largest class meet a random member of it.
+ROUNDS = 4
+#: Nodes in a block of a tile, and bytes of their texts.
 BLOCK = 500
+BYTES = 4 << 20
 #: Slots of the filter of texts to fetch: a bound on what is broadcast for it.
 SLOTS = 1 << 20
 
@@ -144,9 +151,9 @@ def bands(won: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, set_a, set_b, keys, small; the last four null without words."""
+    """doc_id, digest, text -> doc_id, digest, bytes, set_a, set_b, keys, small; the last four null without words."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = text_bytes(batch.column(2))
         for i, j in runs(offsets, 2 << 20):
             text, code, count = shingles(data, offsets[i : j + 1])
             n = j - i
@@ -157,12 +164,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = np.zeros(n, np.uint64)
                 np.add.at(s, text, mix(code ^ mix(np.uint64([salt]))) * count.astype(np.uint64))
                 sums.append(s.view(np.int64))
-            keys, small = bands(won), (mix(won) & np.uint64(0xFFFF)).astype(np.uint16)
-            key_lists = [row if ok else None for row, ok in zip(keys, has, strict=True)]
+            keys, small = bands(won), mix(won).astype(np.uint8)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()), mask=pa.array(~has))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), *(pa.array(s, mask=~has) for s in sums), pa.array(key_lists, pa.list_(pa.int64())), pa.array([r.tobytes() if ok else None for r, ok in zip(small, has, strict=True)], pa.binary())],
-                ["doc_id", "set_a", "set_b", "keys", "small"],
-            )
+                [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(np.diff(offsets[i : j + 1])), *(pa.array(s, mask=~has) for s in sums), lists, pa.array([r.tobytes() if ok else None for r, ok in zip(small, has, strict=True)], pa.binary())],
+                ["doc_id", "digest", "bytes", "set_a", "set_b", "keys", "small"],
+            )
 
 
 def probability_jaccard(ca: np.ndarray, xa: np.ndarray, cb: np.ndarray, xb: np.ndarray) -> float:
@@ -180,47 +187,57 @@ def probability_jaccard(ca: np.ndarray, xa: np.ndarray, cb: np.ndarray, xb: np.n
     return float((1 / (below / x + above / y)).sum())
 
 
-def _verify(threshold: float):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sets = []
-                for c in (2, 3):
-                    text, code, count = shingles(*text_bytes(part.column(c)))
-                    cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-                    sets.append((code, count, cuts))
-                (ca, xa, ta), (cb, xb, tb) = sets
-                for r in range(part.num_rows):
-                    a, b = slice(ta[r], ta[r + 1]), slice(tb[r], tb[r + 1])
-                    if probability_jaccard(ca[a], xa[a], cb[b], xb[b]) >= threshold - 1e-12:
-                        keep.append(i + r)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+def _alike(sets: tuple[np.ndarray, np.ndarray, np.ndarray], x: int, y: int, threshold: float) -> bool:
+    """Whether texts x and y of shingles() are similar; the third array says where each text begins."""
+    code, count, cut = sets
+    i, j = slice(cut[x], cut[x + 1]), slice(cut[y], cut[y + 1])
+    return probability_jaccard(code[i], count[i], code[j], count[j]) >= threshold - 1e-12
+
+
+def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    text, code, count = shingles(*text_bytes(column))
+    return code, count, np.searchsorted(text, np.arange(len(column) + 1))
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    out = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+
+def _hub(threshold: float):
+    """The links of a group's nodes (role 0) with its hub (role 1), from texts."""
+
+    def work(table: pa.Table) -> pa.Table:
+        role, node = (table.column(c).to_numpy() for c in ("role", "node"))
+        hub, sets = int(np.flatnonzero(role == 1)[0]), _sets(table.column("text"))
+        return _links([(int(node[x]), int(node[hub])) for x in np.flatnonzero(role == 0) if _alike(sets, int(x), hub, threshold)])
 
     return work
 
 
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _estimates(least: float):
     """Pairs whose registers agree in a share of at least ``least``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= least))
+                yield batch.select([0, 1]).filter(pa.array((_registers(batch.column(2)) == _registers(batch.column(3))).mean(1) >= least))
 
     return work
 
 
-def _likely(band: int, small: np.ndarray, p: np.ndarray, q: np.ndarray, comp: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _likely(band: int, small: np.ndarray, keys: np.ndarray, p: np.ndarray, q: np.ndarray, comp: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places (of p, of q) in different classes that agree in enough registers and share no earlier band."""
     for i in range(0, len(p), 16):
         rows = p[i : i + 16]
-        same = small[rows][:, None, :] == small[q][None, :, :]
-        r, c = np.nonzero((same.mean(2) >= least) & (comp[rows][:, None] != comp[q][None, :]))
-        earlier = same[r, c].reshape(len(r), BANDS, ROWS).all(2)[:, :band].any(1)
-        yield rows[r[~earlier]], q[c[~earlier]]
+        r, c = np.nonzero(((small[rows][:, None, :] == small[q][None, :, :]).mean(2) >= least) & (comp[rows][:, None] != comp[q][None, :]))
+        a, b = rows[r], q[c]
+        earlier = (keys[a, :band] == keys[b, :band]).any(1)
+        yield a[~earlier], b[~earlier]
 
 
 def _tile(least: float, threshold: float | None):
@@ -228,32 +245,24 @@ def _tile(least: float, threshold: float | None):
 
     def work(table: pa.Table) -> pa.Table:
         role, node, comp = (table.column(c).to_numpy() for c in ("role", "node", "comp"))
-        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint16).reshape(len(node), -1)
+        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(node), -1)
         band, key = int(table.column("band")[0].as_py()), table.column("key")[0].as_py()
-        pairs = _likely(band, small, np.flatnonzero(role == 0), np.flatnonzero(role == 1), comp, least)
+        pairs = _likely(band, _registers(table.column("small")), keys, np.flatnonzero(role == 0), np.flatnonzero(role == 1), comp, least)
         if threshold is None:
             found = np.unique(node[np.concatenate([np.zeros(0, np.int64), *(x for pair in pairs for x in pair)])])
             return pa.table([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "node"])
-        text, code, count = shingles(*text_bytes(table.column("text")))
-        cut = np.searchsorted(text, np.arange(len(node) + 1))
-        links = set()
-        for a, b in pairs:
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                i, j = slice(cut[x], cut[x + 1]), slice(cut[y], cut[y + 1])
-                if probability_jaccard(code[i], count[i], code[j], count[j]) >= threshold - 1e-12:
-                    links.add((min(node[x], node[y]), max(node[x], node[y])))
-        out = np.array(sorted(links), np.int64).reshape(-1, 2)
-        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+        sets = _sets(table.column("text"))
+        return _links(sorted({(min(node[x], node[y]), max(node[x], node[y])) for a, b in pairs for x, y in zip(a.tolist(), b.tolist(), strict=True) if _alike(sets, x, y, threshold)}))
 
     return work
 
 
 def _tiled(members: DataFrame, payload: str):
-    """Members dealt into tiles: each pair of a block outside the hub's class with any block of the bucket."""
+    """Members dealt into tiles: each pair of a block outside the bucket's largest class with any block of the bucket."""
     upto = lambda c: F.sequence(F.lit(0).cast("long"), c - 1)
 
     def role(rows: DataFrame, outer, side: int, inner, r: int) -> DataFrame:
-        return rows.select("key", "band", F.lit(r).alias("role"), outer.alias("outer"), F.lit(side).alias("side"), inner.alias("inner"), "node", "comp", "small", *([payload] if payload else []))
+        return rows.select("key", "band", F.lit(r).alias("role"), outer.alias("outer"), F.lit(side).alias("side"), inner.alias("inner"), "node", "comp", "keys", "small", *([payload] if payload else []))
 
     outside, every_out, every_in = members.filter("not inside"), F.explode(upto(F.col("blocks_out"))), F.explode(upto(F.col("blocks_in")))
     tiles = role(outside, F.col("block"), 0, every_out, 0).unionByName(role(outside, every_out, 0, F.col("block"), 1))
@@ -263,77 +272,129 @@ def _tiled(members: DataFrame, payload: str):
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node of its connected component, for all nodes of links (a, b)."""
-    edges = checkpoint(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpoint(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
-    while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        to = step.select(F.col("node").alias("at"), F.col("comp").alias("further"))
-        step = checkpoint(step.join(to, step["comp"] == to["at"]).select("node", F.col("further").alias("comp"), "was"))
-        if step.filter("comp != was").isEmpty():
-            return step.select("node", "comp")
-        labels = step.select("node", "comp")
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    with Shelf(links.sparkSession) as shelf:
+        edges = shelf.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
+        kept = shelf.keep(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
+        while True:
+            labels = kept.select("node", "comp")
+            near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+            step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
+            to = step.select(F.col("node").alias("at"), F.col("comp").alias("further"))
+            step = shelf.keep(step.join(to, step["comp"] == to["at"]).select("node", F.col("further").alias("comp"), "was"))
+            if step.filter("comp != was").isEmpty():
+                return stored(step.select("node", "comp"))
+            shelf.drop(kept)
+            kept = step
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, comp) after more links."""
+    if comp is None:
+        return components(links)
+    of = lambda c: comp.select(F.col("node").alias(f"{c}_node"), F.col("comp").alias(f"{c}_comp"))
+    between = links.join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    new = components(between.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b"))
+    further = new.select(F.col("node").alias("was"), F.col("comp").alias("further"))
+    moved = comp.join(further, comp["comp"] == further["was"], "left").select("node", F.coalesce("further", "comp").alias("comp"))
+    return stored(moved.union(new.join(comp, "node", "left_anti")))
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
+    """One row per document, stored: doc_id, digest (MD5 of its text), node (a number of its set), comp (the node that
+    stands for its class); the last two null without words."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+    least = threshold - slack
+    with Shelf(spark) as shelf:
+        made = shelf.keep(rows.mapInArrow(_sketches, "doc_id long, digest string, bytes long, set_a long, set_b long, keys array<long>, small binary"))
+        once = made.filter("set_a is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("digest", "bytes")).alias("text"), F.first("keys").alias("keys"), F.first("small").alias("small"))
+        nodes = shelf.keep(once.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "text.*", "keys", "small"))
+        met = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+        buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        members = shelf.keep(met.join(buckets, "key"))
+
+        def likely(pairs: DataFrame) -> DataFrame:
+            a, b = (nodes.select(F.col("node").alias(f"{c}_node"), F.col("small").alias(f"{c}_small")) for c in "ab")
+            both = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+            return both.select("a", "b", "a_small", "b_small").mapInArrow(_estimates(least), "a long, b long")
+
+        def texts_of(ids: DataFrame) -> DataFrame:
+            """node, text.  Texts that aren't wanted are left out before the shuffle, but for those that share a slot."""
+            slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+            wanted = shelf.keep(nodes.join(ids.distinct(), "node").select("node", "digest"))
+            slots = wanted.select(slot.alias("slot")).distinct()
+            near = rows.select("digest", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+            return shelf.keep(near.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest").select("node", "text"))
+
+        def links_to_hubs(pairs: DataFrame) -> DataFrame:
+            """The links among pairs (a, b), where b stands in many: a's texts meet b's in groups of bounded size."""
+            pairs = shelf.keep(likely(pairs.distinct()))
+            texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+            sized = pairs.join(nodes.select(F.col("node").alias("a"), "bytes"), "a")
+            groups = sized.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BYTES), F.lit(1)).alias("groups"))
+            asked = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("group"), F.lit(0).alias("role"), F.col("a").alias("node"))
+            hubs = groups.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), F.lit(1).alias("role"), F.col("b").alias("node"))
+            links = shelf.keep(asked.union(hubs).join(texts, "node").groupBy("b", "group").applyInArrow(_hub(threshold), "a long, b long"))
+            shelf.drop(pairs, texts)
+            return links
+
+        meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+        hubs = members.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("b"))
+        comp = merged(None, links_to_hubs(members.join(hubs, "key").filter("node != b").select(F.col("node").alias("a"), "b")))
+        for nth in range(rounds + 1):
+            # Buckets whose nodes are in different classes still; in those of two, the pair is settled.
+            placed = members.filter("n > 2").join(comp, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+            largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count(F.lit(1)).alias("classes"))
+            placed = shelf.keep(placed.join(largest.filter("classes > 1").select("key", "big"), "key").withColumn("inside", F.col("comp") == F.col("big")).drop("big"))
+            if nth == rounds:
+                break
+            hubs = placed.filter("inside").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(nth))).alias("b"))
+            links = links_to_hubs(placed.filter("not inside").join(hubs, "key").select(F.col("node").alias("a"), "b"))
+            if links.isEmpty():
+                break
+            comp = merged(comp, links)
+            shelf.drop(placed)
+        part = lambda inside: F.greatest(F.ceil(F.count(F.when(F.col("inside") == inside, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(F.col("inside") == inside, F.col("bytes"))), F.lit(0)) / BYTES))
+        sized = placed.join(nodes.select("node", "bytes", "keys", "small"), "node")
+        sizes = sized.groupBy("key").agg(part(True).alias("blocks_in"), part(False).alias("blocks_out"))
+        block = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("blocks_in")).otherwise(F.col("blocks_out")))
+        open_ = sized.join(sizes, "key").withColumn("block", block)
+        wanted = shelf.keep(_tiled(open_, "").applyInArrow(_tile(least, None), "key long, node long").distinct())
+        again = open_.join(wanted, ["key", "node"], "left_semi").join(texts_of(wanted.select("node")), "node")
+        rest = shelf.keep(_tiled(again, "text").applyInArrow(_tile(least, threshold), "a long, b long").distinct())
+        comp = merged(comp, rest)
+        named = nodes.join(comp, "node", "left").select("set_a", "set_b", "node", F.coalesce("comp", "node").alias("comp"))
+        return stored(made.select("doc_id", "digest", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("doc_id", "digest", "node", "comp"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class).
 
-    A document without words (a null text too) is a class of its own.  Rows with the same doc_id count
-    as one document for linking.  A null doc_id takes the smallest id among documents with equal sets,
-    null if there is none, and links nothing else.  An empty table gives an empty result; other columns
-    are ignored.
+    A document without words (a null text too) is a class of its own.  Rows are documents of their own
+    even where they share a doc_id.  A row with a null doc_id gets the smallest id of its class, null if
+    no row of the class has one.  An empty table gives an empty result; other columns are ignored.
+    """
+    rows = linked(docs, threshold, slack)
+    first = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(first, "comp", "left").select("doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
+    """Of each class one document, with all its columns; documents without words stay.
+
+    The row with the smallest doc_id stays (null ids last), of rows with one id the one with the least
+    MD5 of its text, of rows that agree in both the least by its columns.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = checkpoint(rows.mapInArrow(_sketches, "doc_id long, set_a long, set_b long, keys array<long>, small binary"))
-    sets = made.filter("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")).filter("node is not null")
-    by_set = [made["set_a"] == sets["set_a"], made["set_b"] == sets["set_b"], made["doc_id"] == sets["node"]]
-    nodes = checkpoint(made.join(sets, by_set).select("node", "keys", "small").dropDuplicates(["node", "small"]))
-    met = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = met.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("least < last")
-    members = checkpoint(met.join(buckets.select("key", "n"), "key"))
-    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
-    hubs = members.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("leader"))
-    signs = nodes.select("node", "small")
-    least = threshold - SLACK
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        a, b = (signs.select(F.col("node").alias(f"{c}_node"), F.col("small").alias(f"{c}_small")) for c in "ab")
-        both = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
-        return both.select("a", "b", "a_small", "b_small").mapInArrow(_estimates(least), "a long, b long").distinct()
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """id, text.  Texts that aren't wanted are left out before the shuffle, but for those that share a slot."""
-        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-        slots = ids.select(slot("id").alias("slot")).distinct()
-        near = rows.filter("doc_id is not null").join(F.broadcast(slots), slot("doc_id") == F.col("slot"), "left_semi")
-        return checkpoint(near.join(ids.distinct(), near["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("id"), "text"))
-
-    led = members.join(hubs, "key")
-    pairs = checkpoint(likely(led.filter("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()))
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    a, b = (texts.select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text")) for c in "ab")
-    both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
-    first = checkpoint(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(threshold), "a long, b long").distinct())
-    comp = components(first)
-    # Buckets whose nodes are in different classes still; pairs with the hub are settled.
-    placed = led.filter("n > 2 and node != leader").join(comp, "node", "left").select("key", "band", "leader", "node", F.coalesce("comp", "node").alias("comp"))
-    lead = comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-    placed = placed.join(lead, "leader", "left").withColumn("inside", F.col("comp") == F.coalesce("lead_comp", "leader"))
-    placed = checkpoint(placed.select("key", "band", "node", "comp", "inside"))
-    part = lambda inside: F.ceil(F.sum((F.col("inside") == inside).cast("int")) / BLOCK)
-    sizes = placed.groupBy("key").agg(part(True).alias("blocks_in"), part(False).alias("blocks_out"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    sizes = sizes.filter("blocks_out > 0 and c0 < c1").drop("c0", "c1")
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("blocks_in")).otherwise(F.col("blocks_out")))
-    open_ = placed.join(sizes, "key").join(signs, "node").withColumn("block", block)
-    wanted = checkpoint(_tiled(open_, "").applyInArrow(_tile(least, None), "key long, node long").distinct())
-    again = open_.join(wanted, ["key", "node"], "left_semi").join(texts_of(wanted.select(F.col("node").alias("id"))), F.col("node") == F.col("id")).drop("id")
-    rest = _tiled(again, "text").applyInArrow(_tile(least, threshold), "a long, b long").distinct()
-    comp = components(first.union(checkpoint(rest)))
-    named = sets.join(comp, "node", "left").select("set_a", "set_b", F.coalesce("comp", "node").alias("class_id"))
-    return made.select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with the smallest doc_id of their classes, with all their columns; null ids stay."""
-    gone = classes(docs, threshold).filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    rows = linked(docs, threshold, slack)
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")
+    first = rows.filter("comp is not null").groupBy("comp").agg(F.min(ranked).alias("r")).select("r.id", "r.digest")
+    key = lambda doc_id, digest: F.concat_ws("|", digest, doc_id.cast("string"))
+    stays = first.union(rows.filter("comp is null").select("doc_id", "digest")).select(key(F.col("id"), F.col("digest")).alias("stay")).distinct()
+    repeated = rows.filter("comp is not null").select(key(F.col("doc_id"), F.col("digest")).alias("again")).groupBy("again").count().filter("count > 1")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    kept = keyed.join(stays, keyed["key"] == stays["stay"], "left_semi")
+    if not repeated.isEmpty():
+        often = kept.join(repeated, kept["key"] == repeated["again"], "left_semi")
+        one = often.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.to_json("row")))).filter("nth = 1").drop("nth")
+        kept = kept.join(repeated, kept["key"] == repeated["again"], "left_anti").union(one)
+    return kept.select("row.*")

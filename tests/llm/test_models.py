@@ -347,3 +347,39 @@ def test_near_dedup_matches_brute_force(spark):
     left = near_dedup.drop_near_copies(frame)
     assert left.columns == frame.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == sorted(set(got.values()))
     assert near_dedup.classes(frame.limit(0)).count() == 0
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    a, b, c = (prose(rng, words, 60) for _ in range(3))
+    near = a + " one more"
+    rows = [(3, a), (7, a.upper()), (7, b), (9, near), (9, near), (None, c), (None, c), (None, b), (12, None), (12, " "), (None, "")]
+    frame = spark.createDataFrame([(i, t, "en", 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, node int, comp int, digest int")
+    got = sorted(((r.doc_id, r.class_id) for r in near_dedup.classes(frame).collect()), key=str)
+    assert got == sorted([(3, 3), (7, 3), (7, 7), (9, 3), (9, 3), (None, None), (None, None), (None, 7), (12, 12), (12, 12), (None, None)], key=str)
+    left = near_dedup.drop_near_copies(frame)
+    assert left.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, a), (7, b), (None, c), (12, None), (12, " "), (None, "")], key=str)
+
+
+def test_near_dedup_tiles_give_what_all_pairs_give(spark, monkeypatch):
+    """With no rounds of random members and small blocks, all is left to the tiles."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = []
+    for _ in range(60):
+        out = list(base)
+        for _ in range(rng.randint(0, 4)):
+            out[rng.randrange(len(out))] = rng.choice(words)
+        texts.append(" ".join(out))
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    frame = docs_of(spark, texts)
+    want = brute_classes(texts)
+    for rounds in (0, 2):
+        rows = near_dedup.linked(frame, rounds=rounds).collect()
+        first = {}
+        for r in rows:
+            first[r.comp] = min(first.get(r.comp, r.doc_id), r.doc_id)
+        assert {r.doc_id: first[r.comp] for r in rows} == want
