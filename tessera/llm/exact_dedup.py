@@ -57,6 +57,14 @@ def groups(docs: DataFrame, hash128: Callable[[Column], Column] = F.md5) -> tupl
     return rows, labelled.drop("n")
 
 
+def _decided(docs: DataFrame, hash128: Callable[[Column], Column]) -> DataFrame:
+    """The groups of equal rows (doc_id, len, sha, copies) with their class; stays: whether its first row is the one that stays."""
+    rows, classes = groups(docs, hash128)
+    once = rows.groupBy("h", "sha", "doc_id", "len").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.coalesce(F.col("doc_id"), F.lit(_ID_TOP)).eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))
+    return once.join(classes, ["h", "sha"]).withColumn("stays", first)
+
+
 def decide(docs: DataFrame, hash128: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -64,32 +72,30 @@ def decide(docs: DataFrame, hash128: Callable[[Column], Column] = F.md5) -> Data
     text stays, then the smallest doc_id (null ids last, reported as null).  Of rows that are
     repeated with one id, one stays.  An empty table gives an empty result; other columns are ignored.
     """
-    rows, classes = groups(docs, hash128)
-    once = rows.groupBy("h", "sha", "doc_id", "len").agg(F.count(F.lit(1)).alias("copies"))
-    first = F.coalesce(F.col("doc_id"), F.lit(_ID_TOP)).eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))
     return (
-        once.join(classes, ["h", "sha"])
+        _decided(docs, hash128)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(
             "doc_id",
             F.when(F.col("keep_id") != _ID_TOP, F.col("keep_id")).alias("keep_id"),
             F.col("group_size").cast("long").alias("group_size"),
-            (first & (F.col("copy") == 1)).alias("kept"),
+            (F.col("stays") & (F.col("copy") == 1)).alias("kept"),
             F.col("sha").alias("text_sha256"),
         )
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = decide(docs).filter("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_sha"))
+def drop_copies(docs: DataFrame, hash128: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """The documents that stay, with all their columns.
+
+    Rows meet the decisions by one key of id, length and digest, so their texts are shuffled once.  Rows
+    that agree in all three are repeated ones, of which the least by its columns stays.
+    """
+    key = lambda doc_id, size, sha: F.concat_ws("|", sha, size.cast("string"), doc_id.cast("string"))
+    kept = _decided(docs, hash128).filter("stays").select(key(F.col("doc_id"), F.col("len"), F.col("sha")).alias("stay"), "copies")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("doc_id").alias("doc"),
-        F.length(text_or_empty()).alias("len"),
-        F.sha2(normalised(F.col("text")), 256).alias("sha"),
+        key(F.col("doc_id"), F.length(text_or_empty()), F.sha2(normalised(F.col("text")), 256)).alias("key"),
     )
-    same = F.col("doc").eqNullSafe(F.col("keep_doc")) & (F.col("sha") == F.col("keep_sha"))
-    # Rows with one id and equal texts: the longest, then the least by all columns that can be ordered.
-    one = Window.partitionBy("doc", "sha").orderBy(F.col("len").desc(), F.to_json("row"))
-    return rows.join(kept, same, "left_semi").withColumn("rn", F.row_number().over(one)).filter("rn = 1").select("row.*")
+    one = Window.partitionBy("key").orderBy(F.when(F.col("copies") > 1, F.to_json("row")))
+    return rows.join(kept, rows["key"] == kept["stay"]).withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("row.*")

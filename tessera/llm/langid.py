@@ -169,27 +169,34 @@ def identify(docs: DataFrame, model: ByteCNN | None, carry: tuple[str, ...] = ()
 
     A null text and a text without a letter are ``und`` with score 0, as is every text when no
     language was learned.  Ties go to the language that is first by code point.  Repeated rows get
-    equal results; an empty table gives an empty result; other columns are ignored.
+    equal results, as do rows with a null doc_id; an empty table gives an empty result; other columns
+    are ignored.
     """
+    # A carried text goes to the workers once.
+    others = [c for c in carry if c != "text"]
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)],
-        F.col("doc_id"),
+        *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(others)],
+        F.col("doc_id").alias("id"),
         held_out(F.col("doc_id"), folds, fold).alias("held_out"),
-        F.when(F.coalesce(F.col("text").rlike(LETTER), F.lit(False)), F.col("text")).alias("text_to_read"),
+        F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("readable"),
+        F.col("text").alias("read"),
     )
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text_to_read"))
-            n, valid = len(column), np.asarray(column.is_valid())
+            *kept, readable, text = batch.columns
+            n, valid = len(text), np.asarray(readable)
             lang, score = np.full(n, "und", object), np.zeros(n)
             if model is not None and valid.any():
-                p = score_texts(model, *text_bytes(column))
+                p = score_texts(model, *text_bytes(text))
                 lang[valid] = np.array(model.languages, object)[p.argmax(1)][valid]
                 score[valid] = np.clip(p.max(1), 0, 1)[valid]
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            names = batch.schema.names[:-2]
+            if "text" in carry:
+                kept, names = [*kept, text], [*names, "read"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    schema = rows.drop("text_to_read").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("readable", *([] if "text" in carry else ["read"])).schema.add("lang_pred", "string").add("score", "double")
     out = rows.mapInArrow(predict, schema)
-    return out.select("doc_id", "held_out", "lang_pred", "score", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
+    back = [F.col("read" if c == "text" else f"carry_{others.index(c)}").alias(c) for c in carry]
+    return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", *back)
