@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, stage5, stats
 from tessera.functions.correlation import p_value, pair_correlations
-from tessera.operators.relops import top1_per_key
+from tessera.operators.relops import positions, top1_per_key
 from tessera.plans.domain import TABLES, with_tables
 from tessera.plans.registry import query
 from tessera.session import ship_package, table
@@ -129,8 +129,12 @@ _RANK = "CASE verdict WHEN 'PlausiblyCausal' THEN 0 WHEN 'Protective' THEN 1 WHE
  NOT bool_or(verdict = 'PlausiblyCausal') OVER () AllReassuring FROM tiers WHERE kn = 'NAUSEA'""")
 def ae_reverse_lookup(spark, sf_dir):
     s = signals(spark, sf_dir).filter("Term = 'NAUSEA'")
-    order = Window.orderBy(classify.verdict_rank(F.col("Verdict")), F.col("NumberNeeded").asc_nulls_last(), F.col("RR").desc(), "DocumentGUID", "id")
-    return s.select("id", "DocumentGUID", "Verdict", F.row_number().over(order).alias("Position"), (~F.bool_or(F.col("Verdict") == "PlausiblyCausal").over(Window.partitionBy())).alias("AllReassuring"))
+    order = [classify.verdict_rank(F.col("Verdict")), F.col("NumberNeeded").asc_nulls_last(), F.col("RR").desc(), F.col("DocumentGUID"), F.col("id")]
+    # Leading parts of the order, with a bounded number of values.
+    need = F.coalesce(F.least(F.floor("NumberNeeded"), F.lit(4096)), F.lit(4097))
+    placed = positions(s, [classify.verdict_rank(F.col("Verdict")), need], order, "Position")
+    reassuring = s.agg((~F.bool_or(F.col("Verdict") == "PlausiblyCausal")).alias("AllReassuring"))
+    return placed.join(F.broadcast(reassuring)).select("id", "DocumentGUID", "Verdict", "Position", "AllReassuring")
 
 
 _REP = "row_number() OVER (PARTITION BY DocumentGUID, kn ORDER BY CASE WHEN pr = 'Fragile' THEN 1 ELSE 0 END, CASE WHEN sg = 'NotSignificant' THEN 1 ELSE 0 END, need NULLS LAST, rr DESC, id)"
@@ -169,7 +173,7 @@ def ae_product_summary(spark, sf_dir):
     return g.withColumn("Score", classify.product_score(F.col("PlaceboCount"), active, F.col("ElevatedCount"), F.col("RowCount"), F.col("DoseCount"), F.col("SocCount")))
 
 
-_MONTHS = """WITH m AS (SELECT c_nationkey item, date_trunc('month', o_orderdate) via, avg(o_totalprice) v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 8 GROUP BY 1, 2)
+_MONTHS = """WITH m AS (SELECT c_nationkey item, date_trunc('month', o_orderdate) via, avg(o_totalprice) v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 , p AS (SELECT a.item a, b.item b, a.v x, b.v y FROM m a JOIN m b ON a.via = b.via AND a.item <= b.item),
 rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0::DOUBLE rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0::DOUBLE ry FROM p),
 r AS (SELECT a, b, count(*) n, CASE WHEN a = b THEN 1.0::DOUBLE ELSE corr(rx, ry) END r FROM rk GROUP BY 1, 2) """
@@ -177,7 +181,7 @@ r AS (SELECT a, b, count(*) n, CASE WHEN a = b THEN 1.0::DOUBLE ELSE corr(rx, ry
 
 @query("ae_correlation_map", _MONTHS + "SELECT a, b, n, round(r, 8) r, round(CASE WHEN abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END, 6) t FROM r")
 def ae_correlation_map(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").filter("c_nationkey < 8")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     m = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("item"), F.date_trunc("month", "o_orderdate").alias("via")).agg(F.avg("o_totalprice").alias("v"))
     return pair_correlations(m, "item", "via", "v").select("a", "b", "n", F.round("r", 8).alias("r"), F.round("t", 6).alias("t"))
 

@@ -166,24 +166,43 @@ def product_summary(t: Tables) -> DataFrame:
     return out.select("ProductID", "ProductName", "FormDisplayName", "DocumentGUID", "LabelerName", "GenericName", "PrimaryNDC", "Route", "DEASchedule", F.coalesce("ActiveIngredientCount", F.lit(0)).alias("ActiveIngredientCount"))
 
 
-def related_products(t: Tables, application: str | None = None, unii: str | None = None) -> DataFrame:
-    """Pairs that share an application number, and pairs that share an active substance.
-
-    The source side may be narrowed before the self-join, as searches do.
-    """
+def _sharing(t: Tables) -> dict[str, DataFrame]:
+    """By relationship, the products (ProductID, ProductName, via) that have something to share."""
     base = t["Product"].select("ProductID", "ProductName")
     app = t["MarketingCategory"].filter("ApplicationOrMonographIDValue is not null").select("ProductID", F.col("ApplicationOrMonographIDValue").alias("via"))
     act = t["Ingredient"].filter("ClassCode <> 'IACT'").join(t["IngredientSubstance"], "IngredientSubstanceID").filter("UNII is not null").select("ProductID", F.col("UNII").alias("via"))
+    return {"SameApplicationNumber": app.join(base, "ProductID"), "SameActiveIngredient": act.join(base, "ProductID")}
+
+
+def related_counts(t: Tables) -> DataFrame:
+    """The whole relation without its pairs: each product with what it shares and the number of its related products there.
+
+    Related are the products under the same value with another name, so the count is a difference of two
+    counts, which are added up before the shuffle: a value that a third of all products share costs no more.
+    """
+    out = None
+    for kind, rows in _sharing(t).items():
+        rows = rows.distinct()
+        names = rows.groupBy("via", "ProductName").agg(F.count(F.lit(1)).alias("same"))
+        whole = names.groupBy("via").agg(F.sum("same").alias("all"))
+        counted = rows.join(names, ["via", "ProductName"]).join(whole, "via")
+        one = counted.select(F.lit(kind).alias("RelationshipType"), F.col("via").alias("SharedValue"), "ProductID", "ProductName", (F.col("all") - F.col("same")).alias("RelatedCount"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def related_products(t: Tables, application: str, unii: str) -> DataFrame:
+    """Pairs of products that share one application number, and those that share one active substance."""
 
-    def pairs(keyed: DataFrame, kind: str, only: str | None) -> DataFrame:
-        rows = keyed.join(base, "ProductID")
-        left = rows if only is None else rows.filter(F.col("via") == only)
-        left = left.select(F.col("ProductID").alias("SourceProductID"), F.col("ProductName").alias("SourceProductName"), "via")
+    def pairs(rows: DataFrame, kind: str, only: str) -> DataFrame:
+        rows = rows.filter(F.col("via") == only)
+        left = rows.select(F.col("ProductID").alias("SourceProductID"), F.col("ProductName").alias("SourceProductName"), "via")
         right = rows.select(F.col("ProductID").alias("RelatedProductID"), F.col("ProductName").alias("RelatedProductName"), "via")
         both = left.join(right, "via").filter((F.col("SourceProductID") != F.col("RelatedProductID")) & (F.col("SourceProductName") != F.col("RelatedProductName")))
         return both.select("SourceProductID", "RelatedProductID", "RelatedProductName", F.col("via").alias("SharedValue"), F.lit(kind).alias("RelationshipType"))
 
-    return pairs(app, "SameApplicationNumber", application).unionByName(pairs(act, "SameActiveIngredient", unii))
+    sharing = _sharing(t)
+    return pairs(sharing["SameApplicationNumber"], "SameApplicationNumber", application).unionByName(pairs(sharing["SameActiveIngredient"], "SameActiveIngredient", unii))
 
 
 def section_content(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import entities, quality, search, values
 from tessera.operators import grid, relops
 from tessera.plans.registry import query
-from tessera.session import ship_package, table
+from tessera.session import shared_folder, ship_package, table
 
 _CELL = """CASE {n} % 12 WHEN 0 THEN concat({q}, '/', {s}, ' (', {d}, '%)') WHEN 1 THEN concat({q}, ' (', {d}, '%)') WHEN 2 THEN concat({d}, '%') WHEN 3 THEN concat({d}, ' ± ', {q})
  WHEN 4 THEN concat({d}, ' (', {q}, ', ', {s}, ')') WHEN 5 THEN concat({q}, ' to ', {s}) WHEN 6 THEN concat('N=', {q}) WHEN 7 THEN '--' WHEN 8 THEN 'n/a' WHEN 9 THEN concat('1,', {s}, ' mg') WHEN 10 THEN concat('< ', {d}, '%') ELSE concat('see ', {q}) END"""
@@ -72,10 +72,19 @@ def token_rank_search(spark, sf_dir):
     return relops.page(s, [F.col("score").desc(), F.col("doc_id")], 1, 25)
 
 
-@query("phonetic_search", "SELECT s_suppkey k, true AS close FROM supplier WHERE s_suppkey < 50")
+def _soundex_sql(x: str) -> str:
+    """Soundex of a text in SQL: digits of the letters, H and W left out, runs made one, then vowels left out."""
+    code = f"replace(regexp_replace(translate(upper({x}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202'), '[^0-9]', '0', 'g'), '7', '')"
+    for digit in "0123456":
+        code = f"regexp_replace({code}, '{digit}+', '{digit}', 'g')"
+    return f"rpad(upper(substr({x}, 1, 1)) || substr(replace(substr({code}, 2), '0', ''), 1, 3), 4, '0')"
+
+
+@query("phonetic_search", f"""WITH s AS (SELECT p_partkey k, {_soundex_sql("p_name")} x, {_soundex_sql("'gear widget'")} y FROM part)
+SELECT k, x code, ((substr(x, 1, 1) = substr(y, 1, 1))::INT + (substr(x, 2, 1) = substr(y, 2, 1))::INT + (substr(x, 3, 1) = substr(y, 3, 1))::INT + (substr(x, 4, 1) = substr(y, 4, 1))::INT) >= 3 AS close FROM s""")
 def phonetic_search(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 50")
-    return s.select(F.col("s_suppkey").alias("k"), (search.difference(F.col("s_name"), F.lit("Suplier#")) >= 3).alias("close"))
+    """All parts by how their names sound beside a wanted name."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.soundex("p_name").alias("code"), (search.difference(F.col("p_name"), F.lit("gear widget")) >= 3).alias("close"))
 
 
 _NAMES = "concat(CASE k % 3 WHEN 0 THEN 'The ' ELSE '' END, 'Alpha', CAST(k % 17 AS {t}), ' & Beta', CAST(k % 5 AS {t}), CASE k % 4 WHEN 0 THEN ' Pharmaceuticals, Inc.' WHEN 1 THEN ' GmbH' WHEN 2 THEN ' Ltd.' ELSE '' END)"
@@ -180,12 +189,9 @@ def grid_reconstruction(spark, sf_dir):
 @query("streaming_event_counts")
 def streaming_event_counts(spark, sf_dir):
     """Events as arriving files: hourly counts, run until everything that has arrived is processed."""
-    import uuid
-
     from tessera.streaming import ingest
 
     schema = table(spark, sf_dir, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    name = f"hourly_{uuid.uuid4().hex[:8]}"
-    ingest.run_once(ingest.windowed_counts(ingest.arriving(spark, f"{sf_dir}/events.parque[t]", schema)), name, f"{base}/{name}")
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    counts = ingest.windowed_counts(ingest.arriving(spark, f"{sf_dir}/events.parque[t]", schema))
+    return ingest.run_once(counts, ["start", "event_type"], folder)

@@ -10,13 +10,13 @@ from tessera.plans.registry import query
 from tessera.session import table
 
 
-@query("ae_map_picker", """WITH d AS (SELECT DISTINCT s_nationkey g, l_orderkey % 300 v, p_type i FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45),
+@query("ae_map_picker", """WITH d AS (SELECT DISTINCT s_nationkey g, l_orderkey % 300 v, p_type i FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 p AS (SELECT a.g, a.i a, b.i b, count(*) n FROM d a JOIN d b ON a.g = b.g AND a.v = b.v AND a.i < b.i GROUP BY 1, 2, 3), u AS (SELECT g, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END)::BIGINT usable, max(n) best FROM p GROUP BY 1),
 s AS (SELECT g, count(DISTINCT v) vias, count(DISTINCT i) items FROM d GROUP BY 1)
 SELECT g, vias, items, coalesce(usable, 0) usable, coalesce(best, 0) best, items * (items - 1) // 2 pairs, CASE WHEN items < 2 THEN 'TOO_FEW_ITEMS' WHEN vias < 3 THEN 'TOO_FEW_VIAS' WHEN coalesce(usable, 0) = 0 THEN 'NO_USABLE_PAIR' END reason,
  items >= 2 AND vias >= 3 AND coalesce(usable, 0) > 0 renderable FROM s LEFT JOIN u USING (g)""")
 def ae_map_picker(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return pickers.map_picker(rows.select(F.col("s_nationkey").alias("g"), (F.col("l_orderkey") % 300).alias("v"), F.col("p_type").alias("i")), "g", "v", "i")
 

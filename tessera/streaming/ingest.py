@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -18,8 +17,18 @@ def windowed_counts(events: DataFrame, minutes: int = 60, late: str = "2 hours")
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def run_once(df: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process what has arrived into an in-memory table, and stop."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Process what has arrived, and stop: the latest row of each key.
+
+    Each batch writes its changed rows to a folder of its own below the shared one, so a batch that is
+    repeated after a failure replaces its rows, and nothing is kept on the driver.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    q = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return q
+    rows = df.sparkSession.read.schema(df.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    latest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return rows.withColumn("nth", F.row_number().over(latest)).filter("nth = 1").select(*df.columns)
