@@ -9,33 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUM = r"([-+]?\d[\d,]*\.?\d*)"
-_DASH = "[-–—−]"
-#: name, pattern, value type, {field: group or fixed text}, confidence; tried in this order.
+_COUNT, _PLAIN, _SIGNED = r"(\d+)", r"(\d+\.?\d*)", r"(-?[\d.]+)"
+_DASH = "[-–—]"
+_PM = r"(?:±|\+/?-)"
+_AMOUNT = "mcg|µg|μg|ug|ng|pg|mg|g|kg|mL|dL|L|IU|U|mEq|mOsm|mmol|nmol|beats"
+#: What a unit is behind a number: an amount, perhaps times a time, perhaps by one or two others; or a time, a share or a pressure.
+UNIT_FORM = rf"(?:(?:{_AMOUNT})(?:[·*]hr?)?(?:/(?:mL|dL|L|g|kg|m²|m2|min|hr?|day|d)){{1,2}}|mcg|mg|hrs?|h|min|days?|weeks?|months?|%CV|%|mmHg)"
+#: Confidence by how sure a match is.
+SURE, CHECKED, AMBIGUOUS, EXCLUDED, UNREAD = 1.0, 0.95, 0.9, 0.8, 0.5
+#: The formats of cells, in the order in which they are tried, the rule's name, the value's type,
+#: {field: group or fixed text} and confidence.
 RULES = (
-    ("frac_pct", rf"^{_NUM}\s*/\s*{_NUM}\s*\(\s*{_NUM}\s*%?\s*\)$", "Percentage", {"primary": 3, "secondary": 1, "secondary_type": "Count", "sample_size": 2, "unit": "%"}, 1.0),
-    ("fraction", rf"^{_NUM}\s*/\s*{_NUM}$", "Count", {"primary": 1, "secondary": 2, "secondary_type": "Denominator", "sample_size": 2}, 0.9),
-    ("n_pct", rf"^(\d[\d,]*)\s*\(\s*{_NUM}\s*%\s*\)$", "Percentage", {"primary": 2, "secondary": 1, "secondary_type": "Count", "unit": "%"}, 1.0),
-    ("n_lt_pct", rf"^(\d[\d,]*)\s*\(\s*<\s*{_NUM}\s*%?\s*\)$", "Percentage", {"upper": 2, "secondary": 1, "secondary_type": "Count", "unit": "%"}, 0.8),
-    ("pct_ci", rf"^{_NUM}\s*%\s*\(\s*{_NUM}\s*%?\s*(?:,|to)\s*{_NUM}\s*%?\s*\)$", "RelativeRiskReduction", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "95CI", "unit": "%"}, 0.95),
-    ("diff_ci", rf"^{_NUM}\s*\(\s*{_NUM}\s*,\s*{_NUM}\s*\)$", "RiskDifference", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "95CI", "unit": "pp"}, 0.85),
-    ("value_ci", rf"^{_NUM}\s*\(\s*{_NUM}\s*(?:[–—]|to|-)\s*{_NUM}\s*\)$", "Numeric", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "CI"}, 0.9),
-    ("plus_minus", rf"^{_NUM}\s*(?:±|\+/-)\s*{_NUM}$", "Numeric", {"primary": 1, "secondary": 2, "secondary_type": "SD"}, 0.95),
-    ("plus_minus_paren", rf"^{_NUM}\s*\(\s*(?:±|\+/-)\s*{_NUM}\s*\)(?:\s*\(?\s*[nN]\s*=\s*(\d+)\s*\)?)?$", "Numeric", {"primary": 1, "secondary": 2, "sample_size": 3}, 0.85),
-    ("mean_cv", rf"^{_NUM}\s*\(\s*{_NUM}\s*%\s*\)$", "Mean", {"primary": 1, "secondary": 2, "secondary_type": "CV_Percent"}, 0.9),
-    ("dispersion", rf"^(\d+\.\d+)\s*\(\s*{_NUM}\s*\)$", "Numeric", {"primary": 1, "secondary": 2}, 0.75),
-    ("range_to", rf"^{_NUM}\s+to\s+{_NUM}$", "Range", {"lower": 1, "upper": 2, "bound_type": "Range"}, 0.9),
-    ("percent", rf"^{_NUM}\s*%$", "Percentage", {"primary": 1, "unit": "%"}, 1.0),
-    ("lt_percent", rf"^<\s*{_NUM}\s*%$", "Percentage", {"primary": 1, "upper": 1, "unit": "%"}, 0.85),
-    ("sample_size", r"^[nN]\s*=\s*(\d[\d,]*)$", "SampleSize", {"primary": 1, "sample_size": 1}, 1.0),
-    ("p_value", r"^[pP]?\s*([<>=≤≥])\s*(0?\.\d+)$", "PValue", {"p_qualifier": 1, "p_value": 2}, 0.95),
-    ("value_unit", rf"^{_NUM}\s*((?:mcg|µg|ug|mg|ng|g|kg|mL|L|h|hr|min|days?|weeks?|months?|years?)(?:/(?:mL|L|kg|day|h|hr|d))?)$", "Numeric", {"primary": 1, "unit": 2}, 0.9),
-    ("number", rf"^{_NUM}$", "Numeric", {"primary": 1}, 0.8),
+    ("frac_pct", rf"^{_COUNT}\s*/\s*{_COUNT}\s*\({_PLAIN}\s*%?\s*\)$", "Percentage", {"primary": 3, "secondary": 1, "secondary_type": "Count", "sample_size": 2, "unit": "%"}, SURE),
+    ("fraction_count", r"^(\d[\d,]*)\s*/\s*(\d[\d,]*)(?:\s*\([^)]*\))?$", "Count", {"primary": 1, "secondary": 2, "secondary_type": "Denominator", "sample_size": 2}, SURE),
+    ("n_pct", rf"^{_COUNT}\s*\({_PLAIN}\s*%?\s*\)$", "Percentage", {"primary": 2, "secondary": 1, "secondary_type": "Count", "unit": "%"}, SURE),
+    ("count_inequality_percent", rf"^(\d+(?:\.\d+)?)\s*\(\s*([<≤])\s*{_PLAIN}\s*%?\s*\)$", "Percentage", {"secondary": 1, "secondary_type": "Count", "unit": "%"}, SURE),
+    ("rr_ci", rf"^{_PLAIN}\s*%?\s*\(\s*{_PLAIN}\s*%?\s*,\s*{_PLAIN}\s*%?\s*\)$", "RelativeRiskReduction", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "95CI", "unit": "%"}, SURE),
+    ("diff_ci", rf"^{_SIGNED}\s*\(\s*{_SIGNED}\s*,\s*{_SIGNED}\s*\)$", "RiskDifference", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "95CI", "unit": "pp"}, SURE),
+    ("value_ci", rf"^{_SIGNED}\s*\(\s*{_SIGNED}\s*(?:{_DASH}|to)\s*{_SIGNED}\s*\)$", "Numeric", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "CI"}, CHECKED),
+    ("value_plusminus", rf"^{_SIGNED}\s*{_PM}\s*{_SIGNED}$", "Numeric", {"primary": 1, "secondary": 2, "secondary_type": "SD", "bound_type": "SD"}, CHECKED),
+    ("value_plusminus_sample", rf"^{_SIGNED}\s*\(\s*{_PM}\s*{_SIGNED}\s*\)\s*(?:\(\s*[Nn]\s*=\s*(\d+)\s*\))?$", "Numeric", {"primary": 1, "secondary": 2, "sample_size": 3}, CHECKED),
+    ("value_cv", r"^([\d.]+)\s*\((\d+)\s*%\s*\)\s*.*$", "Mean", {"primary": 1, "secondary": 2, "secondary_type": "CV_Percent"}, SURE),
+    ("value_paren_dispersion", rf"^(-?\d+\.\d+)\s*\(\s*(-?\d+\.?\d*)\s*\)\s*[*†‡§¶#]?$", "Numeric", {"primary": 1, "secondary": 2}, CHECKED),
+    ("range_to", r"^([\d.]+)\s+to\s+([\d.]+)", "Range", {"lower": 1, "upper": 2, "bound_type": "Range"}, AMBIGUOUS),
+    ("percentage", r"^([\d.]+)\s*%$", "Percentage", {"primary": 1, "unit": "%"}, SURE),
+    ("inequality_percent", rf"^([<≤])\s*{_PLAIN}\s*%$", "Percentage", {"primary": 2, "unit": "%"}, SURE),
+    ("n_equals", r"^\(?\s*[nN]\s*=\s*(\d[\d,]*)\s*\)?$", "SampleSize", {"primary": 1, "sample_size": 1}, SURE),
+    ("pvalue", rf"^[Pp]?\s*([<>=≤≥])\s*{_PLAIN}$", "PValue", {"primary": 2, "p_qualifier": 1, "p_value": 2}, SURE),
+    ("value_trailing_unit", rf"^(-?\d+\.?\d*)\s+((?i:{UNIT_FORM}))$", "Numeric", {"primary": 1, "unit": 2}, CHECKED),
+    ("plain_number", r"^(-?[\d,]+\.?\d*)$", "Numeric", {"primary": 1}, AMBIGUOUS),
 )
-_FIELDS = ("primary", "secondary", "secondary_type", "lower", "upper", "bound_type", "p_value", "p_qualifier", "unit", "sample_size")
+_FIELDS = ("primary", "secondary", "secondary_type", "lower", "upper", "bound_type", "p_value", "p_qualifier", "unit", "sample_size", "flags")
 _NUMBERS = ("primary", "secondary", "lower", "upper", "p_value", "sample_size")
 #: Cells that mean no value.
 EMPTY = ("N/A", "NA", "ND", "NR", "NC", "NDD")
+#: How far a printed percent may be from the one that its counts give.
+PCT_TOLERANCE = 1.5
 
 
 def number(text: Column) -> Column:
@@ -50,29 +59,64 @@ def _result(rule: str, kind: str, fields: dict[str, Column], confidence: float,
     return F.struct(*out)
 
 
+def _short(x: Column) -> Column:
+    """A number as text with one decimal at most, and none where it is whole."""
+    return F.regexp_replace(x.cast("decimal(30,1)").cast("string"), r"\.0$", "")
+
+
+def _share(count: Column, whole: Column) -> Column:
+    """count in percent of whole, to one decimal, halves to the even digit."""
+    return F.when(whole > 0, F.bround(count / whole * 100, 1)).otherwise(F.lit(0.0))
+
+
+def _checked(count: Column, whole: Column, percent: Column) -> Column:
+    """Whether a printed percent is that of its counts."""
+    derived = _share(count, whole)
+    return F.when(F.abs(derived - percent) < PCT_TOLERANCE, F.lit("PCT_CHECK:PASS")).otherwise(F.concat(F.lit("PCT_CHECK:WARN:"), _short(derived)))
+
+
 def parse_value(raw: Column, arm_n: Column | None = None) -> Column:
-    """struct(rule, type, confidence, excluded, primary, secondary, ..., sample_size) of a cell.
+    """struct(rule, type, confidence, excluded, primary, secondary, ..., sample_size, flags) of a cell.
 
     Null, blank and not-available cells are excluded, as are dash runs and single capital letters.  A
-    range has its middle as value.  ``n (<p%)`` is n of arm_n in percent where that is known.  Nothing
-    matched gives the type Text.
+    range has its middle as value.  Percents beside counts are checked against the fraction's or the
+    arm's size; ``n (<p%)`` is n in percent of the arm's size, 0.1 where that isn't known.  A cell whose
+    groups are no numbers, or whose size is 0, goes on to the next rules.  Nothing matched gives the
+    type Text.
     """
-    t = F.trim(F.coalesce(raw, F.lit("")))
-    out = F.when((t == "") | F.upper(t).isin(*EMPTY), _result("empty_or_na", "Text", {}, 1.0, True))
-    out = out.when(t.rlike(rf"^{_DASH}+$"), _result("dash_placeholder", "Text", {}, 1.0, True)).when(t.rlike("^[A-Z]$"), _result("letter_code", "CodedExclusion", {}, 1.0, True))
+    t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
+    n = F.lit(None).cast("double") if arm_n is None else arm_n.cast("double")
+    out = F.when(t.rlike(rf"^{_DASH}+$"), _result("dash_placeholder", "Text", {}, EXCLUDED, True)).when((t == "") | F.upper(t).isin(*EMPTY), _result("empty_or_na", "Text", {}, EXCLUDED, True))
+    out = out.when(t.rlike(r"^\p{Lu}$"), _result("letter_code", "CodedExclusion", {}, SURE, True))
     for rule, pattern, kind, fields, confidence in RULES:
-        made = {}
+        made, fits = {}, t.rlike(pattern)
+        group = lambda g, p=pattern: F.regexp_extract(t, p, g)
         for f, source in fields.items():
-            text = F.lit(source) if isinstance(source, str) else F.regexp_extract(t, pattern, source)
+            text = F.lit(source) if isinstance(source, str) else group(source)
             made[f] = number(text) if f in _NUMBERS else F.nullif(text, F.lit(""))
+            if f in _NUMBERS and f != "sample_size":
+                fits = fits & made[f].isNotNull()
         if rule == "range_to":
             made["primary"] = (made["lower"] + made["upper"]) / 2
-        if rule == "n_lt_pct" and arm_n is not None:
-            made["primary"] = F.when(arm_n > 0, made["secondary"] * 100 / arm_n)
-        if rule == "plus_minus":
+        elif rule == "frac_pct":
+            made["flags"] = _checked(made["secondary"], made["sample_size"], made["primary"])
+        elif rule == "n_pct":
+            made["flags"] = F.when(n > 0, _checked(made["secondary"], n, made["primary"]))
+        elif rule == "count_inequality_percent":
+            made["primary"] = F.when(n > 0, F.bround(made["secondary"] / n * 100, 1)).otherwise(F.lit(0.1))
+            source = F.when(n > 0, F.concat(F.lit("ArmN="), n.cast("long").cast("string"))).otherwise(F.lit("fallback=0.1"))
+            shown = F.regexp_replace(number(group(3)).cast("string"), r"\.0$", "")
+            made["flags"] = F.concat(F.lit("INEQUALITY_UPPER:"), group(2), F.lit("; PCT_DERIVED_FROM_COUNT_LT:"), source, F.lit("; PCT_LT_DISPLAY:"), shown)
+        elif rule == "inequality_percent":
+            made["flags"] = F.concat(F.lit("INEQUALITY_UPPER:"), group(1))
+        elif rule in ("value_plusminus", "value_plusminus_sample", "value_paren_dispersion"):
             made["lower"], made["upper"] = made["primary"] - made["secondary"], made["primary"] + made["secondary"]
-        out = out.when(t.rlike(pattern), _result(rule, kind, made, confidence, False))
-    return out.otherwise(_result("text_descriptive", "Text", {}, 0.5, False))
+        elif rule in ("fraction_count", "n_equals"):
+            fits = fits & (made["sample_size"] > 0)
+        elif rule == "value_trailing_unit":
+            made["unit"] = normalise_unit(made["unit"])
+        out = out.when(fits, _result(rule, kind, made, confidence, False))
+    return out.otherwise(_result("text_descriptive", "Text", {}, UNREAD, False))
 
 
 #: Spellings of units.

@@ -12,19 +12,60 @@ from tessera.operators import grid, relops
 from tessera.plans.registry import query
 from tessera.session import shared_folder, ship_package, table
 
-_CELL = """CASE {n} % 12 WHEN 0 THEN concat({q}, '/', {s}, ' (', {d}, '%)') WHEN 1 THEN concat({q}, ' (', {d}, '%)') WHEN 2 THEN concat({d}, '%') WHEN 3 THEN concat({d}, ' ± ', {q})
- WHEN 4 THEN concat({d}, ' (', {q}, ', ', {s}, ')') WHEN 5 THEN concat({q}, ' to ', {s}) WHEN 6 THEN concat('N=', {q}) WHEN 7 THEN '--' WHEN 8 THEN 'n/a' WHEN 9 THEN concat('1,', {s}, ' mg') WHEN 10 THEN concat('< ', {d}, '%') ELSE concat('see ', {q}) END"""
-
-
-@query("value_grammar", f"""WITH c AS (SELECT p_partkey k, cast(p_size + 1 AS VARCHAR) q, cast(100 + p_partkey % 800 AS VARCHAR) s, concat(cast(p_size % 90 AS VARCHAR), '.', cast(p_partkey % 10 AS VARCHAR)) d FROM part),
-v AS (SELECT k, q::DOUBLE qv, s::DOUBLE sv, d::DOUBLE dv, {_CELL.format(n='k', q='q', s='s', d='d')} raw FROM c)
-SELECT k, raw, ['frac_pct','n_pct','percent','plus_minus','diff_ci','range_to','sample_size','dash_placeholder','empty_or_na','value_unit','lt_percent','text_descriptive'][k % 12 + 1] "rule",
- CASE k % 12 WHEN 0 THEN dv WHEN 1 THEN dv WHEN 2 THEN dv WHEN 3 THEN dv WHEN 4 THEN dv WHEN 5 THEN (qv + sv) / 2 WHEN 6 THEN qv WHEN 9 THEN 1000 + sv WHEN 10 THEN dv END primary_value,
- CASE k % 12 WHEN 0 THEN qv WHEN 1 THEN qv WHEN 3 THEN qv END secondary_value, CASE k % 12 WHEN 3 THEN round(dv - qv, 6) WHEN 4 THEN qv WHEN 5 THEN qv END lower_bound, CASE k % 12 WHEN 9 THEN 'mg' WHEN 4 THEN 'pp' WHEN 0 THEN '%' WHEN 1 THEN '%' WHEN 2 THEN '%' WHEN 10 THEN '%' END unit FROM v""")
+#: Shapes of cells, with spacing as it is found; {q} a count, {s} a larger one, {d} a decimal number.
+SHAPES = (
+    "{q}/{s} ({d}%)", "{q} / {s}({d})", "{q}/{s} ({d} %)", "{q}/{s}", "{q} / 1,{s}", "{q}/{s} (see note)", "{q}/0", "{q} ({d}%)", "{q} ({d})", "{q}({q})", "{q} ({q} % )", "{q} ( {d})",
+    "{q} (<{d}%)", "{q} ( ≤ {d} )", "{d} (<1%)", "{d}% ({q}%, {s}%)", "{d} ({q}, {s})", "{q}%({d},{s})", "-{d} (-{q}, {d})", "-{d}(-{q},-{d})", "{d} ({d}–{s})", "{d} ( {q} to {s} )", "-{d} (-{s} - -{q})",
+    "{d} ± {q}", "{d}±{q}", "{d} +/- {q}", "-{d} +- {q}", "{d} (± {q}) (n={s})", "{d}(+/-{q})", "{d} (±{d}) ( N = {s} )", "{d} ({q}%)", "{d}({q} %) a", "{d} ({q})", "{d} ({d})*", "-{d} ( {q} ) †",
+    "{q} to {s}", "{q}  to  {d} mg", "{d} %", "{q}%", "<{d}%", "≤ {q} %", "> {q}%", "n={q}", "N = 1,{s}", "(n={s})", "n=0", "p<0.05", "P < {q}", "={d}", "≥{d}", "{d} mcg/mL", "-{q} hr", "{d} ng·h/mL", "{q} mg/kg/day", "{q}mg", "{q} apples",
+    "{q}", "-1,{s}.5", "{d}", "+{q}", "{q}.", "--", "—", "–-", " n/a ", "ND", "nr", "", "  ", "A", "b", "see {q}", "1.2.{q}", "1.2.{q} ({q}, {s})",
+)
+
+
+def _shape(spark_sql: bool) -> str:
+    """The raw cell of row k: one of the shapes, by turns, with the row's numbers."""
+    pieces = []
+    for i, shape in enumerate(SHAPES):
+        text = "'" + shape.replace("'", "''") + "'"
+        for name in "qsd":
+            text = f"replace({text}, '{{{name}}}', {name})"
+        pieces.append(f"WHEN {i} THEN {text}")
+    return f"CASE k % {len(SHAPES)} " + " ".join(pieces) + " END"
+
+
+def _grammar_sql() -> str:
+    """The grammar again in SQL, from the text alone: patterns by rule, then fields from the text's numbers in order."""
+    u, g = r"\d+\.?\d*", r"-?[\d.]+"
+    pm, unit = r"(±|\+/?-)", r"(?i)^-?\d+\.?\d*\s+(((mcg|ng|mg)(·h)?(/(mL|kg|day)){1,2})|hr|min|mg|mcg|%)$"
+    rules = [
+        ("dash_placeholder", r"^[-–—]+$"), ("empty_or_na", r"(?i)^(N/A|NA|ND|NR|NC|NDD)?$"), ("letter_code", "^[A-Z]$"), ("frac_pct", rf"^\d+\s*/\s*\d+\s*\({u}\s*%?\s*\)$"), ("fraction_count", r"^\d[\d,]*\s*/\s*[\d,]*[1-9][\d,]*(\s*\([^)]*\))?$"),
+        ("n_pct", rf"^\d+\s*\({u}\s*%?\s*\)$"), ("count_inequality_percent", rf"^\d+(\.\d+)?\s*\(\s*[<≤]\s*{u}\s*%?\s*\)$"), ("rr_ci", rf"^{u}\s*%?\s*\(\s*{u}\s*%?\s*,\s*{u}\s*%?\s*\)$"), ("diff_ci", rf"^-?{u}\s*\(\s*-?{u}\s*,\s*-?{u}\s*\)$"),
+        ("value_ci", rf"^-?{u}\s*\(\s*{g}\s*([-–—]|to)\s*{g}\s*\)$"), ("value_plusminus", rf"^-?{u}\s*{pm}\s*{g}$"), ("value_plusminus_sample", rf"^-?{u}\s*\(\s*{pm}\s*{g}\s*\)\s*(\(\s*[Nn]\s*=\s*\d+\s*\))?$"), ("value_cv", rf"^{u}\s*\(\d+\s*%\s*\).*$"),
+        ("value_paren_dispersion", rf"^-?\d+\.\d+\s*\(\s*-?{u}\s*\)\s*[*†‡§¶#]?$"), ("range_to", rf"^{u}\s+to\s+{u}"), ("percentage", rf"^{u}\s*%$"), ("inequality_percent", rf"^[<≤]\s*{u}\s*%$"), ("n_equals", r"^\(?[nN]\s*=\s*[1-9][\d,]*\)?$"), ("pvalue", rf"^[Pp]?\s*[<>=≤≥]\s*{u}$"),
+        ("value_trailing_unit", unit), ("plain_number", r"^-?[\d,]+\.?\d*$"),
+    ]
+    case = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in rules) + " ELSE 'text_descriptive' END"
+    # A minus belongs to a number where nothing but a blank, a bracket, a comma or a dash stands before it.
+    parts = "list_transform(regexp_extract_all(replace(regexp_replace(regexp_replace(t, '\\+/?-|±', '~', 'g'), '(\\d\\s*)[-–—]', '\\1~', 'g'), ',', CASE WHEN regexp_matches(t, '\\(.*,.*\\)') THEN '~' ELSE '' END), '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE)"
+    check = "CASE WHEN abs({d} - {p}) < 1.5 THEN 'PCT_CHECK:PASS' ELSE 'PCT_CHECK:WARN:' || regexp_replace({d}::DECIMAL(30,1)::VARCHAR, '\\.0$', '') END"
+    share = "round_even({a} / {b} * 100, 1)"
+    frac, arm = check.format(d=share.format(a="x[1]", b="x[2]"), p="x[3]"), check.format(d=share.format(a="x[1]", b="n"), p="x[2]")
+    return f"""WITH c AS (SELECT p_partkey k, cast(p_size + 1 AS VARCHAR) q, cast(100 + p_partkey % 800 AS VARCHAR) s, concat(cast(p_size % 90 AS VARCHAR), '.', cast(p_partkey % 10 AS VARCHAR)) d, CASE WHEN p_partkey % 3 > 0 THEN (50 + p_partkey % 300)::DOUBLE END n FROM part),
+r AS (SELECT k, n, {_shape(False)} raw FROM c), t AS (SELECT *, trim(raw) t FROM r), w AS (SELECT *, {case} "rule" FROM t), v AS (SELECT *, CASE WHEN "rule" IN ('text_descriptive', 'dash_placeholder') THEN [] ELSE {parts} END x FROM w)
+SELECT k, raw, "rule", CASE WHEN "rule" = 'frac_pct' THEN x[3] WHEN "rule" IN ('n_pct') THEN x[2] WHEN "rule" = 'count_inequality_percent' THEN CASE WHEN n > 0 THEN round_even(x[1] / n * 100, 1) ELSE 0.1 END WHEN "rule" = 'range_to' THEN (x[1] + x[2]) / 2 ELSE x[1] END primary_value,
+ CASE WHEN "rule" IN ('frac_pct', 'n_pct', 'count_inequality_percent') THEN x[1] WHEN "rule" IN ('fraction_count', 'value_plusminus', 'value_plusminus_sample', 'value_cv', 'value_paren_dispersion') THEN x[2] END secondary_value,
+ CASE WHEN "rule" IN ('rr_ci', 'diff_ci', 'value_ci') THEN x[2] WHEN "rule" = 'range_to' THEN x[1] WHEN "rule" IN ('value_plusminus', 'value_plusminus_sample', 'value_paren_dispersion') THEN round(x[1] - x[2], 6) END lower_bound,
+ CASE WHEN "rule" IN ('frac_pct', 'fraction_count') THEN x[2] WHEN "rule" = 'value_plusminus_sample' THEN x[3] WHEN "rule" = 'n_equals' THEN x[1] END sample_size,
+ CASE WHEN "rule" IN ('frac_pct', 'n_pct', 'count_inequality_percent', 'rr_ci', 'percentage', 'inequality_percent') THEN '%' WHEN "rule" = 'diff_ci' THEN 'pp' WHEN "rule" = 'value_trailing_unit' THEN replace(regexp_extract(t, '[^0-9 ]+$'), '/day', '/d') END unit,
+ CASE "rule" WHEN 'frac_pct' THEN {frac} WHEN 'n_pct' THEN CASE WHEN n > 0 THEN {arm} END WHEN 'inequality_percent' THEN 'INEQUALITY_UPPER:' || t[1]
+  WHEN 'count_inequality_percent' THEN 'INEQUALITY_UPPER:' || regexp_extract(t, '[<≤]') || '; PCT_DERIVED_FROM_COUNT_LT:' || CASE WHEN n > 0 THEN 'ArmN=' || n::BIGINT ELSE 'fallback=0.1' END || '; PCT_LT_DISPLAY:' || regexp_replace(x[2]::VARCHAR, '\\.0$', '') END flags FROM v"""
+
+
+@query("value_grammar", _grammar_sql())
 def value_grammar(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 1).cast("string").alias("q"), (100 + F.col("p_partkey") % 800).cast("string").alias("s"), F.concat((F.col("p_size") % 90).cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string")).alias("d"))
-    rows = p.withColumn("raw", F.expr(_CELL.format(n="k", q="q", s="s", d="d"))).withColumn("v", values.parse_value(F.col("raw")))
-    return rows.select("k", "raw", F.col("v.rule").alias("rule"), F.col("v.primary").alias("primary_value"), F.col("v.secondary").alias("secondary_value"), F.round("v.lower", 6).alias("lower_bound"), F.col("v.unit").alias("unit"))
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey k", "cast(p_size + 1 as string) q", "cast(100 + p_partkey % 800 as string) s", "concat(cast(p_size % 90 as string), '.', cast(p_partkey % 10 as string)) d", "case when p_partkey % 3 > 0 then 50 + p_partkey % 300 end n")
+    rows = p.withColumn("raw", F.expr(_shape(True))).withColumn("v", values.parse_value(F.col("raw"), F.col("n")))
+    return rows.select("k", "raw", "v.rule", F.col("v.primary").alias("primary_value"), F.col("v.secondary").alias("secondary_value"), F.round("v.lower", 6).alias("lower_bound"), "v.sample_size", "v.unit", "v.flags")
 
 
 @query("dose_extraction", """SELECT p_partkey k, (CASE p_partkey % 3 WHEN 0 THEN p_size + 1 WHEN 1 THEN p_size + 50 END)::DOUBLE dose, CASE p_partkey % 3 WHEN 0 THEN 'mg/d' WHEN 1 THEN 'mcg' END unit FROM part""")
