@@ -6,11 +6,14 @@ mass d V / N that this leaves is that of the one event "a word not seen".  d is
 seen once and twice.  Its other states are the histories of one and two words (see ``backoff``); arcs of
 n-grams seen once have no mass of their own under the discount of 1, so they need not be kept apart.
 
-Nothing that grows with the corpus is gathered or sent to every task.  Documents are read in runs.  A run
-lists its distinct n-grams of an order with their training counts, dealt into parts by hash; a part adds
-the counts up and answers each run with the totals.  Orders go from the longest down: what the arcs of a
-history take together is found where they are, and is added to the history's own row in the next order.
-At the end a run's texts meet its answers.
+Nothing that grows with the corpus is gathered or sent to every task.  Documents are read once, in runs,
+which are stored with their words' hashes: all later passes read the same runs, whatever has been lost
+or is split otherwise by then.  A run lists its distinct n-grams of an order with their training counts,
+dealt into parts by hash; a part adds the counts up and answers each run with the totals.  Orders go
+from the longest down: what the arcs of a history take together is found where they are, and is added to
+the history's own row in the next order.  The parts of an order are treated in slices, one after the
+other, so that fewer n-grams are on the disk at a time.  At the end a run's texts meet its answers, again
+in a few groups of runs.
 
 Words are told apart by a 64-bit hash, histories of two words by a 64-bit hash of the two.
 """
@@ -25,27 +28,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import backoff
 from tessera.llm.arrow_text import runs, text_bytes
-from tessera.llm.common import checkpoint, held_out, text_or_empty
+from tessera.llm.common import Shelf, checkpoint, cleaning, held_out, text_or_empty
 from tessera.llm.near_dedup import mix, word_hashes
 
 #: Least shares of the tokens for words and n-grams: none.
 WORD_SHARE = GRAM_SHARE = 0.0
-#: Bytes of text in a run, and in a piece that is cut into words in one go.
-RUN = 6 << 20
+#: Bytes of text in a run, and in a piece that is cut into words in one go; runs in a file.
+RUN = 4 << 20
 PIECE = 1 << 19
-#: Bytes of text for a part of the n-grams.
+FILE = 8
+#: Bytes of text for a part of the n-grams, and slices of an order's parts.
 PART = 3 << 20
+SLICES = {1: 1, 2: 2, 3: 2}
+#: Groups of runs that meet their answers one after the other.
+MEETINGS = 2
 #: Hashes of a text's start and end.
 START, END = np.uint64(0x5D1A7F3C9B2E4861), np.uint64(0xA3C95E0D71F8B264)
 ORDERS = (1, 2, 3)
-#: With it, an order's shuffled n-grams leave the disk as soon as its answers are written.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROWS = "run long, part int, a binary, b binary, n binary"
+_WORDS = "size binary, low binary, high binary, hashes binary"
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,18 +118,32 @@ def _cut(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, np.concatenate([h for h, _ in got]), np.concatenate([t for _, t in got])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number, rows, hashes of start, end and words, place of each word in them, its text)."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, learn, held_out, text -> one row per run: run, the lists of the first three, and its words.
+
+    A word is its place in the run's hashes (start, end, then words as they come), cut into its low 16 bits and the rest.
+    """
     k = 0
     for batch in batches:
-        for i, j, h, text in _cut(batch.column(column)):
+        for i, j, h, text in _cut(batch.column(3)):
             place, hashes = pd.factorize(h)
-            yield TaskContext.get().partitionId() * 1_000_000 + k, batch.slice(i, j - i), np.concatenate([[START, END], hashes]).astype(np.uint64), place + 2, text
+            word = place + 2
+            lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in range(3)]
+            data = [np.bincount(text, minlength=j - i).astype(np.int32), word.astype(np.uint16), (word >> 16).astype(np.uint8), np.concatenate([[START, END], hashes]).astype(np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k]), *lists, *[pa.array([x.tobytes()], pa.binary()) for x in data]], ["run", "doc_id", "learn", "held_out", "size", "low", "high", "hashes"])
             k += 1
 
 
+def _run(size: bytes, low: bytes, high: bytes, hashes: bytes) -> Run:
+    size = np.frombuffer(size, np.int32)
+    word = np.frombuffer(low, np.uint16).astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
+    return Run.of(np.frombuffer(hashes, np.uint64), word, np.repeat(np.arange(len(size)), size), len(size))
+
+
 def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(part, columns' values there), in order of place."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     parts, first = np.unique(part[order], return_index=True)
     columns = [c[order] for c in columns]
@@ -136,19 +156,23 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["run", "part", "a", "b", "n"])
 
 
-def _asks(order: int, parts: int, ask: bool) -> Callable:
-    """Rows (run or -2 for who needs no answer, part, a, b, n) of a run's n-grams; columns learn, text."""
+def _asks(order: int, parts: int, nth: int, slices: int, ask: bool) -> Callable:
+    """Rows (run or -2 for who needs no answer, part, a, b, n) of the n-grams of a slice's parts; columns run, learn and words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch, hashes, word, text in _runs(batches, 1):
-            run = Run.of(hashes, word, text, batch.num_rows)
-            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            a, b, gram, at = run.grams(order)[order]
-            n = np.bincount(gram, learn[run.text[at]], len(a)).astype(np.int32)
-            if not ask:
-                a, b, n = a[n > 0], b[n > 0], n[n > 0]
-            run = hashes = word = text = gram = at = None
-            yield _record([(number if ask else -2, *r) for r in _split(part_of(order, a, b, parts), a, b, n)])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, learn, *words = (c[i] for c in batch.columns)
+                run = _run(*[w.as_buffer() for w in words])
+                learn = learn.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                a, b, gram, at = run.grams(order)[order]
+                n = np.bincount(gram, learn[run.text[at]], len(a)).astype(np.int32)
+                part = part_of(order, a, b, parts)
+                mine = part % slices == nth
+                if not ask:
+                    mine &= n > 0
+                run = words = gram = at = None
+                yield _record([(number.as_py() if ask else -2, *r) for r in _split(part[mine], a[mine], b[mine], n[mine])])
 
     return work
 
@@ -236,17 +260,15 @@ def train(docs: DataFrame, folds: int = 10, fold: int = 0) -> Model:
 def _answers(asked: list[tuple[DataFrame, bool]], parts: int) -> tuple[dict[int, DataFrame], Root]:
     """By order, the rows (run, part, a: totals, b: arcs' mass) of all runs; and the root."""
     out: dict[int, DataFrame] = {}
-    conf = asked[0][0].sparkSession.conf
-    before = conf.get(CLEAN, "false")
-    conf.set(CLEAN, "true")
-    try:
-        for order in reversed(ORDERS):
-            rows = reduce(DataFrame.union, [f.mapInArrow(_asks(order, parts, ask), _ROWS) for f, ask in asked])
+    for order in reversed(ORDERS):
+        slices, got = SLICES[order], []
+        for nth in range(slices):
+            rows = reduce(DataFrame.union, [f.select("run", "learn", "size", "low", "high", "hashes").mapInArrow(_asks(order, parts, nth, slices, ask), _ROWS) for f, ask in asked])
             if order < 3:
                 rows = rows.union(out[order + 1].filter("run = -1"))
-            out[order] = checkpoint(rows.groupBy("part").applyInArrow(_add_up(order, parts), _ROWS))
-    finally:
-        conf.set(CLEAN, before)
+            with cleaning(rows.sparkSession):
+                got.append(checkpoint(rows.groupBy("part").applyInArrow(_add_up(order, parts), _ROWS)))
+        out[order] = reduce(DataFrame.union, got)
     figures = [np.frombuffer(bytes(r["a"]), np.int64) for r in out[1].filter("run = -3").select("a").collect()]
     words, distinct, once, twice, ends = np.sum([*figures, np.zeros(5, np.int64)], axis=0).tolist()
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
@@ -258,42 +280,28 @@ def score(docs: DataFrame, model: Model, folds: int = 10, fold: int = 0) -> Data
 
     A null text counts as empty, whose one token is the end.  Words that training has not seen are one
     event, in the base score as in the model's.  Scores are sums of log10 probabilities
-    over all tokens.  Repeated rows get equal results; an empty table gives an empty result; other
-    columns are ignored.
+    over all tokens.  Repeated rows get equal results, and a null doc_id is in no held-out fold; an
+    empty table gives an empty result; other columns are ignored.
     """
     learnt = ~held_out(F.col("doc_id"), model.folds, model.fold)
     same = docs is model.docs
-    asked = [(docs.select((learnt if same else F.lit(False)).alias("learn"), text_or_empty().alias("text")), True)]
-    if not same:
-        asked.append((model.docs.filter(learnt).select(F.lit(True).alias("learn"), text_or_empty().alias("text")), False))
-    size = sum(f.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for f, _ in asked)
-    parts = max(1, -(-size // PART))
-    answers, root = _answers(asked, parts)
-    rows = docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), text_or_empty().alias("text"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per run its texts' words, and the words' hashes in the first row."""
-        for number, batch, hashes, word, text in _runs(batches, 2):
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            words = word.astype(np.int32)
-            ids = [words[cuts[i] : cuts[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), number, np.int64)), batch.column(0), batch.column(1), pa.array(np.arange(len(ids))), pa.array(ids, pa.large_binary()).cast(pa.binary()), pa.array([hashes.tobytes(), *[None] * (len(ids) - 1)], pa.binary())],
-                ["run", "doc_id", "held_out", "nth", "words", "hashes"],
-            )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def runs_of(table: DataFrame, learn: Column) -> DataFrame:
+        rows = table.select("doc_id", learn.alias("learn"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), text_or_empty().alias("text"))
+        of = rows.schema["doc_id"].dataType.simpleString()
+        return rows.mapInArrow(_read, f"run long, doc_id array<{of}>, learn array<boolean>, held_out array<boolean>, {_WORDS}")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("nth")
-        ids = [np.frombuffer(b, np.int32) for b in left.column("words").to_pylist()]
-        text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        hashes = np.frombuffer(next((h for h in left.column("hashes").to_pylist() if h is not None), b""), np.uint64)
-        if not len(ids):
-            return pa.table([left.column("doc_id"), left.column("held_out"), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-        run = Run.of(hashes, np.concatenate(ids).astype(np.int64), text, len(ids))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (left.schema.field("doc_id").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        doc_id, held = (left.column(c).combine_chunks()[0].values for c in ("doc_id", "held_out"))
+        run = _run(*[left.column(c)[0].as_buffer() for c in ("size", "low", "high", "hashes")])
         got: dict[int, list] = {k: [] for k in ORDERS}
-        for r in zip(*[right.column(c).to_pylist() for c in ("size", "part", "a", "b")], strict=True):
+        for r in zip(*[right.column(c).to_pylist() for c in ("order", "part", "a", "b")], strict=True):
             got[r[0]].append(r[1:])
-        right = ids = None
+        right = None
         grams, count, mass = run.grams(3), {}, {}
         for k in ORDERS:
             a, b = grams[k][:2]
@@ -302,7 +310,7 @@ def score(docs: DataFrame, model: Model, folds: int = 10, fold: int = 0) -> Data
             answer = sorted(got.pop(k))
             for to, column in ((count, 1), (mass, 2)) if k < 3 else ((count, 1),):
                 to[k] = np.empty(len(a))
-                to[k][order] = np.concatenate([unpacked(r[column], size[r[0]]) for r in answer])
+                to[k][order] = np.concatenate([np.zeros(0), *(unpacked(r[column], size[r[0]]) for r in answer)])
         word = run.x
         c = count[1][word]
         p = root.root(c)
@@ -315,11 +323,23 @@ def score(docs: DataFrame, model: Model, folds: int = 10, fold: int = 0) -> Data
                 pair_at = np.zeros(len(word), np.int64)
                 pair_at[at] = gram
         at = grams[2][3]
-        sums = [np.bincount(run.text[at], v[at], len(left)) for v in (np.ones(len(c)), (c > 0).astype(np.float64), np.log10(root.base(c)), np.log10(p))]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *[pa.array(s.astype(np.int64)) for s in sums[:2]], *[pa.array(s) for s in sums[2:]]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = rows.mapInArrow(read, f"run long, doc_id {kind}, held_out boolean, nth long, words binary, hashes binary")
-    told = reduce(DataFrame.union, [f.select("run", F.lit(k).alias("size"), "part", "a", "b") for k, f in answers.items()])
-    met = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return met.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        sums = [np.bincount(run.text[at], v[at], len(doc_id)) for v in (np.ones(len(c)), (c > 0).astype(np.float64), np.log10(root.base(c)), np.log10(p))]
+        return pa.table([doc_id, held, *[pa.array(s.astype(np.int64)) for s in sums[:2]], *[pa.array(s) for s in sums[2:]]], names)
+
+    with Shelf(docs.sparkSession) as shelf:
+        runs_ = shelf.keep(runs_of(docs, learnt if same else F.lit(False)), maxRecordsPerFile=FILE)
+        asked = [(runs_, True)]
+        if not same:
+            asked.append((shelf.keep(runs_of(model.docs.filter(learnt), F.lit(True)), maxRecordsPerFile=FILE), False))
+        # A place of a word is two bytes, of some seven in the text.
+        size = sum(f.agg(F.coalesce(F.sum(F.octet_length("low")), F.lit(0))).first()[0] * 7 // 2 for f, _ in asked)
+        parts = max(1, -(-size // PART))
+        answers, root = _answers(asked, parts)
+        told = reduce(DataFrame.union, [f.select("run", F.lit(k).alias("order"), "part", "a", "b") for k, f in answers.items()])
+        out = []
+        for nth in range(MEETINGS):
+            some = lambda f: f.filter(F.pmod(F.xxhash64("run"), F.lit(MEETINGS)) == nth).groupBy("run")  # noqa: B023, E731
+            met = some(runs_).cogroup(some(told)).applyInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            with cleaning(docs.sparkSession):
+                out.append(checkpoint(met.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")))
+        return reduce(DataFrame.union, out)
