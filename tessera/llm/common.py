@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
+from tessera.session import shared_folder, ship_package
 
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -22,22 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one that the context has been given.
-
-    Where neither is set, a local master gets a temporary folder, as in tests; on a cluster, whose
-    machines don't share such a folder, this is an error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 @contextmanager
 def cleaning(spark: SparkSession) -> Iterator[None]:
     """Inside, queries remove their shuffle files when they have ended."""
@@ -57,16 +40,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, **options: str | int) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     with cleaning(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str | int) -> DataFrame:
     """The rows of df, written as a table in the shared checkpoint folder and read from there: its lineage is cut."""
-    return _written(df)[0]
+    return _written(df, **options)[0]
 
 
 class Shelf:
@@ -87,8 +70,8 @@ class Shelf:
             self._remove(path)
         self.held = []
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.held.append(_written(df))
+    def keep(self, df: DataFrame, **options: str | int) -> DataFrame:
+        self.held.append(_written(df, **options))
         return self.held[-1][0]
 
     def drop(self, *tables: DataFrame) -> None:
