@@ -2,9 +2,12 @@
 
 Words are runs of letters and digits (every byte above 127 counts as a letter), A-Z in lower case.  Each
 three words in a row have a hash; of each window of such hashes the smallest is a fingerprint, so two
-texts that share a run of window + 2 words share a fingerprint.  The templates' fingerprints form an
-inverted index.  A document's hits near one diagonal of a template mark a region; template and region
-are aligned in a band around the diagonal, and the longest common subsequence gives the matched words.
+texts that share a run of window + 2 words share a fingerprint.  Templates of a few words are found by
+all of their word pairs instead.  The templates' fingerprints form an inverted index.  A hit puts a
+template on a diagonal of the document.  Template and document are aligned in a band around the diagonal,
+and the longest common subsequence gives the matched words.  Where that is too little, the band is widened
+by the next hits' diagonals, up to a template's length, so that parts with an insertion between them add up.
+A hit inside an accepted match of its template is settled; all others are tried.
 
 The index is as large as the templates, which are constants, so it goes to every task; documents are
 scanned whole where they are, without a shuffle.
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ from tessera.llm.near_dedup import mix, words_between
 
 K = 3
 WINDOW = 3
+#: Templates of up to so many words are found by word pairs.
+SHORT = 8
 #: Words that the alignment may leave its diagonal, and least share of a template's words that match.
 BAND = 8
 COVERAGE = 0.8
@@ -100,38 +106,45 @@ def fingerprints(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return gram[chosen], at[chosen]
 
 
-def align(template: np.ndarray, region: np.ndarray, diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
-    """Pairs of places of a longest common subsequence with |region place - template place - diagonal| <= band."""
-    wide = 2 * band + 1
-    best = np.zeros((len(template) + 1, wide + 2), np.int32)  # cell c of row i: region prefix i + diagonal - band + c - 1
+def pair_hashes(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word number) of all two words in a row within a text."""
+    if len(h) < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(text[:-1] == text[1:])
+    return mix(h[at] * mix(np.uint64([11])) + h[at + 1] * mix(np.uint64([12]))), at
+
+
+def align(template: np.ndarray, region: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence with low <= region place - template place <= high."""
+    wide = high - low + 1
+    best = np.zeros((len(template) + 1, wide + 2), np.int32)  # cell c of row i: region prefix i + low + c - 1
     for i in range(1, len(template) + 1):
-        for c in range(1, wide + 1):
-            j = i + diagonal - band + c - 1
-            hit = 1 <= j <= len(region) and template[i - 1] == region[j - 1]
-            best[i, c] = max(best[i - 1, c] + hit, best[i - 1, c + 1], best[i, c - 1])
-    i, c, out = len(template), int(best[len(template)].argmax()), []
+        j = i + low + np.arange(wide)
+        inside = (j >= 1) & (j <= len(region))
+        hit = np.zeros(wide, np.int32)
+        hit[inside] = region[j[inside] - 1] == template[i - 1]
+        # A step along the region costs nothing, so a row is a running maximum.
+        best[i, 1:-1] = np.maximum.accumulate(np.maximum(best[i - 1, 1:-1] + hit, best[i - 1, 2:]))
+    i, c, out = len(template), int(best[len(template), 1:-1].argmax()) + 1, []
     while i > 0 and c > 0 and best[i, c] > 0:
-        j = i + diagonal - band + c - 1
         if best[i, c] == best[i, c - 1]:
             c -= 1
         elif best[i, c] == best[i - 1, c + 1]:
             i, c = i - 1, c + 1
         else:
-            out.append((i - 1, j - 1))
+            if best[i, c] > best[i - 1, c]:  # at the band's end, a row may also keep what the one before it had
+                out.append((i - 1, i + low + c - 2))
             i -= 1
     return out[::-1]
 
 
 @dataclass
 class Scanner:
-    """Templates by name, their words, and the index from fingerprints to (template, word number)."""
+    """Templates by name, their words, and two indexes from hashes to (template, word number): of fingerprints and of pairs."""
 
     names: list[str]
     words: list[np.ndarray]
-    keys: np.ndarray
-    first: np.ndarray
-    template: np.ndarray
-    place: np.ndarray
+    indexes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(templates: dict[str, str]) -> Scanner:
@@ -139,37 +152,62 @@ class Scanner:
         raw = [templates[n].encode() for n in names]
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
         h, text, _, _ = words_between(np.frombuffer(b"".join(raw), np.uint8), offsets, _PARTS)
-        key, at = fingerprints(h, text)
-        order = np.argsort(key, kind="stable")
-        keys, first = np.unique(key[order], return_index=True)
-        start = np.searchsorted(text, np.arange(len(names)))
-        template = text[at[order]]
-        return Scanner(names, [h[text == i] for i in range(len(names))], keys, np.append(first, len(key)), template, at[order] - start[template])
+        size, start = np.bincount(text, minlength=len(names)), np.searchsorted(text, np.arange(len(names)))
+        indexes = []
+        for hashes, short in ((fingerprints, False), (pair_hashes, True)):
+            key, at = hashes(h, text)
+            own = (size[text[at]] <= SHORT) == short
+            key, at = key[own], at[own]
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            template = text[at[order]]
+            indexes.append((keys, np.append(first, len(key)), template, at[order] - start[template]))
+        return Scanner(names, [h[text == i] for i in range(len(names))], indexes)
+
+    def hits(self, h: np.ndarray, text: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """By (text, template): (word, diagonal) of all hits, in order; words are numbered over all texts."""
+        out = defaultdict(set)
+        for (keys, first, template, place), hashes in zip(self.indexes, (fingerprints, pair_hashes), strict=True):
+            key, at = hashes(h, text)
+            if not len(key) or not len(keys):
+                continue
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[k] == key
+            for i, w in zip(k[hit].tolist(), at[hit].tolist(), strict=True):
+                for e in range(first[i], first[i + 1]):
+                    out[int(text[w]), int(template[e])].add((w, w - int(place[e])))
+        return {k: sorted(v) for k, v in out.items()}
+
+    def matches(self, h: np.ndarray, lo: int, hi: int, template: np.ndarray, hits: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int]]:
+        """(first word, last word, matched) of a template in the words from lo to hi."""
+        found: list[tuple[int, int, int]] = []
+        need, size, tried = coverage * len(template), len(template), set()
+        for n, (w, d) in enumerate(hits):
+            if d in tried or any(a <= w <= b for a, b, _ in found):
+                continue
+            # Diagonals of later hits that an insertion of up to a template's length explains.
+            near = takewhile(lambda hit: hit[0] < d + 2 * size, islice(hits, n + 1, None))  # noqa: B023
+            further = sorted({e for _, e in near if d + BAND < e <= d + size})
+            before = max([lo, *(b + 1 for _, b, _ in found if b < w)])
+            for top in [d, *further]:
+                begin, end = max(before, d - BAND), min(hi, top + size + BAND + 1)
+                pairs = align(template, h[begin:end], d - BAND - begin, top + BAND - begin)
+                if len(pairs) >= need:
+                    # The narrowest band that gives as much keeps to this occurrence.
+                    tight = (align(template, h[begin:end], d - band - begin, top + band - begin) for band in (0, 1, 2, 4))
+                    pairs = next((p for p in tight if len(p) == len(pairs)), pairs)
+                    found.append((begin + pairs[0][1], begin + pairs[-1][1], len(pairs)))
+                    break
+            else:
+                tried.add(d)
+        return found
 
     def scan(self, h: np.ndarray, text: np.ndarray, coverage: float = COVERAGE) -> list[tuple[int, int, int, int, int]]:
         """(text, template, first word, last word, matched) for all matches; words are numbered over all texts."""
-        key, at = fingerprints(h, text)
-        if not len(key) or not len(self.keys):
-            return []
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[k] == key
-        diagonals = defaultdict(list)
-        for i, w in zip(k[hit].tolist(), at[hit].tolist(), strict=True):
-            for e in range(self.first[i], self.first[i + 1]):
-                diagonals[int(text[w]), int(self.template[e])].append(w - int(self.place[e]))
         found = []
-        bounds = {}
-        for (t, m), starts in diagonals.items():
-            lo, hi = bounds.setdefault(t, (int(np.searchsorted(text, t)), int(np.searchsorted(text, t, "right"))))
-            tried = None
-            for d in sorted(set(starts)):
-                if tried is not None and d - tried <= BAND:
-                    continue
-                tried = d
-                begin, end = max(lo, d - BAND), min(hi, d + len(self.words[m]) + BAND + 1)
-                pairs = align(self.words[m], h[begin:end], d - begin)
-                if len(pairs) >= coverage * len(self.words[m]):
-                    found.append((t, m, begin + pairs[0][1], begin + pairs[-1][1], len(pairs)))
+        for (t, m), hits in self.hits(h, text).items():
+            lo, hi = (int(np.searchsorted(text, t, side)) for side in ("left", "right"))
+            found += [(t, m, *f) for f in self.matches(h, lo, hi, self.words[m], hits, coverage)]
         # Of matches that overlap, the one with the most matched words stays.
         kept: list[tuple[int, int, int, int, int]] = []
         last: dict[int, list] = defaultdict(list)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -50,7 +51,41 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(frame, None).collect()} == {"und"}
 
 
-def test_network_gradients():
+def brute_network(m, window):
+    """The network's probabilities of one window, by loops."""
+    E, K, b, D, c = (m.w[k].astype(float) for k in ("E", "K", "b", "D", "c"))
+    n, h = m.window, []
+    for f in range(len(b)):
+        width, best = m.widths[f // m.filters], -math.inf
+        for at in range(n):
+            z = sum(float(E[window[at + k]] @ K[k * m.embed : (k + 1) * m.embed, f]) for k in range(width) if at + k < n)
+            best = max(best, z)
+        h.append(max(best + b[f], 0.0))
+    z = [sum(h[f] * D[f, o] for f in range(len(h))) + c[o] for o in range(len(c))]
+    e = [math.exp(v - max(z)) for v in z]
+    return np.array(e) / sum(e)
+
+
+def test_network_matches_loops():
+    rng = np.random.default_rng(2)
+    m = langid.ByteCNN(["a", "b", "c"], window=20, filters=3, embed=4)
+    m.w["b"] = rng.normal(size=9).astype(np.float32)
+    x = rng.integers(1, 255, (7, 20)).astype(np.uint8)
+    x[3, 5:] = 0
+    got = m.predict(x)
+    for i, row in enumerate(x):
+        assert got[i] == pytest.approx(brute_network(m, row), abs=1e-5)
+    # Whole texts: the mean over windows that cover all bytes, by their bytes.
+    texts = [b"", b"abc", bytes(range(1, 48)), b"x" * 40]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    scores = langid.score_texts(m, data, offsets)
+    for t, s in zip(texts, scores, strict=True):
+        parts = [t[i : i + 20] for i in range(0, len(t), 20)]
+        want = sum((len(p) * brute_network(m, np.frombuffer(p.ljust(20, b"\0"), np.uint8)) for p in parts), np.zeros(3)) / max(1, len(t))
+        assert s == pytest.approx(want, abs=1e-5)
+
+
+def test_network_learns():
     rng = np.random.default_rng(0)
     x, y = rng.integers(1, 255, (40, 32)).astype(np.uint8), rng.integers(0, 2, 40)
     x[y == 1, 3:6] = [9, 8, 7]
@@ -58,6 +93,53 @@ def test_network_gradients():
     assert (m.predict(x).argmax(1) == y).mean() > 0.9
 
 
+def test_network_gradients():
+    """Against finite differences."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(1, 255, (6, 16)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0])
+    make = lambda: langid.ByteCNN(["a", "b"], window=16, filters=2, embed=3)
+    m = make()
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    grads = m.gradients(x, y)
+    loss = lambda: -np.log(m.predict(x)[np.arange(6), y]).mean()
+    for k, g in grads.items():
+        flat = m.w[k].reshape(-1)
+        for i in rng.choice(len(flat), min(12, len(flat)), False):
+            if k == "E" and i < 3 or k == "K" and not m._mask().reshape(-1)[i]:
+                continue
+            kept, e = flat[i], 1e-5
+            flat[i] = kept + e
+            up = loss()
+            flat[i] = kept - e
+            down = loss()
+            flat[i] = kept
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / (2 * e), abs=2e-4), (k, i)
+
+
+def test_language_id_of_repeated_rows_null_ids_and_ties(spark):
+    rows = [(None, "the and of to"), (None, "the and of to"), (4, "der die und das"), (4, "der die und das"), (4, None)]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    flat = langid.ByteCNN(["de", "en"])
+    flat.w = {k: np.zeros_like(v) for k, v in flat.w.items()}
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.identify(frame, flat).collect()), key=str)
+    assert got == sorted([(None, "de", 0.5), (None, "de", 0.5), (4, "de", 0.5), (4, "de", 0.5), (4, "und", 0.0)], key=str)
+    carried = langid.identify(frame, flat, carry=("text", "lang")).collect()
+    assert sorted(((r.doc_id, r.text, r.lang) for r in carried), key=str) == sorted(((i, t, "en") for i, t in rows), key=str)
+
+
+def test_language_id_draws_few_of_many_rows_with_one_id(spark):
+    one, other = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    frame = spark.createDataFrame([(one, f"the and of to {i % 400}", "en", i) for i in range(2000)] + [(other, "der die und das", "de", 0)], "doc_id long, text string, lang string, n int")
+    seen = []
+    fit = langid.ByteCNN.fit
+    try:
+        langid.ByteCNN.fit = lambda self, x, y, **k: seen.append(len(x)) or self
+        langid.train(frame, docs_per_language=50, windows_per_doc=1)
+    finally:
+        langid.ByteCNN.fit = fit
+    assert seen[0] <= 120
+
+
 def test_quality_learns_from_positives_and_unlabelled(spark):
     rng = random.Random(2)
     good = lambda: prose(rng, EN, rng.randint(20, 90))
@@ -79,6 +161,70 @@ def test_non_negative_risk_keeps_positives_inside_the_unlabelled_set():
     assert (m.score(p) > 0.5).mean() > 0.95 and (m.score(n) < 0.5).mean() > 0.9
 
 
+def test_risk_gradients():
+    """Against finite differences: the whole risk's, and where the negative part is below zero that part's, turned round."""
+    rng, seen = np.random.default_rng(5), set()
+    for prior in (None, 0.3, 0.9):
+        for shift in (0.0, 2.0, 5.0):
+            z = rng.normal(size=12)
+            z[:5] += shift
+            value, step = quality.risk(z, 5, prior)
+            loss = lambda z, s: np.log1p(np.exp(-s * z)).mean()
+            negative = lambda z: loss(z[5:], -1) - (prior or 0) * loss(z[:5], -1)
+            below = prior is not None and negative(z) < 0
+            seen.add(below)
+            if prior is None:
+                target = lambda z: loss(z[:5], 1) + loss(z[5:], -1)
+            elif below:
+                target = lambda z: -negative(z)
+            else:
+                target = lambda z: prior * loss(z[:5], 1) + negative(z)
+            assert value == pytest.approx(prior * loss(z[:5], 1) if below else target(z))
+            for i in range(12):
+                e = np.zeros(12)
+                e[i] = 1e-6
+                assert step[i] == pytest.approx((target(z + e) - target(z - e)) / 2e-6, abs=1e-6)
+    assert seen == {False, True}
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(6)
+    for share in (0.3, 0.7):
+        p = rng.normal(1, 0.6, (900, 4))
+        u = np.concatenate([rng.normal(1, 0.6, (int(2000 * share), 4)), rng.normal(-1, 0.6, (2000 - int(2000 * share), 4))])
+        assert quality.estimate_prior(p, u) == pytest.approx(share, abs=0.06)
+    assert quality.estimate_prior(p[:1], u[:1]) == 0.5
+
+
+def brute_features(text):
+    raw = (text or "").encode()
+    n = max(1, len(raw))
+    one = [math.sqrt(raw.count(bytes([b])) / n) for b in range(256)]
+    pair = collections.Counter((a * 37 + b * 151) % quality.PAIRS for a, b in zip(raw, raw[1:], strict=False))
+    return one + [math.sqrt(pair[k] / n) for k in range(quality.PAIRS)]
+
+
+def test_quality_features_and_scores_match_loops(spark):
+    texts = ["The cat, the cat.", "", None, "a", "Ünïcode 漢字 12 12", "x" * 500]
+    data = [(t or "").encode() for t in texts]
+    got = quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for row, t in zip(got, texts, strict=True):
+        assert row[: 256 + quality.PAIRS] == pytest.approx(brute_features(t), abs=1e-6)
+    rng = np.random.default_rng(7)
+    m = quality.PUModel(*(rng.normal(size=s).astype(np.float32) for s in (quality.FEATURES,)), np.ones(quality.FEATURES, np.float32), rng.normal(size=(quality.FEATURES, 4)).astype(np.float32), rng.normal(size=4).astype(np.float32), rng.normal(size=4).astype(np.float32), 0.1)
+    rows = [(i if i else None, t) for i, t in enumerate(texts)] + [(1, ""), (1, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = quality.score(frame, m).collect()
+    assert len(scored) == len(rows)
+    assert sorted(str(r.doc_id) for r in scored) == sorted(str(i) for i, _ in rows)
+    want = collections.defaultdict(set)
+    for (i, t), x in zip(rows, np.concatenate([got, got[1:2], got[1:2]]), strict=True):
+        z = sum(math.tanh(sum((float(x[f]) - float(m.mean[f])) * float(m.a[f, h]) for f in range(quality.FEATURES)) + float(m.b[h])) * float(m.c[h]) for h in range(4)) + m.d
+        want[i].add(round(1 / (1 + math.exp(-z)), 4))
+    for r in scored:
+        assert any(abs(r.score - w) < 2e-3 for w in want[r.doc_id]) and r.predicted == int(r.score >= 0.5)
+
+
 def brute_lm(texts, folds=10, fold=0):
     """Scores by following the definition for each token, with dictionaries."""
     toks = [(t or "").encode().lower().split() + [None] for t in texts]
@@ -147,7 +293,7 @@ def _next(h, w, lex, two):
 def test_language_model_matches_brute_force(spark):
     rng = random.Random(3)
     texts = [prose(rng, EN, rng.randint(1, 60)) + rng.choice(["", " rare%d" % i]) for i in range(120)] + ["The AND of\x0bto\x0cin", *ODD, "the and " * 4000]
-    frame = docs_of(spark, texts).repartition(3)
+    frame = docs_of(spark, texts).repartition(3, F.rand())  # dealt anew whenever it is evaluated
     got = {r.doc_id: r for r in lm.score(frame, lm.train(frame)).collect()}
     for i, (tokens, known, n, base, score) in enumerate(brute_lm(texts)):
         r = got[i]
@@ -156,6 +302,15 @@ def test_language_model_matches_brute_force(spark):
     assert lm.score(frame.limit(0), lm.train(frame.limit(0))).count() == 0
 
 
+def test_language_model_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "the and of"), (None, "the and of"), (3, "to in that"), (3, "to in that"), (3, None), (None, "")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, run int, score int")
+    got = lm.score(frame, lm.train(frame)).collect()
+    assert sorted(str((r.doc_id, r.n_tokens, r.held_out)) for r in got) == sorted(str((i, len((t or "").split()) + 1, False)) for i, t in rows)
+    assert {r.train_tokens for r in got} == {18}
+    assert len({(str(r.doc_id), r.n_tokens, round(r.score, 9), round(r.base_score, 9)) for r in got}) == 4
+
+
 def test_language_model_keeps_ngrams_whose_share_is_small(spark):
     """Two occurrences in 260,000 tokens: the order of the words still counts, as it does in a small table."""
     learn = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
@@ -191,6 +346,70 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def brute_lcs(template, words):
+    """The most words of the template, in order, among the words."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        new = [0]
+        for j, w in enumerate(words, 1):
+            new.append(max(row[j], new[-1], row[j - 1] + (w == t)))
+        row = new
+    return row[-1]
+
+
+def words_of(text):
+    return re.findall(r"[0-9a-z\x80-\xff]+", (text or "").encode().lower().decode("latin-1"))
+
+
+def test_licenses_match_a_full_dynamic_programme(spark):
+    """One edited notice at most per text: it is reported just if the full table has enough matched words."""
+    rng = random.Random(13)
+    filler = [f"filler{i}" for i in range(50)]
+    names = sorted(licenses.TEMPLATES)
+    texts, sources = [], []
+    for n in range(160):
+        name = names[n % len(names)]
+        body = words_of(licenses.TEMPLATES[name])
+        if n % 4:
+            for _ in range(rng.randint(0, max(1, len(body) // 4))):
+                at = rng.randrange(len(body))
+                body[at : at + 1] = rng.choice([[], ["zz"], [body[at], "yy"]])
+        if n % 4 == 3 and len(body) > 30:
+            at = len(body) // 2
+            body[at:at] = [rng.choice(filler) for _ in range(rng.randint(9, 20))]
+        texts.append(" ".join([*(rng.choice(filler) for _ in range(rng.randint(0, 40))), *body, *(rng.choice(filler) for _ in range(rng.randint(0, 40)))]))
+        sources.append(name)
+    got = collections.defaultdict(list)
+    for r in licenses.scan(docs_of(spark, [*texts, texts[0], texts[0]])).collect():
+        got[r.doc_id].append(r)
+    templates = {n: words_of(licenses.TEMPLATES[n]) for n in names}
+    missed = 0
+    for i, (text, name) in enumerate(zip(texts, sources, strict=True)):
+        most = {n: brute_lcs(templates[n], words_of(text)) / len(templates[n]) for n in names}
+        for r in got[i]:
+            assert r.coverage <= most[r.license] + 1e-12 and r.matched_words == round(r.coverage * r.template_words)
+            assert brute_lcs(templates[r.license], words_of(text[r.start : r.end])) == r.matched_words
+        if most[name] >= licenses.COVERAGE and name not in {r.license for r in got[i]}:
+            # Only a notice inside a longer one that has more words may give way.
+            missed += not any(r.matched_words >= most[name] * len(templates[name]) for r in got[i])
+        assert all(most[r.license] >= licenses.COVERAGE for r in got[i])
+    assert missed <= 2  # a fingerprint is no promise where every run of words is broken
+    assert len(got[160]) == len(got[161]) == len(got[0])
+
+
+def test_licenses_one_after_the_other(spark):
+    for name in ("mit-notice", "cc-by-nc-4.0-notice", "apache-2.0-notice", "gpl-3.0-notice"):
+        text = " ".join([licenses.TEMPLATES[name]] * 9)
+        got = licenses.scan(docs_of(spark, [text])).collect()
+        assert [r.license for r in got] == [name] * 9 and all(r.coverage == 1 for r in got)
+    near = licenses.scan(docs_of(spark, ["it was Released under an MIT License by us"])).collect()
+    assert [(r.license, r.matched_words) for r in near] == [("mit-notice", 4)]
+    mit = words_of(licenses.TEMPLATES["mit"])
+    parted = " ".join([*mit[:50], *["note"] * 30, *mit[50:]])
+    (r,) = licenses.scan(docs_of(spark, [parted])).collect()
+    assert (r.license, r.coverage, r.start, r.end) == ("mit", 1.0, 0, len(parted))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 24)).astype(np.float32)
@@ -234,6 +453,46 @@ def test_nearest_neighbours_of_small_and_uneven_tables(spark):
         assert hit >= least * 20 * len(got), (len(x), hit / (20 * len(got)))
 
 
+def test_probes_are_the_nearest_pairs_of_axes():
+    index, rng = ann.Index(24, 3), np.random.default_rng(1)
+    x = ann._unit(rng.normal(size=(70, 24)))
+    for t in range(3):
+        first, second = (index.nearness(x, t, nth) for nth in (0, 1))
+        sums = (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
+        for probes in (1, 7, 500, index.signed**2, 10**9):
+            got = index.probed(x, t, probes)
+            want = np.sort(sums, 1)[:, ::-1][:, : got.shape[1]]
+            assert np.allclose(np.sort(np.take_along_axis(sums, got, 1), 1)[:, ::-1], want) and all(len(set(r)) == len(r) for r in got.tolist())
+        assert (index.own(x, t) == sums.argmax(1)).all()
+        ranks = index.rank(x[0], x, t)
+        # Of sums that are equal but for rounding, either may come first.
+        assert all(abs(r - 1 - (sums[0] > sums[0, b]).sum()) <= 2 for r, b in zip(ranks, index.own(x, t), strict=True))
+
+
+def test_nearest_neighbours_read_few_vectors_where_neighbours_are_near(spark):
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=(60, 32))
+    x = (centre[rng.integers(0, 60, 3000)] + 0.45 * rng.normal(size=(3000, 32))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    rows, is_query = frame.select("vec_id", F.col("embedding").alias("v")), F.col("vec_id") % 20 == 0
+    index = ann.Index(32)
+    probes = ann._probes(index, rows, rows.filter(is_query), 32, None, 20, 64, 0.92)
+    got = collections.defaultdict(set)
+    for r in ann.search(frame, is_query).collect():
+        got[r.query_id].add(r.vec_id)
+    unit, d = ann._unit(x), x.astype(np.float64)
+    met, hit = np.zeros((150, 3000), bool), 0
+    for t in range(index.tables):
+        own = index.own(unit, t)
+        for n, asked in enumerate(index.probed(unit[::20], t, probes)):
+            met[n] |= np.isin(own, asked)
+    for n, q in enumerate(range(0, 3000, 20)):
+        s = d @ d[q]
+        hit += len(set([i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]) & got[q])
+    assert hit >= 0.9 * 20 * 150 and met.mean() < 0.1
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 24)).astype(np.float32)
     assert np.allclose(np.linalg.norm(ann.Index(24).rotated(x, 3), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
