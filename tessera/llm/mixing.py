@@ -2,29 +2,33 @@
 
 1. Targets.  Sources in code point order (null last) have weights; together they share a budget of
    words in proportion, no source above ``most`` times its own size, the excess reshared by weight.
-2. Cells.  A source's documents are dealt by a hash into cells of about ``cell_words`` words.  Cells
-   with the same number over all sources are a shard.  In a cell, documents lie end to end in hash
-   order and are cut into blocks of nearly equal words, about ``block_words`` each.
+2. Cells.  A hash deals all documents into shards of about ``shard_words`` words.  A source's documents
+   in a shard are a cell, so a shard has cells of all sources that are large enough.  In a cell,
+   documents lie end to end in hash order and are cut into blocks of nearly equal words, about
+   ``block_words`` each.
 3. Quotas.  In each shard, blocks go to the cells by highest quotients v / (2k - 1), where v is the
    number of blocks that a cell's target amounts to: integer quotas per shard.
 4. Selection.  A quota of q over B blocks takes each block q div B times, and q mod B of them once
    more, those with the least seeded hashes.  A document takes the words it has in taken blocks.
 
-A cell is bounded whatever a source's share of the rows is, so no task holds a source.  Everything is
-built from DataFrame functions.
+A cell is bounded whatever a source's share of the rows is, so no task holds a source.  Blocks are drawn
+where the documents of their cells are, so nothing that grows with the input is broadcast.  Everything
+is built from DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, checkpoint, text_or_empty, unit_hash
+from tessera.llm.common import WORD, stored, text_or_empty, unit_hash
 
 #: Weights of the sources, in order and repeating.
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 128
-CELL_WORDS = 65_536
+SHARD_WORDS = 1 << 20
 #: The share of a source's small table that meets each row is dealt over so many salts.
 _SALTS = 32
 
@@ -55,13 +59,13 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def _cells(sized: DataFrame, goal: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """One row per cell: source, cell, words, blocks and times, which says how often each block is taken."""
-    cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_words")).filter("cell_words > 0")
-    joined = cells.join(goal, cells["source"].eqNullSafe(goal["source"])).select(cells["source"], "cell", "cell_words", "source_size", "target")
+    """One row per cell: of (its source's name), at, cell_words, blocks and times, which says how often each block is taken."""
+    cells = sized.groupBy("name", "cell").agg(F.sum("size").alias("cell_words")).filter("cell_words > 0")
+    joined = cells.join(goal.select("name", "source_size", "target"), "name")
     blocks = F.ceil(F.col("cell_words") / block_words).cast("long")
     # v in millionths of a block: sums of integers don't depend on their order.
     v = F.round(F.col("target") / F.col("source_size") * blocks * 1_000_000).cast("long")
-    sized_cells = joined.select("source", "cell", "cell_words", blocks.alias("blocks"), v.alias("v"))
+    sized_cells = joined.select("name", "cell", "cell_words", blocks.alias("blocks"), v.alias("v"))
     shard = Window.partitionBy("cell")
     seats = sized_cells.withColumn("n", F.count(F.lit(1)).over(shard)).withColumn("total", F.round(F.sum("v").over(shard) / 1_000_000).cast("long"))
     # The k-th quotient of a cell is among the highest for sure, or not at all, if k is further from v than
@@ -74,20 +78,33 @@ def _cells(sized: DataFrame, goal: DataFrame, block_words: int, seed: int) -> Da
         seats.withColumn("fixed", F.sum("sure").over(shard))
         .filter("last > sure")
         .withColumn("k", F.explode(F.sequence(F.col("sure") + 1, F.col("last"))))
-        .withColumn("rank", F.row_number().over(shard.orderBy((F.col("v") / (2 * F.col("k") - 1)).desc(), F.col("source").asc_nulls_last(), "k")))
+        .withColumn("rank", F.row_number().over(shard.orderBy((F.col("v") / (2 * F.col("k") - 1)).desc(), _last_first("name"), "k")))
         .withColumn("won", F.when((F.col("rank") <= F.col("total") - F.col("fixed")) & (F.col("v") > 0), 1).otherwise(0))
     )
-    quotas = rivals.groupBy("source", "cell").agg(F.first("cell_words").alias("cell_words"), F.first("blocks").alias("blocks"), (F.first("sure") + F.sum("won")).alias("quota"))
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: unit_hash(seed, name, F.col("cell"), j))
+    quotas = rivals.groupBy("name", "cell").agg(F.first("cell_words").alias("cell_words"), F.first("blocks").alias("blocks"), (F.first("sure") + F.sum("won")).alias("quota"))
+    # The quotas are a few bytes, their blocks' draws are most of the work: a stated number of partitions keeps them apart.
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: unit_hash(seed, F.col("name"), F.col("cell"), j))
     more = (F.col("quota") % F.col("blocks")).cast("int")
-    limit = F.when(more > 0, F.element_at(F.array_sort("draws"), F.greatest(more, F.lit(1)))).otherwise(F.lit(-1))
-    return (
-        quotas.withColumn("draws", draws)
-        .withColumn("limit", limit)
-        .withColumn("times", F.transform("draws", lambda h: (F.floor(F.col("quota") / F.col("blocks")) + F.when(h <= F.col("limit"), 1).otherwise(0)).cast("int")))
-        .select("source", "cell", "cell_words", "blocks", "times")
-    )
+    limit = lambda d: F.when(more > 0, F.element_at(F.sort_array(d), F.greatest(more, F.lit(1)))).otherwise(F.lit(-1))
+    taken = lambda d, most: F.transform(d, lambda h: (F.floor(F.col("quota") / F.col("blocks")) + F.when(h <= most, 1).otherwise(0)).cast("int"))
+    times = _let(draws, lambda d: _let(limit(d), lambda most: taken(d, most)))
+    return quotas.repartition(parts, "name", "cell").withColumn("times", times).select(F.col("name").alias("of"), F.col("cell").alias("at"), "cell_words", "blocks", "times")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often and in whatever lambda body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _name(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _last_first(name: str) -> Column:
+    """Names in the order of their sources, the null one last."""
+    return F.when(F.col(name) != "n", F.col(name)).asc_nulls_last()
 
 
 def mix(
@@ -96,7 +113,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     block_words: int = BLOCK_WORDS,
-    cell_words: int = CELL_WORDS,
+    shard_words: int = SHARD_WORDS,
     seed: int = 11,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -109,22 +126,21 @@ def mix(
     """
     held = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)]
     base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(text_or_empty()).alias("digest"), *held)
-    sized = checkpoint(base.select("doc_id", "source", "size", "digest"))
-    goal = checkpoint(targets(sized, weights, share, most))
-    count = F.greatest(F.lit(1), F.floor(F.col("source_size") / cell_words)).cast("long")
-    salted = goal.select(F.col("source").alias("of"), "source_size", "target").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    sized = stored(base.select("doc_id", "source", "size", "digest"))
+    shards = F.greatest(F.lit(1), F.floor(F.sum("source_size").over(Window.partitionBy()) / shard_words)).cast("long")
+    goal = stored(targets(sized, weights, share, most).select(_name(F.col("source")).alias("name"), "source_size", "target", shards.alias("shards")))
+    salted = goal.withColumnRenamed("name", "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("h", unit_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+        rows = rows.withColumn("h", unit_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("name", _name(F.col("source")))
         rows = rows.withColumn("salt", (F.col("h") % _SALTS).cast("int"))
-        both = rows["source"].eqNullSafe(salted["of"]) & (rows["salt"] == salted["salt"])
-        return rows.join(salted, both).drop("of", "salt").withColumn("cell", F.floor(F.col("h") / _SALTS).cast("long") % count)
+        both = (rows["name"] == salted["of"]) & (rows["salt"] == salted["salt"])
+        return rows.join(salted, both).drop("of", "salt").withColumn("cell", F.floor(F.col("h") / _SALTS).cast("long") % F.col("shards"))
 
     cells = _cells(dealt(sized), goal, block_words, seed)
-    lying = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    lying = Window.partitionBy("name", "cell").orderBy("h", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt(base if carry else sized).withColumn("start", F.coalesce(F.sum("size").over(lying), F.lit(0)))
-    cells = cells.select(F.col("source").alias("of"), F.col("cell").alias("at"), "cell_words", "blocks", "times")
-    found = placed.join(cells, placed["source"].eqNullSafe(cells["of"]) & (placed["cell"] == cells["at"]), "left")
+    found = placed.join(cells.hint("shuffle_merge"), (placed["name"] == cells["of"]) & (placed["cell"] == cells["at"]), "left")
     # Block j covers the words from ceil(j * cell_words / blocks) on.
     begins = lambda j: F.ceil(j * F.col("cell_words") / F.col("blocks")).cast("long")
     end = F.col("start") + F.col("size")
@@ -158,8 +174,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     inside = F.filter("spans", lambda s: s["times"] >= F.col("pass"))
     rows = rows.withColumn("inside", inside).withColumn("n", F.aggregate("inside", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]))
     pieces = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("inside", lambda s: F.slice(F.col("pieces"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), "")
-    rows = rows.withColumn("pieces", F.when(F.col("n") < F.col("size"), pieces)).withColumn("new", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col("row.text")))
+    cut = _let(pieces, lambda p: F.array_join(F.flatten(F.transform("inside", lambda s: F.slice(p, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), ""))
+    rows = rows.withColumn("new", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col("row.text")))
     out = []
     for f in docs.schema.fields:
         if f.name == "text":

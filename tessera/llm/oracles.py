@@ -70,7 +70,7 @@ levels AS (
 goal AS (
   SELECT source, source_size, least(cap, coalesce(w * (SELECT lvl FROM levels WHERE cap / w > lvl ORDER BY cap / w LIMIT 1), cap)) target FROM levels),
 dealt AS (
-  SELECT s.*, source_size, target, (h // 32) % greatest(1, source_size // 65536) cell
+  SELECT s.*, source_size, target, (h // 32) % greatest(1, (SELECT sum(source_size)::BIGINT FROM goal) // 1048576) cell
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source, cell ORDER BY h, doc_id, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM dealt),
