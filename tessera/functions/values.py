@@ -86,6 +86,11 @@ def parse_value(raw: Column, arm_n: Column | None = None) -> Column:
     """
     t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
     n = F.lit(None).cast("double") if arm_n is None else arm_n.cast("double")
+    # Bound in a lambda, the text is trimmed once, and the long CASE is evaluated as it is instead of as generated code of its length.
+    return F.element_at(F.transform(F.array(F.struct(t.alias("t"), n.alias("n"))), lambda x: _parsed(x["t"], x["n"])), 1)
+
+
+def _parsed(t: Column, n: Column) -> Column:
     out = F.when(t.rlike(rf"^{_DASH}+$"), _result("dash_placeholder", "Text", {}, EXCLUDED, True)).when((t == "") | F.upper(t).isin(*EMPTY), _result("empty_or_na", "Text", {}, EXCLUDED, True))
     out = out.when(t.rlike(r"^\p{Lu}$"), _result("letter_code", "CodedExclusion", {}, SURE, True))
     for rule, pattern, kind, fields, confidence in RULES:
