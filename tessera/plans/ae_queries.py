@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import classify, stage5, stats
 from tessera.functions.correlation import p_value, pair_correlations
 from tessera.operators.relops import positions, top1_per_key
-from tessera.plans.domain import TABLES, with_tables
+from tessera.plans.domain import TABLES, tables, with_tables
 from tessera.plans.registry import query
 from tessera.session import ship_package, table
 
@@ -201,3 +201,39 @@ def ae_heatmap(spark, sf_dir):
     return m.select("seg", "nat", F.round("v", 4).alias("v"), "n", axis("seg").alias("row_index"), axis("nat").alias("col_index"))
 
 
+
+
+_LABELS = ("Product", "Section", "Ingredient", "IngredientSubstance")
+_CATALOG = (_COHORTS + _NN).replace(with_tables("Line"), with_tables("Line", *_LABELS), 1)
+
+
+@query("ae_catalog", _CATALOG + """, doc AS (SELECT 'doc-' || DocumentID DocumentGUID, ProductID, ProductName FROM Product JOIN Section USING (SectionID)),
+first_product AS (SELECT DocumentGUID, min_by(ProductName, ProductID) ProductName, count(*) Products FROM doc GROUP BY 1),
+active AS (SELECT DocumentGUID, string_agg(DISTINCT UNII, '+' ORDER BY UNII) UNII FROM doc JOIN Ingredient USING (ProductID) JOIN IngredientSubstance USING (IngredientSubstanceID) WHERE ClassCode <> 'IACT' AND UNII IS NOT NULL GROUP BY 1)
+SELECT DocumentGUID, ProductName, Products, UNII, coalesce(contains(UNII, '+'), false) IsCombo, CASE WHEN contains(UNII, '+') THEN 'Combo' WHEN UNII IS NOT NULL THEN 'Mono' ELSE 'Unknown' END Kind,
+ count(*) RowCount, sum(CASE WHEN sg = 'Elevated' THEN 1 ELSE 0 END)::BIGINT ElevatedCount, count(DISTINCT kn) TermCount FROM tiers JOIN first_product USING (DocumentGUID) LEFT JOIN active USING (DocumentGUID) GROUP BY ALL""")
+def ae_catalog(spark, sf_dir):
+    """One row per document with signals: its first product, its active substances joined by +, whether they are several, and its counts."""
+    t = tables(spark, sf_dir)
+    docs = t["Product"].join(t["Section"].select("SectionID", F.concat(F.lit("doc-"), F.col("DocumentID").cast("string")).alias("DocumentGUID")), "SectionID").select("DocumentGUID", "ProductID", "ProductName")
+    first = docs.groupBy("DocumentGUID").agg(F.min_by("ProductName", "ProductID").alias("ProductName"), F.count(F.lit(1)).alias("Products"))
+    active = docs.join(t["Ingredient"].filter("ClassCode <> 'IACT'"), "ProductID").join(t["IngredientSubstance"].filter("UNII is not null"), "IngredientSubstanceID")
+    active = active.groupBy("DocumentGUID").agg(F.array_join(F.array_sort(F.collect_set("UNII")), "+").alias("UNII"))
+    s = signals(spark, sf_dir).groupBy("DocumentGUID").agg(F.count(F.lit(1)).alias("RowCount"), F.sum(F.when(F.col("Significance") == "Elevated", 1).otherwise(0)).alias("ElevatedCount"), F.countDistinct("Term").alias("TermCount"))
+    several = F.coalesce(F.contains("UNII", F.lit("+")), F.lit(False))
+    kind = F.when(several, "Combo").when(F.col("UNII").isNotNull(), "Mono").otherwise("Unknown")
+    return s.join(first, "DocumentGUID").join(active, "DocumentGUID", "left").select("DocumentGUID", "ProductName", "Products", "UNII", several.alias("IsCombo"), kind.alias("Kind"), "RowCount", "ElevatedCount", "TermCount")
+
+
+@query("ae_most_powered_by_kind", _CATALOG + """, doc AS (SELECT 'doc-' || DocumentID DocumentGUID, ProductID FROM Product JOIN Section USING (SectionID)),
+active AS (SELECT DocumentGUID, count(DISTINCT UNII) n FROM doc JOIN Ingredient USING (ProductID) JOIN IngredientSubstance USING (IngredientSubstanceID) WHERE ClassCode <> 'IACT' AND UNII IS NOT NULL GROUP BY 1),
+r AS (SELECT kn Term, CASE WHEN n > 1 THEN 'Combo' ELSE 'Mono' END Kind, DocumentGUID, id, ArmN, rr, row_number() OVER (PARTITION BY kn, n > 1 ORDER BY ArmN DESC, rr DESC, DocumentGUID, id) nth FROM tiers JOIN active USING (DocumentGUID))
+SELECT Term, Kind, DocumentGUID, id, ArmN::DOUBLE ArmN, round(rr, 6) RR FROM r WHERE nth = 1""")
+def ae_most_powered_by_kind(spark, sf_dir):
+    """Per term, and single or several substances: the signal with the largest arm, then the highest risk."""
+    t = tables(spark, sf_dir)
+    docs = t["Product"].join(t["Section"].select("SectionID", F.concat(F.lit("doc-"), F.col("DocumentID").cast("string")).alias("DocumentGUID")), "SectionID").select("DocumentGUID", "ProductID")
+    active = docs.join(t["Ingredient"].filter("ClassCode <> 'IACT'"), "ProductID").join(t["IngredientSubstance"].filter("UNII is not null"), "IngredientSubstanceID").groupBy("DocumentGUID").agg(F.countDistinct("UNII").alias("n"))
+    rows = signals(spark, sf_dir).join(active, "DocumentGUID").withColumn("Kind", F.when(F.col("n") > 1, "Combo").otherwise("Mono"))
+    best = top1_per_key(rows, ["Term", "Kind"], [F.col("ArmN").desc(), F.col("RR").desc(), F.col("DocumentGUID"), F.col("id")])
+    return best.select("Term", "Kind", "DocumentGUID", "id", F.col("ArmN").cast("double").alias("ArmN"), F.round("RR", 6).alias("RR"))

@@ -163,7 +163,8 @@ def products(t: Tables, text: str, at: Page = None) -> DataFrame:
 
 
 def related(t: Tables, product_id: int, kind: str | None = None) -> DataFrame:
-    rows = V.related_products(t).filter(F.col("SourceProductID") == product_id)
+    """The products that share an application number or an active substance with one product and have another name."""
+    rows = V.related_of(t, product_id)
     return _paged(rows.filter(F.col("RelationshipType") == kind) if kind else rows, ["RelationshipType", "RelatedProductID"], None)
 
 

@@ -191,18 +191,25 @@ def related_counts(t: Tables) -> DataFrame:
     return out
 
 
+def _pairs(left: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """The products of rows that share a value with those of left, under another name."""
+    left = left.select(F.col("ProductID").alias("SourceProductID"), F.col("ProductName").alias("SourceProductName"), "via").distinct()
+    right = rows.select(F.col("ProductID").alias("RelatedProductID"), F.col("ProductName").alias("RelatedProductName"), "via").distinct()
+    both = left.join(right, "via").filter((F.col("SourceProductID") != F.col("RelatedProductID")) & (F.col("SourceProductName") != F.col("RelatedProductName")))
+    return both.select("SourceProductID", "RelatedProductID", "RelatedProductName", F.col("via").alias("SharedValue"), F.lit(kind).alias("RelationshipType"))
+
+
 def related_products(t: Tables, application: str, unii: str) -> DataFrame:
     """Pairs of products that share one application number, and those that share one active substance."""
+    only = {"SameApplicationNumber": application, "SameActiveIngredient": unii}
+    one, two = (_pairs(f, f, kind) for kind, rows in _sharing(t).items() for f in [rows.filter(F.col("via") == only[kind])])
+    return one.unionByName(two)
 
-    def pairs(rows: DataFrame, kind: str, only: str) -> DataFrame:
-        rows = rows.filter(F.col("via") == only)
-        left = rows.select(F.col("ProductID").alias("SourceProductID"), F.col("ProductName").alias("SourceProductName"), "via")
-        right = rows.select(F.col("ProductID").alias("RelatedProductID"), F.col("ProductName").alias("RelatedProductName"), "via")
-        both = left.join(right, "via").filter((F.col("SourceProductID") != F.col("RelatedProductID")) & (F.col("SourceProductName") != F.col("RelatedProductName")))
-        return both.select("SourceProductID", "RelatedProductID", "RelatedProductName", F.col("via").alias("SharedValue"), F.lit(kind).alias("RelationshipType"))
 
-    sharing = _sharing(t)
-    return pairs(sharing["SameApplicationNumber"], "SameApplicationNumber", application).unionByName(pairs(sharing["SameActiveIngredient"], "SameActiveIngredient", unii))
+def related_of(t: Tables, product_id: int) -> DataFrame:
+    """One product's related products."""
+    one, two = (_pairs(rows.filter(F.col("ProductID") == product_id), rows, kind) for kind, rows in _sharing(t).items())
+    return one.unionByName(two)
 
 
 def section_content(t: Tables) -> DataFrame:

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tessera.plans import ae_queries, label_queries, misc_queries, picker_queries, risk_queries, standard_queries, table_queries  # noqa: E402,F401
+from tessera.plans import ae_queries, label_queries, misc_queries, picker_queries, risk_queries, search_queries, standard_queries, table_queries  # noqa: E402,F401

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from tessera.session import ship_package
 
 NS = "{urn:hl7-org:v3}"
-DOCUMENT = "DocumentGUID string, SetGUID string, VersionNumber int, EffectiveTime string, Title string, Labeler string"
-SECTION = "DocumentGUID string, SectionGUID string, ParentSectionGUID string, SectionCode string, Title string, Text string, Position int"
-PRODUCT = "DocumentGUID string, ProductName string, FormDisplayName string, NDC string, Ingredients array<struct<UNII:string,SubstanceName:string,ClassCode:string>>"
 
 
 def archives(spark: SparkSession, glob: str) -> DataFrame:
@@ -59,43 +56,116 @@ def _p(*names: str) -> str:
     return "/".join(NS + n for n in names)
 
 
-def _each(kind: str):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = {"document": DOCUMENT, "section": SECTION, "product": PRODUCT}[kind]
-        columns = ["DocumentGUID", "ProductName", "FormDisplayName", "NDC", "Ingredients"] if kind == "product" else [c.split()[0] for c in names.split(", ")]
-        for pdf in batches:
-            out = []
-            for xml in pdf.xml:
-                try:
-                    root = ElementTree.fromstring(xml)
-                except ElementTree.ParseError:
-                    continue
-                guid = _attr(root, NS + "id", "root")
-                if kind == "document":
-                    version = _attr(root, NS + "versionNumber", "value")
-                    org = root.find(_p("author", "assignedEntity", "representedOrganization", "name"))
-                    out.append((guid, _attr(root, NS + "setId", "root"), int(version) if version and version.isdigit() else None, _attr(root, NS + "effectiveTime", "value"), _text(root.find(NS + "title")), _text(org)))
-                elif kind == "section":
-                    stack = [(s, None) for s in reversed(root.findall(_p("component", "structuredBody", "component", "section")))]
-                    while stack:
-                        s, parent = stack.pop()
-                        own = _attr(s, NS + "id", "root")
-                        out.append((guid, own, parent, _attr(s, NS + "code", "code"), _text(s.find(NS + "title")), _text(s.find(NS + "text")), len(out)))
-                        stack += [(c, own) for c in reversed(s.findall(_p("component", "section")))]
-                else:
-                    for p in root.iter(NS + "manufacturedProduct"):
-                        if p.find(NS + "name") is None:
-                            continue
-                        ing = [{"UNII": _attr(i, _p("ingredientSubstance", "code"), "code"), "SubstanceName": _text(i.find(_p("ingredientSubstance", "name"))), "ClassCode": i.get("classCode")} for i in p.findall(NS + "ingredient")]
-                        out.append((guid, _text(p.find(NS + "name")), _attr(p, NS + "formCode", "displayName"), _attr(p, NS + "code", "code"), ing))
-            yield pd.DataFrame(out, columns=columns)
-
-    return work
+#: Elements of the label standard that become rows of their own: kind, tag, {field: (path below it, attribute or None for the text)}.
+#: A field whose path is empty is the element's own attribute.
+ELEMENTS = (
+    ("AuthorOrganization", "representedOrganization", {"Name": ("name", None), "Identifier": ("id", "extension"), "Root": ("id", "root")}),
+    ("AssignedOrganization", "assignedOrganization", {"Name": ("name", None), "Identifier": ("id", "extension")}),
+    ("BusinessOperation", "actDefinition", {"Code": ("code", "code"), "Name": ("code", "displayName"), "ProductCode": ("product/manufacturedProduct/manufacturedMaterialKind/code", "code")}),
+    ("DocumentRelationship", "relatedDocument", {"Type": ("", "typeCode"), "DocumentID": ("relatedDocument/id", "root"), "SetID": ("relatedDocument/setId", "root"), "Version": ("relatedDocument/versionNumber", "value")}),
+    ("Packaging", "asContent", {"Quantity": ("quantity/numerator", "value"), "Unit": ("quantity/numerator", "unit"), "PerQuantity": ("quantity/denominator", "value"), "Code": ("containerPackagedProduct/code", "code"), "Form": ("containerPackagedProduct/formCode", "displayName")}),
+    ("MarketingStatus", "marketingAct", {"Code": ("code", "code"), "Status": ("statusCode", "code"), "Start": ("effectiveTime/low", "value"), "End": ("effectiveTime/high", "value")}),
+    ("MarketingCategory", "approval", {"Number": ("id", "extension"), "Code": ("code", "code"), "Name": ("code", "displayName"), "Territory": ("author/territorialAuthority/territory/code", "code"), "Status": ("statusCode", "code"), "Start": ("effectiveTime/low", "value")}),
+    ("ProductCharacteristic", "characteristic", {"Code": ("code", "code"), "Value": ("value", "value"), "ValueCode": ("value", "code"), "ValueName": ("value", "displayName"), "Unit": ("value", "unit"), "Text": ("value/originalText", None)}),
+    ("ProductRelationship", "asEquivalentEntity", {"Code": ("code", "code"), "SourceCode": ("definingMaterialKind/code", "code")}),
+    ("GenericMedicine", "genericMedicine", {"Name": ("name", None)}),
+    ("Part", "partProduct", {"Name": ("name", None), "Code": ("code", "code"), "Form": ("formCode", "displayName")}),
+    ("Policy", "policy", {"Class": ("", "classCode"), "Code": ("code", "code"), "Name": ("code", "displayName")}),
+    ("Route", "substanceAdministration", {"Code": ("routeCode", "code"), "Name": ("routeCode", "displayName"), "DoseLow": ("doseQuantity/low", "value"), "Dose": ("doseQuantity", "value"), "DoseUnit": ("doseQuantity", "unit")}),
+    ("ActiveMoiety", "activeMoiety", {"UNII": ("code", "code"), "Name": ("name", None)}),
+    ("SectionMedia", "observationMedia", {"ID": ("", "ID"), "Text": ("text", None), "MediaType": ("value", "mediaType"), "File": ("value/reference", "value")}),
+    ("SectionIndexing", "identifiedSubstance", {"Code": ("code", "code"), "Name": ("name", None), "Kind": ("asSpecializedKind/generalizedMaterialKind/code", "code"), "KindName": ("asSpecializedKind/generalizedMaterialKind/code", "displayName")}),
+    ("LotDistribution", "productInstance", {"Lot": ("id", "extension"), "Expires": ("expirationTime/high", "value"), "Quantity": ("asInstanceOfKind/quantity", "value")}),
+    ("REMS", "protocol", {"Code": ("code", "code"), "Name": ("code", "displayName"), "Requirement": ("component/requirement/code", "code"), "RequirementName": ("component/requirement/code", "displayName")}),
+    ("ToleranceSpecification", "observationCriterion", {"Code": ("code", "code"), "Value": ("value", "value"), "High": ("value/high", "value"), "Unit": ("value/high", "unit")}),
+)
+_PRODUCTS = "array<struct<ProductName:string,FormDisplayName:string,NDC:string,Ingredients:array<struct<UNII:string,SubstanceName:string,ClassCode:string>>>>"
+PARSED = (
+    "DocumentGUID string, SetGUID string, VersionNumber int, EffectiveTime string, Title string, Labeler string, error string, "
+    "sections array<struct<SectionGUID:string,ParentSectionGUID:string,SectionCode:string,Title:string,Text:string,Position:int>>, products " + _PRODUCTS + ", elements array<struct<Kind:string,SectionGUID:string,Nth:int,Fields:map<string,string>>>"
+)
+_PARSED_NAMES = ("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler", "error", "sections", "products", "elements")
+
+
+def _sections(root) -> list[dict]:
+    out: list[dict] = []
+    stack = [(s, None) for s in reversed(root.findall(_p("component", "structuredBody", "component", "section")))]
+    while stack:
+        s, parent = stack.pop()
+        own = _attr(s, NS + "id", "root")
+        out.append({"SectionGUID": own, "ParentSectionGUID": parent, "SectionCode": _attr(s, NS + "code", "code"), "Title": _text(s.find(NS + "title")), "Text": _text(s.find(NS + "text")), "Position": len(out)})
+        stack += [(c, own) for c in reversed(s.findall(_p("component", "section")))]
+    return out
+
+
+def _products(root) -> list[dict]:
+    out = []
+    for p in root.iter(NS + "manufacturedProduct"):
+        if p.find(NS + "name") is not None:
+            found = [{"UNII": _attr(i, _p("ingredientSubstance", "code"), "code"), "SubstanceName": _text(i.find(_p("ingredientSubstance", "name"))), "ClassCode": i.get("classCode")} for i in p.findall(NS + "ingredient")]
+            out.append({"ProductName": _text(p.find(NS + "name")), "FormDisplayName": _attr(p, NS + "formCode", "displayName"), "NDC": _attr(p, NS + "code", "code"), "Ingredients": found})
+    return out
+
+
+def _elements(root) -> list[dict]:
+    """All elements of the known kinds in document order, with the innermost section that they stand in."""
+    kinds = {NS + tag: (kind, fields) for kind, tag, fields in ELEMENTS}
+    out: list[dict] = []
+    stack = [(root, None)]
+    while stack:
+        node, section = stack.pop()
+        if node.tag == NS + "section":
+            section = _attr(node, NS + "id", "root")
+        if node.tag in kinds:
+            kind, fields = kinds[node.tag]
+            got = {}
+            for name, (path, attribute) in fields.items():
+                at = node if not path else node.find(_p(*path.split("/")))
+                got[name] = None if at is None else at.get(attribute) if attribute else _text(at)
+            if any(v is not None for v in got.values()):
+                out.append({"Kind": kind, "SectionGUID": section, "Nth": len(out), "Fields": got})
+        stack += [(c, section) for c in reversed(node)]
+    return out
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for xml in pdf.xml:
+            try:
+                root = ElementTree.fromstring(xml or "")
+            except ElementTree.ParseError as e:
+                out.append((None, None, None, None, None, None, str(e), [], [], []))
+                continue
+            version = _attr(root, NS + "versionNumber", "value")
+            org = root.find(_p("author", "assignedEntity", "representedOrganization", "name"))
+            head = (_attr(root, NS + "id", "root"), _attr(root, NS + "setId", "root"), int(version) if version and version.isdigit() else None, _attr(root, NS + "effectiveTime", "value"), _text(root.find(NS + "title")), _text(org))
+            out.append((*head, None, _sections(root), _products(root), _elements(root)))
+        yield pd.DataFrame(out, columns=_PARSED_NAMES)
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """One row per text of a column ``xml``: the document's head, its sections, products and elements, or the error of what is no XML."""
+    return files.select("xml").mapInPandas(_parse, PARSED)
 
 
 def tables(files: DataFrame) -> dict[str, DataFrame]:
-    """Documents, sections and products of a column ``xml``; documents that can't be parsed give no rows."""
-    return {k: files.select("xml").mapInPandas(_each(k), schema) for k, schema in (("document", DOCUMENT), ("section", SECTION), ("product", PRODUCT))}
+    """Documents, sections, products, elements and rejected texts.  Each is a view of the one parse; store parsed() where several are read."""
+    return tables_of(parsed(files))
+
+
+def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of parsed rows."""
+    good = rows.filter("error is null")
+    split = lambda c: good.select("DocumentGUID", F.explode(c).alias("r")).select("DocumentGUID", "r.*")
+    return {"document": good.select("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler"), "section": split("sections"), "product": split("products"), "element": split("elements"), "rejected": rows.filter("error is not null").select("error")}
+
+
+def elements(t: dict[str, DataFrame], kind: str) -> DataFrame:
+    """The typed table of one kind of element: DocumentGUID, SectionGUID, Nth and the kind's fields."""
+    fields = next(f for k, _, f in ELEMENTS if k == kind)
+    rows = t["element"].filter(F.col("Kind") == kind)
+    return rows.select("DocumentGUID", "SectionGUID", "Nth", *[F.col("Fields")[f].alias(f) for f in fields])
 
 
 def _escape(col: Column) -> Column:
@@ -106,10 +176,25 @@ def _escape(col: Column) -> Column:
 
 
 def to_xml(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """(DocumentGUID, xml): documents with their top sections in order."""
-    one = F.concat(F.lit('<component><section><id root="'), _escape(F.col("SectionGUID")), F.lit('"/><code code="'), _escape(F.col("SectionCode")), F.lit('"/><title>'), _escape(F.col("Title")), F.lit("</title><text>"), _escape(F.col("Text")), F.lit("</text></section></component>"))
-    body = sections.filter("ParentSectionGUID is null").groupBy("DocumentGUID").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Position", one.alias("x")))), lambda s: s["x"]), "").alias("body"))
-    xml = F.concat(F.lit('<document xmlns="urn:hl7-org:v3"><id root="'), _escape(F.col("DocumentGUID")), F.lit('"/><title>'), _escape(F.col("Title")), F.lit('</title><setId root="'), _escape(F.col("SetGUID")), F.lit('"/><versionNumber value="'), F.col("VersionNumber").cast("string"), F.lit('"/><component><structuredBody>'), F.coalesce("body", F.lit("")), F.lit("</structuredBody></component></document>"))
+    """(DocumentGUID, xml): documents with their sections in order, nested as they were.
+
+    Sections stand in document order (Position), parents before their children.  A section's depth follows
+    from its ancestors; what has to be closed before a section is its predecessor's depth less its own.
+    """
+    links = F.map_from_entries(F.collect_list(F.struct(F.col("SectionGUID"), F.coalesce("ParentSectionGUID", F.lit("")))))
+    rows = F.array_sort(F.collect_list(F.struct("Position", "SectionGUID", "ParentSectionGUID", "SectionCode", "Title", "Text")))
+    grouped = sections.filter("SectionGUID is not null").groupBy("DocumentGUID").agg(rows.alias("rows"), links.alias("up"))
+    # Depth by following parents, as deep as there are sections at most.
+    step = lambda state, _: F.when(F.coalesce(F.try_element_at(F.col("up"), state["at"]), F.lit("")) == "", state).otherwise(F.struct(F.coalesce(F.try_element_at(F.col("up"), state["at"]), F.lit("")).alias("at"), (state["depth"] + 1).alias("depth")))
+    depth = lambda guid: F.aggregate("rows", F.struct(guid.alias("at"), F.lit(1).alias("depth")), step)["depth"]
+    deep = grouped.withColumn("depths", F.transform("rows", lambda r: depth(r["SectionGUID"])))
+    held = lambda start, col, end: F.coalesce(F.concat(F.lit(start), F.when(col.isNotNull(), _escape(col)), F.lit(end)), F.lit(""))
+    open_ = lambda r: F.concat(F.lit('<component><section><id root="'), _escape(r["SectionGUID"]), F.lit('"/>'), held('<code code="', r["SectionCode"], '"/>'), held("<title>", r["Title"], "</title>"), held("<text>", r["Text"], "</text>"))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("depths", F.greatest(i, F.lit(1))))
+    close = "</section></component>"
+    parts = F.transform("rows", lambda r, i: F.concat(F.repeat(F.lit(close), F.greatest(F.lit(0), before(i) - F.element_at("depths", i + 1) + 1).cast("int")), open_(r)))
+    body = deep.select("DocumentGUID", F.concat(F.array_join(parts, ""), F.repeat(F.lit(close), F.coalesce(F.try_element_at("depths", F.lit(-1)), F.lit(0)))).alias("body"))
+    xml = F.concat(F.lit('<document xmlns="urn:hl7-org:v3"><id root="'), _escape(F.col("DocumentGUID")), F.lit('"/><title>'), _escape(F.col("Title")), F.lit('</title><setId root="'), _escape(F.col("SetGUID")), F.lit('"/><versionNumber value="'), F.coalesce(F.col("VersionNumber").cast("string"), F.lit("")), F.lit('"/><component><structuredBody>'), F.coalesce("body", F.lit("")), F.lit("</structuredBody></component></document>"))
     return documents.join(body, "DocumentGUID", "left").select("DocumentGUID", xml.alias("xml"))
 
 
