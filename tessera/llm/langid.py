@@ -5,7 +5,7 @@ goes through a rectifier, and a softmax layer gives the languages.  The network
 windows of labelled texts.  A text is cut into windows that cover all of its bytes; its probabilities
 are the means of its windows', weighted by their bytes.
 
-For training, about ``docs_per_language`` documents of each language are drawn by a hash of their ids,
+For training, about ``docs_per_language`` documents of each language are drawn by a hash,
 and up to ``windows_per_doc`` windows of each come to the driver: the only bound of this operator.
 """
 
@@ -76,9 +76,32 @@ class ByteCNN:
             out.append(self._softmax(np.maximum(top + self.w["b"], 0) @ self.w["D"] + self.w["c"]))
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of windows and their languages, by weight."""
+        n = len(x)
+        patches = self._patches(x)
+        z = (patches @ self.w["K"]).reshape(n, self.window, -1)
+        at = z.argmax(1)
+        top = np.take_along_axis(z, at[:, None], 1)[:, 0] + self.w["b"]
+        h = np.maximum(top, 0)
+        p = self._softmax(h @ self.w["D"] + self.w["c"])
+        p[np.arange(n), y] -= 1
+        p /= n
+        gh = (p @ self.w["D"].T) * (top > 0)
+        rows = (at + np.arange(n)[:, None] * self.window).ravel()
+        seen = patches[rows].reshape(n, -1, patches.shape[1])
+        g = {"D": h.T @ p, "c": p.sum(0), "b": gh.sum(0), "K": np.einsum("nfk,nf->kf", seen, gh, optimize=True) * self._mask()}
+        back = (gh[:, :, None] * self.w["K"].T[None]).reshape(n, len(self.w["b"]), -1, self.embed)
+        g["E"] = np.zeros_like(self.w["E"])
+        padded = np.pad(x, ((0, 0), (0, max(self.widths))))
+        for k in range(max(self.widths)):
+            np.add.at(g["E"], np.take_along_axis(padded, at + k, 1).ravel(), back[:, :, k].reshape(-1, self.embed))
+        g["E"][0] = 0
+        return g
+
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.004) -> ByteCNN:
         """Adam on the cross entropy; a third of the windows is shortened at random each time."""
-        rng, mask = np.random.default_rng(self.seed), self._mask()
+        rng = np.random.default_rng(self.seed)
         m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.w.items()}
         step, steps = 0, epochs * -(-len(windows) // batch)
         for _ in range(epochs):
@@ -87,25 +110,7 @@ class ByteCNN:
                 x, y = windows[order[i : i + batch]].copy(), labels[order[i : i + batch]]
                 for j in np.flatnonzero(rng.random(len(x)) < 0.35):
                     x[j, rng.integers(8, self.window) :] = 0
-                n = len(x)
-                patches = self._patches(x)
-                z = (patches @ self.w["K"]).reshape(n, self.window, -1)
-                at = z.argmax(1)
-                top = np.take_along_axis(z, at[:, None], 1)[:, 0] + self.w["b"]
-                h = np.maximum(top, 0)
-                p = self._softmax(h @ self.w["D"] + self.w["c"])
-                p[np.arange(n), y] -= 1
-                p /= n
-                gh = (p @ self.w["D"].T) * (top > 0)
-                rows = (at + np.arange(n)[:, None] * self.window).ravel()
-                seen = patches[rows].reshape(n, -1, patches.shape[1])
-                g = {"D": h.T @ p, "c": p.sum(0), "b": gh.sum(0), "K": np.einsum("nfk,nf->kf", seen, gh, optimize=True) * mask}
-                back = (gh[:, :, None] * self.w["K"].T[None]).reshape(n, len(self.w["b"]), -1, self.embed)
-                g["E"] = np.zeros_like(self.w["E"])
-                padded = np.pad(x, ((0, 0), (0, max(self.widths))))
-                for k in range(max(self.widths)):
-                    np.add.at(g["E"], np.take_along_axis(padded, at + k, 1).ravel(), back[:, :, k].reshape(-1, self.embed))
-                g["E"][0] = 0
+                g = self.gradients(x, y)
                 step += 1
                 now = rate * (1 - step / (steps + 1))
                 for k, (a, b) in m.items():
@@ -148,10 +153,11 @@ def train(docs: DataFrame, docs_per_language: int = 1500, windows_per_doc: int =
     if not counts:
         return None
     share = F.element_at(F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))]), F.col("lang"))
-    drawn = known.filter(unit_hash("langid", F.col("doc_id")) < share * 2.0**52)
+    # Drawn by id and text, as many rows may share an id; rows that agree in both count once.
+    drawn = known.filter(unit_hash("langid", F.col("doc_id"), F.md5("text")) < share * 2.0**52)
     room = F.greatest(F.lit(1), F.length("text") - WINDOW)
     starts = F.array_distinct(F.array(*[(unit_hash("window", i, F.col("doc_id")) % room).cast("int") for i in range(windows_per_doc)]))
-    pieces = drawn.select("lang", "doc_id", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW)))).alias("piece"))
+    pieces = drawn.select("lang", "doc_id", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW)))).alias("piece")).distinct()
     got = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["piece"]) for r in pieces.filter(F.col("piece").rlike(LETTER)).collect())
     languages = sorted(counts)
     if not got:

@@ -2,13 +2,17 @@
 
 Trusted positives are documents labelled good; all other documents are unlabelled.  With a class prior
 pi, the risk is pi R+(P) + max(0, R-(U) - pi R-(P)): where the second part goes below zero, its
-gradient is turned round, so a flexible model can't fit the unlabelled set as all negative.  The prior
-is estimated as the share of good ones among labelled documents of the training folds.
+gradient is turned round, so a flexible model can't fit the unlabelled set as all negative.
+
+The prior is estimated from positives and unlabelled ones alone.  A network told to part the two, with
+half of each, ranks the other half: above any threshold, the unlabelled ones are at least pi times as
+frequent as the positives, so pi is about the least of these ratios.  A second round ranks by networks
+that are trained with the first round's prior.
 
 Features come from all bytes of a text: shares of bytes and of hashed byte pairs (square roots), a few
 ratios, and how often words repeat.  The model is a small network with one hidden layer, trained in numpy.  About
-``positives`` and ``unlabelled`` documents are drawn by a hash of their ids, and their features come
-to the driver: the only bound of this operator.
+``positives`` and ``unlabelled`` documents (twice as many at most) are drawn by a hash, and their
+features come to the driver: the only bound of this operator.
 """
 
 from __future__ import annotations
@@ -76,8 +80,40 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, epochs: int = 60, batch: int = 256, rate: float = 0.003, decay: float = 1e-4, seed: int = 3) -> PUModel:
-    """Adam on the non-negative PU risk with the logistic loss."""
+def risk(z: np.ndarray, n: int, prior: float | None) -> tuple[float, np.ndarray]:
+    """(risk, step's direction by logit) of n positives and the unlabelled ones behind them.
+
+    Derivatives: of the positive loss log(1 + e^-z) it is s - 1, of the negative loss log(1 + e^z) it is s.
+    Where the negative part is below zero, the direction is that part's gradient turned round.
+    """
+    s, k = _sigmoid(z), len(z) - n
+    if prior is None:
+        return np.logaddexp(0, -z[:n]).mean() + np.logaddexp(0, z[n:]).mean(), np.concatenate([(s[:n] - 1) / n, s[n:] / k])
+    negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
+    minus = np.concatenate([-prior * s[:n] / n, s[n:] / k])
+    plus = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(k)])
+    return prior * np.logaddexp(0, -z[:n]).mean() + max(0.0, negative), -minus if negative < 0 else plus + minus
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5, seed: int = 4) -> float:
+    """The share of positives among the unlabelled; thresholds that fewer than ``least`` of the positives reach are left out, as too few are above."""
+    rng, prior = np.random.default_rng(seed), None
+    p, u = (x[rng.permutation(len(x))] for x in (positive, unlabelled))
+    for _ in range(2):
+        found = []
+        for half in (0, 1):
+            learn, rank = [x[half::2] for x in (p, u)], [x[1 - half :: 2] for x in (p, u)]
+            if all(map(len, (*learn, *rank))):
+                model = fit(*learn, prior, epochs=20)
+                a, b = (np.sort(model.logit(x.astype(np.float32))) for x in rank)
+                t = np.quantile(a, np.linspace(0, 1 - least, 50))
+                found.append(min((1 - np.searchsorted(b, t, "left") / len(b)) / (1 - np.searchsorted(a, t, "left") / len(a))))
+        prior = float(np.clip(np.mean(found), 0.01, 0.99)) if found else 0.5
+    return prior
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 16, epochs: int = 60, batch: int = 256, rate: float = 0.003, decay: float = 1e-4, seed: int = 3) -> PUModel:
+    """Adam on the non-negative PU risk with the logistic loss; without a prior, positives are just told from unlabelled ones."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), np.maximum(both.std(0), 0.02)
@@ -90,13 +126,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
         x = np.concatenate([xp, xu])
         h = np.tanh(x @ w[0] + w[1])
         z = h @ w[2] + w[3]
-        s = _sigmoid(z)
-        n, k = len(xp), len(xu)
-        # Derivatives: of the positive loss log(1 + e^-z) it is s - 1, of the negative loss log(1 + e^z) it is s.
-        minus = np.concatenate([-prior * s[:n] / n, s[n:] / k])
-        below = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean() < 0
-        plus = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(k)])
-        g = -minus if below else plus + minus
+        g = risk(z, len(xp), prior)[1]
         gh = g[:, None] * w[2] * (1 - h**2)
         grads = [x.T @ gh + decay * w[0], gh.sum(0), h.T @ g + decay * w[2], np.array([g.sum()])]
         t += 1
@@ -126,16 +156,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     total = learn.select("doc_id").count()
     if not good or not total:
         return None
-    h = unit_hash("quality", F.col("doc_id"))
-    trusted = known.filter((F.col("quality") == 1) & (h < min(1.0, positives / good) * 2.0**52)).select("doc_id").limit(4 * positives)
-    drawn = learn.join(F.broadcast(trusted), "doc_id", "left_semi").select("text", "doc_id", F.lit(1).alias("kind"))
-    rest = learn.filter(unit_hash("unlabelled", F.col("doc_id")) < min(1.0, unlabelled / total) * 2.0**52).select("text", "doc_id", F.lit(0).alias("kind"))
-    got = sorted((r["kind"], r["doc_id"], bytes(r["x"])) for r in drawn.unionByName(rest).mapInArrow(_featurise, "doc_id long, kind int, x binary").collect())
+    # Rows are drawn by id and text, as many may share an id; a bound holds even where all of them are drawn.
+    place = lambda name: unit_hash(name, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
+
+    def drawn(rows: DataFrame, name: str, share: float, most: int, kind: int) -> DataFrame:
+        some = rows.withColumn("place", place(name)).filter(F.col("place") < min(1.0, share) * 2.0**52)
+        return some.orderBy("place", "doc_id").limit(most).select("text", "doc_id", F.lit(kind).alias("kind"))
+
+    trusted = known.filter((F.col("quality") == 1) & (unit_hash("quality", F.col("doc_id")) < min(1.0, positives / good) * 2.0**52)).select("doc_id").limit(4 * positives)
+    ones = drawn(learn.join(F.broadcast(trusted), "doc_id", "left_semi"), "positive", 1.0, 2 * positives, 1)
+    rest = drawn(learn, "unlabelled", unlabelled / total, 2 * unlabelled, 0)
+    got = sorted((r["kind"], r["doc_id"], bytes(r["x"])) for r in ones.unionByName(rest).mapInArrow(_featurise, "doc_id long, kind int, x binary").collect())
     x = {k: np.array([np.frombuffer(b, np.float32) for kind, _, b in got if kind == k]).reshape(-1, FEATURES) for k in (0, 1)}
     if not len(x[0]) or not len(x[1]):
         return None
-    prior = min(0.99, good / n)
-    return fit(x[1].astype(np.float64), x[0].astype(np.float64), prior)
+    positive, rest = x[1].astype(np.float64), x[0].astype(np.float64)
+    return fit(positive, rest, estimate_prior(positive, rest))
 
 
 def score(docs: DataFrame, model: PUModel | None, folds: int = 3, fold: int = 1) -> DataFrame:
