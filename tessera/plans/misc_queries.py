@@ -227,7 +227,7 @@ def grid_reconstruction(spark, sf_dir):
     return grid.reconstruct(heads.select("t", *[F.col(f"h.{c}").cast(kinds[c]).alias(c) for c in names]).unionByName(body).toDF(*cols))
 
 
-@query("streaming_event_counts")
+@query("streaming_event_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2")
 def streaming_event_counts(spark, sf_dir):
     """Events as arriving files: hourly counts, run until everything that has arrived is processed."""
     from tessera.streaming import ingest
@@ -235,4 +235,4 @@ def streaming_event_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
     counts = ingest.windowed_counts(ingest.arriving(spark, f"{sf_dir}/events.parque[t]", schema))
-    return ingest.run_once(counts, ["start", "event_type"], folder)
+    return ingest.run_once(counts, ["start", "event_type"], folder).withColumn("total", F.round("total", 4))

@@ -35,7 +35,7 @@ searched("search_inactive_counts", "view_inactive_ingredient_summary", lambda t:
 searched("search_by_ingredient_code", "view_products_by_ingredient", lambda t: S.by_ingredient(t, "U120", "ignored"), "UNII = 'U120'")
 searched("search_by_ingredient_text", "view_products_by_ingredient", lambda t: S.by_ingredient(t, None, "BOLT 4"), "lower(SubstanceName) LIKE '%bolt%' OR lower(SubstanceName) LIKE '%4%'")
 searched("search_ingredient_summaries", "view_ingredient_summary", lambda t: S.ingredient_summaries(t, "gear", 10), "lower(SubstanceName) LIKE '%gear%' AND ProductCount >= 10")
-searched("search_ingredients_advanced", "view_ingredients_active", lambda t: S.ingredients(t, "active", None, "ring", None, "NDA", "widget gear"), "ApplicationType = 'NDA' AND lower(SubstanceName) LIKE '%ring%' AND (lower(ProductName) LIKE '%widget%' OR lower(ProductName) LIKE '%gear%')")
+searched("search_ingredients_advanced", "view_ingredients_active", lambda t: S.ingredients(t, "active", None, "4", None, "NDA", "red gear"), "ApplicationType = 'NDA' AND lower(SubstanceName) LIKE '%4%' AND (lower(ProductName) LIKE '%red%' OR lower(ProductName) LIKE '%gear%')")
 searched("search_by_ndc", "view_products_by_ndc", lambda t: S.by_ndc(t, "10012-"), "lower(ProductCode) LIKE '%10012-%'")
 searched("search_by_package_ndc", "view_package_by_ndc", lambda t: S.by_package_ndc(t, "-77-"), "lower(PackageCode) LIKE '%-77-%'")
 searched("search_by_labeler", "view_products_by_labeler", lambda t: S.by_labeler(t, "#000000012 #000000345"), "lower(LabelerName) LIKE '%#000000012%' OR lower(LabelerName) LIKE '%#000000345%'")

@@ -43,7 +43,8 @@ def parts(spark, sf_dir):
     """(observations, comparisons, audit) and the grid."""
     ship_package(spark)
     g = grid.reconstruct(cells(spark, sf_dir))
-    tables = g.select("TextTableID").distinct().select("TextTableID", F.concat(F.lit("doc-"), F.col("TextTableID").cast("string")).alias("DocumentGUID"), F.lit("Table 1: Adverse reactions").alias("Caption"), F.lit("AdverseEvent").alias("TableCategory"), F.lit(None).cast("string").alias("TitleDrug"))
+    orders = spark.sql(LINES, Line=spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem"))).select(F.col("k").alias("TextTableID")).distinct()
+    tables = orders.select("TextTableID", F.concat(F.lit("doc-"), F.col("TextTableID").cast("string")).alias("DocumentGUID"), F.lit("Table 1: Adverse reactions").alias("Caption"), F.lit("AdverseEvent").alias("TableCategory"), F.lit(None).cast("string").alias("TitleDrug"))
     return (*table_rows.observations(g, tables), g)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -29,6 +30,6 @@ def run_once(df: DataFrame, keys: list[str], folder: str) -> DataFrame:
 
     q = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = df.sparkSession.read.schema(df.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
     latest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
     return rows.withColumn("nth", F.row_number().over(latest)).filter("nth = 1").select(*df.columns)
