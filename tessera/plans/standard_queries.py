@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import mlqc, standardize
+from tessera.functions import mlqc, quality, standardize
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -59,3 +59,34 @@ SELECT a "TextTableID", b "Col", max(greatest(n, 2000 * n // (2 * t + 1) + 1)) "
 def subject_counts(spark, sf_dir):
     cells = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey TextTableID", "l_linenumber Col", "cast(l_quantity as bigint) n", "100 + l_suppkey % 300 m")
     return standardize.subject_counts(cells.selectExpr("TextTableID", "Col", "n", "cast((2000 * n + m) div (2 * m) as decimal(18,1)) / 10 pct"))
+
+
+_CAPTIONS = "element_at(array('Arithmetic means of', 'Geometric mean of', 'LS mean change in', 'Least-squares means of', 'Median time to', 'Hazard of', 'Odds of', 'Share of'), cast(p_partkey % 8 as int) + 1)"
+_SQL_CAPTIONS = "['Arithmetic means of', 'Geometric mean of', 'LS mean change in', 'Least-squares means of', 'Median time to', 'Hazard of', 'Odds of', 'Share of'][p_partkey % 8 + 1]"
+
+
+@query("value_types", f"""WITH c AS (SELECT p_partkey k, lower({_SQL_CAPTIONS} || ' ' || p_name) c, ['AdverseEvent', 'PK', 'DrugInteraction', 'Efficacy'][p_size % 4 + 1] g, CASE WHEN p_size % 3 = 0 THEN '%' WHEN p_size % 3 = 1 THEN 'mg' END u, p_retailprice v, CASE WHEN p_size % 5 = 0 THEN p_size::DOUBLE END low FROM part)
+SELECT k, CASE WHEN contains(c, 'arithmetic') THEN 'ArithmeticMean' WHEN contains(c, 'geometric') THEN 'GeometricMean' WHEN regexp_matches(c, '\\bls\\b|least.squares?') THEN 'LSMean' WHEN contains(c, 'median') THEN 'Median' ELSE 'ArithmeticMean' END mean_type,
+ CASE WHEN g IN ('PK', 'DrugInteraction') THEN CASE WHEN contains(c, 'geometric') THEN 'GeometricMean' ELSE 'ArithmeticMean' END WHEN contains(c, 'hazard') THEN 'HazardRatio' WHEN contains(c, 'odds') THEN 'OddsRatio' ELSE 'RelativeRisk' END risk_type,
+ CASE WHEN g = 'AdverseEvent' AND u = '%' THEN 'Percentage' WHEN g = 'AdverseEvent' AND u IS NULL AND v = floor(v) THEN 'Count' WHEN g = 'PK' THEN 'ArithmeticMean' WHEN g = 'DrugInteraction' THEN 'GeometricMeanRatio' WHEN g = 'Efficacy' AND low IS NOT NULL THEN 'HazardRatio' END numeric_type FROM c""")
+def value_types(spark, sf_dir):
+    """What a mean, a risk and a bare number are, by caption and category."""
+    p = table(spark, sf_dir, "part")
+    caption = F.concat_ws(" ", F.expr(_CAPTIONS), "p_name")
+    category = F.expr("element_at(array('AdverseEvent', 'PK', 'DrugInteraction', 'Efficacy'), cast(p_size % 4 as int) + 1)")
+    unit = F.expr("case when p_size % 3 = 0 then '%' when p_size % 3 = 1 then 'mg' end")
+    low = F.expr("case when p_size % 5 = 0 then cast(p_size as double) end")
+    return p.select(F.col("p_partkey").alias("k"), standardize.mean_type(caption).alias("mean_type"), standardize.risk_type(category, caption).alias("risk_type"), standardize.numeric_type(category, unit, F.col("p_retailprice"), low, F.lit(None).cast("double")).alias("numeric_type"))
+
+
+@query("observation_quality", """WITH c AS (SELECT l_orderkey o, l_linenumber n, CASE WHEN l_quantity > 5 THEN l_quantity END v, CASE l_returnflag WHEN 'A' THEN 'Text' WHEN 'N' THEN 'Percentage' END t, CASE WHEN l_linestatus = 'O' THEN 'AdverseEvent' END g, CASE WHEN l_linenumber < 6 THEN 'name' END m, 20 - l_quantity low FROM lineitem)
+SELECT o, n, ((v IS NOT NULL)::INT + (t IS NOT NULL)::INT + (g IS NOT NULL)::INT + (m IS NOT NULL)::INT) / 4.0::DOUBLE completeness,
+ round(least(0.9::DOUBLE, CASE WHEN v IS NULL THEN 0.2::DOUBLE ELSE 1 END * CASE WHEN t IS NULL THEN 0.2::DOUBLE ELSE 1 END * CASE WHEN t = 'Text' THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN g IS NULL THEN 0.4::DOUBLE ELSE 1 END * CASE WHEN m IS NULL THEN 0.3::DOUBLE ELSE 1 END
+  * CASE WHEN v IS NULL OR m IS NULL THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN low < 0 THEN 0.7::DOUBLE ELSE 1 END), 9) parse_quality FROM c""")
+def observation_quality(spark, sf_dir):
+    """The share of fields that are there, and the product of penalties for what is missing or odd."""
+    li = table(spark, sf_dir, "lineitem")
+    v, t = F.when(F.col("l_quantity") > 5, F.col("l_quantity")), F.expr("case l_returnflag when 'A' then 'Text' when 'N' then 'Percentage' end")
+    g, m = F.when(F.col("l_linestatus") == "O", "AdverseEvent"), F.when(F.col("l_linenumber") < 6, "name")
+    q = quality.parse_quality(v, t, g, m, v.isNull() | m.isNull(), 20 - F.col("l_quantity"), F.lit(0.9))
+    return li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), quality.completeness([v, t, g, m]).alias("completeness"), F.round(q, 9).alias("parse_quality"))
