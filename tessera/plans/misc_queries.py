@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import entities, quality, search, values
 from tessera.operators import grid, relops
+from tessera.plans.domain import TABLES, with_tables
 from tessera.plans.registry import query
 from tessera.session import shared_folder, ship_package, table
 
@@ -211,18 +212,20 @@ def event_flags_json(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
 
 
-@query("grid_reconstruction")
+@query("grid_reconstruction", with_tables("Line") + """, r AS (SELECT *, 2 + row_number() OVER (PARTITION BY k ORDER BY n) nth FROM Line)
+SELECT k "TextTableID", nth::INT "RowSeq", 'DataBody' "RowClass", c::INT "Col", ['Term', 'Arms > A', 'Arms > B'][c + 1] "HeaderPath", (CASE c WHEN 0 THEN n WHEN 1 THEN p ELSE s END)::VARCHAR "CellText", 'Divider' "Category", NULL::VARCHAR "Footnotes"
+FROM r, (SELECT unnest(range(0, 3)) c)""")
 def grid_reconstruction(spark, sf_dir):
     """Orders as printed tables: a two-row header with a spanning cell, a divider and data rows."""
     ship_package(spark)
     cols = "TextTableID, CellID, RowSeq, CellSeq, RowGroupType, CellType, RowSpan, ColSpan, CellText".split(", ")
-    li = table(spark, sf_dir, "lineitem")
-    body = li.select(F.col("l_orderkey").alias("t"), F.posexplode(F.array("l_linenumber", "l_partkey", "l_suppkey")).alias("c", "v"), "l_linenumber")
-    body = body.select("t", (F.col("l_linenumber") * 10 + F.col("c")).alias("i"), (F.col("l_linenumber") + 10).alias("r"), "c", F.lit("Body").alias("g"), F.lit("td").alias("k"), F.lit(1).alias("rs"), F.lit(1).alias("cs"), F.col("v").cast("string").alias("x"))
+    li = spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem"))
+    body = li.select(F.col("k").alias("t"), F.posexplode(F.array(F.col("n").cast("long"), "p", "s")).alias("c", "v"), "n")
+    body = body.select("t", (F.col("n") * 10 + F.col("c")).alias("i"), (F.col("n") + 10).alias("r"), "c", F.lit("Body").alias("g"), F.lit("td").alias("k"), F.lit(1).alias("rs"), F.lit(1).alias("cs"), F.col("v").cast("string").alias("x"))
     names = ("i", "r", "c", "g", "k", "rs", "cs", "x")
     fixed = [(1, 1, 0, "Header", "th", 2, 1, "Term"), (2, 1, 1, "Header", "th", 1, 2, "Arms <sup>a</sup>"), (3, 2, 0, "Header", "th", 1, 1, "A"), (4, 2, 1, "Header", "th", 1, 1, "B"), (5, 5, 0, "Body", "td", 1, 3, "Divider"), (6, 99, 0, "Footer", "td", 1, 3, "a note")]
     structs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in fixed])
-    heads = li.select(F.col("l_orderkey").alias("t")).distinct().withColumn("h", F.explode(structs))
+    heads = li.select(F.col("k").alias("t")).distinct().withColumn("h", F.explode(structs))
     kinds = dict(body.dtypes)
     return grid.reconstruct(heads.select("t", *[F.col(f"h.{c}").cast(kinds[c]).alias(c) for c in names]).unionByName(body).toDF(*cols))
 
