@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, exact_dedup, langid, licenses, lm, mixing, near_dedup, oracles, quality, sentencepiece_bpe, sharding
+from tessera.llm import ann, collocations, exact_dedup, langid, licenses, lm, mixing, near_dedup, oracles, packing, periodic, quality, sentencepiece_bpe, sharding
 from tessera.llm.common import documents
 
 
@@ -55,7 +55,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_exact_dedup, op5_language_model, op6_quality, op7_licenses, op8_cross_polytope, op9_sentencepiece, op10_near_dedup)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect(documents(spark, sf_dir), twist=True)
+
+
+_OPERATORS = (
+    op1_sharding, op2_language_id, op3_mixing, op4_exact_dedup, op5_language_model, op6_quality, op7_licenses, op8_cross_polytope,
+    op9_sentencepiece, op10_near_dedup, op11_packing, op12_collocations, op13_periodic_runs,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLES: dict[str, str] = {
     "op1_sharding": oracles.SHARDING,
