@@ -12,8 +12,8 @@ or is split otherwise by then.  A run lists its distinct n-grams of an order wit
 dealt into parts by hash; a part adds the counts up and answers each run with the totals.  Orders go
 from the longest down: what the arcs of a history take together is found where they are, and is added to
 the history's own row in the next order.  The parts of an order are treated in slices, one after the
-other, so that fewer n-grams are on the disk at a time.  At the end a run's texts meet its answers, again
-in a few groups of runs.
+other, so that fewer n-grams are on the disk at a time.  At the end a run meets its answers, again in a few groups
+of runs, builds the automaton of the n-grams that its texts hold, and reads the texts from left to right.
 
 Words are told apart by a 64-bit hash, histories of two words by a 64-bit hash of the two.
 """
@@ -118,25 +118,27 @@ def _cut(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, np.concatenate([h for h, _ in got]), np.concatenate([t for _, t in got])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], task: int | None = None) -> Iterator[pa.RecordBatch]:
     """doc_id, learn, held_out, text -> one row per run: run, the lists of the first three, and its words.
 
-    A word is its place in the run's hashes (start, end, then words as they come), cut into its low 16 bits and the rest.
+    A word is its place in the run's hashes (start, end, then words as they come), cut into its low 16 bits and the rest,
+    which has a second byte where a run has so many different words.
     """
-    k = 0
+    k, task = 0, TaskContext.get().partitionId() if task is None else task
     for batch in batches:
         for i, j, h, text in _cut(batch.column(3)):
             place, hashes = pd.factorize(h)
             word = place + 2
             lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in range(3)]
-            data = [np.bincount(text, minlength=j - i).astype(np.int32), word.astype(np.uint16), (word >> 16).astype(np.uint8), np.concatenate([[START, END], hashes]).astype(np.uint64)]
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k]), *lists, *[pa.array([x.tobytes()], pa.binary()) for x in data]], ["run", "doc_id", "learn", "held_out", "size", "low", "high", "hashes"])
+            data = [np.bincount(text, minlength=j - i).astype(np.int32), word.astype(np.uint16), (word >> 16).astype(np.uint8 if len(hashes) < (1 << 24) - 2 else np.uint16), np.concatenate([[START, END], hashes]).astype(np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), *lists, *[pa.array([x.tobytes()], pa.binary()) for x in data]], ["run", "doc_id", "learn", "held_out", "size", "low", "high", "hashes"])
             k += 1
 
 
 def _run(size: bytes, low: bytes, high: bytes, hashes: bytes) -> Run:
     size = np.frombuffer(size, np.int32)
-    word = np.frombuffer(low, np.uint16).astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
+    low = np.frombuffer(low, np.uint16).astype(np.int64)
+    word = low | np.frombuffer(high, np.uint8 if len(high) == len(low) else np.uint16).astype(np.int64) << 16
     return Run.of(np.frombuffer(hashes, np.uint64), word, np.repeat(np.arange(len(size)), size), len(size))
 
 
@@ -222,6 +224,36 @@ def _add_up(order: int, parts: int) -> Callable:
     return work
 
 
+def _read_texts(run: Run, grams: dict, count: dict[int, np.ndarray], mass: dict[int, np.ndarray], root: np.ndarray) -> np.ndarray:
+    """Per place of a run the logarithm that the automaton of its n-grams gives to the word there, 0 at starts.
+
+    Lanes of LANE words are read side by side.  A lane begins in the state in which the automaton is behind the word
+    before it: that of the start at a text's start, else that of the last two words, which is all that a state holds.
+    """
+    (_, _, pair_of, at), (_, _, triple_of, far) = grams[2], grams[3]
+    pair_at = np.full(len(run.x), -1)
+    pair_at[at] = pair_of
+
+    def one_place(which: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """A place of each n-gram."""
+        out = np.zeros(n, np.int64)
+        out[which] = places
+        return out
+
+    pair, triple = (one_place(w, p, len(count[k])) for k, w, p in ((2, pair_of, at), (3, triple_of, far)))
+    counts = (count[1], count[2], count[3])
+    automaton = backoff.Automaton.build(root, counts, (mass[1], mass[2]), (run.x[pair - 1], run.x[pair]), (pair_at[triple - 1], run.x[triple], pair_at[triple]))
+    first = np.flatnonzero(run.x == 0)
+    size = np.diff(np.append(first, len(run.x))) - 1
+    lanes = -(-size // backoff.LANE)
+    nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    start = np.repeat(first + 1, lanes) + nth * backoff.LANE
+    end = np.minimum(start + backoff.LANE, np.repeat(first + 1 + size, lanes))
+    # 1 + 0 is the state of the start.
+    state = np.where(nth == 0, 1, automaton.pair_state[pair_at[start - 1]])
+    return automaton.read(run.x, start, end, state)
+
+
 @dataclass
 class Model:
     """The documents to learn from, or all documents with the fold that is held out."""
@@ -311,19 +343,10 @@ def score(docs: DataFrame, model: Model, folds: int = 10, fold: int = 0) -> Data
             for to, column in ((count, 1), (mass, 2)) if k < 3 else ((count, 1),):
                 to[k] = np.empty(len(a))
                 to[k][order] = np.concatenate([np.zeros(0), *(unpacked(r[column], size[r[0]]) for r in answer)])
-        word = run.x
-        c = count[1][word]
-        p = root.root(c)
-        for k in (2, 3):
-            _, _, gram, at = grams[k]
-            history, before = (run.x[at - 1], count[1]) if k == 2 else (pair_at[at - 1], count[2])
-            total = before[history]
-            p[at] = backoff.arc(count[k][gram], total) + backoff.free(mass[k - 1][history], total) * p[at]
-            if k == 2:
-                pair_at = np.zeros(len(word), np.int64)
-                pair_at[at] = gram
+        c = count[1][run.x]
+        logs = _read_texts(run, grams, count, mass, root.root(count[1]))
         at = grams[2][3]
-        sums = [np.bincount(run.text[at], v[at], len(doc_id)) for v in (np.ones(len(c)), (c > 0).astype(np.float64), np.log10(root.base(c)), np.log10(p))]
+        sums = [np.bincount(run.text[at], v[at], len(doc_id)) for v in (np.ones(len(c)), (c > 0).astype(np.float64), np.log10(root.base(c)), logs)]
         return pa.table([doc_id, held, *[pa.array(s.astype(np.int64)) for s in sums[:2]], *[pa.array(s) for s in sums[2:]]], names)
 
     with Shelf(docs.sparkSession) as shelf:
