@@ -257,16 +257,18 @@ def trie(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[l
         shards = both.select("shard", "low", "high", "last", "hashes")
         totals = stored(both.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("total")))
         sent = both.select("shard", F.explode("sent").alias("s")).select("shard", "s.part", "s.a", F.lit(b"").alias("b"), "s.n", "s.langs", "s.words")
+        told, before = None, []
         for level in range(1, longest + 1):
             with cleaning(spark):
-                if level > 1:
-                    sent_rows = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_later_level(level, parts), _SENT)  # noqa: F821
-                    sent = shelf.keep(sent_rows)
+                if told is not None:
+                    sent = shelf.keep(shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_later_level(level, parts), _SENT))
+                # The tables of the level before have been read.
+                shelf.drop(*before)
                 merged = shelf.keep(sent.filter("part >= 0").groupBy("part").applyInArrow(_merge(level, least), _SENT))
             nodes.append(stored(merged.filter("shard = -1").mapInArrow(_nodes(level), "id long, prefix long, last long, n long, lang string, word string")))
-            told = merged.filter("shard >= 0").select("shard", "part", "a")
+            told, before = merged.filter("shard >= 0").select("shard", "part", "a"), [merged]
             if level > 1:
-                told = told.union(sent.filter("part = -1").select("shard", "part", "a"))
+                told, before = told.union(sent.filter("part = -1").select("shard", "part", "a")), [merged, sent]
     return nodes, totals
 
 
