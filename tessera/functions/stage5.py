@@ -60,25 +60,27 @@ def dose_normalised(rr: Column, lower: Column, upper: Column, dose: Column, unit
 def with_cohorts(obs: DataFrame) -> DataFrame:
     """Eligible rows with their cohort's key columns, a filled arm size, the comparator and the reference dose.
 
-    Everything is a window over (document, table, cohort); one shuffle serves them all.  Ties between
-    candidates are broken by row, cell and id, nulls last.
+    Everything is a window over (document, table, cohort) or over an arm in it; one shuffle by the former serves them
+    all.  Arms are counted by their first rows, sizes are compared by their least and greatest, so no window
+    gathers sets.  Ties between candidates are broken by row, cell and id, nulls last.
     """
     keys = ["DocumentGUID", "TextTableID", *[f"k_{c}" for c in COHORT]]
     obs = obs.withColumns({f"k_{c}": norm_key(F.col(c)) for c in COHORT} | {"k_arm": norm_key(F.col("TreatmentArm"))})
+    # An arm's window would ask for a shuffle of its own, which this one makes needless.
+    obs = obs.repartition(*keys)
     cohort, arm = Window.partitionBy(*keys), Window.partitionBy(*keys, "k_arm")
-    sizes = F.collect_set(F.when(F.col("ArmN") > 0, F.col("ArmN"))).over(arm)
-    obs = obs.withColumn("ArmNs", sizes)
-    obs = obs.withColumns({"ArmN": F.when(F.coalesce(F.col("ArmN") > 0, F.lit(False)), F.col("ArmN")).when(F.size("ArmNs") == 1, F.element_at("ArmNs", 1)), "ArmNConflict": F.size("ArmNs") > 1}).drop("ArmNs")
-    placebo, dosed = is_placebo(F.col("TreatmentArm"), F.col("Dose")), F.coalesce(F.col("Dose") > 0, F.lit(False))
-    control = F.coalesce(F.col("TreatmentArm").rlike(f"(?i){CONTROL}"), F.lit(False))
     tie = F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(2**62)) for c in ("SourceRowSeq", "SourceCellSeq", "id")])
+    control = F.coalesce(F.col("TreatmentArm").rlike(f"(?i){CONTROL}"), F.lit(False))
+    sized = F.when(F.col("ArmN") > 0, F.col("ArmN"))
+    obs = obs.withColumns({"_low": F.min(sized).over(arm), "_high": F.max(sized).over(arm), "_control": F.max(control).over(arm), "_first": F.min(tie).over(arm) == tie})
+    obs = obs.withColumns({"ArmN": F.when(F.coalesce(F.col("ArmN") > 0, F.lit(False)), F.col("ArmN")).when(F.col("_low") == F.col("_high"), F.col("_low")), "ArmNConflict": F.coalesce(F.col("_low") < F.col("_high"), F.lit(False))}).drop("_low", "_high")
+    placebo, dosed = is_placebo(F.col("TreatmentArm"), F.col("Dose")), F.coalesce(F.col("Dose") > 0, F.lit(False))
     first = lambda cond, lead=None: F.min(F.when(cond, F.struct(*([lead.alias("lead")] if lead is not None else []), tie.alias("tie"), F.col("id").alias("id")))).over(cohort)["id"]
-    n_arms = F.size(F.collect_set("k_arm").over(cohort))
-    n_control = F.size(F.collect_set(F.when(control, F.col("k_arm"))).over(cohort))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(cohort)
     obs = obs.withColumns({
-        "n_rows": F.count(F.lit(1)).over(cohort), "n_arms": n_arms, "n_control": n_control,
+        "n_rows": F.count(F.lit(1)).over(cohort), "n_arms": count(F.col("_first")), "n_control": count(F.col("_first") & F.col("_control")),
         "c_placebo": first(placebo), "c_low": first(dosed, F.col("Dose")), "c_control": first(control), "c_first": first(F.lit(True)),
-    })
+    }).drop("_first", "_control")
     flag = (
         F.when(F.col("n_rows") <= 1, "SINGLE_ARM")
         .when(F.col("c_placebo").isNotNull(), "PLACEBO_COMPARATOR")
@@ -96,10 +98,8 @@ def with_cohorts(obs: DataFrame) -> DataFrame:
     return obs.withColumns({"CompArm": at["TreatmentArm"], "ComparatorN": at["ArmN"], "CompValue": at["PrimaryValue"], "CompType": at["PrimaryValueType"]}).drop("c_placebo", "c_low", "c_control", "c_first", "n_control")
 
 
-def risk_rows(obs: DataFrame) -> DataFrame:
-    """One statistics row per treatment row that has a comparator."""
-    rows = with_cohorts(obs.filter(eligibility(F.col("TreatmentArm"), F.col("DocumentGUID"), F.col("ParameterName"), F.col("PrimaryValue")).isNull()))
-    rows = rows.filter(F.col("ComparatorID").isNotNull() & (F.col("id") != F.col("ComparatorID")))
+def _with_risks(rows: DataFrame) -> DataFrame:
+    """Cohort rows with events, Reason, risks and flags; they hold for rows that have a comparator other than themselves."""
     a, a_why = event_count(F.col("PrimaryValue"), F.col("PrimaryValueType"), F.col("ArmN"))
     c, c_why = event_count(F.col("CompValue"), F.col("CompType"), F.col("ComparatorN"))
     mixed = F.when(~F.col("PrimaryValueType").eqNullSafe(F.col("CompType")), "MIXED_VALUE_TYPES")
@@ -111,14 +111,19 @@ def risk_rows(obs: DataFrame) -> DataFrame:
     return rows.withColumn("CalculationFlags", F.concat_ws(";", "ComparatorFlag", F.when(F.col("ArmNConflict"), F.lit("ARMN_CONFLICT")), "Reason", "ZeroFlag", "DoseFlag"))
 
 
+def risk_rows(obs: DataFrame) -> DataFrame:
+    """One statistics row per treatment row that has a comparator."""
+    rows = with_cohorts(obs.filter(eligibility(F.col("TreatmentArm"), F.col("DocumentGUID"), F.col("ParameterName"), F.col("PrimaryValue")).isNull()))
+    return _with_risks(rows.filter(F.col("ComparatorID").isNotNull() & (F.col("id") != F.col("ComparatorID"))))
+
+
 def coverage(obs: DataFrame) -> DataFrame:
-    """One row per source row: id, Status (RR_READY, COMPARATOR, or why there is no risk)."""
+    """One row per source row: id, Status (RR_READY, COMPARATOR, or why there is no risk).  Cohorts are made once."""
     why = eligibility(F.col("TreatmentArm"), F.col("DocumentGUID"), F.col("ParameterName"), F.col("PrimaryValue"))
     left_out = obs.filter(why.isNotNull()).select("id", why.alias("Status"))
-    rows = with_cohorts(obs.filter(why.isNull())).select("id", "ComparatorID", "ComparatorFlag")
-    ready = risk_rows(obs).select("id", F.coalesce("Reason", F.lit("RR_READY")).alias("Known"))
-    status = F.when(F.col("id") == F.col("ComparatorID"), "COMPARATOR").when(F.col("ComparatorID").isNull(), F.col("ComparatorFlag")).otherwise(F.col("Known"))
-    return left_out.unionByName(rows.join(ready, "id", "left").select("id", status.alias("Status")))
+    rows = _with_risks(with_cohorts(obs.filter(why.isNull())))
+    status = F.when(F.col("id") == F.col("ComparatorID"), "COMPARATOR").when(F.col("ComparatorID").isNull(), F.col("ComparatorFlag")).otherwise(F.coalesce("Reason", F.lit("RR_READY")))
+    return left_out.unionByName(rows.select("id", status.alias("Status")))
 
 
 def number_needed(events_t: Column, n_t: Column, events_c: Column, n_c: Column, lower: Column, upper: Column) -> dict[str, Column]:

@@ -10,50 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import header_words as words
 from tessera.functions import values
 from tessera.functions.standardize import subject_counts
 
-# Header words that name a value axis, a severity, a caption, a statistic or a body system.
-AXIS = (
-    r"(?i)^\s*(?:events?|body system.*|system organ class|soc|meddra.*|preferred term|term|adverse (?:reactions?|events?|experiences?)|reactions?|comparison|outcomes?|variables?|parameters?"
-    r"|percent(?:age)?|%|n\s*\(?\s*%\s*\)?|n|number|no\.?|count|frequency|(?:number|no\.?|percent(?:age)?|%)\s*(?:\(\s*%\s*\))?\s*of\s+(?:patients|subjects|participants).*|incidence.*)\s*(?:\(\s*%\s*\)|%)?\s*$"
-)
-SEVERITY = r"(?i)^\s*(?:any(?:\s+grades?)?|all\s+(?:ctc\s+)?grades?|(?:(?:ctc|ctcae|nci|toxicity|severity)\s+)?grades?\s*(?:>=|>|≥)?\s*(?:\d+|[ivx]+)(?:\s*(?:[-/–,&]|and|or|to)\s*(?:\d+|[ivx]+|higher|greater))*|(?:>=|>|≥)\s*grade\s*\d+)\s*(?:n?\s*\(?\s*%\s*\)?)?\s*$"
-CAPTION = r"(?i)^\s*(?:table\s+[\w-]+\s*[:.-].*|.*\b(?:incidence|frequency|percent(?:age)?)\s+(?:\(\s*%\s*\)\s+)?of\s+.*adverse\s+(?:reactions?|events?|experiences?).*)\s*$"
-BODY_SYSTEM = (
-    r"(?i)^\s*(?:blood and lymphatic system|body as a whole|cardiac|cardiovascular|congenital|ear|ear and labyrinth|endocrine|eye|ocular|gastrointestinal|general|general disorders and administration site conditions|hepatic|hepatobiliary"
-    r"|immune system|infections and infestations|injury,\s*poisoning and procedural complications|investigations|metabolism and nutrition|musculoskeletal and connective tissue|neoplasms benign,\s*malignant and unspecified|nervous system"
-    r"|pregnancy,\s*puerperium and perinatal|psychiatric|renal and urinary|reproductive system and breast|respiratory,\s*thoracic and mediastinal|skin and subcutaneous tissue|social circumstances|surgical and medical procedures|vascular)(?:\s+disorders)?\s*$"
-)
-STATISTIC = r"(?i)\bp\s*-?\s*values?\b|^p$|hazard\s+ratio|\bhr\b|odds\s+ratio|\bor\s*\(|relative\s+risk|\brr\b|risk\s+(?:reduction|difference)|difference|ratio"
-P_VALUE = r"(?i)\bp\s*-?\s*values?\b|^\s*p\s*$"
-DENOMINATOR = r"(?i)^\s*(?:n|total\s+n|sample\s+size|number\s+of\s+(?:patients|subjects|participants)(?:\s+\(?n\)?)?|patients|subjects)\s*=?\s*$"
-DOSE_LABEL = r"(?i)^\s*(?:dose|dosage|dose\s+regimen|regimen)\s*$"
-HINT = r"(?i)(n\s*\(\s*%\s*\)|\(\s*%\s*\)|%)\s*$"
-#: What a caption says of its numbers: pattern, type, type of the second value, share of confidence kept.
-CAPTION_HINTS = (
-    (r"(?i)geometric\s+mean\s*\(\s*(?:%?\s*cv\s*%?)\s*\)", "GeometricMean", "CV_Percent", 1.0), (r"(?i)geometric\s+mean\s*\(\s*(?:sd|standard\s*deviation)\s*\)", "GeometricMean", "SD", 1.0), (r"(?i)geometric\s+mean", "GeometricMean", None, 0.85),
-    (r"(?i)(?:ls\s*mean|least[\s-]*squares?\s*mean)\s*\(\s*(?:se|standard\s*error)\s*\)", "LSMean", "SE", 1.0), (r"(?i)(?:ls\s*mean|least[\s-]*squares?\s*mean)", "LSMean", None, 0.85),
-    (r"(?i)mean\s*(?:±|\+/?-)\s*(?:sd|standard\s*deviation)", "Mean", "SD", 1.0), (r"(?i)mean\s*\(\s*(?:sd|standard\s*deviation)\s*\)", "Mean", "SD", 1.0), (r"(?i)mean\s*\(\s*(?:se|standard\s*error)\s*\)", "Mean", "SE", 1.0),
-    (r"(?i)mean\s*\(\s*(?:%?\s*cv\s*%?)\s*\)", "Mean", "CV_Percent", 1.0), (r"(?i)\bmedian\b", "Median", None, 0.85), (r"(?i)\bmean\b", "Mean", None, 0.85),
-)
 # Flags of where an arm's size comes from.
 FROM_ROW, FROM_HEADER, FROM_FRACTION, FROM_COUNTS, CONFLICT = "AE_ARMN_FROM_METADATA_ROW", "AE_ARMN_FROM_HEADER_N", "AE_ARMN_FROM_FRACTION_DENOMINATOR", "AE_ARMN_FROM_COUNT_PERCENT_INFERENCE", "AE_ARMN_REJECTED_CONFLICTING_N"
 
 
-def is_axis(text: Column) -> Column:
-    return F.coalesce(text.rlike(AXIS) | text.rlike(SEVERITY), F.lit(False))
-
-
 def invalid_arm(text: Column) -> Column:
     """Blank, a caption, a body system or a value axis: no treatment arm."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    return (t == "") | t.rlike(CAPTION) | t.rlike(BODY_SYSTEM) | is_axis(t)
-
-
-def comparison_type(header: Column) -> Column:
-    h = F.lower(F.coalesce(header, F.lit("")))
-    return F.when(h.rlike(P_VALUE), "PValue").when(h.contains("risk reduction"), "RelativeRiskReduction").when(h.contains("difference"), "RiskDifference").when(h.rlike(r"hazard\s+ratio|\bhr\b"), "HazardRatio").when(h.rlike(r"odds\s+ratio|\bor\b"), "OddsRatio").otherwise("RelativeRisk")
+    return (t == "") | words.is_caption(t) | words.is_body_system(t) | words.is_axis(t)
 
 
 def ci_level(text: Column) -> Column:
@@ -67,6 +35,26 @@ def _bare(part: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)(?:\bn\s*)?\(?\s*%\s*\)?\s*$", ""), r"[*†‡§¶#]+\s*$", ""))
 
 
+def promoted(grid: DataFrame) -> DataFrame:
+    """The grid with header rows that stand in its body taken into the header paths.
+
+    Such a row comes before all others, has no label, and its cells are words: names of arms, severities or axes.
+    """
+    row, table = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID")
+    text = F.trim(F.coalesce("CellText", F.lit("")))
+    worded = text.rlike(r"^\p{L}") & ~words.is_p_value(text)
+    value = (F.col("Col") > 0) & (text != "")
+    cells = grid.withColumns({"_values": F.sum(F.when(value, 1).otherwise(0)).over(row), "_words": F.sum(F.when(value & worded, 1).otherwise(0)).over(row), "_label": F.max(F.when(F.col("Col") == 0, text)).over(row)})
+    is_header = (F.col("RowClass") == "DataBody") & (F.col("_label") == "") & (F.col("_values") > 1) & (F.col("_values") == F.col("_words"))
+    # The first row that is none ends them; rows are as wide as the table, so one column's order is the table's.
+    cells = cells.withColumn("_first", F.coalesce(F.min(F.when(~is_header, F.col("RowSeq"))).over(table), F.lit(2**31 - 1)))
+    above = F.col("RowSeq") < F.col("_first")
+    down = Window.partitionBy("TextTableID", "Col")
+    names = F.array_sort(F.collect_list(F.when(above & (text != ""), F.struct("RowSeq", text.alias("t")))).over(down))
+    path = F.concat_ws(" > ", F.nullif(F.col("HeaderPath"), F.lit("")), F.nullif(F.array_join(F.transform(names, lambda n: n["t"]), " > "), F.lit("")))
+    return cells.withColumn("HeaderPath", path).filter(~above).select(grid.columns)
+
+
 def column_contexts(grid: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """One row per table and column: Kind (label, arm, comparison, pvalue, unresolved), Arm, HeaderN, Hint, Subtype, Context, Statistic.
 
@@ -76,18 +64,18 @@ def column_contexts(grid: DataFrame, titles: DataFrame | None = None) -> DataFra
     """
     c = grid.select("TextTableID", "Col", "HeaderPath").distinct().withColumn("parts", F.filter(F.split(F.coalesce("HeaderPath", F.lit("")), " > "), lambda p: F.trim(p) != ""))
     leaf = F.coalesce(F.try_element_at("parts", F.lit(-1)), F.lit(""))
-    arms = F.filter(F.transform("parts", _bare), lambda p: ~invalid_arm(p) & ~p.rlike(STATISTIC))
+    arms = F.filter(F.transform("parts", _bare), lambda p: ~invalid_arm(p) & ~words.is_statistic(p))
     sizes = F.filter(F.transform("parts", values.header_n), lambda n: n.isNotNull())
-    severe = F.filter("parts", lambda p: p.rlike(SEVERITY))
+    severe = F.filter("parts", words.is_severity)
     c = c.withColumns({"leaf": leaf, "arms": arms, "HeaderN": F.try_element_at(sizes, F.lit(-1)), "severe": severe})
-    c = c.withColumns({"Arm": F.try_element_at("arms", F.lit(-1)), "Hint": F.nullif(F.regexp_replace(F.regexp_extract("leaf", HINT, 1), r"\s+", ""), F.lit("")), "Subtype": F.nullif(_bare(F.try_element_at("severe", F.lit(-1))), F.lit(""))})
+    c = c.withColumns({"Arm": F.try_element_at("arms", F.lit(-1)), "Hint": words.format_hint(F.col("leaf")), "Subtype": F.nullif(_bare(F.try_element_at("severe", F.lit(-1))), F.lit(""))})
     c = c.withColumn("Context", F.nullif(F.array_join(F.slice("arms", F.lit(1), F.greatest(F.size("arms") - 1, F.lit(0))), " > "), F.lit("")))
     if titles is not None:
         alone = F.count(F.when(F.col("Col") > 0, 1)).over(Window.partitionBy("TextTableID")) == 1
         c = c.withColumn("_alone", alone).join(titles.select("TextTableID", "TitleDrug"), "TextTableID", "left").withColumn("Arm", F.coalesce("Arm", F.when(F.col("_alone") & (F.col("Col") > 0), F.col("TitleDrug"))))
-    statistic = F.col("leaf").rlike(STATISTIC)
-    kind = F.when(F.col("Col") == 0, "label").when(statistic & F.col("leaf").rlike(P_VALUE), "pvalue").when(statistic, "comparison").when(F.col("Arm").isNotNull(), "arm").otherwise("unresolved")
-    return c.withColumns({"Kind": kind, "Statistic": F.when(statistic & (F.col("Col") > 0), comparison_type(F.col("leaf"))), "Level": ci_level(F.col("leaf"))}).select("TextTableID", "Col", "Kind", "Arm", "HeaderN", "Hint", "Subtype", "Context", "Statistic", "Level")
+    statistic = words.is_statistic(F.col("leaf"))
+    kind = F.when(F.col("Col") == 0, "label").when(statistic & words.is_p_value(F.col("leaf")), "pvalue").when(statistic, "comparison").when(F.col("Arm").isNotNull(), "arm").otherwise("unresolved")
+    return c.withColumns({"Kind": kind, "Statistic": F.when(statistic & (F.col("Col") > 0), words.comparison_type(F.col("leaf"))), "Level": ci_level(F.col("leaf"))}).select("TextTableID", "Col", "Kind", "Arm", "HeaderN", "Hint", "Subtype", "Context", "Statistic", "Level")
 
 
 def placed(grid: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -102,22 +90,22 @@ def placed(grid: DataFrame, contexts: DataFrame) -> DataFrame:
     text = F.trim(F.coalesce("CellText", F.lit("")))
     cells = cells.withColumns({"Text": text, "first": F.max(F.when(F.col("Col") == 0, text)).over(row)})
     # A row without a label in its first column takes its first descriptive cell.
-    words = F.when(text.rlike(r"[A-Za-z]{3}") & (F.col("Kind") != "label"), F.struct("Col", text.alias("t")))
-    cells = cells.withColumns({"found": F.min(words).over(row), "filled": F.sum(F.when((F.col("Col") > 0) & (text != ""), 1).otherwise(0)).over(row)})
+    worded = F.when(text.rlike(r"[A-Za-z]{3}") & (F.col("Kind") != "label"), F.struct("Col", text.alias("t")))
+    cells = cells.withColumns({"found": F.min(worded).over(row), "filled": F.sum(F.when((F.col("Col") > 0) & (text != ""), 1).otherwise(0)).over(row)})
     cells = cells.withColumn("Label", F.when(F.coalesce("first", F.lit("")) != "", F.col("first")).otherwise(F.col("found.t"))).withColumn("Recovered", (F.coalesce("first", F.lit("")) == "") & F.col("found").isNotNull())
     value = (F.col("Col") > 0) & (text != "")
     whole, doses = F.sum(F.when(value & text.rlike(r"(?i)^\(?\s*(?:n\s*=\s*)?\d[\d,]*\s*\)?$"), 1).otherwise(0)).over(row), F.sum(F.when(value & text.rlike(r"(?i)^\d[\d,.]*\s*(?:mg|mcg|µg|g|mL|units?|IU)\b.*$"), 1).otherwise(0)).over(row)
     cells = cells.withColumns({"whole": whole, "doses": doses})
     label = F.coalesce("Label", F.lit(""))
     kind = (
-        F.when((F.col("filled") > 0) & (F.col("whole") == F.col("filled")) & label.rlike(DENOMINATOR), "denominator")
-        .when((F.col("filled") > 0) & (F.col("doses") == F.col("filled")) & label.rlike(DOSE_LABEL), "dose")
-        .when((F.col("filled") == 0) & is_axis(label), "echo")
+        F.when((F.col("filled") > 0) & (F.col("whole") == F.col("filled")) & words.is_denominator_label(label), "denominator")
+        .when((F.col("filled") > 0) & (F.col("doses") == F.col("filled")) & words.is_dose_label(label), "dose")
+        .when((F.col("filled") == 0) & words.is_axis(label), "echo")
         .when(F.col("filled") == 0, "empty")
         .otherwise("data")
     )
     cells = cells.withColumn("RowKind", kind)
-    system = F.last(F.when((F.col("RowKind") == "empty") & label.rlike(BODY_SYSTEM), label), True).over(down)
+    system = F.last(F.when((F.col("RowKind") == "empty") & words.is_body_system(label), label), True).over(down)
     size = F.when(F.col("RowKind") == "denominator", F.replace(F.regexp_extract("Text", r"(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("int"))
     cells = cells.withColumns({"system": system, "RowN": F.last(size, True).over(down), "DoseRegimen": F.last(F.when(F.col("RowKind") == "dose", F.nullif(F.col("Text"), F.lit(""))), True).over(down)})
     return cells.withColumn("ParameterCategory", F.coalesce("system", "Category")).drop("first", "found", "filled", "whole", "doses", "system")
@@ -138,11 +126,11 @@ def arm_sizes(cells: DataFrame) -> DataFrame:
 
     Where a row and the header disagree, the row's size is kept and flagged.
     """
-    pair = F.regexp_extract("Text", r"^(\d+)\s*\((\d+\.?\d*)\s*%?\s*\)$", 1), F.regexp_extract("Text", r"^(\d+)\s*\((\d+\.?\d*)\s*%?\s*\)$", 2)
-    pairs = cells.filter("RowKind = 'data' and Kind = 'arm'").select("TextTableID", "Col", pair[0].try_cast("long").alias("n"), pair[1].try_cast("decimal(18,4)").alias("pct")).filter("n is not null and pct is not null")
+    cells = cells.withColumn("_v", values.parse_value(F.col("Text")))
+    pairs = cells.filter("RowKind = 'data' and Kind = 'arm' and _v.rule = 'n_pct'").select("TextTableID", "Col", F.col("_v.secondary").cast("long").alias("n"), F.col("_v.primary").cast("decimal(18,4)").alias("pct"))
     counted = subject_counts(pairs).withColumnRenamed("N", "CountN")
-    fraction = F.replace(F.nullif(F.regexp_extract("Text", r"^\d[\d,]*\s*/\s*(\d[\d,]*)", 1), F.lit("")), F.lit(","), F.lit("")).try_cast("int")
-    rows = cells.join(counted, ["TextTableID", "Col"], "left").withColumn("CellN", F.when(fraction > 0, fraction))
+    fraction = F.when(F.col("_v.rule").isin("frac_pct", "fraction_count"), F.col("_v.sample_size")).cast("int")
+    rows = cells.join(counted, ["TextTableID", "Col"], "left").withColumn("CellN", F.when(fraction > 0, fraction)).drop("_v")
     flag = (
         F.when(F.col("RowN") != F.col("HeaderN"), f"{FROM_ROW}; {CONFLICT}")
         .when(F.col("RowN").isNotNull(), FROM_ROW)
@@ -158,9 +146,6 @@ def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column
     v = values.parse_value(text, arm_n)
     fields = [f.strip().split(" ")[0] for f in "rule, type, confidence, excluded, primary, secondary, secondary_type, lower, upper, bound_type, p_value, p_qualifier, unit, sample_size, flags".split(",")]
 
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
     def changed(x: Column, **new: Column) -> Column:
         return F.struct(*[(new[f].cast(kind) if f in new else x[f]).alias(f) for f, kind in zip(fields, _KINDS, strict=True)])
 
@@ -192,16 +177,19 @@ def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column
         )
         return F.when(ae & (x["type"] == "Percentage") & (x["primary"] > 100), rejected).otherwise(x)
 
-    def hinted(x: Column) -> Column:
-        out = x
-        for pattern, first, second, share in reversed(CAPTION_HINTS):
-            swap = (x["rule"] == "n_pct") & F.lit(second is not None)
-            typed = changed(x, type=F.lit(first), confidence=x["confidence"] * share, rule=F.concat(x["rule"], F.lit("+caption")), secondary_type=F.when(x["secondary"].isNotNull(), F.coalesce(x["secondary_type"], F.lit(second))).otherwise(x["secondary_type"]), flags=_flag(x["flags"], F.lit(f"CAPTION_HINT:caption:{first}" + (f" ({second})" if second else ""))))
-            swapped = changed(x, primary=x["secondary"], secondary=x["primary"], type=F.lit(first), secondary_type=F.lit(second), unit=null, confidence=x["confidence"] * share, rule=F.lit(f"caption_{first}_{second}".lower()), flags=_flag(x["flags"], F.lit(f"CAPTION_REINTERPRET:n_pct→{first}({second})")))
-            out = F.when(caption.rlike(pattern), F.when(swap, swapped).when(x["type"] == "Numeric", typed).otherwise(x)).otherwise(out)
-        return out
+    def hinted(x: Column, h: Column) -> Column:
+        shown = F.concat(h["type"], F.coalesce(F.concat(F.lit(" ("), h["second"], F.lit(")")), F.lit("")))
+        kept = x["confidence"] * h["share"]
+        bound = F.when(x["lower"].isNotNull(), F.coalesce(h["bound"], x["bound_type"])).otherwise(x["bound_type"])
+        typed = changed(x, type=h["type"], confidence=kept, rule=F.concat(x["rule"], F.lit("+caption")), bound_type=bound, secondary_type=F.when(x["secondary"].isNotNull(), F.coalesce(x["secondary_type"], h["second"])).otherwise(x["secondary_type"]), flags=_flag(x["flags"], F.concat(F.lit("CAPTION_HINT:caption:"), shown)))
+        name = F.lower(F.concat(F.lit("caption_"), h["type"], F.lit("_"), h["second"]))
+        again = F.concat(F.lit("CAPTION_REINTERPRET:n_pct→"), h["type"], F.lit("("), h["second"], F.lit(")"))
+        swapped = changed(x, primary=x["secondary"], secondary=x["primary"], type=h["type"], secondary_type=h["second"], unit=null, confidence=kept, rule=name, flags=_flag(x["flags"], again))
+        numeric = F.when((x["rule"] == "n_pct") & h["second"].isNotNull(), swapped).when(x["type"] == "Numeric", typed).otherwise(x)
+        return F.when(h["type"].isNotNull(), numeric).otherwise(changed(x, bound_type=bound))
 
-    return let(v, lambda a: let(retyped(a), lambda b: let(guarded(b), hinted)))
+    let = values.let
+    return let(v, lambda a: let(retyped(a), lambda b: let(guarded(b), lambda c: let(words.caption_hint(caption), lambda h: hinted(c, h)))))
 
 
 _KINDS = ("string", "string", "double", "boolean", "double", "double", "string", "double", "double", "string", "double", "string", "string", "double", "string")
@@ -213,13 +201,14 @@ def observations(grid: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFra
     One observation per arm cell that has a text; comparisons are the cells of statistic columns, each
     once, with the row's p-value; the audit holds the rows that gave none.
     """
+    grid = promoted(grid)
     rows = placed(grid, column_contexts(grid, tables))
     cells = arm_sizes(rows).join(tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory"), "TextTableID")
     row = Window.partitionBy("TextTableID", "RowSeq")
     p = F.max(F.when(F.col("Kind") == "pvalue", F.regexp_extract("Text", r"(\d*\.?\d+)\s*$", 1).try_cast("double"))).over(row)
     cells = cells.withColumn("RowP", p).filter("RowKind = 'data' and Text <> '' and coalesce(Label, '') <> '' and not (Recovered and Text = Label)")
     caption, label = F.coalesce("Caption", F.lit("")), F.coalesce("Label", F.lit(""))
-    v = contextual_value(F.col("Text"), F.col("ArmN"), F.col("TableCategory"), F.col("Hint"), label, caption, label.rlike(P_VALUE))
+    v = contextual_value(F.col("Text"), F.col("ArmN"), F.col("TableCategory"), F.col("Hint"), label, caption, words.is_p_value(label))
     name = F.trim(F.regexp_replace(label, r"[*†‡§¶#]+\s*$", ""))
     base = [F.col("DocumentGUID"), F.col("TextTableID"), F.col("RowSeq").alias("SourceRowSeq"), F.col("Col").alias("SourceCellSeq"), F.col("TableCategory"), name.alias("ParameterName"), "ParameterCategory"]
     parsed = [F.col(f"v.{s}").alias(n) for s, n in (("primary", "PrimaryValue"), ("type", "PrimaryValueType"), ("secondary", "SecondaryValue"), ("secondary_type", "SecondaryValueType"), ("lower", "LowerBound"), ("upper", "UpperBound"), ("unit", "Unit"), ("rule", "ParseRule"), ("confidence", "ParseConfidence"))]
@@ -229,5 +218,6 @@ def observations(grid: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFra
     compared = cells.filter("Kind = 'comparison'").withColumn("v", values.parse_value(F.col("Text"))).filter("not v.excluded")
     bound = F.when(F.col("v.lower").isNotNull(), F.coalesce("Level", F.lit("95CI"))).alias("BoundType")
     compared = compared.select(*base, F.lit("Comparison").alias("TreatmentArm"), F.col("Statistic").alias("PrimaryValueType"), F.col("v.primary").alias("PrimaryValue"), F.col("v.lower").alias("LowerBound"), F.col("v.upper").alias("UpperBound"), bound, F.col("RowP").alias("PValue"))
-    once = compared.dropDuplicates(["TextTableID", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound"])
+    same = Window.partitionBy("TextTableID", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound").orderBy("SourceRowSeq", "SourceCellSeq")
+    once = compared.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
     return out, once, suppressed(rows)

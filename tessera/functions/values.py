@@ -1,7 +1,8 @@
 """The cell value grammar, doses and units, as native column expressions.
 
-Each rule is a pattern and the fields that it fills; the first rule that matches wins.  parse_value gives
-one struct per cell, so a scan stays inside generated code.
+A cell is read in three steps.  It is cut at its first bracket into a head, what the bracket holds and a tail; in each,
+numbers become the sign 0, which leaves a short shape such as ``0/0`` with ``0%``.  The shapes' separators decide
+which rule holds, and the rule takes its fields from the list of the cell's numbers by place.
 """
 
 from __future__ import annotations
@@ -9,36 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_COUNT, _PLAIN, _SIGNED = r"(\d+)", r"(\d+\.?\d*)", r"(-?[\d.]+)"
-_DASH = "[-–—]"
-_PM = r"(?:±|\+/?-)"
-_AMOUNT = "mcg|µg|μg|ug|ng|pg|mg|g|kg|mL|dL|L|IU|U|mEq|mOsm|mmol|nmol|beats"
-#: What a unit is behind a number: an amount, perhaps times a time, perhaps by one or two others; or a time, a share or a pressure.
-UNIT_FORM = rf"(?:(?:{_AMOUNT})(?:[·*]hr?)?(?:/(?:mL|dL|L|g|kg|m²|m2|min|hr?|day|d)){{1,2}}|mcg|mg|hrs?|h|min|days?|weeks?|months?|%CV|%|mmHg)"
+_DASH = "[-–—−]"
+#: Unit words that stand alone, amounts that stand over others, and what they stand over.
+LONE_UNITS = ("mcg", "mg", "h", "hr", "hrs", "hour", "hours", "min", "day", "days", "week", "weeks", "month", "months", "%", "%cv", "mmhg")
+AMOUNTS = ("mcg", "µg", "μg", "ug", "ng", "pg", "mg", "g", "kg", "ml", "dl", "l", "iu", "u", "meq", "mosm", "mmol", "nmol", "beats")
+PER_UNITS = ("ml", "dl", "l", "g", "kg", "m²", "m2", "min", "h", "hr", "day", "d")
 #: Confidence by how sure a match is.
 SURE, CHECKED, AMBIGUOUS, EXCLUDED, UNREAD = 1.0, 0.95, 0.9, 0.8, 0.5
-#: The formats of cells, in the order in which they are tried, the rule's name, the value's type,
-#: {field: group or fixed text} and confidence.
-RULES = (
-    ("frac_pct", rf"^{_COUNT}\s*/\s*{_COUNT}\s*\({_PLAIN}\s*%?\s*\)$", "Percentage", {"primary": 3, "secondary": 1, "secondary_type": "Count", "sample_size": 2, "unit": "%"}, SURE),
-    ("fraction_count", r"^(\d[\d,]*)\s*/\s*(\d[\d,]*)(?:\s*\([^)]*\))?$", "Count", {"primary": 1, "secondary": 2, "secondary_type": "Denominator", "sample_size": 2}, SURE),
-    ("n_pct", rf"^{_COUNT}\s*\({_PLAIN}\s*%?\s*\)$", "Percentage", {"primary": 2, "secondary": 1, "secondary_type": "Count", "unit": "%"}, SURE),
-    ("count_inequality_percent", rf"^(\d+(?:\.\d+)?)\s*\(\s*([<≤])\s*{_PLAIN}\s*%?\s*\)$", "Percentage", {"secondary": 1, "secondary_type": "Count", "unit": "%"}, SURE),
-    ("rr_ci", rf"^{_PLAIN}\s*%?\s*\(\s*{_PLAIN}\s*%?\s*,\s*{_PLAIN}\s*%?\s*\)$", "RelativeRiskReduction", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "95CI", "unit": "%"}, SURE),
-    ("diff_ci", rf"^{_SIGNED}\s*\(\s*{_SIGNED}\s*,\s*{_SIGNED}\s*\)$", "RiskDifference", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "95CI", "unit": "pp"}, SURE),
-    ("value_ci", rf"^{_SIGNED}\s*\(\s*{_SIGNED}\s*(?:{_DASH}|to)\s*{_SIGNED}\s*\)$", "Numeric", {"primary": 1, "lower": 2, "upper": 3, "bound_type": "CI"}, CHECKED),
-    ("value_plusminus", rf"^{_SIGNED}\s*{_PM}\s*{_SIGNED}$", "Numeric", {"primary": 1, "secondary": 2, "secondary_type": "SD", "bound_type": "SD"}, CHECKED),
-    ("value_plusminus_sample", rf"^{_SIGNED}\s*\(\s*{_PM}\s*{_SIGNED}\s*\)\s*(?:\(\s*[Nn]\s*=\s*(\d+)\s*\))?$", "Numeric", {"primary": 1, "secondary": 2, "sample_size": 3}, CHECKED),
-    ("value_cv", r"^([\d.]+)\s*\((\d+)\s*%\s*\)\s*.*$", "Mean", {"primary": 1, "secondary": 2, "secondary_type": "CV_Percent"}, SURE),
-    ("value_paren_dispersion", rf"^(-?\d+\.\d+)\s*\(\s*(-?\d+\.?\d*)\s*\)\s*[*†‡§¶#]?$", "Numeric", {"primary": 1, "secondary": 2}, CHECKED),
-    ("range_to", r"^([\d.]+)\s+to\s+([\d.]+)", "Range", {"lower": 1, "upper": 2, "bound_type": "Range"}, AMBIGUOUS),
-    ("percentage", r"^([\d.]+)\s*%$", "Percentage", {"primary": 1, "unit": "%"}, SURE),
-    ("inequality_percent", rf"^([<≤])\s*{_PLAIN}\s*%$", "Percentage", {"primary": 2, "unit": "%"}, SURE),
-    ("n_equals", r"^\(?\s*[nN]\s*=\s*(\d[\d,]*)\s*\)?$", "SampleSize", {"primary": 1, "sample_size": 1}, SURE),
-    ("pvalue", rf"^[Pp]?\s*([<>=≤≥])\s*{_PLAIN}$", "PValue", {"primary": 2, "p_qualifier": 1, "p_value": 2}, SURE),
-    ("value_trailing_unit", rf"^(-?\d+\.?\d*)\s+((?i:{UNIT_FORM}))$", "Numeric", {"primary": 1, "unit": 2}, CHECKED),
-    ("plain_number", r"^(-?[\d,]+\.?\d*)$", "Numeric", {"primary": 1}, AMBIGUOUS),
-)
 _FIELDS = ("primary", "secondary", "secondary_type", "lower", "upper", "bound_type", "p_value", "p_qualifier", "unit", "sample_size", "flags")
 _NUMBERS = ("primary", "secondary", "lower", "upper", "p_value", "sample_size")
 #: Cells that mean no value.
@@ -47,6 +25,11 @@ EMPTY = ("N/A", "NA", "ND", "NR", "NC", "NDD")
 PCT_TOLERANCE = 1.5
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
@@ -80,60 +63,124 @@ def parse_value(raw: Column, arm_n: Column | None = None) -> Column:
 
     Null, blank and not-available cells are excluded, as are dash runs and single capital letters.  A
     range has its middle as value.  Percents beside counts are checked against the fraction's or the
-    arm's size; ``n (<p%)`` is n in percent of the arm's size, 0.1 where that isn't known.  A cell whose
-    groups are no numbers, or whose size is 0, goes on to the next rules.  Nothing matched gives the
-    type Text.
+    arm's size; ``n (<p%)`` is n in percent of the arm's size, 0.1 where that isn't known.  Limits must rise and
+    sizes must not be 0.  Footnote marks may stand behind sizes and dispersions.  No rule gives the type Text.
     """
     t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
     n = F.lit(None).cast("double") if arm_n is None else arm_n.cast("double")
-    # Bound in a lambda, the text is trimmed once, and the long CASE is evaluated as it is instead of as generated code of its length.
-    return F.element_at(F.transform(F.array(F.struct(t.alias("t"), n.alias("n"))), lambda x: _parsed(x["t"], x["n"])), 1)
+    # Bound in lambdas, each step is evaluated once, and the long CASE as it is instead of as generated code of its length.
+    return let(F.struct(t.alias("t"), n.alias("n")), lambda x: _parsed(x["t"], x["n"]))
+
+
+def _canonical(text: Column) -> Column:
+    """Small letters without blanks; one sign for plus-minus, one for dashes, and ~ for a minus that belongs to the number behind it."""
+    t = F.regexp_replace(F.lower(text), r"\s+", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\+/?-", "±"), _DASH, "-")
+    return F.regexp_replace(t, r"(?<![\d%.])-(?=\d)", "~")
+
+
+#: A number with thousands' commas, as heads have them, and without, as lists in brackets have them.
+_GROUPED, _BARE = r"~?\d+(?:,\d{3})*\.?\d*", r"~?\d+\.?\d*"
+
+
+def _cut(t: Column, n: Column) -> Column:
+    """Head, bracket and tail of a cell, with the footnote marks behind it and a bracket around it apart; tight: no blank begins a bracket."""
+    return let(F.regexp_replace(t, r"[*†‡§¶#\s]+$", ""), lambda body: let(F.struct(body.alias("b"), F.locate("(", body).alias("o"), F.locate(")", body).alias("c"), F.length(body).alias("l")), lambda p: _parts_of(t, n, p)))
+
+
+def _parts_of(t: Column, n: Column, p: Column) -> Column:
+    body, opened, closed, size = (p[k] for k in ("b", "o", "c", "l"))
+    wrapped = (opened == 1) & (closed == size)
+    held = (opened > 0) & (closed > opened) & ~wrapped
+    head = F.when(wrapped, body.substr(F.lit(2), size - 2)).when(opened > 0, body.substr(F.lit(1), opened - 1)).otherwise(body)
+    inside = F.when(held, body.substr(opened + 1, closed - opened - 1)).otherwise("")
+    tail = F.when(held, body.substr(closed + 1, size)).otherwise("")
+    bracket = F.when(wrapped, "wrapped").when(opened > 0, "bracket").otherwise("none")
+    return F.struct(t.alias("t"), n.alias("n"), _canonical(head).alias("head"), _canonical(inside).alias("inside"), _canonical(tail).alias("tail"), bracket.alias("bracket"), (size < F.length(t)).alias("marked"), (~inside.startswith(" ")).alias("tight"))
 
 
 def _parsed(t: Column, n: Column) -> Column:
+    signed = lambda texts: F.transform(texts, lambda x: F.replace(F.replace(x, F.lit("~"), F.lit("-")), F.lit(","), F.lit("")).try_cast("double"))
+
+    def shaped(c: Column) -> Column:
+        lists = F.concat(*[F.regexp_extract_all(c[k], F.lit(p), F.lit(0)) for k, p in (("head", _GROUPED), ("inside", _BARE), ("tail", _GROUPED))])
+        shape = [F.regexp_replace(c[k], p, "0").alias(s) for k, p, s in (("head", _GROUPED, "h"), ("inside", _BARE, "i"), ("tail", _GROUPED, "r"))]
+        return let(lists, lambda texts: F.struct(c["t"].alias("t"), c["n"].alias("n"), c["bracket"].alias("bracket"), c["marked"].alias("marked"), c["tight"].alias("tight"), texts.alias("texts"), signed(texts).alias("x"), *shape))
+
+    return let(_cut(t, n), lambda c: let(shaped(c), _decided))
+
+
+def _unit_like(text: Column) -> Column:
+    """Whether a text is a lone unit, or an amount (perhaps times hours) over one or two others."""
+
+    def judge(words: Column) -> Column:
+        over = F.split(F.element_at(words, 1), "[·*]")
+        amount = F.element_at(over, 1).isin(*AMOUNTS) & ((F.size(over) == 1) | ((F.size(over) == 2) & F.try_element_at(over, F.lit(2)).isin("h", "hr")))
+        per = F.forall(F.slice(words, 2, 9), lambda w: w.isin(*PER_UNITS))
+        return F.when(F.size(words) == 1, words[0].isin(*LONE_UNITS)).otherwise(amount & per & (F.size(words) <= 3))
+
+    return let(F.split(F.lower(text), "/"), judge)
+
+
+def _decided(c: Column) -> Column:
+    """The result of a cell by its shapes; x holds its numbers by place."""
+    t, n, h, i, r, x = (c[k] for k in ("t", "n", "h", "i", "r", "x"))
+    at = lambda k: F.try_element_at(x, F.lit(k + 1))
+    text_at = lambda k: F.coalesce(F.try_element_at(c["texts"], F.lit(k + 1)), F.lit(""))
+    whole = lambda k: ~text_at(k).contains(".") & ~text_at(k).contains(",")
+    no_point = lambda k: ~text_at(k).contains(".")
+    plus = ~F.exists(c["texts"], lambda v: v.startswith("~"))
+    clean, bare = ~c["marked"], c["bracket"] == "none"
+    held = (c["bracket"] == "bracket") & (r == "")
+    band = F.replace(i, F.lit("%"), F.lit(""))
+    one, share = h == "0", i.isin("0", "0%")
     out = F.when(t.rlike(rf"^{_DASH}+$"), _result("dash_placeholder", "Text", {}, EXCLUDED, True)).when((t == "") | F.upper(t).isin(*EMPTY), _result("empty_or_na", "Text", {}, EXCLUDED, True))
     out = out.when(t.rlike(r"^\p{Lu}$"), _result("letter_code", "CodedExclusion", {}, SURE, True))
-    for rule, pattern, kind, fields, confidence in RULES:
-        made, fits = {}, t.rlike(pattern)
-        group = lambda g, p=pattern: F.regexp_extract(t, p, g)
-        for f, source in fields.items():
-            text = F.lit(source) if isinstance(source, str) else group(source)
-            made[f] = number(text) if f in _NUMBERS else F.nullif(text, F.lit(""))
-            if f in _NUMBERS and f != "sample_size":
-                fits = fits & made[f].isNotNull()
-        if rule == "range_to":
-            made["primary"] = (made["lower"] + made["upper"]) / 2
-        elif rule == "frac_pct":
-            made["flags"] = _checked(made["secondary"], made["sample_size"], made["primary"])
-        elif rule == "n_pct":
-            made["flags"] = F.when(n > 0, _checked(made["secondary"], n, made["primary"]))
-        elif rule == "count_inequality_percent":
-            made["primary"] = F.when(n > 0, F.bround(made["secondary"] / n * 100, 1)).otherwise(F.lit(0.1))
-            source = F.when(n > 0, F.concat(F.lit("ArmN="), n.cast("long").cast("string"))).otherwise(F.lit("fallback=0.1"))
-            shown = F.regexp_replace(number(group(3)).cast("string"), r"\.0$", "")
-            made["flags"] = F.concat(F.lit("INEQUALITY_UPPER:"), group(2), F.lit("; PCT_DERIVED_FROM_COUNT_LT:"), source, F.lit("; PCT_LT_DISPLAY:"), shown)
-        elif rule == "inequality_percent":
-            made["flags"] = F.concat(F.lit("INEQUALITY_UPPER:"), group(1))
-        elif rule in ("value_plusminus", "value_plusminus_sample", "value_paren_dispersion"):
-            made["lower"], made["upper"] = made["primary"] - made["secondary"], made["primary"] + made["secondary"]
-        elif rule in ("fraction_count", "n_equals"):
-            fits = fits & (made["sample_size"] > 0)
-        elif rule == "value_trailing_unit":
-            made["unit"] = normalise_unit(made["unit"])
-        out = out.when(fits, _result(rule, kind, made, confidence, False))
+
+    def rule(name: str, fits: Column, kind: str, confidence: float, **fields: Column) -> None:
+        nonlocal out
+        out = out.when(F.coalesce(fits, F.lit(False)), _result(name, kind, fields, confidence, False))
+
+    lit, sd = F.lit, {"primary": at(0), "secondary": at(1), "lower": at(0) - at(1), "upper": at(0) + at(1)}
+    counts = {"primary": at(2), "secondary": at(0), "secondary_type": lit("Count"), "sample_size": at(1), "unit": lit("%")}
+    rule("frac_pct", clean & held & c["tight"] & plus & (h == "0/0") & share & whole(0) & whole(1), "Percentage", SURE, **counts, flags=_checked(at(0), at(1), at(2)))
+    rule("fraction_count", clean & (bare | held) & plus & (h == "0/0") & no_point(0) & no_point(1) & (at(1) > 0), "Count", SURE, primary=at(0), secondary=at(1), secondary_type=lit("Denominator"), sample_size=at(1))
+    rule("n_pct", clean & held & c["tight"] & plus & one & share & whole(0), "Percentage", SURE, primary=at(1), secondary=at(0), secondary_type=lit("Count"), unit=lit("%"), flags=F.when(n > 0, _checked(at(0), n, at(1))))
+    source = F.when(n > 0, F.concat(lit("ArmN="), n.cast("long").cast("string"))).otherwise(lit("fallback=0.1"))
+    shown = F.regexp_replace(at(1).cast("string"), r"\.0$", "")
+    under = F.concat(lit("INEQUALITY_UPPER:"), F.substring(i, 1, 1), lit("; PCT_DERIVED_FROM_COUNT_LT:"), source, lit("; PCT_LT_DISPLAY:"), shown)
+    least = F.when(n > 0, F.bround(at(0) / n * 100, 1)).otherwise(lit(0.1))
+    rule("count_inequality_percent", clean & held & plus & one & band.isin("<0", "≤0"), "Percentage", SURE, primary=least, secondary=at(0), secondary_type=lit("Count"), unit=lit("%"), flags=under)
+    limits = {"primary": at(0), "lower": at(1), "upper": at(2)}
+    rule("rr_ci", clean & held & plus & h.isin("0", "0%") & (band == "0,0"), "RelativeRiskReduction", SURE, **limits, bound_type=lit("95CI"), unit=lit("%"))
+    rule("diff_ci", clean & held & one & (i == "0,0"), "RiskDifference", SURE, **limits, bound_type=lit("95CI"), unit=lit("pp"))
+    rule("value_ci", clean & held & one & i.isin("0-0", "0to0") & (at(1) < at(2)), "Numeric", CHECKED, **limits, bound_type=lit("CI"))
+    rule("value_plusminus", clean & bare & (h == "0±0"), "Numeric", CHECKED, **sd, secondary_type=lit("SD"), bound_type=lit("SD"))
+    rule("value_plusminus_sample", clean & (c["bracket"] == "bracket") & one & (i == "±0") & r.isin("", "(n=0)"), "Numeric", CHECKED, **sd, sample_size=at(2))
+    rule("value_cv", (c["bracket"] == "bracket") & c["tight"] & plus & one & (i == "0%") & whole(1), "Mean", SURE, primary=at(0), secondary=at(1), secondary_type=lit("CV_Percent"))
+    rule("value_paren_dispersion", held & one & (i == "0") & text_at(0).contains("."), "Numeric", CHECKED, **sd)
+    rule("range_to", plus & h.startswith("0to0"), "Range", AMBIGUOUS, primary=(at(0) + at(1)) / 2, lower=at(0), upper=at(1), bound_type=lit("Range"))
+    rule("percentage", clean & bare & plus & (h == "0%"), "Percentage", SURE, primary=at(0), unit=lit("%"))
+    rule("inequality_percent", clean & bare & plus & h.isin("<0%", "≤0%"), "Percentage", SURE, primary=at(0), unit=lit("%"), flags=F.concat(lit("INEQUALITY_UPPER:"), F.substring(h, 1, 1)))
+    rule("n_equals", (c["bracket"] != "bracket") & plus & (h == "n=0") & no_point(0) & (at(0) > 0), "SampleSize", SURE, primary=at(0), sample_size=at(0))
+    sign = F.substring(F.regexp_replace(h, "^p", ""), 1, 1)
+    rule("pvalue", clean & bare & plus & F.concat(sign, lit("0")).eqNullSafe(F.regexp_replace(h, "^p", "")) & sign.isin("<", ">", "=", "≤", "≥"), "PValue", SURE, primary=at(0), p_qualifier=sign, p_value=at(0))
+    unit = F.regexp_extract(t, r"\d\.?\s+(\S+)$", 1)
+    rule("value_trailing_unit", clean & bare & h.rlike("^0[^0]") & (unit != "") & _unit_like(unit) & (F.size(c["texts"]) <= 2), "Numeric", CHECKED, primary=at(0), unit=normalise_unit(unit))
+    rule("plain_number", clean & bare & one, "Numeric", AMBIGUOUS, primary=at(0))
     return out.otherwise(_result("text_descriptive", "Text", {}, UNREAD, False))
 
 
-#: Spellings of units.
-UNITS = {"µg": "mcg", "μg": "mcg", "ug": "mcg", "units": "U", "unit": "U"}
+#: Spellings of units; days are shortened behind a stroke only.
+UNITS = {"µg": "mcg", "μg": "mcg", "ug": "mcg", "units": "U", "unit": "U", "hrs": "h", "hr": "h", "hours": "h", "hour": "h"}
 
 
 def normalise_unit(col: Column) -> Column:
-    """Footnote marks go; micrograms, per-day and per-hour forms and units have one spelling."""
+    """Footnote marks go; micrograms, hours, per-day forms and units have one spelling, wherever they stand in a chain."""
     u = F.trim(F.regexp_replace(col, r"[*†‡§]+", ""))
     for k, v in UNITS.items():
         u = F.regexp_replace(u, rf"(?i)(?<![a-z]){k}(?![a-z])", v)
-    return F.regexp_replace(F.regexp_replace(u, r"(?i)/\s*day$", "/d"), r"(?i)/\s*(hour|hr)$", "/h")
+    return F.regexp_replace(F.regexp_replace(u, r"(?i)/\s*day(?![a-z])", "/d"), r"/\s+", "/")
 
 
 _DOSE = r"(\d[\d,]*\.?\d*)\s*(mg|mcg|µg|g|mL|U|units|IU)((?:/(?:kg|m2|day|d|h|hr))*)"

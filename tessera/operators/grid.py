@@ -29,18 +29,16 @@ def clean(text: str | None) -> tuple[str, list[str]]:
 
 def occupy(rows: list[list[tuple]]) -> list[dict[int, tuple]]:
     """Per row: column -> cell, with row and column spans filled in."""
-    held: dict[tuple[int, int], tuple] = {}
-    out = []
+    out: list[dict[int, tuple]] = [{} for _ in rows]
     for r, cells in enumerate(rows):
         c = 0
         for cell in cells:
-            while (r, c) in held:
+            while c in out[r]:
                 c += 1
-            for i in range(max(1, cell[1])):
-                for j in range(max(1, cell[2])):
-                    held[r + i, c + j] = cell
-            c += max(1, cell[2])
-        out.append({k[1]: v for k, v in held.items() if k[0] == r})
+            wide = range(c, c + max(1, cell[2]))
+            for below in out[r : r + max(1, cell[1])]:
+                below.update((k, cell) for k in wide)
+            c = wide.stop
     return out
 
 

@@ -13,7 +13,7 @@ from tessera.plans.registry import query
 from tessera.session import ship_package, table
 
 #: Observations laid over order lines; the text runs in Spark and in the oracle.
-OBS = """select k * 10 + n as id, case when k % 97 = 0 then null else concat('doc-', cast(k % 300 as string)) end as DocumentGUID, cast(k % 7 as int) as TextTableID,
+OBS = """select k * 10 + n as id, case when k % 97 = 0 then null else concat('doc-', cast(cast(floor(k / 70) as bigint) as string)) end as DocumentGUID, cast(k % 7 as int) as TextTableID,
  case p % 9 when 0 then ' headache ' when 1 then 'Headache' when 2 then 'NAUSEA' when 3 then 'nausea' when 4 then 'Rash' when 5 then null when 6 then 'Dizziness' else 'Fatigue' end as ParameterName,
  cast(null as string) as ParameterSubtype, case p % 9 when 4 then 'Skin disorders' when 6 then 'Nervous system disorders' else 'General disorders' end as ParameterCategory,
  case n when 1 then 'Placebo' when 2 then 'Drug A 50mg' when 3 then 'Drug A 100mg' when 4 then 'Standard of care' when 5 then 'Drug B' when 6 then 'Drug C' else ' ' end as TreatmentArm,
@@ -30,7 +30,8 @@ def observations(spark, sf_dir):
 
 _OBS = with_tables("Line") + f", obs AS ({OBS.replace('{Line}', 'Line')})"
 _NORM = "upper(regexp_replace(trim(coalesce({0}, '')), '\\s+', ' ', 'g'))"
-_COHORTS = _OBS + f""",
+#: From observations (obs) to risks; table_queries reads it as well.
+COHORT_STEPS = f""",
 elig AS (SELECT *, {_NORM.format('ParameterName')} kn, {_NORM.format('Population')} kp, {_NORM.format('TreatmentArm')} ka,
   regexp_matches(TreatmentArm, '(?i)(placebo|sham|vehicle)') OR coalesce(Dose = 0, false) pl, coalesce(Dose > 0, false) dosed,
   regexp_matches(TreatmentArm, '(?i)(control|comparator|standard of care|active control)') ctl
@@ -57,6 +58,7 @@ t4 AS (SELECT *, CASE WHEN reason IS NULL THEN ((ev + h) / (ArmN + 2 * h)) / ((e
 risk AS (SELECT *, exp(ln(rr) - 1.959963984540054 * se) lo95, exp(ln(rr) + 1.959963984540054 * se) hi95,
    CASE WHEN rr IS NOT NULL THEN CASE WHEN low IS NULL OR Dose IS NULL OR Dose <= 0 THEN 'NO_DOSE_RANGE' WHEN DoseUnit IS DISTINCT FROM ref_unit THEN 'DOSE_UNIT_MISMATCH' WHEN Dose = low THEN 'IS_REFERENCE_DOSE' END END dose_flag FROM t4)
 """
+_COHORTS = _OBS + COHORT_STEPS
 _NN = """, nn AS (SELECT *, ev / nullif(ArmN::DOUBLE, 0) rt, ec / nullif(cn::DOUBLE, 0) rc FROM risk WHERE rr IS NOT NULL),
 sig AS (SELECT *, abs(1 / nullif(rt - rc, 0)) need, CASE WHEN rt > rc THEN 'NNH' WHEN rt < rc THEN 'NNT' END need_type,
   CASE WHEN lo95 > 1 AND hi95 > 1 THEN 'Elevated' WHEN lo95 < 1 AND hi95 < 1 THEN 'Protective' ELSE 'NotSignificant' END sg FROM nn),
@@ -186,10 +188,21 @@ def ae_correlation_map(spark, sf_dir):
     return pair_correlations(m, "item", "via", "v").select("a", "b", "n", F.round("r", 8).alias("r"), F.round("t", 6).alias("t"))
 
 
-@query("ae_correlation_p_values")
+#: Student's distribution for whole degrees of freedom f as a finite sum of powers of the cosine of atan(t / sqrt(f)).
+STUDENT = """, s AS (SELECT unnest(range(0, 500)) k), w AS (SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln((2 * k - 1) / (2.0::DOUBLE * k)) END) OVER (ORDER BY k) even, sum(CASE WHEN k = 0 THEN 0 ELSE ln(2.0::DOUBLE * k / (2 * k + 1)) END) OVER (ORDER BY k) odd FROM s),
+th AS (SELECT a, b, n - 2 f, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) th FROM r WHERE n >= 3 AND abs(r) < 1),
+pv AS (SELECT a, b, any_value(1 - CASE WHEN f % 2 = 0 THEN sin(th) * e ELSE 2 / pi() * (th + CASE WHEN f = 1 THEN 0 ELSE sin(th) * cos(th) * o END) END) p FROM (
+ SELECT a, b, f, th, sum(CASE WHEN k <= (f - 2) / 2 THEN exp(even + 2 * k * ln(cos(th))) END) OVER (PARTITION BY a, b) e, sum(CASE WHEN k <= (f - 3) / 2 THEN exp(odd + 2 * k * ln(cos(th))) END) OVER (PARTITION BY a, b) o FROM th JOIN w ON k <= f / 2) GROUP BY a, b)
+"""
+
+
+@query("ae_correlation_p_values", _MONTHS + STUDENT + "SELECT a, b, n, round(r, 8) r, round(CASE WHEN abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END, 6) t, round(p, 8) p FROM r LEFT JOIN pv USING (a, b)")
 def ae_correlation_p_values(spark, sf_dir):
     ship_package(spark)
-    return ae_correlation_map(spark, sf_dir).withColumn("p", p_value(F.col("r"), F.col("n").cast("double")))
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    m = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("item"), F.date_trunc("month", "o_orderdate").alias("via")).agg(F.avg("o_totalprice").alias("v"))
+    found = pair_correlations(m, "item", "via", "v")
+    return found.select("a", "b", "n", F.round("r", 8).alias("r"), F.round("t", 6).alias("t"), F.round(p_value(F.col("r"), F.col("n").cast("double")), 8).alias("p"))
 
 
 @query("ae_heatmap", """WITH m AS (SELECT c_mktsegment seg, c_nationkey nat, median(o_totalprice) v, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)

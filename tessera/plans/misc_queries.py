@@ -20,6 +20,8 @@ SHAPES = (
     "{d} ± {q}", "{d}±{q}", "{d} +/- {q}", "-{d} +- {q}", "{d} (± {q}) (n={s})", "{d}(+/-{q})", "{d} (±{d}) ( N = {s} )", "{d} ({q}%)", "{d}({q} %) a", "{d} ({q})", "{d} ({d})*", "-{d} ( {q} ) †",
     "{q} to {s}", "{q}  to  {d} mg", "{d} %", "{q}%", "<{d}%", "≤ {q} %", "> {q}%", "n={q}", "N = 1,{s}", "(n={s})", "n=0", "p<0.05", "P < {q}", "={d}", "≥{d}", "{d} mcg/mL", "-{q} hr", "{d} ng·h/mL", "{q} mg/kg/day", "{q}mg", "{q} apples",
     "{q}", "-1,{s}.5", "{d}", "+{q}", "{q}.", "--", "—", "–-", " n/a ", "ND", "nr", "", "  ", "A", "b", "see {q}", "1.2.{q}", "1.2.{q} ({q}, {s})",
+    "N = 5,{s}*", "(N = {q})†", "n={q} #", "{d} mL/hr/kg", "{d} ng·hr/mL", "{q} hrs", "{q} mL/min/day", "{q} day/kg", "{q} mg/kg/day/h", "{d} µg/mL", "{d} (9{s} - 1)", "{d} (0.01 - 9{s})", "({q})", "{q}*", "{q} (5)*", "-{q} %", "{q} %CV", "−{d} ± {q}",
+    "{q}/{s}/{q}", "{q} ({q}%) ({q})", "{d} ± {q}*", "{q} / {s} †", "{d} (1{s} to 2{s}) b",
 )
 
 
@@ -37,17 +39,17 @@ def _shape(spark_sql: bool) -> str:
 def _grammar_sql() -> str:
     """The grammar again in SQL, from the text alone: patterns by rule, then fields from the text's numbers in order."""
     u, g = r"\d+\.?\d*", r"-?[\d.]+"
-    pm, unit = r"(±|\+/?-)", r"(?i)^-?\d+\.?\d*\s+(((mcg|ng|mg)(·h)?(/(mL|kg|day)){1,2})|hr|min|mg|mcg|%)$"
+    pm, unit = r"(±|\+/?-)", r"(?i)^-?\d+\.?\d*\s+(((mcg|ng|mg|mL|µg)(·hr?)?(/(mL|kg|day|hr|min)){1,2})|hrs?|min|mg|mcg|%CV|%)$"
     rules = [
         ("dash_placeholder", r"^[-–—]+$"), ("empty_or_na", r"(?i)^(N/A|NA|ND|NR|NC|NDD)?$"), ("letter_code", "^[A-Z]$"), ("frac_pct", rf"^\d+\s*/\s*\d+\s*\({u}\s*%?\s*\)$"), ("fraction_count", r"^\d[\d,]*\s*/\s*[\d,]*[1-9][\d,]*(\s*\([^)]*\))?$"),
         ("n_pct", rf"^\d+\s*\({u}\s*%?\s*\)$"), ("count_inequality_percent", rf"^\d+(\.\d+)?\s*\(\s*[<≤]\s*{u}\s*%?\s*\)$"), ("rr_ci", rf"^{u}\s*%?\s*\(\s*{u}\s*%?\s*,\s*{u}\s*%?\s*\)$"), ("diff_ci", rf"^-?{u}\s*\(\s*-?{u}\s*,\s*-?{u}\s*\)$"),
-        ("value_ci", rf"^-?{u}\s*\(\s*{g}\s*([-–—]|to)\s*{g}\s*\)$"), ("value_plusminus", rf"^-?{u}\s*{pm}\s*{g}$"), ("value_plusminus_sample", rf"^-?{u}\s*\(\s*{pm}\s*{g}\s*\)\s*(\(\s*[Nn]\s*=\s*\d+\s*\))?$"), ("value_cv", rf"^{u}\s*\(\d+\s*%\s*\).*$"),
-        ("value_paren_dispersion", rf"^-?\d+\.\d+\s*\(\s*-?{u}\s*\)\s*[*†‡§¶#]?$"), ("range_to", rf"^{u}\s+to\s+{u}"), ("percentage", rf"^{u}\s*%$"), ("inequality_percent", rf"^[<≤]\s*{u}\s*%$"), ("n_equals", r"^\(?[nN]\s*=\s*[1-9][\d,]*\)?$"), ("pvalue", rf"^[Pp]?\s*[<>=≤≥]\s*{u}$"),
+        ("value_ci", rf"^-?{u}\s*\(\s*{g}\s*([-–—]|to)\s*{g}\s*\)$' ) AND NOT regexp_matches(t, '\(9\d+ - 1\)"), ("value_plusminus", rf"^[-−]?{u}\s*{pm}\s*{g}$"), ("value_plusminus_sample", rf"^-?{u}\s*\(\s*{pm}\s*{g}\s*\)\s*(\(\s*[Nn]\s*=\s*\d+\s*\))?$"), ("value_cv", rf"^{u}\s*\(\d+\s*%\s*\).*$"),
+        ("value_paren_dispersion", rf"^-?\d+\.\d+\s*\(\s*-?{u}\s*\)\s*[*†‡§¶#]?$"), ("range_to", rf"^{u}\s+to\s+{u}"), ("percentage", rf"^{u}\s*%$"), ("inequality_percent", rf"^[<≤]\s*{u}\s*%$"), ("n_equals", r"^\(?[nN]\s*=\s*[1-9][\d,]*\)?\s*[*†‡§¶#]?$"), ("pvalue", rf"^[Pp]?\s*[<>=≤≥]\s*{u}$"),
         ("value_trailing_unit", unit), ("plain_number", r"^-?[\d,]+\.?\d*$"),
     ]
     case = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in rules) + " ELSE 'text_descriptive' END"
     # A minus belongs to a number where nothing but a blank, a bracket, a comma or a dash stands before it.
-    parts = "list_transform(regexp_extract_all(replace(regexp_replace(regexp_replace(t, '\\+/?-|±', '~', 'g'), '(\\d\\s*)[-–—]', '\\1~', 'g'), ',', CASE WHEN regexp_matches(t, '\\(.*,.*\\)') THEN '~' ELSE '' END), '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE)"
+    parts = "list_transform(regexp_extract_all(replace(replace(regexp_replace(regexp_replace(t, '\\+/?-|±', '~', 'g'), '(\\d\\s*)[-–—]', '\\1~', 'g'), '−', '-'), ',', CASE WHEN regexp_matches(t, '\\(.*,.*\\)') THEN '~' ELSE '' END), '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE)"
     check = "CASE WHEN abs({d} - {p}) < 1.5 THEN 'PCT_CHECK:PASS' ELSE 'PCT_CHECK:WARN:' || regexp_replace({d}::DECIMAL(30,1)::VARCHAR, '\\.0$', '') END"
     share = "round_even({a} / {b} * 100, 1)"
     frac, arm = check.format(d=share.format(a="x[1]", b="x[2]"), p="x[3]"), check.format(d=share.format(a="x[1]", b="n"), p="x[2]")
@@ -57,7 +59,7 @@ SELECT k, raw, "rule", CASE WHEN "rule" = 'frac_pct' THEN x[3] WHEN "rule" IN ('
  CASE WHEN "rule" IN ('frac_pct', 'n_pct', 'count_inequality_percent') THEN x[1] WHEN "rule" IN ('fraction_count', 'value_plusminus', 'value_plusminus_sample', 'value_cv', 'value_paren_dispersion') THEN x[2] END secondary_value,
  CASE WHEN "rule" IN ('rr_ci', 'diff_ci', 'value_ci') THEN x[2] WHEN "rule" = 'range_to' THEN x[1] WHEN "rule" IN ('value_plusminus', 'value_plusminus_sample', 'value_paren_dispersion') THEN round(x[1] - x[2], 6) END lower_bound,
  CASE WHEN "rule" IN ('frac_pct', 'fraction_count') THEN x[2] WHEN "rule" = 'value_plusminus_sample' THEN x[3] WHEN "rule" = 'n_equals' THEN x[1] END sample_size,
- CASE WHEN "rule" IN ('frac_pct', 'n_pct', 'count_inequality_percent', 'rr_ci', 'percentage', 'inequality_percent') THEN '%' WHEN "rule" = 'diff_ci' THEN 'pp' WHEN "rule" = 'value_trailing_unit' THEN replace(regexp_extract(t, '[^0-9 ]+$'), '/day', '/d') END unit,
+ CASE WHEN "rule" IN ('frac_pct', 'n_pct', 'count_inequality_percent', 'rr_ci', 'percentage', 'inequality_percent') THEN '%' WHEN "rule" = 'diff_ci' THEN 'pp' WHEN "rule" = 'value_trailing_unit' THEN regexp_replace(replace(replace(regexp_extract(t, '[^0-9 ]+$'), '/day', '/d'), 'µg', 'mcg'), 'hrs?', 'h') END unit,
  CASE "rule" WHEN 'frac_pct' THEN {frac} WHEN 'n_pct' THEN CASE WHEN n > 0 THEN {arm} END WHEN 'inequality_percent' THEN 'INEQUALITY_UPPER:' || t[1]
   WHEN 'count_inequality_percent' THEN 'INEQUALITY_UPPER:' || regexp_extract(t, '[<≤]') || '; PCT_DERIVED_FROM_COUNT_LT:' || CASE WHEN n > 0 THEN 'ArmN=' || n::BIGINT ELSE 'fallback=0.1' END || '; PCT_LT_DISPLAY:' || regexp_replace(x[2]::VARCHAR, '\\.0$', '') END flags FROM v"""
 

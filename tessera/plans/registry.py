@@ -24,4 +24,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tessera.plans import ae_queries, label_queries, misc_queries, picker_queries, risk_queries, search_queries, standard_queries, table_queries  # noqa: E402,F401
+from tessera.plans import (  # noqa: E402,F401
+    ae_queries, class_queries, label_queries, matching_queries, misc_queries, picker_queries, pk_queries, risk_queries, search_queries, standard_queries, table_queries, validation_queries,
+)

@@ -61,8 +61,8 @@ searched("search_classes_by_synonym", "view_class_summary", lambda t: S.classes_
 @query("search_related_of_product", with_tables("Product", "MarketingCategory", "Ingredient", "IngredientSubstance") + """, m AS (
  SELECT DISTINCT 'SameApplicationNumber' kind, ApplicationOrMonographIDValue via, ProductID, ProductName FROM MarketingCategory JOIN Product USING (ProductID) WHERE ApplicationOrMonographIDValue IS NOT NULL
  UNION ALL SELECT DISTINCT 'SameActiveIngredient', UNII, ProductID, ProductName FROM Ingredient JOIN IngredientSubstance USING (IngredientSubstanceID) JOIN Product USING (ProductID) WHERE ClassCode <> 'IACT' AND UNII IS NOT NULL)
-SELECT a.ProductID SourceProductID, b.ProductID RelatedProductID, b.ProductName RelatedProductName, a.via SharedValue, a.kind RelationshipType FROM m a JOIN m b ON a.kind = b.kind AND a.via = b.via AND a.ProductID <> b.ProductID AND a.ProductName <> b.ProductName
-WHERE a.ProductID = 71""")
+SELECT a.ProductID SourceProductID, b.ProductID RelatedProductID, b.ProductName RelatedProductName, a.via SharedValue, a.kind RelationshipType FROM (SELECT * FROM m WHERE ProductID = 71) a JOIN m b ON a.kind = b.kind AND a.via = b.via
+WHERE a.ProductID <> b.ProductID AND a.ProductName <> b.ProductName""")
 def search_related_of_product(spark, sf_dir):
     return S.related(tables(spark, sf_dir), 71)
 

@@ -45,13 +45,24 @@ def table_routing(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("k"), standardize.route(code, caption).alias("category"))
 
 
+#: Share of rows whose category is planted wrong, as one of so many.
+PLANTED = 25
+
+
 @query("ml_quality_check")
 def ml_quality_check(spark, sf_dir):
-    """Text classifiers learn categories from one half of the parts each and check the other half, so all parts are checked."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_type") == "ECONOMY", "cheap")).alias("text"), F.col("p_type").alias("category"))
-    halves = [p.filter(F.pmod(F.xxhash64("p_partkey"), F.lit(2)) == i) for i in (0, 1)]
+    """Text classifiers learn categories from one half of the documents each and check the other half, so all are checked.
+
+    The category is the document's language, and one of PLANTED rows, by a hash of its id, carries another one: those have to
+    be suggested.  Rows without a text or a category take no part.
+    """
+    docs = table(spark, sf_dir, "documents").filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    wrong = F.crc32(F.concat(F.lit("planted"), F.col("doc_id").cast("string"))) % PLANTED == 0
+    other = F.element_at(F.array_except(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.array("lang")), 1)
+    p = docs.select("doc_id", "text", F.when(wrong, other).otherwise(F.col("lang")).alias("category"), wrong.alias("planted"))
+    halves = [p.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i) for i in (0, 1)]
     checked = [mlqc.check(mlqc.fit(halves[1 - i], "text", "category"), halves[i], "text", "category") for i in (0, 1)]
-    return checked[0].unionByName(checked[1]).select("p_partkey", "category", "predicted", F.round("confidence", 4).alias("confidence"), "suggested")
+    return checked[0].unionByName(checked[1]).select("doc_id", "category", "planted", "predicted", F.round("confidence", 4).alias("confidence"), "suggested")
 
 
 @query("subject_counts", """WITH c AS (SELECT l_suppkey a, l_linenumber b, CAST(l_quantity AS BIGINT) n, 100 + l_suppkey % 300 m FROM lineitem), t AS (SELECT *, (2000 * n + m) // (2 * m) t FROM c WHERE n > 0)

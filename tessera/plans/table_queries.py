@@ -1,4 +1,4 @@
-"""Printed tables laid over orders, from cells to observations and on to risks."""
+"""Printed tables laid over orders in six designs, from label XML to observations and on to risks."""
 
 from __future__ import annotations
 
@@ -7,99 +7,184 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stage5, table_rows
 from tessera.operators import grid
+from tessera.plans import ae_queries
 from tessera.plans.domain import TABLES, with_tables
 from tessera.plans.registry import query
 from tessera.session import ship_package, table
+from tessera.sources import spl, text_blocks
+
+#: Rows of printed tables: an order is a label with a table, its lines are rows, g is the table's design.  The text runs in Spark and in the oracle.
+LINES = """select k, n, k % 6 as g, case p % 6 when 0 then 'Rash*' when 1 then 'Headache' when 2 then 'Nausea' when 3 then 'Fatigue' when 4 then 'Dizziness' else 'Number of visits' end as label,
+ 200 + k % 50 as an, case when k % 2 = 0 then 100 + k % 40 end as pn, 100 + k % 40 as pm, cast(q as int) as q, cast(q as int) % 30 as d, n % 3 as shape from {Line}"""
+
+
+def _row(kind: str, *cells: str | tuple[str, str]) -> str:
+    """A row's XML in SQL: cells are SQL texts, or texts with their spans."""
+    parts = [("", c) if isinstance(c, str) else c for c in cells]
+    return "concat('<tr>', " + ", ".join(f"'<{kind}{spans}>', {text}, '</{kind}>'" for spans, text in parts) + ", '</tr>')"
+
+
+#: By design: header rows, fixed body rows, and the row of a line.  0 and 3: two header levels, a size row in even tables, a divider in every third;
+#: 1: one level with sizes; 2: a body system as a row, fractions; 4: a size row against the header's, percents over 100; 5: arms in the body, comparisons and p-values.
+_TWO_LEVELS = (
+    [_row("th", (' rowspan="2"', "'Adverse reaction'"), (' colspan="2"', "concat('Drug A (N=', an, ')')"), "'Placebo'", (' rowspan="2"', "'Hazard ratio (95% CI)'")), _row("th", "'Any grade n (%)'", "'Grade 3-4 %'", "'n (%)'")],
+    ["case when pn is not null then " + _row("td", "'N'", "''", "''", "pn", "''") + " else '' end", "case when k % 3 = 0 then " + _row("td", (' colspan="5"', "'Skin disorders'")) + " else '' end"],
+    _row("td", "label", "concat(q, ' (', d, '%)')", "case shape when 0 then '—' when 1 then '&lt;1' else cast(d as string) end", "concat(q, '/120')", "case when n = 1 then '0.70 (0.50, 0.98)' else '' end"),
+)
+DESIGNS = {
+    0: _TWO_LEVELS,
+    1: ([_row("th", "'Preferred term'", "concat('Drug A (N=', an, ') n (%)')", "concat('Placebo (N=', pm, ') n (%)')")], [], _row("td", "label", "concat(q, ' (', d, '%)')", "concat(d, ' (', q, '%)')")),
+    2: ([_row("th", "'Reaction'", "'Drug A'", "'Placebo'")], [_row("td", "'Nervous system disorders'", "''", "''")], _row("td", "label", "concat(q, '/', an, ' (', d, '%)')", "concat(q, '/120 (', d, '.5%)')")),
+    3: _TWO_LEVELS,
+    4: ([_row("th", "'Event'", "concat('Drug A (N=', an, ')')", "'Placebo (N=120)'")], [_row("td", "'Number of patients'", "an + 10", "'120'")], _row("td", "label", "concat(q, ' (', case when n % 2 = 1 then 150 else d end, '%)')", "q")),
+    5: (
+        [_row("th", "'Term'", (' colspan="2"', "'Treatment'"), "'Odds ratio (90% CI)'", "'P-value'")], [_row("td", "''", "concat('Drug A (N=', an, ')')", "'Placebo (N=120)'", "''", "''")],
+        _row("td", "label", "concat(q, ' (', d, '%)')", "concat(d, ' (', q, '%)')", "concat('1.', q, ' (0.', q, ', 2.', q, ')')", "concat('0.0', d)"),
+    ),
+}
+
+
+def lines(spark, sf_dir):
+    return spark.sql(LINES, Line=spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem")))
+
+
+def labels(spark, sf_dir):
+    """k and the XML of a label that holds a paragraph, a list with a list inside, and a table of the order's design."""
+    pick = lambda part: "case g " + " ".join(f"when {g} then {part(d)}" for g, d in DESIGNS.items()) + " end"
+    rows = lines(spark, sf_dir).withColumns({"row": F.expr(pick(lambda d: d[2])), "top": F.expr(pick(lambda d: "concat('<thead>', " + ", ".join(d[0]) + ", '</thead><tbody>'" + "".join(f", {x}" for x in d[1]) + ")"))})
+    one = rows.groupBy("k").agg(F.min("g").alias("g"), F.min("top").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "row"))), lambda r: r["row"]), "").alias("rows"))
+    key = F.col("k").cast("string")
+    caption = F.when(F.col("g") == 2, "Table 2: Incidence").otherwise("Table 1: Adverse reactions")
+    parts = [
+        F.lit('<document xmlns="urn:hl7-org:v3"><id root="doc-'), key, F.lit('"/><component><structuredBody><component><section><id root="sec-'), key, F.lit('"/><text><paragraph>See <content styleCode="bold">table '), key,
+        F.lit('</content><sup>a</sup></paragraph><list listType="ordered"><item>first '), key, F.lit("<list><item>inner</item></list></item><item>second</item></list><table><caption>"), caption, F.lit("</caption>"), F.col("top"), F.col("rows"),
+        F.lit("</tbody></table></text></section></component></structuredBody></component></document>"),
+    ]
+    return one.select("k", F.concat(*parts).alias("xml"))
+
+
+def blocks(spark, sf_dir):
+    ship_package(spark)
+    return text_blocks.of(spl.parsed(labels(spark, sf_dir)))
 
-#: Rows of printed tables: an order is a table, its lines are rows; the text runs in Spark and in the oracle.
-LINES = """select k, n, case p % 6 when 0 then 'Rash*' when 1 then 'Headache' when 2 then 'Nausea' when 3 then 'Fatigue' when 4 then 'Dizziness' else 'Number of visits' end as label,
- 200 + k % 50 as an, case when k % 2 = 0 then 100 + k % 40 end as pn, cast(q as int) as q, cast(q as int) % 30 as d, n % 3 as shape from {Line}"""
-_CELLS = ("TextTableID", "CellID", "RowSeq", "CellSeq", "RowGroupType", "CellType", "RowSpan", "ColSpan", "CellText")
-
-
-def cells(spark, sf_dir):
-    """A header of two rows, a denominator row in even tables, a divider in every third, and a row per line."""
-    lines = spark.sql(LINES, Line=spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem")))
-    text = lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
-
-    def cell(i, r, c, group, kind, rs, cs, x):
-        return F.struct(*[v.alias(n) for n, v in zip(_CELLS[1:], (F.lit(i).cast("long"), F.lit(r) if isinstance(r, int) else r, F.lit(c), F.lit(group), F.lit(kind), F.lit(rs), F.lit(cs), text(x)), strict=True)])
 
-    head = [("Adverse reaction", 2, 1), (F.concat(F.lit("Drug A (N="), F.col("an").cast("string"), F.lit(")")), 1, 2), ("Placebo", 1, 1), ("Hazard ratio (95% CI)", 2, 1)]
-    fixed = [cell(i, 1, i, "Header", "th", rs, cs, x) for i, (x, rs, cs) in enumerate(head)] + [cell(10 + i, 2, i, "Header", "th", 1, 1, x) for i, x in enumerate(("Any grade n (%)", "Grade 3-4 %", "n (%)"))]
-    sizes = [cell(20 + i, 3, i, "Body", "td", 1, 1, x) for i, x in enumerate(("N", "", "", F.col("pn"), ""))]
-    divider = [cell(30, 4, 0, "Body", "td", 1, 5, "Skin disorders")]
-    none = F.filter(F.array(*fixed), lambda s: F.lit(False))
-    one = lines.groupBy("k").agg(F.first("an").alias("an"), F.first("pn").alias("pn"))
-    all_ = F.concat(F.array(*fixed), F.when(F.col("pn").isNotNull(), F.array(*sizes)).otherwise(none), F.when(F.col("k") % 3 == 0, F.array(*divider)).otherwise(none))
-    third = F.when(F.col("shape") == 0, "—").when(F.col("shape") == 1, "<1").otherwise(F.col("d").cast("string"))
-    values = ("label", F.concat(F.col("q").cast("string"), F.lit(" ("), F.col("d").cast("string"), F.lit("%)")), third, F.concat(F.col("q").cast("string"), F.lit("/120")), F.when(F.col("n") == 1, "0.70 (0.50, 0.98)").otherwise(""))
-    body = [cell(i, F.col("n") + 10, i, "Body", "td", 1, 1, F.col("label") if i == 0 else x) for i, x in enumerate(values)]
-    rows = one.select("k", F.explode(all_).alias("c")).unionByName(lines.select("k", F.explode(F.array(*body)).alias("c")))
-    return rows.select(F.col("k").alias(_CELLS[0]), "c.*")
+def parts(spark, sf_dir):
+    """(observations, comparisons, audit) and the grid, all from the labels' XML."""
+    found = blocks(spark, sf_dir)
+    g = grid.reconstruct(text_blocks.cells(found))
+    tables = text_blocks.tables(found).select("TextTableID", "DocumentGUID", "Caption", F.lit("AdverseEvent").alias("TableCategory"), F.lit(None).cast("string").alias("TitleDrug"))
+    return (*table_rows.observations(g, tables), g, tables)
 
 
-def parts(spark, sf_dir):
-    """(observations, comparisons, audit) and the grid."""
-    ship_package(spark)
-    g = grid.reconstruct(cells(spark, sf_dir))
-    orders = spark.sql(LINES, Line=spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem"))).select(F.col("k").alias("TextTableID")).distinct()
-    tables = orders.select("TextTableID", F.concat(F.lit("doc-"), F.col("TextTableID").cast("string")).alias("DocumentGUID"), F.lit("Table 1: Adverse reactions").alias("Caption"), F.lit("AdverseEvent").alias("TableCategory"), F.lit(None).cast("string").alias("TitleDrug"))
-    return (*table_rows.observations(g, tables), g)
+def _keyed(df, tables):
+    """df with its document instead of the table's hash."""
+    return df.join(tables.select("TextTableID", F.col("DocumentGUID").alias("Doc")), "TextTableID").drop("TextTableID")
 
 
 _L = with_tables("Line") + f", l AS ({LINES.replace('{Line}', 'Line')})"
 
 
-@query("table_column_contexts", _L + """, t AS (SELECT DISTINCT k, an FROM l)
-SELECT k "TextTableID", c "Col", ['label','arm','arm','arm','comparison'][c + 1] "Kind", CASE WHEN c IN (1, 2) THEN 'Drug A' WHEN c = 3 THEN 'Placebo' END "Arm", CASE WHEN c IN (1, 2) THEN an END::DOUBLE "HeaderN", CASE c WHEN 1 THEN 'n(%)' WHEN 2 THEN '%' WHEN 3 THEN 'n(%)' END "Hint",
- CASE c WHEN 1 THEN 'Any grade' WHEN 2 THEN 'Grade 3-4' END "Subtype", CASE WHEN c = 4 THEN 'HazardRatio' END "Statistic", CASE WHEN c = 4 THEN '95CI' END "Level" FROM t, (SELECT unnest(range(0, 5))::INT c)""")
+@query("xml_text_blocks", _L + """, t AS (SELECT k, min(g) g, count(*) m, min(pn) pn FROM l GROUP BY 1),
+f AS (SELECT *, CASE WHEN g IN (0, 3) THEN 2 ELSE 1 END heads, CASE WHEN g IN (0, 3) THEN (pn IS NOT NULL)::INT + (k % 3 = 0)::INT WHEN g IN (2, 4, 5) THEN 1 ELSE 0 END fixed,
+ CASE WHEN g IN (0, 3) THEN 7 WHEN g = 5 THEN 4 ELSE 3 END head_cells, CASE WHEN g IN (0, 3) THEN 5 * (pn IS NOT NULL)::INT + (k % 3 = 0)::INT WHEN g = 5 THEN 5 WHEN g IN (2, 4) THEN 3 ELSE 0 END fixed_cells, CASE WHEN g IN (0, 3, 5) THEN 5 ELSE 3 END wide FROM t)
+SELECT 'doc-' || k "DocumentGUID", 'Paragraph' "Kind", 1 n, 'See <content styleCode="bold">table ' || k || '</content><sup>a</sup>' "Text", 0 depth FROM f
+UNION ALL SELECT 'doc-' || k, 'List', 2, NULL, 2 FROM f UNION ALL SELECT 'doc-' || k, 'ListItem', 3, 'first ' || k, 3 FROM f UNION ALL SELECT 'doc-' || k, 'Table', 1, CASE WHEN g = 2 THEN 'Table 2: Incidence' ELSE 'Table 1: Adverse reactions' END, 0 FROM f
+UNION ALL SELECT 'doc-' || k, 'TableRow', heads + fixed + m, NULL, 1 FROM f UNION ALL SELECT 'doc-' || k, 'TableCell', head_cells + fixed_cells + wide * m, CASE g WHEN 1 THEN 'Preferred term' WHEN 2 THEN 'Reaction' WHEN 4 THEN 'Event' WHEN 5 THEN 'Term' ELSE 'Adverse reaction' END, 2 FROM f""")
+def xml_text_blocks(spark, sf_dir):
+    """By document and kind of block: how many there are, the first one's text and the deepest level."""
+    first = F.min_by("Text", "Nth")
+    return blocks(spark, sf_dir).groupBy("DocumentGUID", "Kind").agg(F.count("*").cast("int").alias("n"), first.alias("Text"), F.max("Depth").alias("depth"))
+
+
+@query("table_grid", _L + """, c AS (SELECT *, unnest(range(0, CASE WHEN g IN (0, 3, 5) THEN 5 ELSE 3 END))::INT c FROM l)
+SELECT 'doc-' || k "Doc", n, c "Col", CASE g WHEN 1 THEN ['Preferred term', 'Drug A (N=' || an || ') n (%)', 'Placebo (N=' || pm || ') n (%)'][c + 1] WHEN 2 THEN ['Reaction', 'Drug A', 'Placebo'][c + 1] WHEN 4 THEN ['Event', 'Drug A (N=' || an || ')', 'Placebo (N=120)'][c + 1]
+  WHEN 5 THEN ['Term', 'Treatment > Drug A (N=' || an || ')', 'Treatment > Placebo (N=120)', 'Odds ratio (90% CI)', 'P-value'][c + 1]
+  ELSE ['Adverse reaction', 'Drug A (N=' || an || ') > Any grade n (%)', 'Drug A (N=' || an || ') > Grade 3-4 %', 'Placebo > n (%)', 'Hazard ratio (95% CI)'][c + 1] END "HeaderPath",
+ CASE WHEN c = 0 THEN label WHEN g IN (0, 3) THEN [q || ' (' || d || '%)', CASE shape WHEN 0 THEN '—' WHEN 1 THEN '<1' ELSE d || '' END, q || '/120', CASE WHEN n = 1 THEN '0.70 (0.50, 0.98)' ELSE '' END][c] WHEN g = 1 THEN [q || ' (' || d || '%)', d || ' (' || q || '%)'][c]
+  WHEN g = 2 THEN [q || '/' || an || ' (' || d || '%)', q || '/120 (' || d || '.5%)'][c] WHEN g = 4 THEN [q || ' (' || CASE WHEN n % 2 = 1 THEN 150 ELSE d END || '%)', q || ''][c] ELSE [q || ' (' || d || '%)', d || ' (' || q || '%)', '1.' || q || ' (0.' || q || ', 2.' || q || ')', '0.0' || d][c] END "CellText",
+ CASE WHEN g IN (0, 3) AND k % 3 = 0 THEN 'Skin disorders' END "Category" FROM c""")
+def table_grid(spark, sf_dir):
+    """Cells of the lines' rows with their header paths, header rows of the body taken into them; n is the line, which the row follows."""
+    *_, g, tables = parts(spark, sf_dir)
+    rows = _keyed(table_rows.promoted(g), tables)
+    return _with_lines(rows.withColumnRenamed("RowSeq", "SourceRowSeq"), spark, sf_dir).select("Doc", "n", "Col", "HeaderPath", "CellText", "Category")
+
+
+def _with_lines(rows, spark, sf_dir):
+    """rows of lines with the line's number, by the order of both from the table's end: fixed rows stand before them."""
+    last = lambda t, c: F.row_number().over(Window.partitionBy(t).orderBy(F.col(c).desc()))
+    at = rows.select("Doc", "SourceRowSeq").distinct().withColumn("nth", last("Doc", "SourceRowSeq"))
+    line = lines(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("k").cast("string")).alias("Doc"), "n").withColumn("nth", last("Doc", "n"))
+    return rows.join(at.join(line, ["Doc", "nth"]).drop("nth"), ["Doc", "SourceRowSeq"])
+
+
+@query("table_column_contexts", _L + """, t AS (SELECT DISTINCT k, g, an, pm FROM l), c AS (SELECT *, unnest(range(0, CASE WHEN g IN (0, 3, 5) THEN 5 ELSE 3 END))::INT c FROM t)
+SELECT 'doc-' || k "Doc", c "Col", CASE g WHEN 5 THEN ['label','arm','arm','comparison','pvalue'][c + 1] ELSE ['label','arm','arm','arm','comparison'][c + 1] END "Kind",
+ CASE WHEN c = 1 OR (c = 2 AND g IN (0, 3)) THEN 'Drug A' WHEN (c = 2 AND g IN (1, 2, 4, 5)) OR (c = 3 AND g IN (0, 3)) THEN 'Placebo' END "Arm",
+ CASE WHEN c = 0 OR g = 2 THEN NULL WHEN c = 1 OR (c = 2 AND g IN (0, 3)) THEN an WHEN c = 2 AND g = 1 THEN pm WHEN c = 2 THEN 120 END::DOUBLE "HeaderN", CASE WHEN g IN (0, 3) THEN [NULL, 'n(%)', '%', 'n(%)', NULL][c + 1] WHEN g = 1 AND c > 0 THEN 'n(%)' END "Hint",
+ CASE WHEN g IN (0, 3) THEN [NULL, 'Any grade', 'Grade 3-4', NULL, NULL][c + 1] END "Subtype", CASE WHEN g = 5 AND c IN (1, 2) THEN 'Treatment' END "Context", CASE WHEN g = 5 THEN [NULL, NULL, NULL, 'OddsRatio', 'PValue'][c + 1] WHEN c = 4 THEN 'HazardRatio' END "Statistic",
+ CASE WHEN g = 5 AND c = 3 THEN '90CI' WHEN g IN (0, 3) AND c = 4 THEN '95CI' END "Level" FROM c""")
 def table_column_contexts(spark, sf_dir):
-    ship_package(spark)
-    return table_rows.column_contexts(grid.reconstruct(cells(spark, sf_dir))).select("TextTableID", "Col", "Kind", "Arm", F.col("HeaderN").cast("double").alias("HeaderN"), "Hint", "Subtype", "Statistic", "Level")
-
-
-_CHECK = "CASE WHEN abs(round_even(q / an::DOUBLE * 100, 1) - d) < 1.5 THEN 'PCT_CHECK:PASS' ELSE 'PCT_CHECK:WARN:' || regexp_replace(round_even(q / an::DOUBLE * 100, 1)::DECIMAL(30,1)::VARCHAR, '\\.0$', '') END"
+    *_, g, tables = parts(spark, sf_dir)
+    found = _keyed(table_rows.column_contexts(table_rows.promoted(g)), tables)
+    return found.select("Doc", "Col", "Kind", "Arm", F.col("HeaderN").cast("double").alias("HeaderN"), "Hint", "Subtype", "Context", "Statistic", "Level")
+
+
+def _check(count: str, whole: str, percent: str) -> str:
+    share = f"round_even(({count}) / ({whole})::DOUBLE * 100, 1)"
+    return f"CASE WHEN abs({share} - ({percent})) < 1.5 THEN 'PCT_CHECK:PASS' ELSE 'PCT_CHECK:WARN:' || regexp_replace({share}::DECIMAL(30,1)::VARCHAR, '\\.0$', '') END"
+
+
+#: Expected observations by design; o holds one row for each value cell.
+_OBSERVED = _L + f""", v AS (SELECT *, unnest(range(1, CASE WHEN g IN (0, 3) THEN 4 ELSE 3 END))::INT c, label = 'Number of visits' counted FROM l),
+two AS (SELECT k, n, g, c, label, CASE WHEN k % 3 = 0 THEN 'Skin disorders' END cat, CASE c WHEN 1 THEN 'Any grade' WHEN 2 THEN 'Grade 3-4' END sub, CASE WHEN c < 3 THEN 'Drug A' ELSE 'Placebo' END arm, CASE WHEN c < 3 THEN an WHEN pn IS NOT NULL THEN pn ELSE 120 END size, NULL ctx,
+ CASE WHEN c = 1 THEN d WHEN c = 3 THEN q WHEN shape = 2 THEN d ELSE round_even(100.0::DOUBLE / an, 1) END::DOUBLE x, CASE WHEN c = 1 THEN 'Percentage' WHEN c = 3 THEN 'Count' WHEN shape < 2 THEN 'Percentage' WHEN counted THEN 'Count' ELSE 'Percentage' END kind, CASE c WHEN 1 THEN q WHEN 3 THEN 120 END::DOUBLE y,
+ CASE c WHEN 1 THEN 'n_pct' WHEN 3 THEN 'fraction_count' ELSE ['dash_placeholder+lt_one_percent_context', 'pvalue+lt_one_percent_context', 'plain_number'][shape + 1] END r,
+ CASE c WHEN 1 THEN {_check('q', 'an', 'd')} WHEN 2 THEN CASE shape WHEN 0 THEN 'PCT_DERIVED_FROM_DASH:ArmN=' || an WHEN 1 THEN 'PCT_DERIVED_FROM_LT_ONE:ArmN=' || an ELSE CASE WHEN counted THEN 'COUNT_CONTEXT_PROMOTION' ELSE 'PCT_CONTEXT_PROMOTION' END END END fl,
+ CASE WHEN c = 3 THEN CASE WHEN pn IS NOT NULL THEN 'AE_ARMN_FROM_METADATA_ROW' ELSE 'AE_ARMN_FROM_FRACTION_DENOMINATOR' END ELSE 'AE_ARMN_FROM_HEADER_N' END src, NULL::DOUBLE p FROM v WHERE g IN (0, 3)),
+one AS (SELECT k, n, g, c, label, NULL cat, NULL sub, CASE c WHEN 1 THEN 'Drug A' ELSE 'Placebo' END arm, CASE WHEN c = 1 THEN an WHEN g = 1 THEN pm ELSE 120 END size, CASE WHEN g = 5 THEN 'Treatment' END ctx, CASE c WHEN 1 THEN d ELSE q END::DOUBLE x, 'Percentage' kind, CASE c WHEN 1 THEN q ELSE d END::DOUBLE y, 'n_pct' r,
+ CASE c WHEN 1 THEN {_check('q', 'an', 'd')} ELSE {_check('d', 'CASE WHEN g = 1 THEN pm ELSE 120 END', 'q')} END fl, 'AE_ARMN_FROM_HEADER_N' src, CASE WHEN g = 5 THEN ('0.0' || d)::DOUBLE END p FROM v WHERE g IN (1, 5)),
+frac AS (SELECT k, n, g, c, label, 'Nervous system disorders' cat, NULL sub, CASE c WHEN 1 THEN 'Drug A' ELSE 'Placebo' END arm, CASE c WHEN 1 THEN an ELSE 120 END size, NULL ctx, CASE c WHEN 1 THEN d ELSE d + 0.5 END::DOUBLE x, 'Percentage' kind, q::DOUBLE y, 'frac_pct' r,
+ CASE c WHEN 1 THEN {_check('q', 'an', 'd')} ELSE {_check('q', '120', 'd + 0.5')} END fl, 'AE_ARMN_FROM_FRACTION_DENOMINATOR' src, NULL::DOUBLE p FROM v WHERE g = 2),
+conf AS (SELECT k, n, g, c, label, NULL cat, NULL sub, CASE c WHEN 1 THEN 'Drug A' ELSE 'Placebo' END arm, CASE c WHEN 1 THEN an + 10 ELSE 120 END size, NULL ctx, CASE WHEN c = 1 AND n % 2 = 0 THEN d ELSE q END::DOUBLE x,
+ CASE WHEN c = 1 AND n % 2 = 0 THEN 'Percentage' WHEN counted THEN 'Count' ELSE 'Numeric' END kind, CASE WHEN c = 1 THEN CASE WHEN n % 2 = 1 THEN 150 ELSE q END END::DOUBLE y, CASE WHEN c = 2 THEN 'plain_number' WHEN n % 2 = 1 THEN 'n_pct+pct_gt100_rejected' ELSE 'n_pct' END r,
+ CASE WHEN c = 2 THEN CASE WHEN counted THEN 'COUNT_CONTEXT_PROMOTION' END WHEN n % 2 = 1 THEN {_check('q', 'an + 10', '150')} || '; PCT_GT100_REJECTED:150' ELSE {_check('q', 'an + 10', 'd')} END fl, CASE c WHEN 1 THEN 'AE_ARMN_FROM_METADATA_ROW; AE_ARMN_REJECTED_CONFLICTING_N' ELSE 'AE_ARMN_FROM_METADATA_ROW' END src, NULL::DOUBLE p FROM v WHERE g = 4),
+o AS (SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT * FROM frac UNION ALL SELECT * FROM conf)"""
+
+
+@query("table_observations", _OBSERVED + """SELECT 'doc-' || k "DocumentGUID", c "SourceCellSeq", n, replace(label, '*', '') "ParameterName", cat "ParameterCategory", sub "ParameterSubtype", arm "TreatmentArm", size::INT "ArmN", ctx "StudyContext", x "PrimaryValue", kind "PrimaryValueType", y "SecondaryValue", r "ParseRule", concat_ws('; ', fl, src) "ValidationFlags", p "PValue" FROM o""")
+def table_observations(spark, sf_dir):
+    """Observations of all tables; n is the line, which the table's row follows."""
+    out, *_, tables = parts(spark, sf_dir)
+    rows = _with_lines(_keyed(out, tables), spark, sf_dir)
+    return rows.select("DocumentGUID", "SourceCellSeq", "n", "ParameterName", "ParameterCategory", "ParameterSubtype", "TreatmentArm", "ArmN", "StudyContext", "PrimaryValue", "PrimaryValueType", "SecondaryValue", "ParseRule", "ValidationFlags", "PValue")
 
 
-@query("table_observations", _L + f""", v AS (SELECT *, unnest(range(1, 4))::INT c FROM l), s AS (SELECT *, CASE WHEN c < 3 THEN an WHEN pn IS NOT NULL THEN pn ELSE 120 END size, label = 'Number of visits' counted FROM v)
-SELECT 'doc-' || k "DocumentGUID", k "TextTableID", c "SourceCellSeq", n, replace(label, '*', '') "ParameterName", CASE WHEN k % 3 = 0 THEN 'Skin disorders' END "ParameterCategory", CASE c WHEN 1 THEN 'Any grade' WHEN 2 THEN 'Grade 3-4' END "ParameterSubtype",
- CASE WHEN c < 3 THEN 'Drug A' ELSE 'Placebo' END "TreatmentArm", size::INT "ArmN", CASE WHEN c = 1 THEN d WHEN c = 3 THEN q WHEN shape = 2 THEN d ELSE round_even(100.0::DOUBLE / an, 1) END::DOUBLE "PrimaryValue",
- CASE WHEN c = 1 THEN 'Percentage' WHEN c = 3 THEN 'Count' WHEN shape < 2 THEN 'Percentage' WHEN counted THEN 'Count' ELSE 'Percentage' END "PrimaryValueType", CASE c WHEN 1 THEN q WHEN 3 THEN 120 END::DOUBLE "SecondaryValue",
- CASE c WHEN 1 THEN 'n_pct' WHEN 3 THEN 'fraction_count' ELSE ['dash_placeholder+lt_one_percent_context', 'pvalue+lt_one_percent_context', 'plain_number'][shape + 1] END "ParseRule",
- CASE c WHEN 1 THEN {_CHECK} WHEN 2 THEN CASE shape WHEN 0 THEN 'PCT_DERIVED_FROM_DASH:ArmN=' || an WHEN 1 THEN 'PCT_DERIVED_FROM_LT_ONE:ArmN=' || an ELSE CASE WHEN counted THEN 'COUNT_CONTEXT_PROMOTION' ELSE 'PCT_CONTEXT_PROMOTION' END END || '' ELSE '' END
-  || CASE WHEN c = 3 THEN CASE WHEN pn IS NOT NULL THEN 'AE_ARMN_FROM_METADATA_ROW' ELSE 'AE_ARMN_FROM_FRACTION_DENOMINATOR' END ELSE '; AE_ARMN_FROM_HEADER_N' END "ValidationFlags" FROM s""")
-def table_observations(spark, sf_dir):
-    """Observations of all orders' tables; n is the line, which the table's row follows."""
-    out, _, _, _ = parts(spark, sf_dir)
-    ranks = out.select("TextTableID", "SourceRowSeq").distinct()
-    lines = spark.sql(LINES, Line=spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem"))).select("k", "n")
-    order = lambda t, c: F.row_number().over(Window.partitionBy(t).orderBy(c))
-    rank = ranks.withColumn("nth", order("TextTableID", "SourceRowSeq"))
-    line = lines.withColumn("nth", order("k", "n"))
-    both = out.join(rank, ["TextTableID", "SourceRowSeq"]).join(line, (F.col("TextTableID") == F.col("k")) & (rank["nth"] == line["nth"]))
-    return both.select("DocumentGUID", "TextTableID", "SourceCellSeq", "n", "ParameterName", "ParameterCategory", "ParameterSubtype", "TreatmentArm", "ArmN", "PrimaryValue", "PrimaryValueType", "SecondaryValue", "ParseRule", "ValidationFlags")
-
-
-@query("table_comparisons", _L + """SELECT DISTINCT k "TextTableID", replace(label, '*', '') "ParameterName", 'HazardRatio' "PrimaryValueType", 0.7::DOUBLE "PrimaryValue", 0.5::DOUBLE "LowerBound", 0.98::DOUBLE "UpperBound", '95CI' "BoundType" FROM l WHERE n = 1""")
+@query("table_comparisons", _L + """, c AS (SELECT k, n, g, replace(label, '*', '') nm, CASE g WHEN 5 THEN ('1.' || q)::DOUBLE ELSE 0.7 END x, CASE g WHEN 5 THEN ('0.' || q)::DOUBLE ELSE 0.5 END lo, CASE g WHEN 5 THEN ('2.' || q)::DOUBLE ELSE 0.98 END hi, CASE g WHEN 5 THEN ('0.0' || d)::DOUBLE END p FROM l WHERE g = 5 OR (g IN (0, 3) AND n = 1))
+SELECT 'doc-' || k "Doc", nm "ParameterName", CASE g WHEN 5 THEN 'OddsRatio' ELSE 'HazardRatio' END "PrimaryValueType", x "PrimaryValue", lo "LowerBound", hi "UpperBound", CASE g WHEN 5 THEN '90CI' ELSE '95CI' END "BoundType", p "PValue" FROM (SELECT *, row_number() OVER (PARTITION BY k, nm, x, lo, hi ORDER BY n) nth FROM c) WHERE nth = 1""")
 def table_comparisons(spark, sf_dir):
-    _, compared, _, _ = parts(spark, sf_dir)
-    return compared.select("TextTableID", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound", "BoundType")
+    _, compared, _, _, tables = parts(spark, sf_dir)
+    return _keyed(compared, tables).select("Doc", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound", "BoundType", "PValue")
 
 
-@query("table_suppressed_rows", _L + """SELECT DISTINCT k "TextTableID", 'N' "Label", 'STRUCTURAL_DENOMINATOR' "Reason" FROM l WHERE pn IS NOT NULL""")
+@query("table_suppressed_rows", _L + """SELECT DISTINCT 'doc-' || k "Doc", CASE g WHEN 2 THEN 'Nervous system disorders' WHEN 4 THEN 'Number of patients' ELSE 'N' END "Label", CASE g WHEN 2 THEN 'STRUCTURAL_EMPTY' ELSE 'STRUCTURAL_DENOMINATOR' END "Reason" FROM l WHERE g IN (2, 4) OR (g IN (0, 3) AND pn IS NOT NULL)""")
 def table_suppressed_rows(spark, sf_dir):
-    _, _, audit, _ = parts(spark, sf_dir)
-    return audit.select("TextTableID", "Label", "Reason")
+    _, _, audit, _, tables = parts(spark, sf_dir)
+    return _keyed(audit, tables).select("Doc", "Label", "Reason")
+
+
+#: The observations as the cohort statistics read them: of the two-level designs the any-grade column, counts as percents of their arm.
+_AS_OBS = _OBSERVED + """, obs AS (SELECT k * 1000 + n * 10 + c id, 'doc-' || k DocumentGUID, 1 TextTableID, replace(label, '*', '') ParameterName, NULL::VARCHAR ParameterSubtype, cat ParameterCategory, arm TreatmentArm, size::INT ArmN, NULL::DECIMAL(18,6) Dose, NULL::VARCHAR DoseUnit,
+ CASE WHEN kind = 'Count' AND size > 0 THEN x / size * 100 ELSE x END PrimaryValue, CASE WHEN kind = 'Count' AND size > 0 THEN 'Percentage' ELSE kind END PrimaryValueType, ctx StudyContext, NULL::VARCHAR Population, NULL::VARCHAR Subpopulation, n SourceRowSeq, c SourceCellSeq FROM o WHERE coalesce(sub, 'Any grade') = 'Any grade')"""
 
 
-@query("table_to_risk")
+@query("table_to_risk", _AS_OBS + ae_queries.COHORT_STEPS + """SELECT DocumentGUID, SourceRowSeq n, SourceCellSeq, ParameterName, TreatmentArm, carm "CompArm", reason "Reason", round(rr, 6) "RR", round(lo95, 6) "RRLowerBound", round(hi95, 6) "RRUpperBound" FROM risk""")
 def table_to_risk(spark, sf_dir):
-    """From printed tables to relative risks: the observations of Drug A's any-grade column against placebo."""
-    out, _, _, _ = parts(spark, sf_dir)
+    """From label XML to relative risks against each term's first placebo row."""
+    out, *_, tables = parts(spark, sf_dir)
     null = lambda kind: F.lit(None).cast(kind)
     rows = out.filter("coalesce(ParameterSubtype, 'Any grade') = 'Any grade'").withColumns({"id": F.xxhash64("TextTableID", "SourceRowSeq", "SourceCellSeq"), "ParameterSubtype": null("string"), "Dose": null("decimal(18,6)"), "DoseUnit": null("string"), "Population": null("string"), "Subpopulation": null("string")})
-    # Counts become percents of their arm, so that both arms compare.
     percent = F.when((F.col("PrimaryValueType") == "Count") & (F.col("ArmN") > 0), F.col("PrimaryValue") / F.col("ArmN") * 100)
     rows = rows.withColumns({"PrimaryValue": F.coalesce(percent, "PrimaryValue"), "PrimaryValueType": F.when(percent.isNotNull(), "Percentage").otherwise(F.col("PrimaryValueType"))})
-    return stage5.risk_rows(rows)
+    risks = _with_lines(_keyed(stage5.risk_rows(rows), tables), spark, sf_dir)
+    return risks.select("DocumentGUID", "n", "SourceCellSeq", "ParameterName", "TreatmentArm", "CompArm", "Reason", *[F.round(c, 6).alias(c) for c in ("RR", "RRLowerBound", "RRUpperBound")])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ship_package
+from tessera.sources import text_blocks
 
 NS = "{urn:hl7-org:v3}"
 
@@ -57,7 +58,8 @@ def _p(*names: str) -> str:
 
 
 #: Elements of the label standard that become rows of their own: kind, tag, {field: (path below it, attribute or None for the text)}.
-#: A field whose path is empty is the element's own attribute.
+#: A field whose path is empty is the element's own attribute.  A tag may name its parents, and then "@" and the code of the
+#: section that it must stand in; of several entries for one element the one with most parents is taken.
 ELEMENTS = (
     ("AuthorOrganization", "representedOrganization", {"Name": ("name", None), "Identifier": ("id", "extension"), "Root": ("id", "root")}),
     ("AssignedOrganization", "assignedOrganization", {"Name": ("name", None), "Identifier": ("id", "extension")}),
@@ -77,14 +79,23 @@ ELEMENTS = (
     ("SectionIndexing", "identifiedSubstance", {"Code": ("code", "code"), "Name": ("name", None), "Kind": ("asSpecializedKind/generalizedMaterialKind/code", "code"), "KindName": ("asSpecializedKind/generalizedMaterialKind/code", "displayName")}),
     ("LotDistribution", "productInstance", {"Lot": ("id", "extension"), "Expires": ("expirationTime/high", "value"), "Quantity": ("asInstanceOfKind/quantity", "value")}),
     ("REMS", "protocol", {"Code": ("code", "code"), "Name": ("code", "displayName"), "Requirement": ("component/requirement/code", "code"), "RequirementName": ("component/requirement/code", "displayName")}),
+    ("AttachedDocument", "subjectOf/document", {"DocumentID": ("id", "root"), "Title": ("title", None), "TitleReference": ("title/reference", "value"), "MediaType": ("text", "mediaType"), "FileName": ("text/reference", "value")}),
+    ("CertificationLink", "product/manufacturedProduct/manufacturedMaterialKind@BNCC", {"ProductCode": ("code", "code"), "CodeSystem": ("code", "codeSystem")}),
+    ("ComplianceAction", "action", {"Code": ("code", "code"), "CodeSystem": ("code", "codeSystem"), "Name": ("code", "displayName"), "Start": ("effectiveTime/low", "value"), "End": ("effectiveTime/high", "value"), "On": ("effectiveTime", "value")}),
+    ("DisciplinaryAction", "approval/subjectOf/action", {"Code": ("code", "code"), "CodeSystem": ("code", "codeSystem"), "Name": ("code", "displayName"), "On": ("effectiveTime", "value"), "Text": ("text", None)}),
+    ("License", "actDefinition/subjectOf/approval", {"Number": ("id", "extension"), "Root": ("id", "root"), "Type": ("code", "code"), "TypeName": ("code", "displayName"), "Status": ("statusCode", "code"), "Expires": ("effectiveTime/high", "value"), "Territory": ("author/territorialAuthority/territory/code", "code"), "AgencyID": ("author/territorialAuthority/governingAgency/id", "extension"), "Agency": ("author/territorialAuthority/governingAgency/name", None)}),
+    ("ProductEvent", "subjectOf", {"Code": ("productEvent/code", "code"), "Name": ("productEvent/code", "displayName"), "Start": ("productEvent/effectiveTime/low", "value"), "Quantity": ("quantity", "value"), "Unit": ("quantity", "unit")}),
+    ("ProductExtension", "manufacturedProduct/subjectOf/document", {"URL": ("text/reference", "value"), "DocumentID": ("id", "root")}),
+    ("WarningLetterProduct", "subject/manufacturedProduct/manufacturedProduct@48779-3", {"Name": ("name", None), "Suffix": ("name/suffix", None), "GenericName": ("asEntityWithGeneric/genericMedicine/name", None), "Form": ("formCode", "displayName"), "Code": ("code", "code")}),
+    ("WarningLetterDate", "section@48779-3", {"Issued": ("effectiveTime/low", "value"), "Resolved": ("effectiveTime/high", "value")}),
     ("ToleranceSpecification", "observationCriterion", {"Code": ("code", "code"), "Value": ("value", "value"), "High": ("value/high", "value"), "Unit": ("value/high", "unit")}),
 )
 _PRODUCTS = "array<struct<ProductName:string,FormDisplayName:string,NDC:string,Ingredients:array<struct<UNII:string,SubstanceName:string,ClassCode:string>>>>"
 PARSED = (
     "DocumentGUID string, SetGUID string, VersionNumber int, EffectiveTime string, Title string, Labeler string, error string, "
-    "sections array<struct<SectionGUID:string,ParentSectionGUID:string,SectionCode:string,Title:string,Text:string,Position:int>>, products " + _PRODUCTS + ", elements array<struct<Kind:string,SectionGUID:string,Nth:int,Fields:map<string,string>>>"
+    "sections array<struct<SectionGUID:string,ParentSectionGUID:string,SectionCode:string,Title:string,Text:string,Position:int>>, products " + _PRODUCTS + ", elements array<struct<Kind:string,SectionGUID:string,Nth:int,Fields:map<string,string>>>, blocks array<" + text_blocks.BLOCK + ">"
 )
-_PARSED_NAMES = ("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler", "error", "sections", "products", "elements")
+_PARSED_NAMES = ("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler", "error", "sections", "products", "elements", "blocks")
 
 
 def _sections(root) -> list[dict]:
@@ -98,6 +109,11 @@ def _sections(root) -> list[dict]:
     return out
 
 
+def _blocks(root) -> list[dict]:
+    """The blocks of all sections' texts, in document order."""
+    return [b for s in root.iter(NS + "section") for b in text_blocks.blocks(s.find(NS + "text"), _attr(s, NS + "id", "root"))]
+
+
 def _products(root) -> list[dict]:
     out = []
     for p in root.iter(NS + "manufacturedProduct"):
@@ -107,24 +123,39 @@ def _products(root) -> list[dict]:
     return out
 
 
+def _rules() -> dict[str, list[tuple]]:
+    """By tag: (parents from the nearest on, section code or None, kind, fields), those with most parents first."""
+    out: dict[str, list[tuple]] = {}
+    for kind, tag, fields in ELEMENTS:
+        path, _, code = tag.partition("@")
+        *parents, own = path.split("/")
+        out.setdefault(NS + own, []).append(([NS + p for p in reversed(parents)], code or None, kind, fields))
+    return {tag: sorted(rules, key=lambda r: (-len(r[0]), r[1] is None)) for tag, rules in out.items()}
+
+
+_RULES = _rules()
+
+
 def _elements(root) -> list[dict]:
     """All elements of the known kinds in document order, with the innermost section that they stand in."""
-    kinds = {NS + tag: (kind, fields) for kind, tag, fields in ELEMENTS}
     out: list[dict] = []
-    stack = [(root, None)]
+    # Up holds the tags above, the nearest first, as far as rules look.
+    stack = [(root, None, None, ())]
     while stack:
-        node, section = stack.pop()
+        node, section, code, up = stack.pop()
         if node.tag == NS + "section":
-            section = _attr(node, NS + "id", "root")
-        if node.tag in kinds:
-            kind, fields = kinds[node.tag]
+            section, code = _attr(node, NS + "id", "root"), _attr(node, NS + "code", "code")
+        for parents, where, kind, fields in _RULES.get(node.tag, ()):
+            if list(up[: len(parents)]) != parents or (where is not None and where != code):
+                continue
             got = {}
             for name, (path, attribute) in fields.items():
                 at = node if not path else node.find(_p(*path.split("/")))
                 got[name] = None if at is None else at.get(attribute) if attribute else _text(at)
             if any(v is not None for v in got.values()):
                 out.append({"Kind": kind, "SectionGUID": section, "Nth": len(out), "Fields": got})
-        stack += [(c, section) for c in reversed(node)]
+                break
+        stack += [(c, section, code, (node.tag, *up[:2])) for c in reversed(node)]
     return out
 
 
@@ -135,12 +166,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 root = ElementTree.fromstring(xml or "")
             except ElementTree.ParseError as e:
-                out.append((None, None, None, None, None, None, str(e), [], [], []))
+                out.append((None, None, None, None, None, None, str(e), [], [], [], []))
                 continue
             version = _attr(root, NS + "versionNumber", "value")
             org = root.find(_p("author", "assignedEntity", "representedOrganization", "name"))
             head = (_attr(root, NS + "id", "root"), _attr(root, NS + "setId", "root"), int(version) if version and version.isdigit() else None, _attr(root, NS + "effectiveTime", "value"), _text(root.find(NS + "title")), _text(org))
-            out.append((*head, None, _sections(root), _products(root), _elements(root)))
+            out.append((*head, None, _sections(root), _products(root), _elements(root), _blocks(root)))
         yield pd.DataFrame(out, columns=_PARSED_NAMES)
 
 
@@ -149,8 +180,24 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("xml").mapInPandas(_parse, PARSED)
 
 
+def parsed_beside(files: DataFrame) -> DataFrame:
+    """parsed() with what stands beside the text: source, name, and as ``broken`` the error of an archive that can't be read."""
+    kept = ("source", "name", "error")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            beside = pdf[list(kept)].rename(columns={"error": "broken"}).reset_index(drop=True)
+            for out in _parse(iter([pdf])):
+                out = out.reset_index(drop=True)
+                # What has no text is no label with an error of its own.
+                out["error"] = [None if x is None else e for x, e in zip(pdf.xml, out["error"], strict=True)]
+                yield pd.concat([beside, out], axis=1)
+
+    return files.select(*kept, "xml").mapInPandas(work, "source string, name string, broken string, " + PARSED)
+
+
 def tables(files: DataFrame) -> dict[str, DataFrame]:
-    """Documents, sections, products, elements and rejected texts.  Each is a view of the one parse; store parsed() where several are read."""
+    """Documents, sections, products, elements, blocks of the texts and rejected texts.  Each is a view of the one parse; store parsed() where several are read."""
     return tables_of(parsed(files))
 
 
@@ -158,7 +205,7 @@ def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
     """The tables of parsed rows."""
     good = rows.filter("error is null")
     split = lambda c: good.select("DocumentGUID", F.explode(c).alias("r")).select("DocumentGUID", "r.*")
-    return {"document": good.select("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler"), "section": split("sections"), "product": split("products"), "element": split("elements"), "rejected": rows.filter("error is not null").select("error")}
+    return {"document": good.select("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler"), "section": split("sections"), "product": split("products"), "element": split("elements"), "block": split("blocks"), "rejected": rows.filter("error is not null").select("error")}
 
 
 def elements(t: dict[str, DataFrame], kind: str) -> DataFrame:
