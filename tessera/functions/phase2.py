@@ -160,7 +160,7 @@ def _parameters(r: _Rows) -> None:
     """Canonical names in PK tables: the name's own, else the subtype's; other names are parked in the study context, markers are flagged."""
     name, sub = F.trim("ParameterName"), F.trim("ParameterSubtype")
     own, theirs = pk.canonical(name), pk.canonical(sub)
-    is_pk = F.col("TableCategory") == "PK"
+    is_pk = F.coalesce(F.col("TableCategory") == "PK", F.lit(False))
     case = F.when(~is_pk, "").when(own.isNotNull() & (own == F.col("ParameterName")), "").when(own.isNotNull(), "own").when(theirs.isNotNull(), "swap").when(is_pd_marker(name) | is_pd_marker(sub), "marker").when(~_blank(name), "park")
     parked = F.when(_blank(F.col("StudyContext")), name).otherwise(F.col("StudyContext"))
     r.set(
@@ -174,25 +174,29 @@ def _parameters(r: _Rows) -> None:
 
 def _units(r: _Rows, drugs: Column) -> None:
     """Units have one spelling; what headers leaked is no unit; one in brackets is taken out."""
-    t = F.trim(pk.fold(F.col("Unit")))
-    tight = F.regexp_replace(F.regexp_replace(t, r"\s*([/·])\s*", "$1"), r"(?<=\p{L})\s*\.\s*(?=\p{L})", "·")
-    inner = F.trim(F.regexp_extract(tight, r"\(([^()]+)\)", 1))
+    folded = F.trim(pk.fold(F.col("Unit")))
+    r.df = r.df.withColumn("_t", folded).withColumn("_tight", F.regexp_replace(F.regexp_replace("_t", r"\s*([/·])\s*", "$1"), r"(?<=\p{L})\s*\.\s*(?=\p{L})", "·"))
+    r.df = r.df.withColumns({"_inner": F.trim(F.regexp_extract("_tight", r"\(([^()]+)\)", 1)), "_spelled": values.normalise_unit(F.col("_tight")), "_like": values._unit_like(F.col("_tight"))})
+    t, inner = F.col("_t"), F.col("_inner")
     ws = words.words(t)
     opened, closed = F.length(t) - F.length(F.replace(t, F.lit("("), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit(")"), F.lit("")))
     named = F.exists(ws, lambda w: F.array_contains(drugs, w))
     case = (
-        F.when(_blank(t), "").when(values._unit_like(tight), "known").when(F.length(t) > 30, "leak").when(named | F.exists(ws, lambda w: w.isin(*LEAKS)), "leak")
+        F.when(_blank(t), "").when(F.col("_like"), "known").when(F.length(t) > 30, "leak").when(named | F.exists(ws, lambda w: w.isin(*LEAKS)), "leak")
         .when(values._unit_like(inner), "inner").when(opened != closed, "torn")
     )
     gone = F.lit(None).cast("string")
     r.set(case, {"Unit": {"leak": gone, "torn": gone, "inner": values.normalise_unit(inner)}}, {"leak": "COL_STD:UNIT_HEADER_LEAK", "torn": "COL_STD:UNIT_HEADER_LEAK:POST_EXTRACT", "inner": "COL_STD:UNIT_NORMALIZED"})
-    spelled = values.normalise_unit(tight)
-    r.set(F.when(~_blank(t) & values._unit_like(tight) & (spelled != F.col("Unit")), "spelled"), {"Unit": {"spelled": spelled}}, {"spelled": "COL_STD:UNIT_NORMALIZED"})
+    fits = ~_blank(t) & F.col("_like") & (F.col("_spelled") != F.col("Unit"))
+    r.set(F.when(fits, "spelled"), {"Unit": {"spelled": F.col("_spelled")}}, {"spelled": "COL_STD:UNIT_NORMALIZED"})
+    r.df = r.df.drop("_t", "_tight", "_inner", "_spelled", "_like")
 
 
 def _doses(r: _Rows) -> None:
     """A dose that no column has yet: from the regimen, then the arm; outside of adverse events also from name, subtype and context.  Placebo has none."""
-    found = [values.dose(F.col(c)) for c in ("DoseRegimen", "TreatmentArm", "ParameterName", "ParameterSubtype", "StudyContext")]
+    looked = ("DoseRegimen", "TreatmentArm", "ParameterName", "ParameterSubtype", "StudyContext")
+    r.df = r.df.withColumns({f"_d{k}": F.struct(*[v.alias(n) for n, v in zip(("a", "u"), values.dose(F.col(c)), strict=True)]) for k, c in enumerate(looked)})
+    found = [(F.col(f"_d{k}.a"), F.col(f"_d{k}.u")) for k in range(len(looked))]
     near, all_ = found[:2], found
     pick = lambda options, k: F.coalesce(*[F.when(o[0].isNotNull(), o[k]) for o in options])
     placebo = F.coalesce(F.col("TreatmentArm").rlike(f"(?i){PLACEBO}"), F.lit(False))

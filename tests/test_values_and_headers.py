@@ -40,7 +40,7 @@ def test_header_words(spark):
     assert judged(spark, h.comparison_type, ["HR", "Odds ratio", "Difference", "Relative Risk Reduction", "P value", "Ratio"]) == ["HazardRatio", "OddsRatio", "RiskDifference", "RelativeRiskReduction", "PValue", "RelativeRisk"]
     assert judged(spark, h.is_denominator_label, ["N", "Total N", "Number of patients (n)", "Subjects", "Number of visits", "Total"]) == [True, True, True, True, False, False]
     assert judged(spark, h.format_hint, ["Drug A n (%)", "Drug A (%)", "Drug %", "Drug A", "Auburn (%)"]) == ["n(%)", "(%)", "%", None, "(%)"]
-    got = [tuple(r) for r in judged(spark, h.caption_hint, ["Mean (SD) values", "LS Mean change (SE)", "Least-squares means", "Geometric mean (CV%)", "Median (range)", "Median", "Mean (foo)", "Geometric mean ratio with 90% CI", "Counts", "Mean ± standard deviation", None, "Estimates (95 % CI)"])]
+    got = [tuple(r) for r in judged(spark, h.caption_hint, ["Mean (SD) values", "LS Mean (SE) change", "Least-squares means", "Geometric mean (CV%)", "Median (range)", "Median", "Mean (foo)", "Geometric mean ratio with 90% CI", "Counts", "Mean ± standard deviation", None, "Estimates (95 % CI)"])]
     assert got == [
         ("Mean", "SD", None, 1.0), ("LSMean", "SE", None, 1.0), ("LSMean", None, None, 0.85), ("GeometricMean", "CV_Percent", None, 1.0), ("Median", None, None, 1.0), ("Median", None, None, 0.85), (None, None, None, None), ("Ratio", None, "90CI", 1.0),
         (None, None, None, None), ("Mean", "SD", None, 1.0), (None, None, None, None), (None, None, "95CI", None),
