@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,8 +254,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, p
     """One row per query and neighbour: query_id, rank from 1, vec_id, score.
 
     Candidates are all rows but those with the query's own vec_id.  Vectors that are null, empty, zero
-    or hold a null or non-finite component take no part, nor do those with a null vec_id, nor those
-    whose length isn't the most frequent one (of equally frequent ones, the smallest).  Rows that are
+    or hold a null or non-finite component take no part, nor do those with a null vec_id.  Vectors have
+    products with those of their own length alone, so each length is searched on its own.  Rows that are
     repeated whole count once.  Ties go to the smaller vec_id.  An empty table gives an empty result;
     other columns are ignored.  Without ``probes``, their number is learnt from ``sample`` queries.
     """
@@ -263,11 +264,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, p
     single = kind == "array<float>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if single else "array<double>").alias("v"), is_query.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = sorted((-r["n"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
-    out_schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
-        return spark.createDataFrame([], out_schema)
-    d, count = sizes[0][1], -sizes[0][0]
-    rows = rows.filter(F.size("v") == d)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, [_search(rows.filter(F.size("v") == d), d, -n, k, tables, probes, seed, sample, goal) for n, d in sizes])
+
+
+def _search(rows: DataFrame, d: int, count: int, k: int, tables: int, probes: int | None, seed: int, sample: int, goal: float) -> DataFrame:
+    """search() of rows (vec_id, v, q) that all have d components."""
+    out_schema = "query_id long, rank int, vec_id long, score double"
+    single = rows.schema["v"].dataType.simpleString() == "array<float>"
     least, most = rows.select("v").mapInArrow(_spans, "least double, most double").agg(F.min("least"), F.max("most")).first()
     uneven = most > least * (1 + EVEN)
     index = Index(d + uneven, tables, seed)

@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
         some = rows.withColumn("place", place(name)).filter(F.col("place") < min(1.0, share) * 2.0**52)
         return some.orderBy("place", "doc_id").limit(most).select("text", "doc_id", F.lit(kind).alias("kind"))
 
-    trusted = known.filter((F.col("quality") == 1) & (unit_hash("quality", F.col("doc_id")) < min(1.0, positives / good) * 2.0**52)).select("doc_id").limit(4 * positives)
+    rank = unit_hash("quality", F.col("doc_id"))
+    trusted = known.filter((F.col("quality") == 1) & (rank < min(1.0, positives / good) * 2.0**52)).orderBy(rank, "doc_id").select("doc_id").limit(4 * positives)
     ones = drawn(learn.join(F.broadcast(trusted), "doc_id", "left_semi"), "positive", 1.0, 2 * positives, 1)
     rest = drawn(learn, "unlabelled", unlabelled / total, 2 * unlabelled, 0)
     got = sorted((r["kind"], r["doc_id"], bytes(r["x"])) for r in ones.unionByName(rest).mapInArrow(_featurise, "doc_id long, kind int, x binary").collect())

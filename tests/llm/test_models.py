@@ -543,6 +543,21 @@ def test_nearest_neighbours_read_few_vectors_where_neighbours_are_near(spark):
     assert hit >= 0.9 * 20 * 150 and met.mean() < 0.1
 
 
+def test_vectors_of_each_length_are_searched(spark):
+    """Fewer vectors of one length and more of another: both have all their neighbours."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(60)] + [(60, [1.0]), (61, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, k=30).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in (0, 20, 40, 60):
+        x = np.array(rows[q][1])
+        found = sorted(((-float(x @ np.array(v)), i) for i, v in rows if v is not None and i != q and len(v) == len(x)))[:30]
+        assert [i for _, i, _ in sorted(got.get(q, []))] == [i for _, i in found]
+        assert [s for *_, s in sorted(got.get(q, []))] == pytest.approx([-s for s, _ in found])
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 24)).astype(np.float32)
     assert np.allclose(np.linalg.norm(ann.Index(24).rotated(x, 3), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
