@@ -28,8 +28,9 @@ def arms_and_contexts(df: DataFrame, drugs: list[str], title_drug: str | None =
     """Phase 1 on TreatmentArm, StudyContext, ArmN, DoseRegimen, ParameterSubtype; Flags says what was done.
 
     First the bracketed number, then the first of: arm is a number of patients, a format hint, a
-    severity, a dose, a bare number; drug with dose in the arm.  Then always: context with a number of
-    patients, context that is a drug, context that is a descriptor.
+    severity, a dose, a bare number under a context that describes a dose; drug with dose in the arm.  Then
+    always: context with a number of patients, context that is a drug, context that is a descriptor, and a format hint
+    behind the arm's name, which makes a bare number in PrimaryValueType and Unit (where df has them) a percentage.
     """
     known = F.array(*[F.lit(d.lower()) for d in drugs]) if drugs else F.array().cast("array<string>")
     arm, ctx, n, dose, sub = (F.col(c) for c in ("TreatmentArm", "StudyContext", "ArmN", "DoseRegimen", "ParameterSubtype"))
@@ -41,13 +42,18 @@ def arms_and_contexts(df: DataFrame, drugs: list[str], title_drug: str | None =
 
     from_context = F.when(is_drug(ctx, known), ctx)
     kept_context = F.when(~is_drug(ctx, known), ctx)
+    described, unit = dose_descriptor(ctx)
+    named = F.trim(F.regexp_replace(described, r"(?i)\s+(?:tablets?|capsules?|oral solution)\s*$", ""))
+    by_dose = F.when(is_drug(described, known), described).when(is_drug(named, known), named)
+    bare = F.coalesce(arm.rlike(r"^\s*\d[\d,.]*\s*$"), F.lit(False)) & described.isNotNull()
     drug_dose = r"^(\S.*?)\s+(\d[\d,.]*\s*(?:mg|mcg|µg|g|mL|units?|IU)(?:/\w+)*.*)$"
     first = (
         F.when(arm.rlike(WITH_N), state(a=F.regexp_extract(arm, WITH_N, 1), k=number(arm, WITH_N, 2), flag="COL_STD:ARM_BRACKET_N"))
         .when(arm.rlike(ARM_N), state(a=from_context, c=kept_context, k=number(arm, ARM_N, 1), flag="COL_STD:ARM_WAS_N"))
         .when(arm.rlike(HINTS), state(a=from_context, c=kept_context, flag="COL_STD:ARM_WAS_FMT"))
         .when(arm.rlike(SEVERITY), state(a=from_context, c=kept_context, s=F.coalesce(sub, arm), flag="COL_STD:ARM_WAS_SEVERITY"))
-        .when(arm.rlike(DOSE_ONLY), state(a=F.coalesce(from_context, F.lit(title_drug)), c=kept_context, d=F.coalesce(dose, arm), flag="COL_STD:ARM_WAS_DOSE"))
+        .when(arm.rlike(DOSE_ONLY), state(a=F.coalesce(from_context, by_dose, F.lit(title_drug)), c=F.when(by_dose.isNull(), kept_context), d=F.coalesce(dose, arm), flag="COL_STD:ARM_WAS_DOSE"))
+        .when(bare, state(a=F.coalesce(by_dose, described), c=text, d=F.concat_ws(" ", F.trim(arm), F.concat(unit, F.lit("/day"))), flag="COL_STD:ARM_WAS_BARE_DOSE"))
         .when(dose.isNull() & arm.rlike(drug_dose) & is_drug(F.regexp_extract(arm, drug_dose, 1), known), state(a=F.regexp_extract(arm, drug_dose, 1), d=F.regexp_extract(arm, drug_dose, 2), flag="COL_STD:SPLIT_DRUG_DOSE"))
         .otherwise(state())
     )
@@ -60,7 +66,24 @@ def arms_and_contexts(df: DataFrame, drugs: list[str], title_drug: str | None =
         .otherwise(state())
     )
     df = df.withColumn("_2", second).withColumns({f: F.col(f"_2.{f}") for f in fields})
-    return df.withColumn("Flags", F.concat_ws(";", "_1.flag", "_2.flag")).drop("_1", "_2")
+    hint = r"(?i)^(.+?)\s+(n\s*\(\s*%\s*\)|%)\s*$"
+    hinted = F.coalesce(arm.rlike(hint), F.lit(False))
+    df = df.withColumn("_3", hinted).withColumn("TreatmentArm", F.when(hinted, F.trim(F.regexp_extract(arm, hint, 1))).otherwise(arm))
+    if {"PrimaryValueType", "Unit"} <= set(df.columns):
+        numeric = F.col("_3") & F.coalesce(F.col("PrimaryValueType") == "Numeric", F.lit(False))
+        df = df.withColumns({"Unit": F.when(numeric, "%").otherwise(F.col("Unit")), "PrimaryValueType": F.when(numeric, "Percentage").otherwise(F.col("PrimaryValueType"))})
+    return df.withColumn("Flags", F.concat_ws(";", "_1.flag", "_2.flag", F.when(F.col("_3"), "COL_STD:ARM_STRIP_PCT"))).drop("_1", "_2", "_3")
+
+
+def dose_descriptor(text: Column) -> tuple[Column, Column]:
+    """(drug, unit) of a context that describes a dose: a name, then ``dose`` or ``dosage``, perhaps a unit (per day) in a bracket; nulls for others."""
+    bracket = F.lower(F.trim(F.regexp_extract(text, r"\(([^()]*)\)\s*$", 1)))
+    unit = F.trim(F.regexp_replace(bracket, r"\s*(?:/|per)\s*day$", ""))
+    body = F.trim(F.regexp_replace(text, r"\s*\([^()]*\)\s*$", ""))
+    last = F.lower(F.substring_index(body, " ", -1))
+    name = F.trim(F.regexp_replace(body.substr(F.lit(1), F.length(body) - F.length(last)), r"(?i)^target\s+", ""))
+    fits = last.isin("dose", "dosage") & (name != "") & ((bracket == "") | unit.isin("mg", "mcg", "µg", "g"))
+    return F.when(fits, name), F.when(fits, F.nullif(unit, F.lit("")))
 
 
 def mean_type(caption: Column) -> Column:

@@ -16,6 +16,16 @@ def test_arms(spark):
     ]
 
 
+def test_bare_numbers_and_trailing_hints(spark):
+    rows = [("200", "Target Drug A Tablets Dose (mg/day)", "Count", None), ("50", "Drug B dosage", "Count", None), ("50", "Other thing dose (mL)", "Numeric", "x"), ("5 mg", "Drug A dose (mg)", "Numeric", "mg"), ("Drug A n (%)", None, "Numeric", None), ("Drug A %", None, "Count", "y"), ("50", None, "Numeric", None)]
+    df = spark.createDataFrame(rows, "TreatmentArm string, StudyContext string, PrimaryValueType string, Unit string").withColumns({"ArmN": F.lit(None).cast("int"), "DoseRegimen": F.lit(None).cast("string"), "ParameterSubtype": F.lit(None).cast("string")})
+    got = [(r.TreatmentArm, r.StudyContext, r.DoseRegimen, r.PrimaryValueType, r.Unit, r.Flags) for r in standardize.arms_and_contexts(df, ["Drug A"]).collect()]
+    assert got == [
+        ("Drug A", None, "200 mg/day", "Count", None, "COL_STD:ARM_WAS_BARE_DOSE"), ("Drug B", None, "50", "Count", None, "COL_STD:ARM_WAS_BARE_DOSE"), ("50", "Other thing dose (mL)", None, "Numeric", "x", ""), ("Drug A", None, "5 mg", "Numeric", "mg", "COL_STD:ARM_WAS_DOSE"),
+        ("Drug A", None, None, "Percentage", "%", "COL_STD:ARM_STRIP_PCT"), ("Drug A", None, None, "Count", "y", "COL_STD:ARM_STRIP_PCT"), ("50", None, None, "Numeric", None, ""),
+    ]
+
+
 def test_subject_counts(spark):
     cells = [(1, 0, n, round(100 * n / 137, 1)) for n in (5, 17, 29, 61, 88, 103)] + [(1, 1, 5, 50.0), (1, 1, 9, 3.0), (1, 1, 8, 77.0), (2, 0, 5, 50.0)]
     got = standardize.subject_counts(spark.createDataFrame(cells, "TextTableID int, Col int, n int, pct double")).collect()
