@@ -52,6 +52,13 @@ def stored(df: DataFrame, **options: str | int) -> DataFrame:
     return _written(df, **options)[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that has been read."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Shelf:
     """Tables that only some steps need: written like stored() ones, and removed as soon as they are dropped or the steps end.
 
@@ -67,7 +74,7 @@ class Shelf:
 
     def __exit__(self, *error: object) -> None:
         for _, path in self.held:
-            self._remove(path)
+            remove(self.spark, path)
         self.held = []
 
     def keep(self, df: DataFrame, **options: str | int) -> DataFrame:
@@ -76,14 +83,9 @@ class Shelf:
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            self._remove(next(path for t, path in self.held if t is table))
+            remove(self.spark, next(path for t, path in self.held if t is table))
         self.held = [(t, path) for t, path in self.held if not any(t is table for table in tables)]
 
-    def _remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
 
 def unit_hash(*parts: Column | str | int) -> Column:
     """A long in [0, 2^52) that depends on the parts alone: the first 13 hex digits of an MD5.
