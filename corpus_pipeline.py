@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, langid, mixing, near_dedup, sentencepiece_bpe
-from tessera.llm.common import prepare, shared_folder
+from tessera.llm.common import prepare, remove, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,10 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on the documents; what lies between them is in the shared checkpoint folder."""
+    """All stages in turn on the documents; a stage's table in the shared checkpoint folder goes when the next one has read it."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            remove(spark, f"{folder}/{read}")
+        docs, read = spark.read.parquet(f"{folder}/{name}"), name
     return docs
