@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Digits of the pieces by which numbers meet, and the least length of a number that may stand inside another.
+from tessera.operators.relops import contained
+
+#: The least length of a number that may stand inside another.
 PIECE = 3
-SALTS = 8
 
 
 def number_of(text: Column) -> Column:
@@ -29,19 +30,9 @@ def by_number(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def inside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) where the digits of a (three at least) stand in those of b: numbers meet by a's rarest piece of three digits.
-
-    A piece that many numbers hold is dealt over several tasks.
-    """
-    l = left.select("a", number_of(F.col("a")).alias("d")).filter(F.length("d") >= PIECE).distinct()
-    r = right.select("b", number_of(F.col("b")).alias("e")).filter(F.length("e") >= PIECE).distinct()
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE - 1)), lambda k: F.substring(c, k, F.lit(PIECE))))
-    held = r.select("b", "e", F.explode(pieces(F.col("e"))).alias("piece")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    often = held.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
-    mine = l.select("a", "d", F.explode(pieces(F.col("d"))).alias("piece")).join(often, "piece", "left")
-    # A piece that nobody holds ends the search.
-    rare = mine.groupBy("a", "d").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("p")).filter("p.often > 0").select("a", "d", F.col("p.piece").alias("piece"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    return rare.join(held, ["piece", "salt"]).filter(F.contains("e", F.col("d"))).select("a", "b")
+    """(a, b) where the digits of a (three at least) stand in those of b."""
+    digits = lambda f, c: f.select(c, number_of(F.col(c)).alias("text")).filter("text is not null").distinct()
+    return contained(digits(left, "a"), digits(right, "b"), PIECE)
 
 
 def ingredients(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stage5 import is_placebo
-from tessera.operators.relops import topk_with_ties
+from tessera.operators.relops import contained
 
 
 def map_picker(obs: DataFrame, group: str, via: str, item: str, floor: int = 3) -> DataFrame:
@@ -24,11 +24,6 @@ def map_picker(obs: DataFrame, group: str, via: str, item: str, floor: int = 3)
     return out.withColumns({"pairs": (F.col("items") * (F.col("items") - 1) / 2).cast("long"), "reason": reason, "renderable": reason.isNull()})
 
 
-def ordered_picker(picker: DataFrame, group: str) -> DataFrame:
-    """Groups that can be drawn first, then by usable pairs, best pair, vias and items."""
-    return picker.orderBy(F.col("renderable").desc(), *[F.col(c).desc() for c in ("usable", "best", "vias", "items")], F.col(group))
-
-
 def arm_root(arm: Column) -> Column:
     """An arm's name without doses and regimens."""
     t = F.regexp_replace(F.lower(arm), r"\d[\d,.]*\s*(?:mg|mcg|µg|g|ml|units?|iu)(?:/\w+)*", " ")
@@ -54,25 +49,12 @@ def trial_design(obs: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "arms", design.alias("design"))
 
 
-def median_effects(obs: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Per row and column the exact median, the count, whether any is fragile, and the strongest observation's id."""
-    return obs.groupBy(row, col).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"), F.bool_or("Fragile").alias("any_fragile"), F.max_by("id", F.struct(F.abs(F.col(value)), F.col("events"), -F.col("id"))).alias("representative"))
-
-
 def substring_matches(names: DataFrame, substances: DataFrame, least: int = 3) -> DataFrame:
     """(name, substance): equal names; names of at least ``least`` characters without an equal one, contained in a substance.
-
-    Containment has no key to meet by, so words of the name lead to the candidates: the first word of a
-    contained name starts inside a word of the substance, whose suffixes are its keys.
     """
     n = names.select(F.upper(F.trim("name")).alias("name")).distinct()
     s = substances.select(F.upper(F.trim("substance")).alias("substance")).distinct()
     same = n.join(s, F.col("name") == F.col("substance")).select("name", "substance")
-    rest = n.join(same.select("name"), "name", "left_anti").filter(F.length("name") >= least).withColumn("key", F.substring("name", 1, least))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("substance") - least + 1, F.lit(1))), lambda i: F.substring(F.col("substance"), i, F.lit(least)))
-    keyed = s.filter(F.length("substance") >= least).withColumn("key", F.explode(F.array_distinct(starts)))
-    return same.unionByName(rest.join(keyed, "key").filter(F.col("substance").contains(F.col("name"))).select("name", "substance"))
-
-
-def top_classes(df: DataFrame, key: str, k: int) -> DataFrame:
-    return topk_with_ties(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc()], k)
+    rest = n.join(same.select("name"), "name", "left_anti")
+    met = contained(rest.select(F.col("name").alias("a"), F.col("name").alias("text")), s.select(F.col("substance").alias("b"), F.col("substance").alias("text")), least)
+    return same.unionByName(met.select(F.col("a").alias("name"), F.col("b").alias("substance")))

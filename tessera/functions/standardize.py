@@ -195,7 +195,3 @@ def subject_counts(cells: DataFrame) -> DataFrame:
     spans = rows.withColumns({"low": F.expr("greatest(n, n * 2000 div (2 * t + 1) + 1)"), "high": F.expr("n * 2000 div (2 * t - 1)")})
     found = spans.groupBy("TextTableID", "Col").agg(F.count(F.lit(1)).alias("cells"), F.count("t").alias("whole"), F.max("low").alias("N"), F.min("high").alias("high"))
     return found.filter("cells >= 3 and whole = cells and N = high").select("TextTableID", "Col", "N")
-
-
-def units(df: DataFrame, col: str = "Unit") -> DataFrame:
-    return df.withColumn(col, values.normalise_unit(F.col(col)))

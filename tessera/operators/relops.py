@@ -44,6 +44,22 @@ def containment_join(left: DataFrame, right: DataFrame, list_col: str, key: str,
     return exploded.join(right, exploded["_part"] == right[key]).drop("_part")
 
 
+def contained(left: DataFrame, right: DataFrame, piece: int = 3, salts: int = 8) -> DataFrame:
+    """(a, b) of left (a, text) and right (b, text) rows where the left text, of ``piece`` characters at least, stands in the right one.
+
+    Texts meet by the left one's rarest piece of that many characters, so a common beginning gathers few; a piece that many
+    right texts hold is dealt over several tasks.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (piece - 1)), lambda k: F.substring("text", k, F.lit(piece))))
+    held = right.filter(F.length("text") >= piece).select("b", F.col("text").alias("whole"), F.explode(pieces).alias("piece")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    often = held.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
+    # A piece that nobody holds ends the search.
+    mine = left.filter(F.length("text") >= piece).select("a", "text", F.explode(pieces).alias("piece")).join(often, "piece", "left")
+    rare = mine.groupBy("a", "text").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("p")).filter("p.often > 0")
+    dealt = rare.select("a", "text", F.col("p.piece").alias("piece"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    return dealt.join(held, ["piece", "salt"]).filter(F.contains("whole", F.col("text"))).select("a", "b")
+
+
 def rank_avg_ties(order: Column, keys: Sequence[str | Column]) -> Column:
     """Ranks from 1 within keys; rows that tie share the mean of their ranks."""
     w = Window.partitionBy(*keys)

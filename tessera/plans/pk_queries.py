@@ -8,7 +8,7 @@ from tessera.functions import phrases, pk
 from tessera.operators import grid
 from tessera.plans.domain import TABLES, with_tables
 from tessera.plans.registry import query
-from tessera.session import ship_package, table
+from tessera.session import ship_package, spread_small, table
 
 #: An order is a table; its first three lines are its doses (m mg for line n) with two parameters each, x with y as standard deviation.
 DOSED = """select k, n, k % 3 as layout, cast(n * 10 as string) as m, cast(cast(q as int) + n as string) as x, cast(cast(q as int) % 7 + 1 as string) as y, cast(p % 50 + 1 as string) as t from {Line} where n <= 3"""
@@ -48,6 +48,7 @@ def tables(spark, sf_dir):
 
 def _observed(spark, sf_dir):
     ship_package(spark)
+    spread_small(spark)
     return pk.vote_units(pk.observations(grid.reconstruct(cells(spark, sf_dir)), tables(spark, sf_dir)))
 
 
@@ -67,6 +68,7 @@ SELECT k "TextTableID", 0 "Block", CASE layout WHEN 0 THEN 2 ELSE 0 END "ColumnP
 def pk_orientation(spark, sf_dir):
     """Votes of the tables whose headers stand above; compound ones vote for each block."""
     ship_package(spark)
+    spread_small(spark)
     votes = pk.orientation(pk.headed(grid.reconstruct(cells(spark, sf_dir)))).filter("Block = 0")
     return votes.select("TextTableID", "Block", "ColumnParameters", "ColumnDoses", "RowParameters", "RowDoses", "Transposed")
 

@@ -10,7 +10,7 @@ from tessera.operators import grid
 from tessera.plans import ae_queries
 from tessera.plans.domain import TABLES, with_tables
 from tessera.plans.registry import query
-from tessera.session import ship_package, table
+from tessera.session import ship_package, spread_small, table
 from tessera.sources import spl, text_blocks
 
 #: Rows of printed tables: an order is a label with a table, its lines are rows, g is the table's design.  The text runs in Spark and in the oracle.
@@ -65,15 +65,21 @@ def labels(spark, sf_dir):
 
 def blocks(spark, sf_dir):
     ship_package(spark)
+    spread_small(spark)
     return text_blocks.of(spl.parsed(labels(spark, sf_dir)))
 
 
-def parts(spark, sf_dir):
-    """(observations, comparisons, audit) and the grid, all from the labels' XML."""
+def grids(spark, sf_dir):
+    """(grid, tables) from the labels' XML."""
     found = blocks(spark, sf_dir)
-    g = grid.reconstruct(text_blocks.cells(found))
     tables = text_blocks.tables(found).select("TextTableID", "DocumentGUID", "Caption", F.lit("AdverseEvent").alias("TableCategory"), F.lit(None).cast("string").alias("TitleDrug"))
-    return (*table_rows.observations(g, tables), g, tables)
+    return grid.reconstruct(text_blocks.cells(found)), tables
+
+
+def parts(spark, sf_dir):
+    """(observations, comparisons, audit) and the tables."""
+    g, tables = grids(spark, sf_dir)
+    return (*table_rows.observations(g, tables), tables)
 
 
 def _keyed(df, tables):
@@ -105,7 +111,7 @@ SELECT 'doc-' || k "Doc", n, c "Col", CASE g WHEN 1 THEN ['Preferred term', 'Dru
  CASE WHEN g IN (0, 3) AND k % 3 = 0 THEN 'Skin disorders' END "Category" FROM c""")
 def table_grid(spark, sf_dir):
     """Cells of the lines' rows with their header paths, header rows of the body taken into them; n is the line, which the row follows."""
-    *_, g, tables = parts(spark, sf_dir)
+    g, tables = grids(spark, sf_dir)
     rows = _keyed(table_rows.promoted(g), tables)
     return _with_lines(rows.withColumnRenamed("RowSeq", "SourceRowSeq"), spark, sf_dir).select("Doc", "n", "Col", "HeaderPath", "CellText", "Category")
 
@@ -125,7 +131,7 @@ SELECT 'doc-' || k "Doc", c "Col", CASE g WHEN 5 THEN ['label','arm','arm','comp
  CASE WHEN g IN (0, 3) THEN [NULL, 'Any grade', 'Grade 3-4', NULL, NULL][c + 1] END "Subtype", CASE WHEN g = 5 AND c IN (1, 2) THEN 'Treatment' END "Context", CASE WHEN g = 5 THEN [NULL, NULL, NULL, 'OddsRatio', 'PValue'][c + 1] WHEN c = 4 THEN 'HazardRatio' END "Statistic",
  CASE WHEN g = 5 AND c = 3 THEN '90CI' WHEN g IN (0, 3) AND c = 4 THEN '95CI' END "Level" FROM c""")
 def table_column_contexts(spark, sf_dir):
-    *_, g, tables = parts(spark, sf_dir)
+    g, tables = grids(spark, sf_dir)
     found = _keyed(table_rows.column_contexts(table_rows.promoted(g)), tables)
     return found.select("Doc", "Col", "Kind", "Arm", F.col("HeaderN").cast("double").alias("HeaderN"), "Hint", "Subtype", "Context", "Statistic", "Level")
 
@@ -163,13 +169,13 @@ def table_observations(spark, sf_dir):
 @query("table_comparisons", _L + """, c AS (SELECT k, n, g, replace(label, '*', '') nm, CASE g WHEN 5 THEN ('1.' || q)::DOUBLE ELSE 0.7 END x, CASE g WHEN 5 THEN ('0.' || q)::DOUBLE ELSE 0.5 END lo, CASE g WHEN 5 THEN ('2.' || q)::DOUBLE ELSE 0.98 END hi, CASE g WHEN 5 THEN ('0.0' || d)::DOUBLE END p FROM l WHERE g = 5 OR (g IN (0, 3) AND n = 1))
 SELECT 'doc-' || k "Doc", nm "ParameterName", CASE g WHEN 5 THEN 'OddsRatio' ELSE 'HazardRatio' END "PrimaryValueType", x "PrimaryValue", lo "LowerBound", hi "UpperBound", CASE g WHEN 5 THEN '90CI' ELSE '95CI' END "BoundType", p "PValue" FROM (SELECT *, row_number() OVER (PARTITION BY k, nm, x, lo, hi ORDER BY n) nth FROM c) WHERE nth = 1""")
 def table_comparisons(spark, sf_dir):
-    _, compared, _, _, tables = parts(spark, sf_dir)
+    _, compared, _, tables = parts(spark, sf_dir)
     return _keyed(compared, tables).select("Doc", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound", "BoundType", "PValue")
 
 
 @query("table_suppressed_rows", _L + """SELECT DISTINCT 'doc-' || k "Doc", CASE g WHEN 2 THEN 'Nervous system disorders' WHEN 4 THEN 'Number of patients' ELSE 'N' END "Label", CASE g WHEN 2 THEN 'STRUCTURAL_EMPTY' ELSE 'STRUCTURAL_DENOMINATOR' END "Reason" FROM l WHERE g IN (2, 4) OR (g IN (0, 3) AND pn IS NOT NULL)""")
 def table_suppressed_rows(spark, sf_dir):
-    _, _, audit, _, tables = parts(spark, sf_dir)
+    _, _, audit, tables = parts(spark, sf_dir)
     return _keyed(audit, tables).select("Doc", "Label", "Reason")
 
 

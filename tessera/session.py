@@ -43,6 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread_small(spark: SparkSession) -> None:
+    """Let shuffles of a few megabytes keep a task for each core: rows of printed tables are small and cost much work each.
+
+    Larger shuffles are dealt as before, by the number of cores or the advisory size.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+
+
 _SHIPPED: set[str] = set()
 
 
