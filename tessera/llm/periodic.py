@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty
 from tessera.llm.near_dedup import mix
