@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, search, stage5, stats
 from tessera.functions.correlation import incomplete_beta, pair_correlations, student_p
+from tessera.plans.registry import QUERIES
 
 
 @pytest.mark.parametrize(
@@ -79,3 +80,15 @@ def test_p_values_and_correlation(spark):
     rows = [(i, k, float(v)) for i, vs in (("a", (1, 2, 3, 4)), ("b", (1, 4, 9, 16)), ("c", (5, 5, 5, 5))) for k, v in enumerate(vs)]
     got = {(r.a, r.b): r.r for r in pair_correlations(spark.createDataFrame(rows, "item string, via int, v double"), "item", "via", "v").collect()}
     assert got[("a", "b")] == pytest.approx(1.0) and got[("a", "c")] is None and got[("a", "a")] == 1.0
+
+
+def test_a_document_grows_with_the_lines(spark, tmp_path):
+    """Orders 300 apart share a document, and its positions hold within their tier."""
+    keys = [12 + 300 * i for i in range(14)]
+    lines = [(k, n, 2 if n == 1 else 3, k, "A", "F", 40.0 if n > 1 else 12.0, None) for k in keys for n in range(1, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    signals = QUERIES["ae_signals"](spark, str(tmp_path)).count()
+    triage = QUERIES["ae_triage"](spark, str(tmp_path)).collect()
+    assert signals == len(triage) == QUERIES["ae_forest_and_quadrant"](spark, str(tmp_path)).count() == QUERIES["ae_reverse_lookup"](spark, str(tmp_path)).count() > 14
+    for tier in {r.Tier for r in triage}:
+        assert sorted(r.Position for r in triage if r.Tier == tier) == list(range(1, 1 + next(r.TierCount for r in triage if r.Tier == tier)))
