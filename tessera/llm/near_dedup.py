@@ -299,6 +299,13 @@ def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.union(new.join(comp, "node", "left_anti")))
 
 
+def placed_in(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (key, band, node) with their class.  A node looks its class up once, not once for each of its buckets."""
+    own = members.groupBy("node").agg(F.collect_list(F.struct("key", "band")).alias("at"))
+    found = own.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.explode("at").alias("m"))
+    return found.select("m.key", "m.band", "node", "comp")
+
+
 def linked(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
     """One row per document, stored: doc_id, digest (MD5 of its text), node (a number of its set), comp (the node that
     stands for its class); the last two null without words."""
@@ -341,11 +348,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK,
         meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
         hubs = members.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("b"))
         comp = merged(None, links_to_hubs(members.join(hubs, "key").filter("node != b").select(F.col("node").alias("a"), "b")))
+        # Members of buckets that may hold different classes still; in those of two, the pair is settled.
+        still, placed = members.filter("n > 2"), None
         for nth in range(rounds + 1):
-            # Buckets whose nodes are in different classes still; in those of two, the pair is settled.
-            placed = members.filter("n > 2").join(comp, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+            before, placed = placed, placed_in(still, comp)
             largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count(F.lit(1)).alias("classes"))
             placed = shelf.keep(placed.join(largest.filter("classes > 1").select("key", "big"), "key").withColumn("inside", F.col("comp") == F.col("big")).drop("big"))
+            if before is not None:
+                shelf.drop(before)
             if nth == rounds:
                 break
             hubs = placed.filter("inside").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(nth))).alias("b"))
@@ -353,7 +363,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK,
             if links.isEmpty():
                 break
             comp = merged(comp, links)
-            shelf.drop(placed)
+            # A bucket of one class stays one of one class.
+            still = placed
         part = lambda inside: F.greatest(F.ceil(F.count(F.when(F.col("inside") == inside, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(F.col("inside") == inside, F.col("bytes"))), F.lit(0)) / BYTES))
         sized = placed.join(nodes.select("node", "bytes", "keys", "small"), "node")
         sizes = sized.groupBy("key").agg(part(True).alias("blocks_in"), part(False).alias("blocks_out"))

@@ -673,6 +673,14 @@ def test_near_dedup_matches_brute_force(spark):
     assert near_dedup.classes(frame.limit(0)).count() == 0
 
 
+def test_near_dedup_looks_classes_up_once_a_node(spark):
+    members = spark.createDataFrame([(100 * n + b, b, n) for n in range(8) for b in range(25)], "key long, band int, node long")
+    placed = near_dedup.placed_in(members, spark.createDataFrame([(n, n // 4 * 4) for n in range(6)], "node long, comp long"))
+    assert {tuple(r) for r in placed.collect()} == {(100 * n + b, b, n, n // 4 * 4 if n < 6 else n) for n in range(8) for b in range(25)}
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
+
+
 def test_near_dedup_of_repeated_and_null_ids(spark):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(300)]
