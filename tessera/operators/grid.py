@@ -22,6 +22,8 @@ MAX_DIVIDER = 200
 
 def clean(text: str | None) -> tuple[str, list[str]]:
     """(text without tags, the contents of its superscripts)."""
+    if "<" not in (text or ""):
+        return " ".join((text or "").split()), []
     marks = [m.strip() for s in re.findall(r"(?is)<sup>(.*?)</sup>", text or "") for m in s.split(",") if m.strip()]
     t = re.sub(r"(?is)<sup>.*?</sup>", "", text or "")
     return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\s*/?>", " ", t))).strip(), marks

@@ -71,3 +71,10 @@ def test_efficacy_table_with_captions_and_comparisons(spark):
 def test_arm_tests(spark):
     rows = spark.createDataFrame([(x,) for x in ("Drug A", "", None, "Table 3: reactions", "Cardiac disorders", "n (%)", "Grade 3-4", "Placebo")], "t string")
     assert [r[0] for r in rows.select(table_rows.invalid_arm(F.col("t"))).collect()] == [False, True, True, True, True, True, True, False]
+
+
+def test_plain_cells_take_no_patterns(monkeypatch):
+    from tessera.operators import grid
+
+    monkeypatch.setattr(grid, "re", None)
+    assert grid.clean(" 12\u00a0 \n(8%) ") == ("12 (8%)", []) and grid.clean(None) == ("", [])
