@@ -13,10 +13,12 @@ which for weights of 1 is the common Jaccard measure.
    registers' are not made.  Two registers agree with probability J.
 2. Equal sets (a 128-bit hash) become one node, so copies are not compared.
 3. Banding.  Nodes meet where all registers of a band agree; each is compared to the bucket's hub, the
-   node that meets most others.  Verification computes J from the texts.
+   first of its nodes in one random order of all, so that a family has few hubs.  Verification computes
+   J from the texts.
 4. Where a bucket's nodes are still in different classes, those outside its largest class are compared
-   with members of that class drawn at random, a few rounds long: a large family so becomes one class
-   at a cost that grows with its size, not with the square of it.
+   with members of that class drawn at random, in a few rounds, as long as a round settles half
+   of what is open: a large family so becomes one class at a cost that grows with its size, not with the
+   square of it.
 5. What is left is compared in full, in tiles of bounded size: first by registers, to find the nodes
    that have any likely partner; then those nodes' texts meet, and likely pairs are verified inside the
    tile, each in the first band that it shares.  Pairs are never rows here.
@@ -46,8 +48,10 @@ ROWS = 5
 REGISTERS = BANDS * ROWS
 #: How far an estimate may be below the threshold for a pair to be verified.
 SLACK = 0.25
-#: Rounds in which those outside a bucket's largest class meet a random member of it.
+#: Rounds in which those outside a bucket's largest class meet a random member of it, at most, and the share of
+#: those outside that a round must settle for another one: unlike nodes are left to the tiles, which compare all.
 ROUNDS = 4
+SETTLED = 0.5
 #: Nodes in a block of a tile, and bytes of their texts.
 BLOCK = 500
 BYTES = 4 << 20
@@ -317,7 +321,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK,
         once = made.filter("set_a is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("digest", "bytes")).alias("text"), F.first("keys").alias("keys"), F.first("small").alias("small"))
         nodes = shelf.keep(once.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "text.*", "keys", "small"))
         met = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-        buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.xxhash64("node")).alias("b")).filter("n > 1")
         members = shelf.keep(met.join(buckets, "key"))
 
         def likely(pairs: DataFrame) -> DataFrame:
@@ -345,18 +349,18 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK,
             shelf.drop(pairs, texts)
             return links
 
-        meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
-        hubs = members.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("meets"), -F.col("node"))).alias("b"))
-        comp = merged(None, links_to_hubs(members.join(hubs, "key").filter("node != b").select(F.col("node").alias("a"), "b")))
+        comp = merged(None, links_to_hubs(members.filter("node != b").select(F.col("node").alias("a"), "b")))
         # Members of buckets that may hold different classes still; in those of two, the pair is settled.
         still, placed = members.filter("n > 2"), None
+        outside = still.filter("node != b").count()
         for nth in range(rounds + 1):
             before, placed = placed, placed_in(still, comp)
             largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count(F.lit(1)).alias("classes"))
             placed = shelf.keep(placed.join(largest.filter("classes > 1").select("key", "big"), "key").withColumn("inside", F.col("comp") == F.col("big")).drop("big"))
             if before is not None:
                 shelf.drop(before)
-            if nth == rounds:
+            were, outside = outside, placed.filter("not inside").count()
+            if nth == rounds or not outside or outside > (1 - SETTLED) * were:
                 break
             hubs = placed.filter("inside").groupBy("key").agg(F.max_by("node", F.xxhash64("node", "key", F.lit(nth))).alias("b"))
             links = links_to_hubs(placed.filter("not inside").join(hubs, "key").select(F.col("node").alias("a"), "b"))

@@ -715,3 +715,13 @@ def test_near_dedup_tiles_give_what_all_pairs_give(spark, monkeypatch):
         for r in rows:
             first[r.comp] = min(first.get(r.comp, r.doc_id), r.doc_id)
         assert {r.doc_id: first[r.comp] for r in rows} == want
+
+
+def test_near_dedup_leaves_unlike_nodes_to_the_tiles(spark, monkeypatch):
+    """A chain, of which only neighbours are similar: rounds that settle little are no longer repeated, and the class is whole."""
+    words, calls = [f"w{i}" for i in range(1000)], []
+    frame = spark.createDataFrame([(i, " ".join(words[5 * i : 5 * i + 200])) for i in range(60)], "doc_id long, text string")
+    merged = near_dedup.merged
+    monkeypatch.setattr(near_dedup, "merged", lambda *a: calls.append(1) or merged(*a))
+    assert {r.class_id for r in near_dedup.classes(frame, threshold=0.94).collect()} == {0}
+    assert len(calls) < near_dedup.ROUNDS
