@@ -111,7 +111,7 @@ def _sections(root) -> list[dict]:
 
 def _blocks(root) -> list[dict]:
     """The blocks of all sections' texts, in document order."""
-    return [b for s in root.iter(NS + "section") for b in text_blocks.blocks(s.find(NS + "text"), _attr(s, NS + "id", "root"))]
+    return [dict(zip(text_blocks.FIELDS, b, strict=True)) for b in text_blocks.of_document(root)]
 
 
 def _products(root) -> list[dict]:

@@ -2,13 +2,14 @@
 
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import header_words, pk, table_rows, values
 from tessera.operators import grid
 from tessera.session import ship_package
-from tessera.sources import text_blocks
+from tessera.sources import spl, text_blocks
 from tests.test_table_rows import table_of
 
 SHAPES = [
@@ -67,6 +68,18 @@ def test_text_blocks():
     assert text_blocks.blocks(None, "s") == [] and text_blocks.blocks(ElementTree.fromstring('<text xmlns="urn:hl7-org:v3"/>'), "s") == []
 
 
+def test_blocks_are_read_without_the_rest_of_a_label(spark):
+    ship_package(spark)
+    head = '<document xmlns="urn:hl7-org:v3"><id root="d"/><component><structuredBody><component><section><id root="s"/><text>'
+    body = '<paragraph styleCode="b" ID="p">q <sup>1</sup></paragraph><table><caption>T</caption><tr><th rowspan="2">1<table><tr><td/></tr></table></th></tr></table>'
+    tail = "</text></section></component></structuredBody></component></document>"
+    files = spark.createDataFrame([(head + body + tail,), ("<broken",), (None,), (head.replace('<id root="d"/>', "") + "lone" + tail,)], "xml string")
+    assert sorted(map(repr, text_blocks.read(files).collect())) == sorted(map(repr, text_blocks.of(spl.parsed(files)).collect()))
+    # The walk alone makes the rows; the sections, products and elements of a label are not made.
+    made = [b for batch in text_blocks._read(iter([pa.RecordBatch.from_pydict({"xml": [head + body + tail]})])) for b in batch.to_pylist()]
+    assert [b["Kind"] for b in made] == ["Paragraph", "Table", "TableRow", "TableCell", "Table", "TableRow", "TableCell"] and {b["DocumentGUID"] for b in made} == {"d"}
+
+
 def test_parameter_names(spark):
     texts = {"Cmax (ng/mL)": "Cmax", "Plasma Cmax*": "Cmax", "AUC0–∞ (ng·h/mL)": "AUC0-inf", "AUC(0 to inf)": "AUC0-inf", "Area under the curve (AUC0-24, mcg·h/mL)": "AUC0-24", "AUC₀₋₂₄": None, "AUCτ": "AUCtau", "AUC96h": "AUC", "t½ (h)": "t½", "Terminal half-life": "t½", "C24h": "Ctrough",
              "Maximum  Plasma Concentration, mg/L": "Cmax", "Serum": None, "Poor": None, None: None, "": None, "CL/F (L/h)": "CL/F", "Dose": None}
