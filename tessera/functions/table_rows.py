@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions import header_words as words
 from tessera.functions import values
 from tessera.functions.standardize import subject_counts
+from tessera.operators import relops
+from tessera.session import stored
 
 # Flags of where an arm's size comes from.
 FROM_ROW, FROM_HEADER, FROM_FRACTION, FROM_COUNTS, CONFLICT = "AE_ARMN_FROM_METADATA_ROW", "AE_ARMN_FROM_HEADER_N", "AE_ARMN_FROM_FRACTION_DENOMINATOR", "AE_ARMN_FROM_COUNT_PERCENT_INFERENCE", "AE_ARMN_REJECTED_CONFLICTING_N"
@@ -44,7 +46,8 @@ def promoted(grid: DataFrame) -> DataFrame:
     text = F.trim(F.coalesce("CellText", F.lit("")))
     worded = text.rlike(r"^\p{L}") & ~words.is_p_value(text)
     value = (F.col("Col") > 0) & (text != "")
-    cells = grid.withColumns({"_values": F.sum(F.when(value, 1).otherwise(0)).over(row), "_words": F.sum(F.when(value & worded, 1).otherwise(0)).over(row), "_label": F.max(F.when(F.col("Col") == 0, text)).over(row)})
+    # Dealt by table, one shuffle serves the windows.
+    cells = grid.repartition("TextTableID").withColumns({"_values": F.sum(F.when(value, 1).otherwise(0)).over(row), "_words": F.sum(F.when(value & worded, 1).otherwise(0)).over(row), "_label": F.max(F.when(F.col("Col") == 0, text)).over(row)})
     is_header = (F.col("RowClass") == "DataBody") & (F.col("_label") == "") & (F.col("_values") > 1) & (F.col("_values") == F.col("_words"))
     # The first row that is none ends them; rows are as wide as the table, so one column's order is the table's.
     cells = cells.withColumn("_first", F.coalesce(F.min(F.when(~is_header, F.col("RowSeq"))).over(table), F.lit(2**31 - 1)))
@@ -62,31 +65,51 @@ def column_contexts(grid: DataFrame, titles: DataFrame | None = None) -> DataFra
     severity below it the subtype.  A column without an arm takes the table's product title (titles:
     TextTableID, TitleDrug) where it is the table's only value column.
     """
-    c = grid.select("TextTableID", "Col", "HeaderPath").distinct().withColumn("parts", F.filter(F.split(F.coalesce("HeaderPath", F.lit("")), " > "), lambda p: F.trim(p) != ""))
-    leaf = F.coalesce(F.try_element_at("parts", F.lit(-1)), F.lit(""))
-    arms = F.filter(F.transform("parts", _bare), lambda p: ~invalid_arm(p) & ~words.is_statistic(p))
-    sizes = F.filter(F.transform("parts", values.header_n), lambda n: n.isNotNull())
-    severe = F.filter("parts", words.is_severity)
-    c = c.withColumns({"leaf": leaf, "arms": arms, "HeaderN": F.try_element_at(sizes, F.lit(-1)), "severe": severe})
-    c = c.withColumns({"Arm": F.try_element_at("arms", F.lit(-1)), "Hint": words.format_hint(F.col("leaf")), "Subtype": F.nullif(_bare(F.try_element_at("severe", F.lit(-1))), F.lit(""))})
-    c = c.withColumn("Context", F.nullif(F.array_join(F.slice("arms", F.lit(1), F.greatest(F.size("arms") - 1, F.lit(0))), " > "), F.lit("")))
+    c = relops.by_distinct(grid.select("TextTableID", "Col", "HeaderPath").distinct(), ["HeaderPath"], "h", _header_facts(F.col("HeaderPath"))).select("TextTableID", "Col", "h.*")
     if titles is not None:
         alone = F.count(F.when(F.col("Col") > 0, 1)).over(Window.partitionBy("TextTableID")) == 1
         c = c.withColumn("_alone", alone).join(titles.select("TextTableID", "TitleDrug"), "TextTableID", "left").withColumn("Arm", F.coalesce("Arm", F.when(F.col("_alone") & (F.col("Col") > 0), F.col("TitleDrug"))))
-    statistic = words.is_statistic(F.col("leaf"))
-    kind = F.when(F.col("Col") == 0, "label").when(statistic & words.is_p_value(F.col("leaf")), "pvalue").when(statistic, "comparison").when(F.col("Arm").isNotNull(), "arm").otherwise("unresolved")
-    return c.withColumns({"Kind": kind, "Statistic": F.when(statistic & (F.col("Col") > 0), words.comparison_type(F.col("leaf"))), "Level": ci_level(F.col("leaf"))}).select("TextTableID", "Col", "Kind", "Arm", "HeaderN", "Hint", "Subtype", "Context", "Statistic", "Level")
+    kind = F.when(F.col("Col") == 0, "label").when(F.col("_compares") & F.col("_p"), "pvalue").when(F.col("_compares"), "comparison").when(F.col("Arm").isNotNull(), "arm").otherwise("unresolved")
+    return c.withColumns({"Kind": kind, "Statistic": F.when(F.col("Col") > 0, F.col("_statistic"))}).select("TextTableID", "Col", "Kind", "Arm", "HeaderN", "Hint", "Subtype", "Context", "Statistic", "Level")
 
 
-def placed(grid: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Data cells with their column's context, their row's label, what kind of row it is, and the category that holds there.
+def _header_facts(path: Column) -> Column:
+    """What a header path says by itself: Arm, HeaderN, Hint, Subtype, Context, Level, and whether and what it compares."""
+
+    def judged(x: Column) -> Column:
+        last = lambda a: F.try_element_at(a, F.lit(-1))
+        statistic = words.is_statistic(x["leaf"])
+        context = F.nullif(F.array_join(F.slice(x["arms"], F.lit(1), F.greatest(F.size(x["arms"]) - 1, F.lit(0))), " > "), F.lit(""))
+        return F.struct(
+            last(x["arms"]).alias("Arm"), last(x["sizes"]).alias("HeaderN"), words.format_hint(x["leaf"]).alias("Hint"), F.nullif(_bare(last(x["severe"])), F.lit("")).alias("Subtype"), context.alias("Context"),
+            ci_level(x["leaf"]).alias("Level"), statistic.alias("_compares"), words.is_p_value(x["leaf"]).alias("_p"), F.when(statistic, words.comparison_type(x["leaf"])).alias("_statistic"),
+        )
+
+    def read(parts: Column) -> Column:
+        arms = F.filter(F.transform(parts, _bare), lambda p: ~invalid_arm(p) & ~words.is_statistic(p))
+        sizes = F.filter(F.transform(parts, values.header_n), lambda n: n.isNotNull())
+        return F.struct(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")).alias("leaf"), arms.alias("arms"), sizes.alias("sizes"), F.filter(parts, words.is_severity).alias("severe"))
+
+    return values.let(F.filter(F.split(F.coalesce(path, F.lit("")), " > "), lambda p: F.trim(p) != ""), lambda parts: values.let(read(parts), judged))
+
+
+_OF_TABLE = ("DocumentGUID", "Caption", "TableCategory", "Known")
+
+
+def placed(grid: DataFrame, contexts: DataFrame, tables: DataFrame) -> DataFrame:
+    """Data cells with their table's document, caption and category, their column's context, their row's label, what kind of row it is, and the category that holds there.
 
     RowKind: denominator (label and whole numbers only), dose (label and doses), empty (a label without
     values; one that names a body system starts that category), echo (the label repeats an arm or an axis
     without values), data.
     """
     row, down = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID", "Col").orderBy("RowSeq")
-    cells = grid.join(contexts, ["TextTableID", "Col"])
+    # A table's contexts come as one list, so the join and the windows agree in being dealt by table.
+    by_table = contexts.groupBy("TextTableID").agg(F.collect_list(F.struct(*contexts.columns[1:])).alias("_contexts"))
+    by_table = by_table.join(tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory", F.lit(True).alias("Known")).hint("merge"), "TextTableID", "left")
+    own = F.element_at(F.filter("_contexts", lambda c: c["Col"] == F.col("Col")), 1)
+    cells = grid.repartition("TextTableID").join(by_table.hint("merge"), "TextTableID").withColumn("_c", own)
+    cells = cells.select(*grid.columns, *_OF_TABLE, *[F.col(f"_c.{c}") for c in contexts.columns if c not in ("TextTableID", "Col")])
     text = F.trim(F.coalesce("CellText", F.lit("")))
     cells = cells.withColumns({"Text": text, "first": F.max(F.when(F.col("Col") == 0, text)).over(row)})
     # A row without a label in its first column takes its first descriptive cell.
@@ -95,7 +118,8 @@ def placed(grid: DataFrame, contexts: DataFrame) -> DataFrame:
     cells = cells.withColumn("Label", F.when(F.coalesce("first", F.lit("")) != "", F.col("first")).otherwise(F.col("found.t"))).withColumn("Recovered", (F.coalesce("first", F.lit("")) == "") & F.col("found").isNotNull())
     value = (F.col("Col") > 0) & (text != "")
     whole, doses = F.sum(F.when(value & text.rlike(r"(?i)^\(?\s*(?:n\s*=\s*)?\d[\d,]*\s*\)?$"), 1).otherwise(0)).over(row), F.sum(F.when(value & text.rlike(r"(?i)^\d[\d,.]*\s*(?:mg|mcg|µg|g|mL|units?|IU)\b.*$"), 1).otherwise(0)).over(row)
-    cells = cells.withColumns({"whole": whole, "doses": doses})
+    p = F.max(F.when(F.col("Kind") == "pvalue", F.regexp_extract("Text", r"(\d*\.?\d+)\s*$", 1).try_cast("double"))).over(row)
+    cells = cells.withColumns({"whole": whole, "doses": doses, "RowP": p})
     label = F.coalesce("Label", F.lit(""))
     kind = (
         F.when((F.col("filled") > 0) & (F.col("whole") == F.col("filled")) & words.is_denominator_label(label), "denominator")
@@ -112,9 +136,9 @@ def placed(grid: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def suppressed(cells: DataFrame) -> DataFrame:
-    """The audit of rows that give no observation: TextTableID, RowSeq, Label, Reason."""
+    """The audit of rows that give no observation: DocumentGUID, TextTableID, RowSeq, Label, Reason."""
     reason = F.when(F.col("RowKind") != "data", F.concat(F.lit("STRUCTURAL_"), F.upper("RowKind"))).when(F.coalesce("Label", F.lit("")) == "", F.lit("NO_LABEL"))
-    return cells.filter("Col = 0").select("TextTableID", "RowSeq", "Label", reason.alias("Reason")).filter("Reason is not null")
+    return cells.filter("Col = 0").select("DocumentGUID", "TextTableID", "RowSeq", "Label", reason.alias("Reason")).filter("Reason is not null")
 
 
 def _flag(flags: Column, more: Column) -> Column:
@@ -122,15 +146,19 @@ def _flag(flags: Column, more: Column) -> Column:
 
 
 def arm_sizes(cells: DataFrame) -> DataFrame:
-    """cells with ArmN and ArmNFlag: from a denominator row above, else the header, else the cell's fraction, else the column's counts and percents.
+    """cells, which are read several times, with ArmN and ArmNFlag: from a denominator row above, else the header, else the cell's fraction, else the column's counts and percents.
 
     Where a row and the header disagree, the row's size is kept and flagged.
     """
-    cells = cells.withColumn("_v", values.parse_value(F.col("Text")))
-    pairs = cells.filter("RowKind = 'data' and Kind = 'arm' and _v.rule = 'n_pct'").select("TextTableID", "Col", F.col("_v.secondary").cast("long").alias("n"), F.col("_v.primary").cast("decimal(18,4)").alias("pct"))
+    cells = relops.by_distinct(cells, ["Text"], "_v", values.parse_value(F.col("Text")))
+    # Counts and percents are the last resort, so columns whose header has a size take no part.
+    sized, open_ = cells.filter("HeaderN is not null"), cells.filter("HeaderN is null")
+    pairs = open_.filter("RowKind = 'data' and Kind = 'arm' and _v.rule = 'n_pct'").select("TextTableID", "Col", F.col("_v.secondary").cast("long").alias("n"), F.col("_v.primary").cast("decimal(18,4)").alias("pct"))
     counted = subject_counts(pairs).withColumnRenamed("N", "CountN")
+    rows = open_.join(counted.hint("merge"), ["TextTableID", "Col"], "left")
+    rows = rows.unionByName(sized.withColumn("CountN", F.lit(None).cast(rows.schema["CountN"].dataType)))
     fraction = F.when(F.col("_v.rule").isin("frac_pct", "fraction_count"), F.col("_v.sample_size")).cast("int")
-    rows = cells.join(counted, ["TextTableID", "Col"], "left").withColumn("CellN", F.when(fraction > 0, fraction)).drop("_v")
+    rows = rows.withColumn("CellN", F.when(fraction > 0, fraction)).drop("_v")
     flag = (
         F.when(F.col("RowN") != F.col("HeaderN"), f"{FROM_ROW}; {CONFLICT}")
         .when(F.col("RowN").isNotNull(), FROM_ROW)
@@ -195,29 +223,41 @@ def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column
 _KINDS = ("string", "string", "double", "boolean", "double", "double", "string", "double", "double", "string", "double", "string", "string", "double", "string")
 
 
-def observations(grid: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(observations, comparisons, audit) of tables (TextTableID, DocumentGUID, Caption, TableCategory, TitleDrug) from their grid.
+def row_cells(grid: DataFrame, tables: DataFrame) -> DataFrame:
+    """The placed cells of tables (TextTableID, DocumentGUID, Caption, TableCategory, TitleDrug), stored, as each of the results reads them."""
+    grid = stored(promoted(grid))
+    return stored(placed(grid, column_contexts(grid, tables), tables))
 
-    One observation per arm cell that has a text; comparisons are the cells of statistic columns, each
-    once, with the row's p-value; the audit holds the rows that gave none.
-    """
-    grid = promoted(grid)
-    rows = placed(grid, column_contexts(grid, tables))
-    cells = arm_sizes(rows).join(tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory"), "TextTableID")
-    row = Window.partitionBy("TextTableID", "RowSeq")
-    p = F.max(F.when(F.col("Kind") == "pvalue", F.regexp_extract("Text", r"(\d*\.?\d+)\s*$", 1).try_cast("double"))).over(row)
-    cells = cells.withColumn("RowP", p).filter("RowKind = 'data' and Text <> '' and coalesce(Label, '') <> '' and not (Recovered and Text = Label)")
+
+def _valued(cells: DataFrame, kind: str) -> DataFrame:
+    return cells.filter(F.col("Kind") == kind).filter("Known and RowKind = 'data' and Text <> '' and coalesce(Label, '') <> '' and not (Recovered and Text = Label)")
+
+
+def _base() -> list:
+    name = F.trim(F.regexp_replace(F.coalesce("Label", F.lit("")), r"[*†‡§¶#]+\s*$", ""))
+    return [F.col("DocumentGUID"), F.col("TextTableID"), F.col("RowSeq").alias("SourceRowSeq"), F.col("Col").alias("SourceCellSeq"), F.col("TableCategory"), name.alias("ParameterName"), "ParameterCategory"]
+
+
+def observed(rows: DataFrame) -> DataFrame:
+    """One observation per arm cell that has a text, of row_cells()."""
     caption, label = F.coalesce("Caption", F.lit("")), F.coalesce("Label", F.lit(""))
     v = contextual_value(F.col("Text"), F.col("ArmN"), F.col("TableCategory"), F.col("Hint"), label, caption, words.is_p_value(label))
-    name = F.trim(F.regexp_replace(label, r"[*†‡§¶#]+\s*$", ""))
-    base = [F.col("DocumentGUID"), F.col("TextTableID"), F.col("RowSeq").alias("SourceRowSeq"), F.col("Col").alias("SourceCellSeq"), F.col("TableCategory"), name.alias("ParameterName"), "ParameterCategory"]
+    seen = relops.by_distinct(_valued(arm_sizes(rows), "arm"), ["Text", "ArmN", "TableCategory", "Hint", "Label", "Caption"], "v", v)
     parsed = [F.col(f"v.{s}").alias(n) for s, n in (("primary", "PrimaryValue"), ("type", "PrimaryValueType"), ("secondary", "SecondaryValue"), ("secondary_type", "SecondaryValueType"), ("lower", "LowerBound"), ("upper", "UpperBound"), ("unit", "Unit"), ("rule", "ParseRule"), ("confidence", "ParseConfidence"))]
-    seen = cells.filter("Kind = 'arm'").withColumn("v", v)
     flags = F.nullif(F.concat_ws("; ", "v.flags", "ArmNFlag", F.when(F.col("Recovered"), "LABEL_RECOVERED")), F.lit("")).alias("ValidationFlags")
-    out = seen.filter("not v.excluded").select(*base, F.col("Subtype").alias("ParameterSubtype"), F.col("Arm").alias("TreatmentArm"), "ArmN", F.col("Context").alias("StudyContext"), "DoseRegimen", *parsed, F.coalesce("v.p_value", "RowP").alias("PValue"), "Footnotes", flags)
-    compared = cells.filter("Kind = 'comparison'").withColumn("v", values.parse_value(F.col("Text"))).filter("not v.excluded")
+    return seen.filter("not v.excluded").select(*_base(), F.col("Subtype").alias("ParameterSubtype"), F.col("Arm").alias("TreatmentArm"), "ArmN", F.col("Context").alias("StudyContext"), "DoseRegimen", *parsed, F.coalesce("v.p_value", "RowP").alias("PValue"), "Footnotes", flags)
+
+
+def comparisons(rows: DataFrame) -> DataFrame:
+    """The cells of statistic columns of row_cells(), each once, with the row's p-value."""
+    compared = relops.by_distinct(_valued(rows, "comparison"), ["Text"], "v", values.parse_value(F.col("Text"))).filter("not v.excluded")
     bound = F.when(F.col("v.lower").isNotNull(), F.coalesce("Level", F.lit("95CI"))).alias("BoundType")
-    compared = compared.select(*base, F.lit("Comparison").alias("TreatmentArm"), F.col("Statistic").alias("PrimaryValueType"), F.col("v.primary").alias("PrimaryValue"), F.col("v.lower").alias("LowerBound"), F.col("v.upper").alias("UpperBound"), bound, F.col("RowP").alias("PValue"))
+    compared = compared.select(*_base(), F.lit("Comparison").alias("TreatmentArm"), F.col("Statistic").alias("PrimaryValueType"), F.col("v.primary").alias("PrimaryValue"), F.col("v.lower").alias("LowerBound"), F.col("v.upper").alias("UpperBound"), bound, F.col("RowP").alias("PValue"))
     same = Window.partitionBy("TextTableID", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound").orderBy("SourceRowSeq", "SourceCellSeq")
-    once = compared.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
-    return out, once, suppressed(rows)
+    return compared.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
+
+
+def observations(grid: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observations, comparisons, audit) of tables from their grid; the audit holds the rows that gave none."""
+    rows = row_cells(grid, tables)
+    return observed(rows), comparisons(rows), suppressed(rows)

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,14 @@ def occupy(rows: list[list[tuple]]) -> list[dict[int, tuple]]:
     """Per row: column -> cell, with row and column spans filled in."""
     out: list[dict[int, tuple]] = [{} for _ in rows]
     for r, cells in enumerate(rows):
-        c = 0
+        here, c = out[r], 0
         for cell in cells:
-            while c in out[r]:
+            while c in here:
                 c += 1
+            if cell[1] <= 1 and cell[2] <= 1:
+                here[c] = cell
+                c += 1
+                continue
             wide = range(c, c + max(1, cell[2]))
             for below in out[r : r + max(1, cell[1])]:
                 below.update((k, cell) for k in wide)
@@ -47,8 +52,8 @@ def occupy(rows: list[list[tuple]]) -> list[dict[int, tuple]]:
 def classify(groups: list[str], rows: list[list[tuple]], width: int) -> list[str]:
     """The class of each row: headers first, then continuations, dividers and data."""
     out: list[str] = []
+    body_yet = False
     for r, cells in enumerate(rows):
-        body_yet = any(x in ("DataBody", "SocDivider") for x in out)
         if groups[r] == "Header":
             out.append("ExplicitHeader")
         elif groups[r] == "Footer":
@@ -59,24 +64,30 @@ def classify(groups: list[str], rows: list[list[tuple]], width: int) -> list[str
             out.append("ContinuationHeader")
         elif len(cells) == 1 and width > 1 and cells[0][2] >= width and 0 < len(cells[0][0]) <= MAX_DIVIDER:
             out.append("SocDivider")
+            body_yet = True
         else:
             out.append("DataBody")
+            body_yet = True
     return out
 
 
-def rebuild(table_id: int, cells: list[dict]) -> list[tuple]:
-    """One table's cells to the rows of its grid."""
-    parts: dict[tuple[int, int], list[dict]] = {}
-    for x in sorted(cells, key=lambda x: (_GROUPS.get(x["RowGroupType"], 1), x["RowSeq"], x["CellSeq"], x["CellID"])):
-        parts.setdefault((_GROUPS.get(x["RowGroupType"], 1), x["RowSeq"]), []).append(x)
+#: Fields of a cell as its table is rebuilt from.
+CELL = ("CellID", "RowSeq", "CellSeq", "RowGroupType", "CellType", "RowSpan", "ColSpan", "CellText")
+
+
+def rebuild(table_id: int, cells: list[tuple]) -> list[tuple]:
+    """One table's cells, tuples of CELL, to the rows of its grid."""
+    parts: dict[tuple[int, int], list[tuple]] = {}
+    for x in sorted(cells, key=lambda x: (_GROUPS.get(x[3], 1), x[1], x[2], x[0])):
+        parts.setdefault((_GROUPS.get(x[3], 1), x[1]), []).append(x)
     rows, groups, marks = [], [], {}
     for part in parts.values():
         row = []
-        for x in part:
-            text, sup = clean(x["CellText"])
-            row.append((text, x["RowSpan"] or 1, x["ColSpan"] or 1, x["CellType"], tuple(sup)))
+        for *_, kind, tall, wide, raw in part:
+            text, sup = clean(raw)
+            row.append((text, tall or 1, wide or 1, kind, tuple(sup)))
         rows.append(row)
-        groups.append(part[0]["RowGroupType"] or "Body")
+        groups.append(part[0][3] or "Body")
     width = max((sum(max(1, c[2]) for c in row) for row in rows), default=0)
     classes, grid = classify(groups, rows, width), occupy(rows)
     for k, row in zip(classes, rows, strict=True):
@@ -85,9 +96,11 @@ def rebuild(table_id: int, cells: list[dict]) -> list[tuple]:
                 if m := re.match(r"^([*†‡§a-z\d])\s*[.:)]?\s+(.+)$", text):
                     marks[m[1]] = m[2]
     path: dict[int, list[str]] = {c: [] for c in range(width)}
-    out, category = [], None
+    out, category, paths = [], None, None
+    none = ("", 1, 1, "td", ())
     for r, (k, held) in enumerate(zip(classes, grid, strict=True)):
         if "Header" in k:
+            paths = None
             for c in range(width):
                 text = held[c][0] if c in held else ""
                 if text and (not path[c] or path[c][-1] != text):
@@ -95,10 +108,11 @@ def rebuild(table_id: int, cells: list[dict]) -> list[tuple]:
         elif k == "SocDivider":
             category = next(iter(held.values()))[0]
         elif k == "DataBody":
+            paths = paths or [" > ".join(path[c]) for c in range(width)]
             for c in range(width):
-                cell = held.get(c, ("", 1, 1, "td", ()))
-                notes = "; ".join(marks[m] for m in cell[4] if m in marks)
-                out.append((table_id, r, k, c, " > ".join(path[c]), cell[0], category, notes or None))
+                cell = held.get(c, none)
+                notes = "; ".join(marks[m] for m in cell[4] if m in marks) if cell[4] else None
+                out.append((table_id, r, k, c, paths[c], cell[0], category, notes or None))
     return out
 
 
@@ -106,11 +120,16 @@ def _rebuild_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            rows = [r for t, cells in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rebuild(t, cells)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], _NAMES)
+            cells = list(zip(*[c.to_pylist() for c in part.column(1).flatten().flatten()], strict=True))
+            rows, at = [], 0
+            for t, n in zip(part.column(0).to_pylist(), pc.list_value_length(part.column(1)).to_pylist(), strict=True):
+                rows += rebuild(t, cells[at : at + n])
+                at += n
+            columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
 def reconstruct(cells: DataFrame) -> DataFrame:
     """Cells (TextTableID, CellID, RowSeq, CellSeq, RowGroupType, CellType, RowSpan, ColSpan, CellText) to data cells with header paths."""
-    item = F.struct("CellID", "RowSeq", "CellSeq", "RowGroupType", "CellType", "RowSpan", "ColSpan", "CellText")
+    item = F.struct(*CELL)
     return cells.groupBy("TextTableID").agg(F.collect_list(item).alias("cells")).mapInArrow(_rebuild_all, GRID_SCHEMA)

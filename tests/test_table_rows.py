@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import table_rows
-from tessera.operators import grid
+from tessera.operators import grid, relops
 from tessera.session import ship_package
+from tessera.sources import text_blocks
 
 CELLS = "TextTableID long, CellID long, RowSeq int, CellSeq int, RowGroupType string, CellType string, RowSpan int, ColSpan int, CellText string"
 
@@ -78,3 +79,32 @@ def test_plain_cells_take_no_patterns(monkeypatch):
 
     monkeypatch.setattr(grid, "re", None)
     assert grid.clean(" 12\u00a0 \n(8%) ") == ("12 (8%)", []) and grid.clean(None) == ("", [])
+
+
+def test_values_of_distinct_keys(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), ("b", None)], "t string, n int")
+    for max_sent in (0, 250_000):
+        out = relops.by_distinct(rows, ["t", "n"], "v", F.uuid(), max_sent).collect()
+        made = {(r.t, r.n): r.v for r in out}
+        # Made once for each combination, nulls included, and the same for all of its rows.
+        assert len(out) == 4 and set(made) == {("a", 1), (None, 1), ("b", None)} and len(set(made.values())) == 3 and all(r.v == made[r.t, r.n] for r in out)
+
+
+def test_lines_meet_rows_without_being_sent_to_all_machines(spark, monkeypatch):
+    from tessera.plans import registry
+
+    read = []
+    monkeypatch.setattr(text_blocks, "read", lambda files, f=text_blocks.read: read.append(1) or f(files))
+    df = registry.QUERIES["table_grid"](spark, "/root/testdata/sf0.001")
+    # The labels' XML is read once, for grids and captions, and behind it nothing is read that way.
+    assert read == [1] and "MapInArrow [xml" not in df._jdf.queryExecution().toString()
+    df.collect()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_of_tables_that_are_not_known(spark):
+    ship_package(spark)
+    cells = table_of(spark, 3, [["Event", "Drug A (N=10)", "Placebo"]], [["N", "10", "12"], ["Rash", "1 (10%)", "2"]])
+    tables = spark.createDataFrame([], "TextTableID long, DocumentGUID string, Caption string, TableCategory string, TitleDrug string")
+    out, compared, audit = table_rows.observations(grid.reconstruct(cells), tables)
+    assert out.count() == compared.count() == 0 and [(r.Label, r.Reason) for r in audit.collect()] == [("N", "STRUCTURAL_DENOMINATOR")]
