@@ -72,14 +72,19 @@ def training_store_rows(spark, sf_dir):
     return store
 
 
+def per_batch(archives: int, batches: int = 8, least: int = 4) -> int:
+    """Archives a batch, so that a larger inbox makes larger batches, which all cores work on, and not more of them."""
+    return max(least, -(-archives // batches))
+
+
 @query("bulk_import", with_tables("Line") + """ SELECT DISTINCT 'doc-' || k "DocumentGUID", k || '.xml' "name", true "imported" FROM Line""")
 def bulk_import(spark, sf_dir):
     """The labels of all orders, packed into archives, imported as a stream of several batches."""
     ship_package(spark)
     folder = f"{shared_folder(spark)}/import-{uuid.uuid4().hex}"
     labels = table_queries.labels(spark, sf_dir).select(F.concat(F.col("k").cast("string"), F.lit(".xml")).alias("name"), "xml")
-    imports.write_archives(labels, f"{folder}/inbox").write.format("noop").mode("overwrite").save()
-    imports.run(spark, f"{folder}/inbox", f"{folder}/out", per_batch=4)
+    archives = imports.write_archives(labels, f"{folder}/inbox").count()
+    imports.run(spark, f"{folder}/inbox", f"{folder}/out", per_batch=per_batch(archives))
     found = imports.labels(spark, f"{folder}/out")
     known = imports.manifest(spark, f"{folder}/out").select(F.col("path").alias("source"))
     return found.join(known, "source").select("DocumentGUID", "name", F.lit(True).alias("imported"))

@@ -25,15 +25,15 @@ def archives(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame an archive, so a task holds the texts of one at a time."""
     for pdf in batches:
-        out = []
         for path, content in zip(pdf.path, pdf.content, strict=True):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    out += [(path, n, z.read(n).decode("utf-8", "replace"), None) for n in sorted(z.namelist()) if n.lower().endswith(".xml")]
+                    out = [(path, n, z.read(n).decode("utf-8", "replace"), None) for n in sorted(z.namelist()) if n.lower().endswith(".xml")]
             except zipfile.BadZipFile as e:
-                out.append((path, None, None, str(e)))
-        yield pd.DataFrame(out, columns=["source", "name", "xml", "error"])
+                out = [(path, None, None, str(e))]
+            yield pd.DataFrame(out, columns=["source", "name", "xml", "error"])
 
 
 def distinct_documents(files: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def parsed_beside(files: DataFrame) -> DataFrame:
     kept = ("source", "name", "error")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (batch.iloc[i : i + text_blocks.SLICE] for batch in batches for i in range(0, len(batch), text_blocks.SLICE)):
             beside = pdf[list(kept)].rename(columns={"error": "broken"}).reset_index(drop=True)
             for out in _parse(iter([pdf])):
                 out = out.reset_index(drop=True)

@@ -197,3 +197,24 @@ def test_import_stops_and_goes_on(spark, tmp_path):
         assert sum(r.labels for r in imports.write_archives(packed, str(tmp_path / "more")).collect()) == 5
     imports.run(spark, str(tmp_path / "more"), str(tmp_path / "out2"))
     assert defaultdict(int, Counter(r.DocumentGUID for r in imports.labels(spark, str(tmp_path / "out2")).collect())) == {f"p{k}": 1 for k in range(5)}
+
+
+def test_larger_inboxes_make_larger_batches():
+    from tessera.plans.validation_queries import per_batch
+
+    assert [-(-n // per_batch(n)) for n in (1, 4, 16, 32, 33, 900, 100_000)] == [1, 1, 4, 8, 7, 8, 8]
+
+
+def test_an_archive_is_unpacked_at_a_time():
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from tessera.sources import spl
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.xml", "<a/>")
+    frames = list(spl._unzip(iter([pd.DataFrame({"path": ["p", "q"], "content": [packed.getvalue(), b"broken"]})])))
+    assert [list(f.source) for f in frames] == [["p"], ["q"]] and frames[0].xml[0] == "<a/>" and frames[1].error[0]
