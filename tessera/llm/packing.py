@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -85,7 +86,9 @@ class Encoder:
         text = [w.decode() for w in words]
         odd = [w for w in text if not _PLAIN.fullmatch(w)]
         whole = dict(zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        return [whole[w].ids if w in whole else [t.id for t in self.model.tokenize(w.lower().encode().decode("latin-1").translate(_BYTES))] for w in text]
+        # The signs of ASCII letters are the letters.
+        signs = lambda w: w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+        return [whole[w].ids if w in whole else [t.id for t in self.model.tokenize(signs(w.lower()))] for w in text]
 
     def _learn(self, words: list[bytes]) -> None:
         parts = [_parts(w) for w in words]
@@ -95,9 +98,10 @@ class Encoder:
         start = len(self.size)
         self.known.update(zip(words, range(start, start + len(words)), strict=True))
         self.held += sum(map(len, words))
-        self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+        self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text; about a megabyte of texts is looked up at a time."""
@@ -130,11 +134,17 @@ class Encoder:
         return self.ids[self.first[k] : self.first[k + 1]]
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker: the tasks that it runs one after the other share the words that it remembers."""
+    return Encoder(path)
+
+
 def _cut(path: str, capacity: int, end: int):
     """doc_id, text -> a row per piece, with its task and its rank there among pieces of its length."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, met = Encoder(path), np.zeros(capacity + 1, np.int64)
+        encoder, met = encoder_of(path), np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []

@@ -87,3 +87,10 @@ def test_empty_table_and_repeated_lengths(spark):
     same = spark.range(1000).selectExpr("id % 7 as doc_id", "'same text' as text")
     got = packing.pack(same).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 1000 and len({r.sequence_id for r in got}) == -(-1000 // (2048 // got[0].length))
+
+
+def test_tasks_of_a_worker_share_their_encoder():
+    path = packing.vocabulary_path()
+    first = packing.encoder_of(path)
+    list(first.encode_all(["naïve words, Größe".encode()]))
+    assert packing.encoder_of(path) is first and "Größe".encode() in packing.encoder_of(path).known
