@@ -200,8 +200,9 @@ def test_import_stops_and_goes_on(spark, tmp_path):
 
 
 def test_larger_inboxes_make_larger_batches():
-    from tessera.plans.validation_queries import per_batch
+    from tessera.plans import registry
 
+    per_batch = registry.validation_queries.per_batch
     assert [-(-n // per_batch(n)) for n in (1, 4, 16, 32, 33, 900, 100_000)] == [1, 1, 4, 8, 7, 8, 8]
 
 
