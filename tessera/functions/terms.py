@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 #: Rows of a dictionary that are broadcast at most; larger ones are joined by shuffle.
 BOUND = 200_000
 
@@ -55,7 +57,17 @@ def standardise(
 
     dictionary: Name, System (official names and labels); variants: Variant, Name; categories: Alias, System (null: explicitly none);
     excluded: Name; patterns: in order.  Excluded and blank names leave; a null category is none.
+    Layers are tried once for each distinct name and category, which cost much more than the join that brings them to their rows.
     """
+    printed = rows.select("ParameterName", "ParameterCategory").distinct()
+    facts = stored(_by_layers(printed, dictionary, variants, categories, excluded, patterns, bound))
+    rest = [c for c in rows.columns if c not in ("ParameterName", "ParameterCategory")]
+    same = rows["ParameterName"].eqNullSafe(facts["_of_name"]) & rows["ParameterCategory"].eqNullSafe(facts["_of_category"])
+    return rows.join(sized(facts, bound), same).select(*[rows[c] for c in rest], *[facts[c] for c in facts.columns[2:]])
+
+
+def _by_layers(rows: DataFrame, dictionary: DataFrame, variants: DataFrame, categories: DataFrame, excluded: DataFrame, patterns: list[tuple[str, str]], bound: int) -> DataFrame:
+    """(_of_name, _of_category, ParameterName, ParameterCategory, NameLayer, SystemLayer, StdFlags) of printed names and categories."""
     official = dictionary.select("System").filter("System is not null").distinct()
     bad = excluded.select(key(F.col("Name")).alias("_k")).filter("_k <> ''").distinct()
     keyed = rows.withColumns({"_name": key(F.col("ParameterName")), "_cat": key(F.col("ParameterCategory"))}).filter("_name <> ''")
@@ -82,7 +94,7 @@ def standardise(
     changed = F.when(~name.eqNullSafe(F.col("ParameterName")), "AE_STD:NAME")
     moved = F.when(system.isNull(), "AE_STD:SOC_UNMAPPED").when(F.col("ParameterCategory").isNull(), "AE_STD:SOC_FILLED").when(~system.eqNullSafe(F.col("ParameterCategory")), F.when(by_name.isNotNull() & by_category.isNotNull() & (by_name != by_category), "AE_STD:SOC_ALIGNED").otherwise("AE_STD:SOC"))
     out = keyed.withColumns({"_n": name, "_l": name_layer, "_s2": system, "_sl": layer, "_f": F.nullif(F.concat_ws(";", changed, moved), F.lit(""))})
-    return out.select(*[c for c in rows.columns if c not in ("ParameterName", "ParameterCategory")], F.col("_n").alias("ParameterName"), F.col("_s2").alias("ParameterCategory"), F.col("_l").alias("NameLayer"), F.col("_sl").alias("SystemLayer"), F.col("_f").alias("StdFlags"))
+    return out.select(F.col("ParameterName").alias("_of_name"), F.col("ParameterCategory").alias("_of_category"), F.col("_n").alias("ParameterName"), F.col("_s2").alias("ParameterCategory"), F.col("_l").alias("NameLayer"), F.col("_sl").alias("SystemLayer"), F.col("_f").alias("StdFlags"))
 
 
 def unmapped(standardised: DataFrame) -> DataFrame:

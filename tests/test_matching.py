@@ -46,6 +46,16 @@ def test_terms_by_layers(spark):
     assert {(r.ParameterName, r.SystemLayer): r.n for r in terms.unmapped(out).collect()} == {("Odd thing", "category-none"): 1, ("Odd", "unmapped"): 1}
 
 
+def test_layers_are_tried_once_for_each_printed_name(spark):
+    empty = spark.createDataFrame([], "Name string, System string, Variant string, Alias string")
+    rows = spark.range(60).selectExpr("id", "concat('odd  thing ', id % 2) as ParameterName", "case when id % 3 = 0 then 'Gut' end as ParameterCategory")
+    out = terms.standardise(rows, empty, empty, empty, empty, [("THING", "Things")])
+    assert {(r.ParameterName, r.ParameterCategory, r.StdFlags): r["count"] for r in out.groupBy("ParameterName", "ParameterCategory", "StdFlags").count().collect()} == {
+        (f"Odd thing {i}", "Things", f"AE_STD:NAME;AE_STD:SOC{x}"): n for i in (0, 1) for x, n in (("", 10), ("_FILLED", 20))
+    }
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("least", [0.6, 0.8, 1.0])
 def test_near_names_are_complete(spark, least):
     r = random.Random(int(least * 10))
