@@ -100,7 +100,7 @@ def indication_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     entries = spark.sql(_ENTRIES, part=part)
     asked = text_index.terms(spark.sql(_ASKED, part=part), spark.sql(_SYNONYMS))
-    return text_index.best(entries, text_index.index(entries), asked, 10).select("qid", "id", F.col("Score").cast("bigint").alias("Score"), "Rank")
+    return text_index.best_of_texts(entries, asked, 10).select("qid", "id", F.col("Score").cast("bigint").alias("Score"), "Rank")
 
 
 _LABELLED = "select distinct case s_suppkey % 3 when 0 then concat('NDA', cast(s_suppkey * 3 + 100 as string)) when 1 then concat('anda ', cast(s_suppkey + 100 as string)) else concat('BLA-', cast(s_suppkey * 7 as string)) end as a from {supplier}"

@@ -5,6 +5,7 @@ import zipfile
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import applications, class_maps, phrases, populations, table_validation, terms, text_index, training_store
 from tessera.streaming import imports
@@ -136,6 +137,17 @@ def test_searches_with_synonyms(spark):
     assert got == [("a", 1, 1, 4), ("a", 2, 3, 1), ("b", 1, 5, 3), ("b", 2, 1, 2)]
 
 
+def test_equal_texts_are_searched_once(spark):
+    texts = ["blood pressure", "Blood; pressure", "blood", "blood blood", None, "water"]
+    e = spark.range(60).selectExpr("59 - id as id", f"element_at(array({', '.join('null' if t is None else repr(t) for t in texts)}), cast(id % 6 as int) + 1) as text")
+    asked = spark.createDataFrame([("a", "blood"), ("b", "blood pressure"), ("c", "water"), ("d", "never")], "qid string, Term string")
+    want = sorted(map(tuple, text_index.best(e, text_index.index(e), asked, 4).select("qid", "id", "Score", "Rank").collect()))
+    found = text_index.best_of_texts(e, asked, 4)
+    assert len(want) == 12 and sorted(map(tuple, found.collect())) == want
+    many = text_index.best_of_texts(e, asked, 100)
+    assert sorted((r.qid, r.n) for r in many.groupBy("qid").agg(F.count("id").alias("n")).collect()) == [("a", 40), ("b", 20), ("c", 10)]
+
+
 def test_applications_and_ingredients(spark):
     left = ["NDA 123", "nda123", "ANDA045", "X99", "BLA7", None, "NDA123456"]
     right = ["NDA123", "N0451", "Z-045", "123456", "991", None, "77"]
