@@ -8,7 +8,7 @@ from tessera.functions import class_maps
 from tessera.plans.ae_queries import STUDENT
 from tessera.plans.domain import TABLES, with_tables
 from tessera.plans.registry import query
-from tessera.session import ship_package, table
+from tessera.session import ship_package, stored, table
 
 #: Effects are sixteenths, so medians and ties are exact.
 SEEN = """select concat(p_brand, ' ', p_type) as Class, concat(p_brand, ' ', lower(p_type), case when p_type in ('PROMO', 'LARGE') then ' [EPC]' when p_type = 'SMALL' then ' [moa] ' else '' end) as Name, p_name as Term, l.s as Drug, l.q / 16.0 - 1 as LogRR
@@ -20,7 +20,8 @@ LEAST = 4
 def _read(spark, sf_dir):
     ship_package(spark)
     seen = spark.sql(SEEN, Line=spark.sql(TABLES["Line"], lineitem=table(spark, sf_dir, "lineitem")), part=table(spark, sf_dir, "part")).withColumn("LogRR", F.col("LogRR").cast("double"))
-    values = class_maps.per_class_term(seen)
+    # Each page and count reads the classes' values again: they are made from the lines once.
+    values = stored(class_maps.per_class_term(seen))
     return seen, values, class_maps.cells(values, LEAST)
 
 
@@ -58,8 +59,8 @@ SELECT c "Class", pos::INT "Position", (row_number() OVER (ORDER BY pp) - 1)::IN
 def class_page(spark, sf_dir):
     """The third page, of three classes of one type, of the axis; a page that draws nothing takes the nearest pair in."""
     seen, values, cells = _read(spark, sf_dir)
-    drawn = cells.filter("not InsufficientN")
-    page, _ = class_maps.window(class_maps.axis(seen, values, drawn, seen.select("Class", "Name")), drawn, 3, 3, "EPC")
+    drawn = stored(cells.filter("not InsufficientN"))
+    page, _ = class_maps.window(stored(class_maps.axis(seen, values, drawn, seen.select("Class", "Name"))), drawn, 3, 3, "EPC")
     return page
 
 
