@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import search
 from tessera.operators.relops import page
 from tessera.plans import label_views as V
+from tessera.session import stored
 
 Tables = dict[str, DataFrame]
 Page = tuple[int, int] | None
@@ -182,7 +183,8 @@ def latest_labels(t: Tables, unii: str | None = None, product: str | None = None
 def latest_label_sections(t: Tables, unii: str) -> DataFrame:
     """The newest labels of a substance with their section texts."""
     docs = V.latest_label(t).filter(F.col("UNII") == unii).select("UNII", "ProductName", "DocumentGUID").join(t["Document"].select("DocumentID", "DocumentGUID"), "DocumentGUID")
-    return docs.join(V.section_content(t), "DocumentID")
+    docs = stored(docs)
+    return docs.join(V.content_of(t, docs), "DocumentID")
 
 
 def indications(t: Tables, unii: str | None = None, product: str | None = None, substance: str | None = None, text: str | None = None, at: Page = None) -> DataFrame:

@@ -83,7 +83,7 @@ def search_sharing_ingredients(spark, sf_dir):
 @query("search_latest_label_sections", f"""WITH l AS ({ORACLES["view_latest_label"]}), c AS ({ORACLES["view_section_content"]}), d AS (SELECT o_orderkey DocumentID, 'doc-' || o_orderkey DocumentGUID FROM orders)
 SELECT UNII, ProductName, DocumentGUID, c.* FROM l JOIN d USING (DocumentGUID) JOIN c USING (DocumentID) WHERE UNII = 'U500'""")
 def search_latest_label_sections(spark, sf_dir):
-    out = S.latest_label_sections(tables(spark, sf_dir), "U500")
+    out = S.latest_label_sections(tables(spark, sf_dir, once=True), "U500")
     return out.select("UNII", "ProductName", "DocumentGUID", "DocumentID", "SectionID", "SectionCode", "Title", "ContentText", "SequenceNumber")
 
 

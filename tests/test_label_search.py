@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators.relops import distinct_counts
 from tessera.plans import label_search as S
+from tessera.plans import label_views as V
 from tessera.plans.domain import tables
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,19 @@ def test_patents_and_marks(spark):
     marks = spark.createDataFrame([(1, "a", "2024")], "user_id int, DocumentGUID string, created string")
     assert S.toggle(marks, 1, "a", "2025").count() == 0 and S.toggle(marks, 1, "b", "2025").count() == 2
     assert S.favourites(S.toggle(marks, 1, "b", "2025"), spark.createDataFrame([("a", 5), ("b", 6)], "DocumentGUID string, n int"), 1).first().n == 6
+
+
+def test_counts_are_made_on_ids(spark):
+    rows = spark.createDataFrame([("a", 1, 7), ("a", 1, 8), ("a", None, 8), (None, 2, 7), (None, 3, 7), ("b", None, None)], "k string, x int, y long")
+    got = {r.k: (r.n, r.m) for r in distinct_counts(rows, ["k"], {"n": "x", "m": "y"}).collect()}
+    assert got == {"a": (1, 2), None: (2, 1), "b": (0, 0)}
+    t = tables(spark, SF, once=True)
+    for f in (V.ingredient_summary, V.labeler_summary):
+        assert "Expand" not in "".join(x for x in f(t)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ProductID" in x)
+
+
+def test_texts_of_some_documents(spark):
+    t = tables(spark, SF)
+    documents = t["Document"].filter("DocumentID % 40 = 3").select("DocumentID")
+    want = V.section_content(t).filter("DocumentID % 40 = 3").collect()
+    assert want and sorted(map(repr, V.content_of(t, documents).select(*want[0].asDict()).collect())) == sorted(map(repr, want))
