@@ -50,3 +50,28 @@ def test_texts_of_some_documents(spark):
     documents = t["Document"].filter("DocumentID % 40 = 3").select("DocumentID")
     want = V.section_content(t).filter("DocumentID % 40 = 3").collect()
     assert want and sorted(map(repr, V.content_of(t, documents).select(*want[0].asDict()).collect())) == sorted(map(repr, want))
+
+
+def test_related_products_are_all_pairs(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    products = [(i, "same" if i % 5 == 0 else f"p{i}", 1 if i in (5, 10) else i) for i in range(1, 41)]
+    sections = sorted({s for _, _, s in products})
+    t = {
+        "Product": frame(products, ["ProductID", "ProductName", "SectionID"]),
+        "Section": frame([(s, s) for s in sections], ["SectionID", "StructuredBodyID"]),
+        "StructuredBody": frame([(s, s) for s in sections], ["StructuredBodyID", "DocumentID"]),
+        "Document": frame([(s, f"doc-{s}") for s in sections], ["DocumentID", "DocumentGUID"]),
+        "MarketingCategory": frame([(i, None if i == 7 else "NDA1" if i < 36 else "NDA2") for i in range(1, 41)], "ProductID long, ApplicationOrMonographIDValue string"),
+        "Ingredient": frame([(1, 9, "ACTIB"), (2, 9, "ACTIM"), (3, 9, "IACT"), (4, 9, None)], "ProductID long, IngredientSubstanceID long, ClassCode string"),
+        "IngredientSubstance": frame([(9, "U9")], ["IngredientSubstanceID", "UNII"]),
+    }
+    name, section = {i: n for i, n, _ in products}, {i: s for i, _, s in products}
+    app = {i: "NDA1" if i < 36 else "NDA2" for i in name if i != 7}
+    want = {(a, b, app[a]) for a in app for b in app if a != b and app[a] == app[b] and not (name[a] == name[b] and section[a] == section[b])}
+    assert (5, 10, "NDA1") not in want and (5, 15, "NDA1") in want
+    for tile in (4, V.TILE):
+        got = V.related_pairs(t, tile=tile).collect()
+        by_app = [(r.SourceProductID, r.RelatedProductID, r.SharedValue) for r in got if r.RelationshipType == "SameApplicationNumber"]
+        assert len(by_app) == len(want) and set(by_app) == want
+        assert sorted((r.SourceProductID, r.RelatedProductID) for r in got if r.RelationshipType == "SameActiveIngredient") == [(1, 2), (2, 1)]
+        assert all(r.SourceDocumentGUID == f"doc-{section[r.SourceProductID]}" and r.RelatedDocumentGUID == f"doc-{section[r.RelatedProductID]}" for r in got)
