@@ -2,7 +2,8 @@
 
 Each decision is a vote or a window over (table), (table, block) or (table, row), so tables of all layouts go through one
 plan.  A block is what follows a header row in a table's body, by gaps and islands: a row belongs to the last header
-row above it.  Studies side by side part by the upper levels of their columns' header paths.
+row above it.  Studies side by side part by the upper levels of their columns' header paths.  What a text says by itself
+is found once for each distinct text of all tables and joined to where it stands.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import header_words as words
 from tessera.functions import values
 from tessera.functions.table_rows import ci_level
+from tessera.operators import relops
+from tessera.session import stored
 
 #: Pharmacokinetic parameters and the names that they go by; spacing, brackets and case don't matter.
 PARAMETERS = {
@@ -167,59 +170,103 @@ def _is_size_header(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(F.replace(text, F.lit("="), F.lit("")))).isin(*SIZE_HEADERS), F.lit(False))
 
 
-def headed(grid: DataFrame) -> DataFrame:
+def _path() -> Column:
+    return F.split(F.coalesce("HeaderPath", F.lit("")), " > ")
+
+
+def _leaf() -> Column:
+    return F.element_at(_path(), -1)
+
+
+def _above() -> Column:
+    path = _path()
+    return F.nullif(F.array_join(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), " > "), F.lit(""))
+
+
+def _facts(text: Column) -> list[Column]:
+    """What a text says by itself, as a parameter's name, a label, a unit, a regimen, a divider or a caption."""
+    unit_text, (amount, dose_unit), time = fold(F.regexp_replace(text, r"^\(|\)$", "")), values.dose(text), duration(text)
+    return [
+        canonical(text).alias("canon"), label_class(text).alias("kind"), _is_dose_header(text).alias("dosehead"), _is_size_header(text).alias("sizehead"), values._unit_like(unit_text).alias("isunit"), values.normalise_unit(unit_text).alias("unit"),
+        header_unit(text).alias("inunit"), qualifier(text).alias("state"), amount.alias("amount"), dose_unit.alias("doseunit"), time["time"].alias("time"), time["unit"].alias("timeunit"), time["timepoint"].alias("timepoint"),
+        values.header_n(text).alias("n"), _dispersion(text).alias("spread"), ci_level(text).alias("ci"),
+    ]
+
+
+class _Read:
+    """The data cells of a grid, stored with their trimmed Text, and the facts of all texts that stand in them, over them or in captions."""
+
+    def __init__(self, grid: DataFrame, captions: DataFrame | None = None):
+        self.cells = stored(grid.filter("RowClass = 'DataBody'").withColumn("Text", F.trim(F.coalesce("CellText", F.lit("")))))
+        around = self.cells.select("HeaderPath", "Category", "Footnotes").distinct()
+        texts = self.cells.select(F.col("Text").alias("t")).distinct().unionByName(around.select(F.explode(F.array("HeaderPath", _leaf(), _above(), "Category", "Footnotes")).alias("t")))
+        if captions is not None:
+            texts = texts.unionByName(captions.select(F.col("Caption").alias("t")))
+        facts = stored(texts.filter("t is not null").distinct().select("t", *_facts(F.col("t"))))
+        small = facts.limit(relops.MAX_SENT + 1).count() <= relops.MAX_SENT
+        self.facts = F.broadcast(facts) if small else facts.hint("merge")
+
+    def say(self, df: DataFrame, text: str, name: str, *fields: str) -> DataFrame:
+        """df with a struct of what the texts of a column say."""
+        mine = self.facts.select(F.col("t").alias("_t"), F.struct(*fields).alias(name))
+        return df.join(mine, F.col(text) == F.col("_t"), "left").drop("_t")
+
+
+def headed(read: _Read) -> DataFrame:
     """Data cells with what heads them: Block, Head (the column's header in that block), Study, Label, and the unit that a row of units gives.
 
     A row of headers holds parameters, and besides only dose, size and blank cells; it starts a block and is no data row.  A
     row of units, whose cells are all units, holds for the rows below it in its block.
     """
     row = Window.partitionBy("TextTableID", "RowSeq")
-    text = F.trim(F.coalesce("CellText", F.lit("")))
-    cells = grid.filter("RowClass = 'DataBody'").withColumn("Text", text)
+    # Dealt by table, one shuffle serves the windows.
+    cells = read.say(read.cells.repartition("TextTableID"), "Text", "_says", "canon", "dosehead", "sizehead", "isunit", "unit")
     value = (F.col("Col") > 0) & (F.col("Text") != "")
-    unit_text = F.regexp_replace("Text", r"^\(|\)$", "")
-    cells = cells.withColumns({"_par": canonical(F.col("Text")).isNotNull(), "_head": _is_dose_header(F.col("Text")) | _is_size_header(F.col("Text")), "_unit": values._unit_like(fold(unit_text))})
+    par, head = F.col("_says.canon").isNotNull(), F.col("_says.dosehead") | F.col("_says.sizehead")
     total = lambda c: F.sum(F.when(value & c, 1).otherwise(0)).over(row)
-    cells = cells.withColumns({"_n": total(F.lit(True)), "_pars": total(F.col("_par")), "_heads": total(F.col("_par") | F.col("_head")), "_units": total(F.col("_unit")), "Label": F.max(F.when(F.col("Col") == 0, F.col("Text"))).over(row)})
+    cells = cells.withColumns({"_n": total(F.lit(True)), "_pars": total(par), "_heads": total(par | head), "_units": total(F.col("_says.isunit")), "Label": F.max(F.when(F.col("Col") == 0, F.col("Text"))).over(row)})
     is_sub = (F.col("_pars") > 0) & (F.col("_heads") == F.col("_n"))
     is_unit = ~is_sub & (F.col("_n") > 0) & (F.col("_units") == F.col("_n")) & (F.lower("Label").isin("", "unit", "units"))
     down = Window.partitionBy("TextTableID", "Col").orderBy("RowSeq")
     cells = cells.withColumns({"_sub": is_sub, "_isunit": is_unit})
-    last = F.last(F.when(F.col("_sub"), F.struct(F.col("RowSeq").alias("at"), F.col("Text").alias("t"), F.col("Category").alias("c"))), True).over(down)
+    last = F.last(F.when(F.col("_sub"), F.struct(F.col("RowSeq").alias("at"), F.col("Text").alias("t"))), True).over(down)
     cells = cells.withColumn("_last", last).withColumn("Block", F.coalesce(F.col("_last.at"), F.lit(0)))
-    unit = F.last(F.when(F.col("_isunit"), F.struct(values.normalise_unit(fold(unit_text)).alias("u"))), True).over(Window.partitionBy("TextTableID", "Col", "Block").orderBy("RowSeq"))
-    path = F.split(F.coalesce("HeaderPath", F.lit("")), " > ")
-    above = F.nullif(F.array_join(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), " > "), F.lit(""))
+    unit = F.last(F.when(F.col("_isunit"), F.struct(F.col("_says.unit").alias("u"))), True).over(Window.partitionBy("TextTableID", "Col", "Block").orderBy("RowSeq"))
     # Above a block's own headers stands the table's header, which all of its columns share, so the divider tells the study.
-    head, study = F.coalesce(F.col("_last.t"), F.element_at(path, -1)), F.when(F.col("Block") == 0, above)
-    return cells.withColumns({"Head": head, "Study": study, "RowUnit": unit["u"]}).filter(~F.col("_sub") & ~F.col("_isunit")).drop("_par", "_head", "_unit", "_n", "_pars", "_heads", "_units", "_sub", "_isunit", "_last")
+    head, study = F.coalesce(F.col("_last.t"), _leaf()), F.when(F.col("Block") == 0, _above())
+    return cells.withColumns({"Head": head, "Study": study, "RowUnit": unit["u"]}).filter(~F.col("_sub") & ~F.col("_isunit")).drop("_says", "_n", "_pars", "_heads", "_units", "_sub", "_isunit", "_last")
+
+
+_NAMING = ("canon", "kind", "dosehead", "sizehead", "inunit", "state", "spread")
 
 
-def orientation(cells: DataFrame) -> DataFrame:
-    """Per table and block: the votes of both axes and Transposed.
+def voted(read: _Read) -> DataFrame:
+    """The headed cells with the votes of both axes of their block, Transposed, and what Head and Label say.
 
     Columns that name parameters and rows that name doses speak for the usual layout, the reverse for the transposed one;
     the larger number of votes decides, and a tie is the usual layout.
     """
-    head = label_class(F.col("Head"))
-    columns = cells.filter("Col > 0").select("TextTableID", "Block", "Col", head.alias("kind")).distinct()
-    rows = cells.filter("Col = 0").select("TextTableID", "Block", "RowSeq", label_class(F.col("Label")).alias("kind"))
-    total = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
-    by_col = columns.groupBy("TextTableID", "Block").agg(total("parameter").alias("ColumnParameters"), total("dose").alias("ColumnDoses"))
-    by_row = rows.groupBy("TextTableID", "Block").agg(total("parameter").alias("RowParameters"), total("dose").alias("RowDoses"))
-    both = by_col.join(by_row, ["TextTableID", "Block"])
-    return both.withColumn("Transposed", F.col("RowParameters") + F.col("ColumnDoses") > F.col("ColumnParameters") + F.col("RowDoses"))
+    cells = read.say(read.say(headed(read), "Head", "_head", *_NAMING), "Label", "_label", *_NAMING)
+    block = Window.partitionBy("TextTableID", "Block")
+    # Rows are as wide as their table, so a block's first row has all of its columns.
+    cells = cells.withColumns({"_top": F.min("RowSeq").over(block), "_widest": F.max("Col").over(block)})
+    total = lambda where, said, kind: F.sum(F.when(where & (F.coalesce(F.col(said), F.lit("other")) == kind), 1).otherwise(0)).over(block)
+    column, row = (F.col("Col") > 0) & (F.col("RowSeq") == F.col("_top")), F.col("Col") == 0
+    cells = cells.withColumns({f"{axis}{name}s": total(where, said, name.lower()) for axis, where, said in (("Column", column, "_head.kind"), ("Row", row, "_label.kind")) for name in ("Parameter", "Dose")})
+    return cells.withColumn("Transposed", F.col("RowParameters") + F.col("ColumnDoses") > F.col("ColumnParameters") + F.col("RowDoses"))
 
 
-def _dispersion(*texts: Column) -> Column:
-    """SD, SE or CV_Percent by the first text that names one; null without."""
+def orientation(grid: DataFrame) -> DataFrame:
+    """Per table and block of a grid: the votes of both axes and Transposed."""
+    cells = voted(_Read(grid)).filter("Col = 0 and RowSeq = _top and _widest > 0")
+    return cells.select("TextTableID", "Block", "ColumnParameters", "ColumnDoses", "RowParameters", "RowDoses", "Transposed")
 
-    def named(text: Column) -> Column:
-        ws = words.words(text)
-        has = lambda *x: F.arrays_overlap(ws, F.array(*[F.lit(v) for v in x]))
-        return F.when(has("sd") | (has("standard") & has("deviation")), "SD").when(has("se", "sem") | (has("standard") & has("error")), "SE").when(has("cv"), "CV_Percent")
 
-    return F.coalesce(*[named(t) for t in texts])
+def _dispersion(text: Column) -> Column:
+    """SD, SE or CV_Percent where a text names one; null without."""
+    ws = words.words(text)
+    has = lambda *x: F.arrays_overlap(ws, F.array(*[F.lit(v) for v in x]))
+    return F.when(has("sd") | (has("standard") & has("deviation")), "SD").when(has("se", "sem") | (has("standard") & has("error")), "SE").when(has("cv"), "CV_Percent")
 
 
 def _flags(*flags: Column) -> Column:
@@ -233,51 +280,49 @@ def observations(grid: DataFrame, tables: DataFrame) -> DataFrame:
     a plus-minus without a named kind is a standard deviation and flagged; a percent over 100 is a number with a statistic
     in brackets; a row with name, value, type and unit is as sure as a validated one.
     """
-    cells = headed(grid)
-    turned = orientation(cells).select("TextTableID", "Block", "Transposed")
-    c = cells.join(turned, ["TextTableID", "Block"]).join(tables.select("TextTableID", "DocumentGUID", "Caption"), "TextTableID")
+    read = _Read(grid, tables)
+    c = voted(read)
     row = Window.partitionBy("TextTableID", "RowSeq")
     straight = ~F.col("Transposed")
-    dose_text = F.max(F.when((F.col("Col") > 0) & straight & _is_dose_header(F.col("Head")), F.nullif(F.col("Text"), F.lit("")))).over(row)
-    size = F.max(F.when((F.col("Col") > 0) & straight & _is_size_header(F.col("Head")), F.replace("Text", F.lit(","), F.lit("")).try_cast("int"))).over(row)
+    is_dose, is_size = F.coalesce("_head.dosehead", F.lit(False)), F.coalesce("_head.sizehead", F.lit(False))
+    dose_text = F.max(F.when((F.col("Col") > 0) & straight & is_dose, F.nullif(F.col("Text"), F.lit("")))).over(row)
+    size = F.max(F.when((F.col("Col") > 0) & straight & is_size, F.replace("Text", F.lit(","), F.lit("")).try_cast("int"))).over(row)
     c = c.withColumns({"_dose": dose_text, "_size": size})
-    c = c.filter((F.col("Col") > 0) & (F.col("Text") != "") & ~(straight & (_is_dose_header(F.col("Head")) | _is_size_header(F.col("Head")))))
-    named = F.when(F.col("Transposed"), F.col("Label")).otherwise(F.col("Head"))
-    other = F.when(F.col("Transposed"), F.col("Head")).otherwise(F.col("Label"))
-    kind = label_class(other)
-    regimen = F.coalesce("_dose", F.when(kind == "dose", other))
-    c = c.withColumns({"_name": named, "_other": other, "_kind": kind, "DoseRegimen": regimen})
-    amount, dose_unit = values.dose(F.col("DoseRegimen"))
-    time = duration(F.col("DoseRegimen"))
-    in_regimen, in_caption = values.header_n(F.col("DoseRegimen")), values.header_n(F.col("Caption"))
-    c = c.withColumns({"ArmN": F.coalesce("_size", in_regimen, values.header_n(F.col("Study")), in_caption), "_armflag": F.when(F.col("_size").isNull() & in_regimen.isNull() & in_caption.isNotNull(), "PK_CAPTION_ARMN_FALLBACK")})
-    v = values.parse_value(F.col("Text"), F.col("ArmN"))
-    c = c.withColumns({"v": v, "_canon": canonical(F.col("_name"))})
+    c = c.filter((F.col("Col") > 0) & (F.col("Text") != "") & ~(straight & (is_dose | is_size)))
+    by_layout = lambda turned, usual: F.when(F.col("Transposed"), F.col(turned)).otherwise(F.col(usual))
+    c = c.join(tables.select("TextTableID", "DocumentGUID", "Caption").hint("merge"), "TextTableID")
+    c = c.withColumns({"_name": by_layout("Label", "Head"), "_other": by_layout("Head", "Label"), "_named": by_layout("_label", "_head"), "_kind": F.coalesce(by_layout("_head.kind", "_label.kind"), F.lit("other"))})
+    c = c.withColumn("DoseRegimen", F.coalesce("_dose", F.when(F.col("_kind") == "dose", F.col("_other"))))
+    for text, name, fields in (("DoseRegimen", "_regimen", ("amount", "doseunit", "time", "timeunit", "timepoint", "n")), ("Study", "_study", ("state", "n")), ("Category", "_divider", ("state",)), ("Caption", "_caption", ("state", "n", "spread", "ci")), ("HeaderPath", "_over", ("spread",)), ("Footnotes", "_foot", ("spread",))):
+        c = read.say(c, text, name, *fields)
+    in_regimen, in_caption = F.col("_regimen.n"), F.col("_caption.n")
+    c = c.withColumns({"ArmN": F.coalesce("_size", in_regimen, "_study.n", in_caption), "_armflag": F.when(F.col("_size").isNull() & in_regimen.isNull() & in_caption.isNotNull(), "PK_CAPTION_ARMN_FALLBACK")})
+    c = c.withColumns({"_canon": F.col("_named.canon"), "_inunit": F.col("_named.inunit"), "_spread": F.coalesce("_over.spread", "_named.spread", "_foot.spread", "_caption.spread"), "_state": F.coalesce("_named.state", "_divider.state", "_study.state", "_caption.state"), "_undivided": F.col("_divider.state").isNull(), "_ci": F.col("_caption.ci")})
+    c = stored(c.select("DocumentGUID", "TextTableID", "RowSeq", "Col", "Text", "Study", "Category", "Footnotes", "RowUnit", "Transposed", "DoseRegimen", "ArmN", "_armflag", "_name", "_other", "_kind", "_canon", "_inunit", "_spread", "_state", "_undivided", "_ci", *[F.col(f"_regimen.{f}").alias(f"_{f}") for f in ("amount", "doseunit", "time", "timeunit", "timepoint")]))
+    c = relops.by_distinct(c, ["Text", "ArmN"], "v", values.parse_value(F.col("Text"), F.col("ArmN")))
     high = (F.col("v.type") == "Percentage") & (F.col("v.primary") > 100) & F.col("v.secondary").isNotNull() & (F.col("v.rule") == "n_pct")
     shown = F.regexp_replace(F.col("v.primary").cast("string"), r"\.0$", "")
     spread = F.col("v.rule").isin("value_plusminus", "value_plusminus_sample", "value_paren_dispersion")
     # n (x) beside a parameter is a value with a statistic, no count with a percent.
     paired = (F.col("v.rule") == "n_pct") & ~F.col("Text").contains("%") & F.col("_canon").isNotNull() & ~high
     swapped = high | paired
-    known = _dispersion(F.col("HeaderPath"), F.col("_name"), F.col("Footnotes"), F.col("Caption"))
+    known = F.col("_spread")
     primary, second = F.when(swapped, F.col("v.secondary")).otherwise(F.col("v.primary")), F.when(swapped, F.col("v.primary")).otherwise(F.col("v.secondary"))
     kind_of = F.when(swapped | (F.col("v.type") == "Numeric"), "Mean").otherwise(F.col("v.type"))
     second_kind = F.when(spread | paired, F.coalesce(known, F.lit("SD"))).when(~high, F.col("v.secondary_type"))
     inferred = F.when((spread | paired) & known.isNull(), "PLUSMINUS_TYPE_INFERRED:SD")
     rejected = F.when(high, F.concat(F.lit("PCT_GT100_REJECTED:"), shown, F.lit("; PK_PCT_GT100_DEMOTED")))
-    unit = F.coalesce(F.when(~swapped & (F.col("v.rule") == "value_trailing_unit"), F.col("v.unit")), header_unit(F.col("_name")), "RowUnit")
+    unit = F.coalesce(F.when(~swapped & (F.col("v.rule") == "value_trailing_unit"), F.col("v.unit")), "_inunit", "RowUnit")
     rule = F.when(high, F.concat("v.rule", F.lit("+pk_pct_gt100_demoted"))).when(paired, F.concat("v.rule", F.lit("+pk_statistic"))).otherwise(F.col("v.rule"))
     complete = primary.isNotNull() & (kind_of != "Text") & unit.isNotNull() & (F.col("_name") != "")
     raised = complete & (F.col("v.confidence") < values.CHECKED)
-    divider = F.col("Category")
-    state = F.coalesce(qualifier(F.col("_name")), qualifier(divider), qualifier(F.col("Study")), qualifier(F.col("Caption")))
-    study = _flags(F.col("Study"), F.when(qualifier(divider).isNull(), divider))
+    study = _flags(F.col("Study"), F.when(F.col("_undivided"), F.col("Category")))
     return c.filter("not v.excluded").select(
-        "DocumentGUID", "TextTableID", F.col("RowSeq").alias("SourceRowSeq"), F.col("Col").alias("SourceCellSeq"), F.lit("PK").alias("TableCategory"), F.coalesce("_canon", F.trim("_name")).alias("ParameterName"), state.alias("ParameterSubtype"),
-        study.alias("StudyContext"), "DoseRegimen", amount.alias("Dose"), dose_unit.alias("DoseUnit"), F.when(F.col("_kind").isin("population", "other"), F.nullif("_other", F.lit(""))).alias("Population"),
-        F.coalesce(F.when(F.col("_kind") == "timepoint", F.col("_other")), time["timepoint"]).alias("Timepoint"), time["time"].alias("Time"), time["unit"].alias("TimeUnit"), "ArmN", primary.alias("PrimaryValue"), kind_of.alias("PrimaryValueType"),
+        "DocumentGUID", "TextTableID", F.col("RowSeq").alias("SourceRowSeq"), F.col("Col").alias("SourceCellSeq"), F.lit("PK").alias("TableCategory"), F.coalesce("_canon", F.trim("_name")).alias("ParameterName"), F.col("_state").alias("ParameterSubtype"),
+        study.alias("StudyContext"), "DoseRegimen", F.col("_amount").alias("Dose"), F.col("_doseunit").alias("DoseUnit"), F.when(F.col("_kind").isin("population", "other"), F.nullif("_other", F.lit(""))).alias("Population"),
+        F.coalesce(F.when(F.col("_kind") == "timepoint", F.col("_other")), "_timepoint").alias("Timepoint"), F.col("_time").alias("Time"), F.col("_timeunit").alias("TimeUnit"), "ArmN", primary.alias("PrimaryValue"), kind_of.alias("PrimaryValueType"),
         second.alias("SecondaryValue"), second_kind.alias("SecondaryValueType"), F.when(~swapped, F.col("v.lower")).alias("LowerBound"), F.when(~swapped, F.col("v.upper")).alias("UpperBound"),
-        F.when(~swapped & F.col("v.lower").isNotNull(), F.coalesce(F.when(F.col("v.bound_type") == "CI", ci_level(F.col("Caption"))), "v.bound_type")).alias("BoundType"), unit.alias("Unit"), rule.alias("ParseRule"),
+        F.when(~swapped & F.col("v.lower").isNotNull(), F.coalesce(F.when(F.col("v.bound_type") == "CI", F.col("_ci")), "v.bound_type")).alias("BoundType"), unit.alias("Unit"), rule.alias("ParseRule"),
         F.when(raised, F.lit(values.CHECKED)).otherwise(F.col("v.confidence")).alias("ParseConfidence"), "Footnotes",
         _flags(F.when(~swapped, F.col("v.flags")), rejected, inferred, "_armflag", F.when(F.col("Transposed"), "PK_TRANSPOSED_LAYOUT"), F.when(raised, "PK_COMPLETE_SPINE_CONFIDENCE")).alias("ValidationFlags"),
     )

@@ -1,7 +1,7 @@
 """Label grids: cells with spans become rectangular rows with header paths.
 
-A table's cells, no more than a printed page has, are gathered natively; many tables go through Python in one
-Arrow batch.
+A table's cells, no more than a printed page has, are gathered natively; many tables go through numpy in one
+Arrow batch, where only rows that a row span covers are filled one by one.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 GRID_SCHEMA = "TextTableID long, RowSeq int, RowClass string, Col int, HeaderPath string, CellText string, Category string, Footnotes string"
 _NAMES = [f.split()[0] for f in GRID_SCHEMA.split(", ")]
-_KINDS = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in GRID_SCHEMA.split(", ")]
-_GROUPS = {"Header": 0, "Body": 1, "Footer": 2}
+_GROUPS = ("Header", "Body", "Footer")
 MAX_DIVIDER = 200
+#: Tables that are rebuilt at once.
+SLICE = 1000
+#: Texts that clean() may change: any with a tag, a blank other than a space, or a space at an end or beside another.
+_UNCLEAN = "[<\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |^ | $"
 
 
 def clean(text: str | None) -> tuple[str, list[str]]:
@@ -30,103 +34,148 @@ def clean(text: str | None) -> tuple[str, list[str]]:
     return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\s*/?>", " ", t))).strip(), marks
 
 
-def occupy(rows: list[list[tuple]]) -> list[dict[int, tuple]]:
-    """Per row: column -> cell, with row and column spans filled in."""
-    out: list[dict[int, tuple]] = [{} for _ in rows]
-    for r, cells in enumerate(rows):
-        here, c = out[r], 0
-        for cell in cells:
-            while c in here:
-                c += 1
-            if cell[1] <= 1 and cell[2] <= 1:
-                here[c] = cell
-                c += 1
-                continue
-            wide = range(c, c + max(1, cell[2]))
-            for below in out[r : r + max(1, cell[1])]:
-                below.update((k, cell) for k in wide)
-            c = wide.stop
-    return out
-
-
-def classify(groups: list[str], rows: list[list[tuple]], width: int) -> list[str]:
-    """The class of each row: headers first, then continuations, dividers and data."""
-    out: list[str] = []
-    body_yet = False
-    for r, cells in enumerate(rows):
-        if groups[r] == "Header":
-            out.append("ExplicitHeader")
-        elif groups[r] == "Footer":
-            out.append("Footer")
-        elif not out and cells:
-            out.append("InferredHeader")
-        elif not body_yet and cells and all(c[3] == "th" for c in cells):
-            out.append("ContinuationHeader")
-        elif len(cells) == 1 and width > 1 and cells[0][2] >= width and 0 < len(cells[0][0]) <= MAX_DIVIDER:
-            out.append("SocDivider")
-            body_yet = True
-        else:
-            out.append("DataBody")
-            body_yet = True
-    return out
-
-
 #: Fields of a cell as its table is rebuilt from.
 CELL = ("CellID", "RowSeq", "CellSeq", "RowGroupType", "CellType", "RowSpan", "ColSpan", "CellText")
 
 
-def rebuild(table_id: int, cells: list[tuple]) -> list[tuple]:
-    """One table's cells, tuples of CELL, to the rows of its grid."""
-    parts: dict[tuple[int, int], list[tuple]] = {}
-    for x in sorted(cells, key=lambda x: (_GROUPS.get(x[3], 1), x[1], x[2], x[0])):
-        parts.setdefault((_GROUPS.get(x[3], 1), x[1]), []).append(x)
-    rows, groups, marks = [], [], {}
-    for part in parts.values():
-        row = []
-        for *_, kind, tall, wide, raw in part:
-            text, sup = clean(raw)
-            row.append((text, tall or 1, wide or 1, kind, tuple(sup)))
-        rows.append(row)
-        groups.append(part[0][3] or "Body")
-    width = max((sum(max(1, c[2]) for c in row) for row in rows), default=0)
-    classes, grid = classify(groups, rows, width), occupy(rows)
-    for k, row in zip(classes, rows, strict=True):
-        if k == "Footer":
-            for text, *_ in row:
-                if m := re.match(r"^([*†‡§a-z\d])\s*[.:)]?\s+(.+)$", text):
-                    marks[m[1]] = m[2]
-    path: dict[int, list[str]] = {c: [] for c in range(width)}
-    out, category, paths = [], None, None
-    none = ("", 1, 1, "td", ())
-    for r, (k, held) in enumerate(zip(classes, grid, strict=True)):
-        if "Header" in k:
-            paths = None
-            for c in range(width):
-                text = held[c][0] if c in held else ""
-                if text and (not path[c] or path[c][-1] != text):
-                    path[c].append(text)
-        elif k == "SocDivider":
-            category = next(iter(held.values()))[0]
-        elif k == "DataBody":
-            paths = paths or [" > ".join(path[c]) for c in range(width)]
-            for c in range(width):
-                cell = held.get(c, none)
-                notes = "; ".join(marks[m] for m in cell[4] if m in marks) if cell[4] else None
-                out.append((table_id, r, k, c, paths[c], cell[0], category, notes or None))
-    return out
+def _cleaned(texts: pa.Array) -> tuple[pa.Array, dict[int, list[str]]]:
+    """Texts without tags, and by place the contents of their superscripts."""
+    texts = pc.fill_null(texts, "")
+    odd = np.flatnonzero(pc.match_substring_regex(texts, _UNCLEAN).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return texts, {}
+    pairs = [clean(t) for t in texts.take(pa.array(odd)).to_pylist()]
+    changed = np.zeros(len(texts), bool)
+    changed[odd] = True
+    return pc.replace_with_mask(texts, pa.array(changed), pa.array([t for t, _ in pairs], pa.string())), {int(k): m for k, (_, m) in zip(odd, pairs, strict=True) if m}
+
+
+def _before(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many flags stand before each row among the rows of its table; first is its table's first row."""
+    total = np.cumsum(flags)
+    return total - flags - (total - flags)[first]
+
+
+def _spanned(rows: np.ndarray, start: np.ndarray, count: np.ndarray, end: np.ndarray, tall: np.ndarray, wide: np.ndarray) -> dict[int, dict[int, int]]:
+    """By row, column -> cell, with row and column spans filled in, of the rows that a row span covers."""
+    held: dict[int, dict[int, int]] = {}
+    for row, at, n, last in zip(rows.tolist(), start[rows].tolist(), count[rows].tolist(), end[rows].tolist(), strict=True):
+        here, c = held.setdefault(row, {}), 0
+        for cell, h, w in zip(range(at, at + n), tall[at : at + n].tolist(), wide[at : at + n].tolist(), strict=True):
+            while c in here:
+                c += 1
+            for below in range(row, min(row + h, last)):
+                held.setdefault(below, {}).update((k, cell) for k in range(c, c + w))
+            c += w
+    return held
+
+
+def assemble(table: np.ndarray, cells: dict[str, pa.Array]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The grids of many tables: cells by the names of CELL, each with the number of its table, to (numbers of tables, columns of GRID_SCHEMA behind the id).
+
+    Rows are headers first, then continuations, dividers and data: the first row of a body without a head is a header, and so are
+    rows of header cells alone before all others; a single cell as wide as the table divides it.
+    """
+    whole = lambda name, none: pc.fill_null(cells[name], none).to_numpy(zero_copy_only=False).astype(np.int64)
+    rank = pc.fill_null(pc.index_in(cells["RowGroupType"], value_set=pa.array(_GROUPS)), 1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((whole("CellID", 0), whole("CellSeq", -1), whole("RowSeq", -1), rank, table))
+    table, rank, seq = table[order], rank[order], whole("RowSeq", -1)[order]
+    tall, wide = (np.maximum(whole(c, 1)[order], 1) for c in ("RowSpan", "ColSpan"))
+    head = pc.fill_null(pc.equal(cells["CellType"], "th"), False).to_numpy(zero_copy_only=False)[order]
+    text, marked = _cleaned(cells["CellText"].take(pa.array(order)))
+
+    # Rows, each with its first cell, and tables, each with its first row.
+    change = lambda *xs: np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in xs], axis=0))))
+    start = change(table, rank, seq)
+    count, of, kind = np.diff(np.append(start, len(table))), table[start], rank[start]
+    top = change(of)
+    per = np.diff(np.append(top, len(start)))
+    place = np.repeat(np.arange(len(top)), per)
+    first, end = np.repeat(top, per), np.repeat(top + per, per)
+    row_of = np.repeat(np.arange(len(start)), count)
+    widths = np.maximum.reduceat(np.add.reduceat(wide, start), top)
+    width = widths[place]
+
+    body, lead = kind == 1, np.arange(len(start)) == first
+    all_head = np.logical_and.reduceat(head, start)
+    open_ = _before(body & ~lead & ~all_head, first) == 0
+    rest = body & ~lead & ~(all_head & open_)
+    length = pc.utf8_length(text).to_numpy(zero_copy_only=False)[start]
+    divider = rest & (count == 1) & (width > 1) & (wide[start] >= width) & (length > 0) & (length <= MAX_DIVIDER)
+    data, header = rest & ~divider, (kind == 0) | (body & ~rest)
+
+    # Where cells stand: rows that no row span covers are filled by their column spans alone.
+    high = np.flatnonzero(tall > 1)
+    edge = np.zeros(len(start) + 1, np.int64)
+    np.add.at(edge, row_of[high], 1)
+    np.add.at(edge, np.minimum(row_of[high] + tall[high], end[row_of[high]]), -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    free = np.flatnonzero(~covered[row_of])
+    left = np.cumsum(wide) - wide
+    cell = np.repeat(free, wide[free])
+    column = np.arange(len(cell)) - np.repeat(np.cumsum(wide[free]) - wide[free], wide[free]) + (left - left[start][row_of])[cell]
+    row, shown = row_of[cell], start.copy()
+    if len(high):
+        held = _spanned(np.flatnonzero(covered), start, count, end, tall, wide)
+        triples = np.array([(r, c, x) for r, places in held.items() for c, x in places.items()], np.int64).reshape(-1, 3)
+        row, column, cell = np.concatenate((row, triples[:, 0])), np.concatenate((column, triples[:, 1])), np.concatenate((cell, triples[:, 2]))
+        for r, places in held.items():
+            shown[r] = next(iter(places.values()))
+    inside = column < width[row]
+    row, column, cell = row[inside], column[inside], cell[inside]
+
+    # Header paths by table and column, in the order of rows; a text that repeats the one above counts once.
+    slots = np.cumsum(widths) - widths
+    code = text.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    full = pc.not_equal(text, "").to_numpy(zero_copy_only=False)
+    use = np.flatnonzero(header[row] & full[cell])
+    use = use[np.lexsort((row[use], slots[place[row[use]]] + column[use]))]
+    slot = slots[place[row[use]]] + column[use]
+    if len(use):
+        use, slot = (x[np.concatenate(([True], (slot[1:] != slot[:-1]) | (code[cell[use]][1:] != code[cell[use]][:-1])))] for x in (use, slot))
+    offsets = np.searchsorted(slot, np.arange(int(widths.sum()) + 1)).astype(np.int32)
+    paths = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(cell[use]))), " > ")
+
+    # Data rows are as wide as their table; places without a cell are blank.
+    rows = np.flatnonzero(data)
+    base = np.zeros(len(start), np.int64)
+    base[rows] = np.cumsum(width[rows]) - width[rows]
+    out_row = np.repeat(rows, width[rows])
+    out_column = np.arange(len(out_row)) - base[out_row]
+    out_cell = np.full(len(out_row), -1)
+    mine = data[row]
+    out_cell[base[row[mine]] + column[mine]] = cell[mine]
+    blank = out_cell < 0
+    texts = pc.fill_null(text.take(pa.array(out_cell, mask=blank)), "")
+    above = np.maximum.accumulate(np.where(divider, np.arange(len(start)), -1))[out_row]
+    category = text.take(pa.array(shown[above], mask=above < first[out_row]))
+    notes = _notes(text, marked, table, np.flatnonzero((kind == 2)[row_of])) if marked else {}
+    foot = pa.nulls(len(out_row), pa.string())
+    if notes:
+        known = np.isin(out_cell, np.array(list(notes)))
+        foot = pa.array([notes[int(x)] if k else None for x, k in zip(out_cell, known, strict=True)], pa.string())
+    columns = [pa.array((out_row - first[out_row]).astype(np.int32)), pa.repeat(pa.scalar("DataBody"), len(out_row)), pa.array(out_column.astype(np.int32)), paths.take(pa.array(slots[place[out_row]] + out_column)), texts, category, foot]
+    return of[out_row], columns
+
+
+def _notes(text: pa.Array, marked: dict[int, list[str]], table: np.ndarray, footers: np.ndarray) -> dict[int, str]:
+    """By cell, the footnotes that its superscripts name."""
+    marks: dict[int, dict[str, str]] = {}
+    for t, words in zip(table[footers].tolist(), text.take(pa.array(footers)).to_pylist(), strict=True):
+        if m := re.match(r"^([*†‡§a-z\d])\s*[.:)]?\s+(.+)$", words):
+            marks.setdefault(t, {})[m[1]] = m[2]
+    found = {k: "; ".join(marks[int(table[k])][m] for m in names if m in marks[int(table[k])]) for k, names in marked.items() if int(table[k]) in marks}
+    return {k: v for k, v in found.items() if v}
 
 
 def _rebuild_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            cells = list(zip(*[c.to_pylist() for c in part.column(1).flatten().flatten()], strict=True))
-            rows, at = [], 0
-            for t, n in zip(part.column(0).to_pylist(), pc.list_value_length(part.column(1)).to_pylist(), strict=True):
-                rows += rebuild(t, cells[at : at + n])
-                at += n
-            columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], _NAMES)
+        for i in range(0, batch.num_rows, SLICE):
+            part = batch.slice(i, SLICE)
+            fields = part.column(1).flatten().flatten()
+            many = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+            table, columns = assemble(np.repeat(np.arange(part.num_rows), many), dict(zip(CELL, fields, strict=True)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(table)), *columns], _NAMES)
 
 
 def reconstruct(cells: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def pk_orientation(spark, sf_dir):
     """Votes of the tables whose headers stand above; compound ones vote for each block."""
     ship_package(spark)
     spread_small(spark)
-    votes = pk.orientation(pk.headed(grid.reconstruct(cells(spark, sf_dir)))).filter("Block = 0")
+    votes = pk.orientation(grid.reconstruct(cells(spark, sf_dir))).filter("Block = 0")
     return votes.select("TextTableID", "Block", "ColumnParameters", "ColumnDoses", "RowParameters", "RowDoses", "Transposed")
 
 

@@ -1,5 +1,6 @@
 """Cell values by shape, header words, text blocks, and pharmacokinetic tables."""
 
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -107,6 +108,28 @@ def test_layouts_agree(spark):
     assert got[0] == got[1] == [("Cmax", "10 mg", 5.5, "Mean", 1.0, "SD", "ng/mL", 30), ("Cmax", "20 mg", 9.5, "Mean", 2.0, "SD", "ng/mL", 30), ("Tmax", "10 mg", 2.0, "Mean", None, None, "h", 30), ("Tmax", "20 mg", 3.0, "Mean", None, None, "h", 30)]
 
 
+def test_tables_are_rebuilt_once_and_texts_read_once(spark):
+    cells = table_of(spark, 1, [["Regimen", "Cmax (ng/mL)"]], [["10 mg", "5.5 ± 1"], ["20 mg", "5.5 ± 1"]])
+    out = observed(spark, cells, "Fasted (N=30)")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Neither the grid nor the grammar of values is part of the plan that gives the rows.
+    assert "MapInArrow" not in plan and "value_plusminus_sample, Numeric" not in plan and len(plan) < 100_000
+    assert out.count() == 2
+
+
+def test_many_tables_at_once_are_as_each_alone(spark):
+    ship_package(spark)
+    spans = [[("Term", 2, 1), ("Drug", 1, 2)], ["N", ("%", 3, 1)], [("", 1, 3)], ["a", "b"], [("x", 1, 3)], [("wide", 2, 2), "c<sup>*</sup>"], ["under"]]
+    one = table_of(spark, 1, spans[:2], spans[2:])
+    many = reduce(lambda a, b: a.unionByName(b), [one.withColumn("TextTableID", F.lit(k).cast("long")) for k in (1, 2)] + [table_of(spark, 3, [["h"]], [["v"]])])
+    rows = lambda df: sorted(tuple(r)[1:] for r in df.collect())
+    alone = rows(grid.reconstruct(one))
+    got = grid.reconstruct(many)
+    assert rows(got.filter("TextTableID = 1")) == rows(got.filter("TextTableID = 2")) == alone and rows(got.filter("TextTableID = 3")) == [(1, "DataBody", 0, "h", "v", None, None)]
+    paths = ("Term", "Drug > N", "Drug > %")
+    assert [(r[0], *r[2:6]) for r in alone if r[0] >= 5] == [(r, c, paths[c], t, "x") for r, texts in ((5, ("wide", "wide", "c")), (6, ("wide", "wide", "under"))) for c, t in enumerate(texts)]
+
+
 def test_blocks_units_and_statistics(spark):
     cells = table_of(
         spark, 1, [["", "", "", ""]],
