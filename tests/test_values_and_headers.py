@@ -117,6 +117,15 @@ def test_tables_are_rebuilt_once_and_texts_read_once(spark):
     assert out.count() == 2
 
 
+def test_orientation_reads_its_grid_once(spark):
+    ship_package(spark)
+    cells = table_of(spark, 1, [["Regimen", "Cmax (ng/mL)", "Tmax (h)"]], [["10 mg", "5.5", "1"], ["20 mg", "5.5", "1"], ["Dose", "AUC (ng·h/mL)", "n"], ["30 mg", "7", "12"]])
+    votes = pk.orientation(grid.reconstruct(cells))
+    plan = votes._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Join Inner" not in plan
+    assert sorted(tuple(r) for r in votes.collect()) == [(1, 0, 2, 0, 0, 2, False), (1, 3, 1, 0, 0, 1, False)]
+
+
 def test_many_tables_at_once_are_as_each_alone(spark):
     ship_package(spark)
     spans = [[("Term", 2, 1), ("Drug", 1, 2)], ["N", ("%", 3, 1)], [("", 1, 3)], ["a", "b"], [("x", 1, 3)], [("wide", 2, 2), "c<sup>*</sup>"], ["under"]]
