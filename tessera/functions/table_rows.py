@@ -40,8 +40,12 @@ def _bare(part: Column) -> Column:
 def promoted(grid: DataFrame) -> DataFrame:
     """The grid with header rows that stand in its body taken into the header paths.
 
-    Such a row comes before all others, has no label, and its cells are words: names of arms, severities or axes.
+    Such a row comes before all others, has no label, and its cells are words: names of arms, severities or axes.  Where
+    the grid says which tables are Unlabelled in their first row, the others are left as they are.
     """
+    if "Unlabelled" in grid.columns:
+        labelled = grid.filter("not Unlabelled").withColumn("HeaderPath", F.coalesce("HeaderPath", F.lit("")))
+        return promoted(grid.filter("Unlabelled").drop("Unlabelled")).unionByName(labelled.drop("Unlabelled"))
     row, table = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID")
     text = F.trim(F.coalesce("CellText", F.lit("")))
     worded = text.rlike(r"^\p{L}") & ~words.is_p_value(text)
@@ -65,12 +69,23 @@ def column_contexts(grid: DataFrame, titles: DataFrame | None = None) -> DataFra
     severity below it the subtype.  A column without an arm takes the table's product title (titles:
     TextTableID, TitleDrug) where it is the table's only value column.
     """
-    c = relops.by_distinct(grid.select("TextTableID", "Col", "HeaderPath").distinct(), ["HeaderPath"], "h", _header_facts(F.col("HeaderPath"))).select("TextTableID", "Col", "h.*")
+    c = relops.by_distinct(grid.select("TextTableID", "Col", "HeaderPath").distinct(), ["HeaderPath"], "_h", _header_facts(F.col("HeaderPath")), of=grid)
+    arm = F.col("_h.Arm")
     if titles is not None:
-        alone = F.count(F.when(F.col("Col") > 0, 1)).over(Window.partitionBy("TextTableID")) == 1
-        c = c.withColumn("_alone", alone).join(titles.select("TextTableID", "TitleDrug"), "TextTableID", "left").withColumn("Arm", F.coalesce("Arm", F.when(F.col("_alone") & (F.col("Col") > 0), F.col("TitleDrug"))))
-    kind = F.when(F.col("Col") == 0, "label").when(F.col("_compares") & F.col("_p"), "pvalue").when(F.col("_compares"), "comparison").when(F.col("Arm").isNotNull(), "arm").otherwise("unresolved")
-    return c.withColumns({"Kind": kind, "Statistic": F.when(F.col("Col") > 0, F.col("_statistic"))}).select("TextTableID", "Col", "Kind", "Arm", "HeaderN", "Hint", "Subtype", "Context", "Statistic", "Level")
+        c = c.withColumn("_alone", F.count(F.when(F.col("Col") > 0, 1)).over(Window.partitionBy("TextTableID")) == 1).join(titles.select("TextTableID", "TitleDrug"), "TextTableID", "left")
+        arm = _titled(F.col("_alone"))
+    return c.select("TextTableID", "Col", *_context(arm))
+
+
+def _titled(alone: Column) -> Column:
+    """The arm of a column, or the table's product title where it is the table's only value column."""
+    return F.coalesce("_h.Arm", F.when(alone & (F.col("Col") > 0), F.col("TitleDrug")))
+
+
+def _context(arm: Column) -> list[Column]:
+    """A column's context from the facts of its header path."""
+    kind = F.when(F.col("Col") == 0, "label").when(F.col("_h._compares") & F.col("_h._p"), "pvalue").when(F.col("_h._compares"), "comparison").when(arm.isNotNull(), "arm").otherwise("unresolved")
+    return [kind.alias("Kind"), arm.alias("Arm"), *[F.col(f"_h.{c}").alias(c) for c in ("HeaderN", "Hint", "Subtype", "Context")], F.when(F.col("Col") > 0, F.col("_h._statistic")).alias("Statistic"), F.col("_h.Level").alias("Level")]
 
 
 def _header_facts(path: Column) -> Column:
@@ -96,43 +111,63 @@ def _header_facts(path: Column) -> Column:
 _OF_TABLE = ("DocumentGUID", "Caption", "TableCategory", "Known")
 
 
-def placed(grid: DataFrame, contexts: DataFrame, tables: DataFrame) -> DataFrame:
-    """Data cells with their table's document, caption and category, their column's context, their row's label, what kind of row it is, and the category that holds there.
+#: What a text says where it is its row's label.
+_AS_LABEL = ("sizes", "doses", "axis", "system", "counted", "percents", "p")
+
+
+def _text_facts(cell: Column) -> Column:
+    """What a cell's text says by itself, as a value and as a label."""
+
+    def read(t: Column) -> Column:
+        return F.struct(
+            t.alias("text"), t.rlike(r"[A-Za-z]{3}").alias("worded"), t.rlike(r"(?i)^\(?\s*(?:n\s*=\s*)?\d[\d,]*\s*\)?$").alias("whole"), t.rlike(r"(?i)^\d[\d,.]*\s*(?:mg|mcg|µg|g|mL|units?|IU)\b.*$").alias("dose"),
+            F.regexp_extract(t, r"(\d*\.?\d+)\s*$", 1).try_cast("double").alias("last"), F.replace(F.regexp_extract(t, r"(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("int").alias("size"),
+            words.is_denominator_label(t).alias("sizes"), words.is_dose_label(t).alias("doses"), words.is_axis(t).alias("axis"), words.is_body_system(t).alias("system"),
+            t.rlike(r"(?i)\bnumber of\b|\bcount\b").alias("counted"), t.rlike(r"%|(?i)percent").alias("percents"), words.is_p_value(t).alias("p"),
+        )
+
+    return values.let(F.trim(F.coalesce(cell, F.lit(""))), read)
+
+
+def placed(grid: DataFrame, tables: DataFrame) -> DataFrame:
+    """Data cells of a stored grid with their table's document, caption and category, their column's context, their row's label, what kind of row it is, and the category that holds there.
 
     RowKind: denominator (label and whole numbers only), dose (label and doses), empty (a label without
     values; one that names a body system starts that category), echo (the label repeats an arm or an axis
     without values), data.
     """
-    row, down = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID", "Col").orderBy("RowSeq")
-    # A table's contexts come as one list, so the join and the windows agree in being dealt by table.
-    by_table = contexts.groupBy("TextTableID").agg(F.collect_list(F.struct(*contexts.columns[1:])).alias("_contexts"))
-    by_table = by_table.join(tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory", F.lit(True).alias("Known")).hint("merge"), "TextTableID", "left")
-    own = F.element_at(F.filter("_contexts", lambda c: c["Col"] == F.col("Col")), 1)
-    cells = grid.repartition("TextTableID").join(by_table.hint("merge"), "TextTableID").withColumn("_c", own)
-    cells = cells.select(*grid.columns, *_OF_TABLE, *[F.col(f"_c.{c}") for c in contexts.columns if c not in ("TextTableID", "Col")])
-    text = F.trim(F.coalesce("CellText", F.lit("")))
-    cells = cells.withColumns({"Text": text, "first": F.max(F.when(F.col("Col") == 0, text)).over(row)})
+    row, down, table = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID", "Col").orderBy("RowSeq"), Window.partitionBy("TextTableID")
+    # Dealt by table, one shuffle serves the join and the windows.
+    cells = relops.by_distinct(grid.repartition("TextTableID"), ["HeaderPath"], "_h", _header_facts(F.col("HeaderPath")), of=grid)
+    cells = relops.by_distinct(cells, ["CellText"], "_t", _text_facts(F.col("CellText")), of=grid)
+    known = tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory", "TitleDrug", F.lit(True).alias("Known"))
+    cells = cells.join(known.hint("merge"), "TextTableID", "left")
+    # Rows are as wide as the table, so its last column tells how many there are.
+    cells = cells.withColumn("_alone", F.max("Col").over(table) == 1)
+    cells = cells.select(*grid.columns, *_OF_TABLE, "_t", *_context(_titled(F.col("_alone"))))
+    text = F.col("_t.text")
+    own = F.struct(text.alias("t"), *[F.col(f"_t.{f}").alias(f) for f in _AS_LABEL])
     # A row without a label in its first column takes its first descriptive cell.
-    worded = F.when(text.rlike(r"[A-Za-z]{3}") & (F.col("Kind") != "label"), F.struct("Col", text.alias("t")))
-    cells = cells.withColumns({"found": F.min(worded).over(row), "filled": F.sum(F.when((F.col("Col") > 0) & (text != ""), 1).otherwise(0)).over(row)})
-    cells = cells.withColumn("Label", F.when(F.coalesce("first", F.lit("")) != "", F.col("first")).otherwise(F.col("found.t"))).withColumn("Recovered", (F.coalesce("first", F.lit("")) == "") & F.col("found").isNotNull())
+    worded = F.when(F.col("_t.worded") & (F.col("Kind") != "label"), F.struct("Col", own.alias("own")))
     value = (F.col("Col") > 0) & (text != "")
-    whole, doses = F.sum(F.when(value & text.rlike(r"(?i)^\(?\s*(?:n\s*=\s*)?\d[\d,]*\s*\)?$"), 1).otherwise(0)).over(row), F.sum(F.when(value & text.rlike(r"(?i)^\d[\d,.]*\s*(?:mg|mcg|µg|g|mL|units?|IU)\b.*$"), 1).otherwise(0)).over(row)
-    p = F.max(F.when(F.col("Kind") == "pvalue", F.regexp_extract("Text", r"(\d*\.?\d+)\s*$", 1).try_cast("double"))).over(row)
-    cells = cells.withColumns({"whole": whole, "doses": doses, "RowP": p})
-    label = F.coalesce("Label", F.lit(""))
+    total = lambda c: F.sum(F.when(value & c, 1).otherwise(0)).over(row)
+    p = F.max(F.when(F.col("Kind") == "pvalue", F.col("_t.last"))).over(row)
+    cells = cells.withColumns({"first": F.max(F.when(F.col("Col") == 0, own)).over(row), "found": F.min(worded).over(row), "filled": total(F.lit(True)), "whole": total(F.col("_t.whole")), "doses": total(F.col("_t.dose")), "RowP": p})
+    lone = F.coalesce("first.t", F.lit("")) == ""
+    cells = cells.withColumns({"_l": F.when(lone, F.col("found.own")).otherwise(F.col("first")), "Recovered": lone & F.col("found").isNotNull()})
+    says = lambda f: F.coalesce(F.col(f"_l.{f}"), F.lit(False))
     kind = (
-        F.when((F.col("filled") > 0) & (F.col("whole") == F.col("filled")) & words.is_denominator_label(label), "denominator")
-        .when((F.col("filled") > 0) & (F.col("doses") == F.col("filled")) & words.is_dose_label(label), "dose")
-        .when((F.col("filled") == 0) & words.is_axis(label), "echo")
+        F.when((F.col("filled") > 0) & (F.col("whole") == F.col("filled")) & says("sizes"), "denominator")
+        .when((F.col("filled") > 0) & (F.col("doses") == F.col("filled")) & says("doses"), "dose")
+        .when((F.col("filled") == 0) & says("axis"), "echo")
         .when(F.col("filled") == 0, "empty")
         .otherwise("data")
     )
-    cells = cells.withColumn("RowKind", kind)
-    system = F.last(F.when((F.col("RowKind") == "empty") & words.is_body_system(label), label), True).over(down)
-    size = F.when(F.col("RowKind") == "denominator", F.replace(F.regexp_extract("Text", r"(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("int"))
+    cells = cells.withColumns({"RowKind": kind, "Text": text, "Label": F.col("_l.t"), "LabelCounts": says("counted"), "LabelPercents": says("percents"), "LabelP": says("p"), "_system": says("system"), "_size": F.col("_t.size")}).drop("first", "found", "filled", "whole", "doses", "_l", "_t")
+    system = F.last(F.when((F.col("RowKind") == "empty") & F.col("_system"), F.col("Label")), True).over(down)
+    size = F.when(F.col("RowKind") == "denominator", F.col("_size"))
     cells = cells.withColumns({"system": system, "RowN": F.last(size, True).over(down), "DoseRegimen": F.last(F.when(F.col("RowKind") == "dose", F.nullif(F.col("Text"), F.lit(""))), True).over(down)})
-    return cells.withColumn("ParameterCategory", F.coalesce("system", "Category")).drop("first", "found", "filled", "whole", "doses", "system")
+    return cells.withColumn("ParameterCategory", F.coalesce("system", "Category")).drop("system", "_system", "_size", "Category", "HeaderPath", "CellText", "RowClass")
 
 
 def suppressed(cells: DataFrame) -> DataFrame:
@@ -150,7 +185,8 @@ def arm_sizes(cells: DataFrame) -> DataFrame:
 
     Where a row and the header disagree, the row's size is kept and flagged.
     """
-    cells = relops.by_distinct(cells, ["Text"], "_v", values.parse_value(F.col("Text")))
+    read = values.let(values.parse_value(F.col("Text")), lambda v: F.struct(*[v[f].alias(f) for f in ("rule", "primary", "secondary", "sample_size")]))
+    cells = relops.by_distinct(cells, ["Text"], "_v", read)
     # Counts and percents are the last resort, so columns whose header has a size take no part.
     sized, open_ = cells.filter("HeaderN is not null"), cells.filter("HeaderN is null")
     pairs = open_.filter("RowKind = 'data' and Kind = 'arm' and _v.rule = 'n_pct'").select("TextTableID", "Col", F.col("_v.secondary").cast("long").alias("n"), F.col("_v.primary").cast("decimal(18,4)").alias("pct"))
@@ -169,8 +205,17 @@ def arm_sizes(cells: DataFrame) -> DataFrame:
     return rows.withColumns({"ArmN": F.coalesce("RowN", "HeaderN", "CellN", F.col("CountN").cast("int")), "ArmNFlag": flag}).drop("RowN", "CellN", "CountN")
 
 
-def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column, label: Column, caption: Column, p_context: Column) -> Column:
-    """parse_value in its place: dashes and ``<1`` become estimates, bare numbers take the column's type, percents over 100 are rejected."""
+def caption_says(caption: Column) -> Column:
+    """What a caption says of the numbers below: its hint, and whether they are percents."""
+    c = F.coalesce(caption, F.lit(""))
+    return F.struct(words.caption_hint(c).alias("hint"), c.rlike(r"%|(?i)percent|incidence").alias("percents"))
+
+
+def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column, label_counts: Column, label_percents: Column, caption: Column, p_context: Column) -> Column:
+    """parse_value in its place: dashes and ``<1`` become estimates, bare numbers take the column's type, percents over 100 are rejected.
+
+    Of the label it is asked whether it speaks of counts or percents, and caption is what caption_says() gives.
+    """
     v = values.parse_value(text, arm_n)
     fields = [f.strip().split(" ")[0] for f in "rule, type, confidence, excluded, primary, secondary, secondary_type, lower, upper, bound_type, p_value, p_qualifier, unit, sample_size, flags".split(",")]
 
@@ -179,8 +224,8 @@ def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column
 
     null = F.lit(None)
     ae = category.isin("AdverseEvent", "Efficacy")
-    counts = F.coalesce(label.rlike(r"(?i)\bnumber of\b|\bcount\b"), F.lit(False)) | F.coalesce(hint.isin("n", "N"), F.lit(False))
-    percents = ~counts & F.coalesce(hint.contains("%") | label.rlike(r"%|(?i)percent") | caption.rlike(r"%|(?i)percent|incidence"), F.lit(False))
+    counts = label_counts | F.coalesce(hint.isin("n", "N"), F.lit(False))
+    percents = ~counts & F.coalesce(hint.contains("%") | label_percents | caption["percents"], F.lit(False))
     estimate = F.when(arm_n > 0, F.bround(F.lit(100.0) / arm_n, 1)).otherwise(F.lit(0.1))
     source = F.when(arm_n > 0, F.concat(F.lit("ArmN="), arm_n.cast("string"))).otherwise(F.lit("fallback=0.1"))
     under = lambda x, mark: changed(x, primary=estimate, type=F.lit("Percentage"), excluded=F.lit(False), p_value=null, p_qualifier=null, unit=F.lit("%"), rule=F.concat(x["rule"], F.lit("+lt_one_percent_context")), flags=_flag(x["flags"], F.concat(F.lit(f"PCT_DERIVED_FROM_{mark}:"), source)))
@@ -217,7 +262,7 @@ def contextual_value(text: Column, arm_n: Column, category: Column, hint: Column
         return F.when(h["type"].isNotNull(), numeric).otherwise(changed(x, bound_type=bound))
 
     let = values.let
-    return let(v, lambda a: let(retyped(a), lambda b: let(guarded(b), lambda c: let(words.caption_hint(caption), lambda h: hinted(c, h)))))
+    return let(v, lambda a: let(retyped(a), lambda b: let(guarded(b), lambda c: let(caption["hint"], lambda h: hinted(c, h)))))
 
 
 _KINDS = ("string", "string", "double", "boolean", "double", "double", "string", "double", "double", "string", "double", "string", "string", "double", "string")
@@ -226,7 +271,7 @@ _KINDS = ("string", "string", "double", "boolean", "double", "double", "string",
 def row_cells(grid: DataFrame, tables: DataFrame) -> DataFrame:
     """The placed cells of tables (TextTableID, DocumentGUID, Caption, TableCategory, TitleDrug), stored, as each of the results reads them."""
     grid = stored(promoted(grid))
-    return stored(placed(grid, column_contexts(grid, tables), tables))
+    return stored(placed(grid, tables))
 
 
 def _valued(cells: DataFrame, kind: str) -> DataFrame:
@@ -240,9 +285,9 @@ def _base() -> list:
 
 def observed(rows: DataFrame) -> DataFrame:
     """One observation per arm cell that has a text, of row_cells()."""
-    caption, label = F.coalesce("Caption", F.lit("")), F.coalesce("Label", F.lit(""))
-    v = contextual_value(F.col("Text"), F.col("ArmN"), F.col("TableCategory"), F.col("Hint"), label, caption, words.is_p_value(label))
-    seen = relops.by_distinct(_valued(arm_sizes(rows), "arm"), ["Text", "ArmN", "TableCategory", "Hint", "Label", "Caption"], "v", v)
+    cells = stored(_valued(arm_sizes(relops.by_distinct(rows, ["Caption"], "Says", caption_says(F.col("Caption")))), "arm"))
+    v = contextual_value(F.col("Text"), F.col("ArmN"), F.col("TableCategory"), F.col("Hint"), F.col("LabelCounts"), F.col("LabelPercents"), F.col("Says"), F.col("LabelP"))
+    seen = relops.by_distinct(cells, ["Text", "ArmN", "TableCategory", "Hint", "LabelCounts", "LabelPercents", "LabelP", "Says"], "v", v)
     parsed = [F.col(f"v.{s}").alias(n) for s, n in (("primary", "PrimaryValue"), ("type", "PrimaryValueType"), ("secondary", "SecondaryValue"), ("secondary_type", "SecondaryValueType"), ("lower", "LowerBound"), ("upper", "UpperBound"), ("unit", "Unit"), ("rule", "ParseRule"), ("confidence", "ParseConfidence"))]
     flags = F.nullif(F.concat_ws("; ", "v.flags", "ArmNFlag", F.when(F.col("Recovered"), "LABEL_RECOVERED")), F.lit("")).alias("ValidationFlags")
     return seen.filter("not v.excluded").select(*_base(), F.col("Subtype").alias("ParameterSubtype"), F.col("Arm").alias("TreatmentArm"), "ArmN", F.col("Context").alias("StudyContext"), "DoseRegimen", *parsed, F.coalesce("v.p_value", "RowP").alias("PValue"), "Footnotes", flags)

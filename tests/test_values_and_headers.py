@@ -117,6 +117,36 @@ def test_tables_are_rebuilt_once_and_texts_read_once(spark):
     assert out.count() == 2
 
 
+ODD_TABLES = """<text xmlns="urn:hl7-org:v3">lone <table><caption>Cap <sup>1</sup></caption><thead><tr><th rowspan="2">A</th><th colspan="2"> B  b<sup>a</sup></th></tr><tr><th>C</th><th/></tr></thead>
+<tbody><tr><td>x</td><caption>no</caption><td><paragraph>in</paragraph><table><tr><td>deep</td><td colspan="x">er</td></tr></table></td><td>after</td></tr><td>loose</td><tr><td>y</td><td>1<br/>2</td><td>z</td></tr></tbody><tfoot><tr><td colspan="3">a note</td></tr></tfoot></table>
+<list><item>one<table><tr><td>t</td><td>u</td></tr><tr><td>v</td></tr></table></item></list><td>nowhere</td></text>"""
+
+
+def test_tables_are_read_without_other_blocks():
+    text = ElementTree.fromstring(ODD_TABLES)
+    cells, tables = [], {}
+    text_blocks.table_cells(text, cells.append, lambda nth, node: tables.update({nth: node}))
+    names = ("TableNth", "Nth", "RowSeq", "Seq", "RowGroup", "CellType", "RowSpan", "ColSpan", "Text")
+    made = text_blocks.blocks(text, "s")
+    assert cells == [tuple(b[n] for n in names) for b in made if b["Kind"] == "TableCell"] and len(cells) == 18
+    assert list(tables) == [b["Nth"] for b in made if b["Kind"] == "Table"]
+
+
+def test_grids_are_rebuilt_where_labels_are_read(spark):
+    ship_package(spark)
+    label = '<document xmlns="urn:hl7-org:v3"><id root="{}"/><section><id root="s"/>{}</section></document>'
+    files = spark.createDataFrame([(label.format("d1", ODD_TABLES),), ("<broken",), (None,), (label.format("d2", ODD_TABLES.replace("deep", "other")),)], "xml string")
+    blocks = text_blocks.read(files).filter("Kind = 'TableCell'")
+    cells = blocks.select(text_blocks.table_id(F.col("TableNth")), F.col("Nth").cast("long").alias("CellID"), "RowSeq", F.col("Seq").alias("CellSeq"), F.col("RowGroup").alias("RowGroupType"), "CellType", "RowSpan", "ColSpan", F.col("Text").alias("CellText"))
+    want = grid.reconstruct(cells.filter("CellText is null or CellText <> 'loose'"))
+    found = text_blocks.read(text_blocks.Tables(files.select(F.replace("xml", F.lit("<td>loose</td>"), F.lit("")).alias("xml"))))
+    names = want.columns[1:]
+    assert sorted(map(repr, found.select(names).collect())) == sorted(map(repr, want.select(names).collect()))
+    facts = {(r.DocumentGUID, r.Caption, r.Known, r.Unlabelled) for r in found.filter("Leads").collect()}
+    assert ("d1", "Cap <sup>1</sup>", True, False) in facts and found.filter("Leads").count() == found.select("TextTableID").distinct().count()
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString() and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_orientation_reads_its_grid_once(spark):
     ship_package(spark)
     cells = table_of(spark, 1, [["Regimen", "Cmax (ng/mL)", "Tmax (h)"]], [["10 mg", "5.5", "1"], ["20 mg", "5.5", "1"], ["Dose", "AUC (ng·h/mL)", "n"], ["30 mg", "7", "12"]])
