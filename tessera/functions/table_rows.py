@@ -45,7 +45,7 @@ def promoted(grid: DataFrame) -> DataFrame:
     """
     if "Unlabelled" in grid.columns:
         labelled = grid.filter("not Unlabelled").withColumn("HeaderPath", F.coalesce("HeaderPath", F.lit("")))
-        return promoted(grid.filter("Unlabelled").drop("Unlabelled")).unionByName(labelled.drop("Unlabelled"))
+        return stored(promoted(grid.filter("Unlabelled").drop("Unlabelled"))).unionByName(labelled.drop("Unlabelled"))
     row, table = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID")
     text = F.trim(F.coalesce("CellText", F.lit("")))
     worded = text.rlike(r"^\p{L}") & ~words.is_p_value(text)
@@ -108,9 +108,6 @@ def _header_facts(path: Column) -> Column:
     return values.let(F.filter(F.split(F.coalesce(path, F.lit("")), " > "), lambda p: F.trim(p) != ""), lambda parts: values.let(read(parts), judged))
 
 
-_OF_TABLE = ("DocumentGUID", "Caption", "TableCategory", "Known")
-
-
 #: What a text says where it is its row's label.
 _AS_LABEL = ("sizes", "doses", "axis", "system", "counted", "percents", "p")
 
@@ -136,23 +133,19 @@ def placed(grid: DataFrame, tables: DataFrame) -> DataFrame:
     values; one that names a body system starts that category), echo (the label repeats an arm or an axis
     without values), data.
     """
-    row, down, table = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID", "Col").orderBy("RowSeq"), Window.partitionBy("TextTableID")
-    # Dealt by table, one shuffle serves the join and the windows.
+    row, so_far, down = Window.partitionBy("TextTableID", "RowSeq"), Window.partitionBy("TextTableID").orderBy("RowSeq"), Window.partitionBy("TextTableID", "Col").orderBy("RowSeq")
+    # Dealt by table, one shuffle serves the windows and the join, which needs no order but that of the rows.
     cells = relops.by_distinct(grid.repartition("TextTableID"), ["HeaderPath"], "_h", _header_facts(F.col("HeaderPath")), of=grid)
     cells = relops.by_distinct(cells, ["CellText"], "_t", _text_facts(F.col("CellText")), of=grid)
-    known = tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory", "TitleDrug", F.lit(True).alias("Known"))
-    cells = cells.join(known.hint("merge"), "TextTableID", "left")
-    # Rows are as wide as the table, so its last column tells how many there are.
-    cells = cells.withColumn("_alone", F.max("Col").over(table) == 1)
-    cells = cells.select(*grid.columns, *_OF_TABLE, "_t", *_context(_titled(F.col("_alone"))))
     text = F.col("_t.text")
     own = F.struct(text.alias("t"), *[F.col(f"_t.{f}").alias(f) for f in _AS_LABEL])
     # A row without a label in its first column takes its first descriptive cell.
-    worded = F.when(F.col("_t.worded") & (F.col("Kind") != "label"), F.struct("Col", own.alias("own")))
+    worded = F.when(F.col("_t.worded") & (F.col("Col") > 0), F.struct("Col", own.alias("own")))
     value = (F.col("Col") > 0) & (text != "")
     total = lambda c: F.sum(F.when(value & c, 1).otherwise(0)).over(row)
-    p = F.max(F.when(F.col("Kind") == "pvalue", F.col("_t.last"))).over(row)
-    cells = cells.withColumns({"first": F.max(F.when(F.col("Col") == 0, own)).over(row), "found": F.min(worded).over(row), "filled": total(F.lit(True)), "whole": total(F.col("_t.whole")), "doses": total(F.col("_t.dose")), "RowP": p})
+    p = F.max(F.when((F.col("Col") > 0) & F.col("_h._compares") & F.col("_h._p"), F.col("_t.last"))).over(row)
+    # Rows are as wide as the table, so a row's last column tells how many the table has.
+    cells = cells.withColumns({"_alone": F.max("Col").over(row) == 1, "first": F.max(F.when(F.col("Col") == 0, own)).over(row), "found": F.min(worded).over(row), "filled": total(F.lit(True)), "whole": total(F.col("_t.whole")), "doses": total(F.col("_t.dose")), "RowP": p})
     lone = F.coalesce("first.t", F.lit("")) == ""
     cells = cells.withColumns({"_l": F.when(lone, F.col("found.own")).otherwise(F.col("first")), "Recovered": lone & F.col("found").isNotNull()})
     says = lambda f: F.coalesce(F.col(f"_l.{f}"), F.lit(False))
@@ -164,10 +157,14 @@ def placed(grid: DataFrame, tables: DataFrame) -> DataFrame:
         .otherwise("data")
     )
     cells = cells.withColumns({"RowKind": kind, "Text": text, "Label": F.col("_l.t"), "LabelCounts": says("counted"), "LabelPercents": says("percents"), "LabelP": says("p"), "_system": says("system"), "_size": F.col("_t.size")}).drop("first", "found", "filled", "whole", "doses", "_l", "_t")
-    system = F.last(F.when((F.col("RowKind") == "empty") & F.col("_system"), F.col("Label")), True).over(down)
+    system = F.last(F.when((F.col("RowKind") == "empty") & F.col("_system"), F.col("Label")), True).over(so_far)
+    cells = cells.withColumn("ParameterCategory", F.coalesce(system, "Category"))
+    known = tables.select("TextTableID", "DocumentGUID", "Caption", "TableCategory", "TitleDrug", F.lit(True).alias("Known"))
+    cells = cells.join(known.hint("merge"), "TextTableID", "left")
+    cells = cells.select(*[c for c in cells.columns if c not in ("_h", "_alone", "TitleDrug")], *_context(_titled(F.col("_alone"))))
     size = F.when(F.col("RowKind") == "denominator", F.col("_size"))
-    cells = cells.withColumns({"system": system, "RowN": F.last(size, True).over(down), "DoseRegimen": F.last(F.when(F.col("RowKind") == "dose", F.nullif(F.col("Text"), F.lit(""))), True).over(down)})
-    return cells.withColumn("ParameterCategory", F.coalesce("system", "Category")).drop("system", "_system", "_size", "Category", "HeaderPath", "CellText", "RowClass")
+    cells = cells.withColumns({"RowN": F.last(size, True).over(down), "DoseRegimen": F.last(F.when(F.col("RowKind") == "dose", F.nullif(F.col("Text"), F.lit(""))), True).over(down)})
+    return cells.drop("_system", "_size", "Category", "HeaderPath", "CellText", "RowClass")
 
 
 def suppressed(cells: DataFrame) -> DataFrame:
@@ -270,8 +267,12 @@ _KINDS = ("string", "string", "double", "boolean", "double", "double", "string",
 
 def row_cells(grid: DataFrame, tables: DataFrame) -> DataFrame:
     """The placed cells of tables (TextTableID, DocumentGUID, Caption, TableCategory, TitleDrug), stored, as each of the results reads them."""
-    grid = stored(promoted(grid))
-    return stored(placed(grid, tables))
+    return stored(placed_once(grid, tables))
+
+
+def placed_once(grid: DataFrame, tables: DataFrame) -> DataFrame:
+    """The placed cells, not stored: what a single reader doesn't ask for isn't made."""
+    return placed(promoted(grid) if "Unlabelled" in grid.columns else stored(promoted(grid)), tables)
 
 
 def _valued(cells: DataFrame, kind: str) -> DataFrame:
@@ -295,7 +296,8 @@ def observed(rows: DataFrame) -> DataFrame:
 
 def comparisons(rows: DataFrame) -> DataFrame:
     """The cells of statistic columns of row_cells(), each once, with the row's p-value."""
-    compared = relops.by_distinct(_valued(rows, "comparison"), ["Text"], "v", values.parse_value(F.col("Text"))).filter("not v.excluded")
+    cells = stored(_valued(rows, "comparison").select("DocumentGUID", "TextTableID", "RowSeq", "Col", "TableCategory", "Label", "ParameterCategory", "Statistic", "Level", "Text", "RowP"))
+    compared = relops.by_distinct(cells, ["Text"], "v", values.parse_value(F.col("Text"))).filter("not v.excluded")
     bound = F.when(F.col("v.lower").isNotNull(), F.coalesce("Level", F.lit("95CI"))).alias("BoundType")
     compared = compared.select(*_base(), F.lit("Comparison").alias("TreatmentArm"), F.col("Statistic").alias("PrimaryValueType"), F.col("v.primary").alias("PrimaryValue"), F.col("v.lower").alias("LowerBound"), F.col("v.upper").alias("UpperBound"), bound, F.col("RowP").alias("PValue"))
     same = Window.partitionBy("TextTableID", "ParameterName", "PrimaryValueType", "PrimaryValue", "LowerBound", "UpperBound").orderBy("SourceRowSeq", "SourceCellSeq")

@@ -1,5 +1,7 @@
 """Printed tables to observations."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import table_rows
@@ -108,3 +110,17 @@ def test_audit_of_tables_that_are_not_known(spark):
     tables = spark.createDataFrame([], "TextTableID long, DocumentGUID string, Caption string, TableCategory string, TitleDrug string")
     out, compared, audit = table_rows.observations(grid.reconstruct(cells), tables)
     assert out.count() == compared.count() == 0 and [(r.Label, r.Reason) for r in audit.collect()] == [("N", "STRUCTURAL_DENOMINATOR")]
+
+
+def test_lines_come_as_one_list(spark):
+    from tessera.plans import registry, table_queries  # noqa: F401
+
+    keys = [r.k for r in table_queries.lines(spark, "/root/testdata/sf0.001").groupBy("k").count().filter("count >= 3").orderBy("k").limit(2).collect()]
+    rows = spark.createDataFrame([(f"doc-{k}", s, c) for k in keys for s in (4, 5, 9) for c in (0, 1)], "Doc string, SourceRowSeq int, Col int")
+    out = table_queries._with_lines(rows, spark, "/root/testdata/sf0.001")
+    want = {f"doc-{r.k}": sorted(r.n)[-3:] for r in table_queries.lines(spark, "/root/testdata/sf0.001").groupBy("k").agg(F.collect_list("n").alias("n")).collect()}
+    # The last rows are the last lines, and no shuffle asks for more than the document.
+    got = {(r.Doc, r.SourceRowSeq, r.Col): r.n for r in out.collect()}
+    assert len(got) == 12 and all(got[f"doc-{k}", s, c] == want[f"doc-{k}"][i] for k in keys for i, s in enumerate((4, 5, 9)) for c in (0, 1))
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("nth" in d for d in dealt)
