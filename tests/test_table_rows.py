@@ -124,3 +124,19 @@ def test_lines_come_as_one_list(spark):
     assert len(got) == 12 and all(got[f"doc-{k}", s, c] == want[f"doc-{k}"][i] for k in keys for i, s in enumerate((4, 5, 9)) for c in (0, 1))
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())
     assert dealt and not any("nth" in d for d in dealt)
+
+
+def _adverse(spark):
+    cells = table_of(spark, 3, [["Event", "Drug A (N=10)", "Placebo", "Hazard ratio (95% CI)"]], [["N", "10", "12", ""], ["Rash", "1 (10%)", "2", "0.70 (0.50, 0.98)"], ["Cardiac disorders", "", "", ""], ["Arrest", "2 (20%)", "1", ""]])
+    tables = spark.createDataFrame([(3, "d", "Table 1: events", "AdverseEvent", None)], "TextTableID long, DocumentGUID string, Caption string, TableCategory string, TitleDrug string")
+    return grid.reconstruct(cells), tables
+
+
+def test_comparisons_ask_for_no_sizes_and_regimens(spark):
+    ship_package(spark)
+    rows = table_rows.placed_once(*_adverse(spark))
+    plan = table_rows._valued(rows, "comparison").select("Text", "Label", "RowP", "ParameterCategory")._jdf.queryExecution().optimizedPlan().toString()
+    # What only observations need, the sizes above a cell and the regimen of its column, isn't made.
+    assert "RowN" not in plan and "DoseRegimen" not in plan
+    (c,) = table_rows.comparisons(rows).collect()
+    assert (c.ParameterName, c.PrimaryValue, c.LowerBound, c.ParameterCategory) == ("Rash", 0.7, 0.5, None)
