@@ -140,3 +140,12 @@ def test_comparisons_ask_for_no_sizes_and_regimens(spark):
     assert "RowN" not in plan and "DoseRegimen" not in plan
     (c,) = table_rows.comparisons(rows).collect()
     assert (c.ParameterName, c.PrimaryValue, c.LowerBound, c.ParameterCategory) == ("Rash", 0.7, 0.5, None)
+
+
+def test_audit_asks_for_no_values(spark):
+    ship_package(spark)
+    rows = table_rows.placed_once(*_adverse(spark))
+    audit = table_rows.suppressed(rows)
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(c in plan for c in ("RowN", "DoseRegimen", "RowP", "ParameterCategory"))
+    assert {(r.DocumentGUID, r.Label, r.Reason) for r in audit.collect()} == {("d", "N", "STRUCTURAL_DENOMINATOR"), ("d", "Cardiac disorders", "STRUCTURAL_EMPTY")}
