@@ -149,3 +149,15 @@ def test_audit_asks_for_no_values(spark):
     plan = audit._jdf.queryExecution().optimizedPlan().toString()
     assert not any(c in plan for c in ("RowN", "DoseRegimen", "RowP", "ParameterCategory"))
     assert {(r.DocumentGUID, r.Label, r.Reason) for r in audit.collect()} == {("d", "N", "STRUCTURAL_DENOMINATOR"), ("d", "Cardiac disorders", "STRUCTURAL_EMPTY")}
+
+
+def test_labelled_tables_take_no_windows(spark):
+    ship_package(spark)
+    one = table_of(spark, 1, [["Event", "Drug", "Drug"]], [["", "Any grade", "Severe"], ["Rash", "1", "2"]])
+    two = table_of(spark, 2, [["Event", "Drug", "Drug"]], [["Rash", "1", "2"], ["", "Any", "Severe"]])
+    whole = grid.reconstruct(one.unionByName(two))
+    marked = whole.withColumn("Unlabelled", F.col("TextTableID") == 1)
+    rows = lambda df: sorted(map(repr, df.select(whole.columns).collect()))
+    assert rows(table_rows.promoted(marked)) == rows(table_rows.promoted(whole))
+    assert {r.HeaderPath for r in table_rows.promoted(marked).filter("TextTableID = 1 and Col > 0").collect()} == {"Drug > Any grade", "Drug > Severe"}
+    assert "Window" not in table_rows.promoted(marked)._jdf.queryExecution().optimizedPlan().toString()
