@@ -161,3 +161,11 @@ def test_labelled_tables_take_no_windows(spark):
     assert rows(table_rows.promoted(marked)) == rows(table_rows.promoted(whole))
     assert {r.HeaderPath for r in table_rows.promoted(marked).filter("TextTableID = 1 and Col > 0").collect()} == {"Drug > Any grade", "Drug > Severe"}
     assert "Window" not in table_rows.promoted(marked)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_of_keys_that_stand_elsewhere(spark):
+    cells = spark.createDataFrame([(i, f"p{i % 3}") for i in range(30)], "i int, path string")
+    few = cells.filter("i < 6").select("path").distinct()
+    out = relops.by_distinct(few, ["path"], "v", F.uuid(), of=cells)
+    # Facts are made of the cells' keys, and what asks for them is read once, behind them.
+    assert {r.path for r in out.collect()} == {"p0", "p1", "p2"} and out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
