@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +97,14 @@ PARSED = (
     "DocumentGUID string, SetGUID string, VersionNumber int, EffectiveTime string, Title string, Labeler string, error string, "
     "sections array<struct<SectionGUID:string,ParentSectionGUID:string,SectionCode:string,Title:string,Text:string,Position:int>>, products " + _PRODUCTS + ", elements array<struct<Kind:string,SectionGUID:string,Nth:int,Fields:map<string,string>>>, blocks array<" + text_blocks.BLOCK + ">"
 )
-_PARSED_NAMES = ("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler", "error", "sections", "products", "elements", "blocks")
+_TEXT = pa.string()
+_PARTS = {
+    "sections": pa.struct([*[(n, _TEXT) for n in ("SectionGUID", "ParentSectionGUID", "SectionCode", "Title", "Text")], ("Position", pa.int32())]),
+    "products": pa.struct([("ProductName", _TEXT), ("FormDisplayName", _TEXT), ("NDC", _TEXT), ("Ingredients", pa.list_(pa.struct([(n, _TEXT) for n in ("UNII", "SubstanceName", "ClassCode")])))]),
+    "elements": pa.struct([("Kind", _TEXT), ("SectionGUID", _TEXT), ("Nth", pa.int32()), ("Fields", pa.map_(_TEXT, _TEXT))]),
+}
+#: The fields of PARSED before its lists.
+_HEAD = pa.schema([(n, pa.int32() if n == "VersionNumber" else _TEXT) for n in ("DocumentGUID", "SetGUID", "VersionNumber", "EffectiveTime", "Title", "Labeler", "error")])
 
 
 def _sections(root) -> list[dict]:
@@ -109,11 +118,6 @@ def _sections(root) -> list[dict]:
     return out
 
 
-def _blocks(root) -> list[dict]:
-    """The blocks of all sections' texts, in document order."""
-    return [dict(zip(text_blocks.FIELDS, b, strict=True)) for b in text_blocks.of_document(root)]
-
-
 def _products(root) -> list[dict]:
     out = []
     for p in root.iter(NS + "manufacturedProduct"):
@@ -153,47 +157,71 @@ def _elements(root) -> list[dict]:
                 at = node if not path else node.find(_p(*path.split("/")))
                 got[name] = None if at is None else at.get(attribute) if attribute else _text(at)
             if any(v is not None for v in got.values()):
-                out.append({"Kind": kind, "SectionGUID": section, "Nth": len(out), "Fields": got})
+                out.append({"Kind": kind, "SectionGUID": section, "Nth": len(out), "Fields": list(got.items())})
                 break
         stack += [(c, section, code, (node.tag, *up[:2])) for c in reversed(node)]
     return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for xml in pdf.xml:
-            try:
-                root = ElementTree.fromstring(xml or "")
-            except ElementTree.ParseError as e:
-                out.append((None, None, None, None, None, None, str(e), [], [], [], []))
-                continue
+def _parse(xmls: list[str | None]) -> dict[str, pa.Array]:
+    """The columns of PARSED.  Blocks, which are most of a label, become columns as they are, without a dict for each."""
+    heads: list[tuple] = []
+    parts: dict[str, list] = {k: [] for k in _PARTS}
+    blocks: list[tuple] = []
+    ends = [0]
+    for xml in xmls:
+        try:
+            root = ElementTree.fromstring(xml or "")
+        except ElementTree.ParseError as e:
+            root = None
+            heads.append((*[None] * (len(_HEAD) - 1), str(e)))
+        if root is not None:
             version = _attr(root, NS + "versionNumber", "value")
             org = root.find(_p("author", "assignedEntity", "representedOrganization", "name"))
-            head = (_attr(root, NS + "id", "root"), _attr(root, NS + "setId", "root"), int(version) if version and version.isdigit() else None, _attr(root, NS + "effectiveTime", "value"), _text(root.find(NS + "title")), _text(org))
-            out.append((*head, None, _sections(root), _products(root), _elements(root), _blocks(root)))
-        yield pd.DataFrame(out, columns=_PARSED_NAMES)
+            heads.append((_attr(root, NS + "id", "root"), _attr(root, NS + "setId", "root"), int(version) if version and version.isdigit() else None, _attr(root, NS + "effectiveTime", "value"), _text(root.find(NS + "title")), _text(org), None))
+            blocks.extend(text_blocks.of_document(root))
+        for name, of in (("sections", _sections), ("products", _products), ("elements", _elements)):
+            parts[name].append([] if root is None else of(root))
+        ends.append(len(blocks))
+    out = {f.name: pa.array(c, f.type) for f, c in zip(_HEAD, zip(*heads, strict=True), strict=True)}
+    out |= {k: pa.array(v, pa.list_(_PARTS[k])) for k, v in parts.items()}
+    kinds = text_blocks.FIELD_TYPES
+    columns = zip(*blocks, strict=True) if blocks else [()] * len(kinds)
+    held = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], fields=list(kinds))
+    return out | {"blocks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)}
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, text_blocks.SLICE):
+            yield batch.slice(start, text_blocks.SLICE)
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """One row per text of a column ``xml``: the document's head, its sections, products and elements, or the error of what is no XML."""
-    return files.select("xml").mapInPandas(_parse, PARSED)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            with text_blocks.uncollected():
+                out = _parse(part.column(0).to_pylist())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return files.select("xml").mapInArrow(work, PARSED)
 
 
 def parsed_beside(files: DataFrame) -> DataFrame:
     """parsed() with what stands beside the text: source, name, and as ``broken`` the error of an archive that can't be read."""
-    kept = ("source", "name", "error")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (batch.iloc[i : i + text_blocks.SLICE] for batch in batches for i in range(0, len(batch), text_blocks.SLICE)):
-            beside = pdf[list(kept)].rename(columns={"error": "broken"}).reset_index(drop=True)
-            for out in _parse(iter([pdf])):
-                out = out.reset_index(drop=True)
-                # What has no text is no label with an error of its own.
-                out["error"] = [None if x is None else e for x, e in zip(pdf.xml, out["error"], strict=True)]
-                yield pd.concat([beside, out], axis=1)
-
-    return files.select(*kept, "xml").mapInPandas(work, "source string, name string, broken string, " + PARSED)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            source, name, broken, xml = part.columns
+            with text_blocks.uncollected():
+                out = _parse(xml.to_pylist())
+            # What has no text is no label with an error of its own.
+            out["error"] = pc.if_else(xml.is_valid(), out["error"], pa.scalar(None, _TEXT))
+            yield pa.RecordBatch.from_pydict({"source": source, "name": name, "broken": broken} | out)
+
+    return files.select("source", "name", "error", "xml").mapInArrow(work, "source string, name string, broken string, " + PARSED)
 
 
 def tables(files: DataFrame) -> dict[str, DataFrame]:

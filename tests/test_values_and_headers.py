@@ -147,6 +147,15 @@ def test_grids_are_rebuilt_where_labels_are_read(spark):
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString() and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_become_columns_without_dicts(monkeypatch):
+    label = '<document xmlns="urn:hl7-org:v3"><id root="d"/><versionNumber value="2"/><component><structuredBody><component><section><id root="s"/><title>T</title>' + ODD_TABLES + "</section></component></structuredBody></component></document>"
+    monkeypatch.setattr(text_blocks, "blocks", None)
+    out = spl._parse([label, None, "<broken"])
+    want = list(text_blocks.of_document(ElementTree.fromstring(label)))
+    assert isinstance(out["blocks"], pa.ListArray) and [tuple(b.values()) for b in out["blocks"][0].as_py()] == want and [len(b) for b in out["blocks"].to_pylist()[1:]] == [0, 0]
+    assert out["VersionNumber"].to_pylist() == [2, None, None] and out["DocumentGUID"].to_pylist() == ["d", None, None] and [e is None for e in out["error"].to_pylist()] == [True, False, False]
+
+
 def test_orientation_reads_its_grid_once(spark):
     ship_package(spark)
     cells = table_of(spark, 1, [["Regimen", "Cmax (ng/mL)", "Tmax (h)"]], [["10 mg", "5.5", "1"], ["20 mg", "5.5", "1"], ["Dose", "AUC (ng·h/mL)", "n"], ["30 mg", "7", "12"]])
